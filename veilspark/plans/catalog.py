@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import q_text  # noqa: F401
+from . import q_eval, q_text  # noqa: F401
 from .q_text import flagship  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

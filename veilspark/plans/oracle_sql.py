@@ -69,7 +69,7 @@ def rule_values(expr: str, i: int) -> str:
     return f"regexp_extract_all({expr}, {q(pat)}, 2{opt})"
 
 
-def redact_steps(src: str, text_col: str, keys: list[str]) -> str:
+def redact_steps(src: str, text_col: str, keys: list[str], n_rules: int = 10, prefix: str = "") -> str:
     """CTE chain s0..s10 applying the rules in order with counters.
 
     Each step marks matches with chr(1) (keeping the boundary characters),
@@ -78,7 +78,8 @@ def redact_steps(src: str, text_col: str, keys: list[str]) -> str:
     k = ", ".join(keys)
     zero = ", ".join(f"0 AS c_{lbl}" for lbl in LABELS)
     ctes = [f"s0 AS (SELECT {k}, {text_col} AS t, {zero}, 0 AS matches FROM {src})"]
-    for i, (label, pat, flags) in enumerate(RE2_RULES, start=1):
+    px = prefix
+    for i, (label, pat, flags) in enumerate(RE2_RULES[:n_rules], start=1):
         marked = f"string_split(regexp_replace(t, {q(pat)}, '\\1' || chr(1) || '\\3', {q(flags)}), chr(1))"
         counters = ", ".join(
             (f"c_{lbl} + len(w) - 1 AS c_{lbl}" if lbl == label else f"c_{lbl}") for lbl in LABELS)
@@ -88,4 +89,10 @@ def redact_steps(src: str, text_col: str, keys: list[str]) -> str:
         rebuilt = (f"w[1] || array_to_string(list_transform(w[2:], lambda p, j: "
                    f"'[{label}_' || CAST(c_{label} + j AS VARCHAR) || ']' || p), '')")
         ctes.append(f"s{i} AS (SELECT {k}, {rebuilt} AS t, {counters}, matches + len(w) - 1 AS matches FROM p{i})")
-    return ",\n".join(ctes)
+    if n_rules < len(RE2_RULES):
+        ctes.append(f"s10 AS (SELECT * FROM s{n_rules})")
+    out = ",\n".join(ctes)
+    if px:
+        import re
+        out = re.sub(r"\b([sp])(\d+)\b", lambda m: f"{px}{m.group(1)}{m.group(2)}", out)
+    return out
