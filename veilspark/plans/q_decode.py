@@ -1,0 +1,334 @@
+"""Registered queries: token-label and score decoding (DEC) and span redaction (RED-4..16)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.rules import PII_CATEGORIES
+from ..functions.text import token_count
+from ..operators import decode as X
+from ..operators.redact import apply_spans
+from ..operators.tokens import token_table
+from ..sources.tables import spread, table
+from . import oracle_sql as O
+from .registry import register
+
+CTX, STRIDE = 128, 64
+CLASSES = X.class_names()
+CLASS_LIST = "[" + ", ".join(O.q(c) for c in CLASSES) + "]"
+
+
+def r6(c):
+    return F.round(c + F.lit(1e-9), 6)
+
+
+def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spread(table(spark, sf_dir, "conversations"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+def rule_labels(spark, sf_dir) -> DataFrame:
+    """Token table of conversations with a simple per-token 'true' label."""
+    tt = token_table(conv_docs(spark, sf_dir))
+    lab = (F.when(F.col("piece").contains("@"), F.lit("S-private_email"))
+            .when(F.col("piece").rlike("^[0-9]{3,}$"), F.lit("S-private_phone")).otherwise(F.lit("O")))
+    return tt.withColumn("label", lab)
+
+
+def scores(spark, sf_dir) -> DataFrame:
+    return X.log_softmax(X.token_scores(rule_labels(spark, sf_dir), CTX, STRIDE))
+
+
+TOKS_SQL = f"""
+cdocs AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
+t0 AS (SELECT doc_id, regexp_extract_all(text, {O.q(O.TOKEN_RE2)}, 0) AS k, string_split_regex(text, {O.q(O.TOKEN_RE2)}) AS g FROM cdocs),
+z AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS tok_idx, len(g[i]) + len(k[i]) AS step, len(k[i]) AS klen, k[i] AS piece
+      FROM t0, range(1, len(k) + 1) r(i)),
+toks AS (SELECT doc_id, tok_idx, piece,
+           sum(step) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS UNBOUNDED PRECEDING) - klen AS tok_start,
+           sum(step) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS UNBOUNDED PRECEDING) AS tok_end FROM z),
+labs AS (SELECT *, CASE WHEN contains(piece, '@') THEN 'S-private_email'
+                        WHEN regexp_full_match(piece, '[0-9]{{3,}}') THEN 'S-private_phone' ELSE 'O' END AS label FROM toks),
+classes AS (SELECT CAST(i - 1 AS BIGINT) AS label_idx, c AS cls FROM (SELECT unnest({CLASS_LIST}) AS c,
+            unnest(range(1, {len(CLASSES)} + 1)) AS i)),
+win AS (SELECT l.*, w AS window_id FROM labs l,
+          unnest(range(CAST(greatest(0, ceil((tok_idx - {CTX} + 1) / {STRIDE})) AS BIGINT), CAST(floor(tok_idx / {STRIDE}) AS BIGINT) + 1)) AS u(w)),
+sc AS (SELECT doc_id, window_id, tok_idx, label_idx,
+         CASE WHEN cls = label THEN 0.0 ELSE -(1.0 + ((doc_id * 7919 + tok_idx * 104729 + label_idx * 1299709 + window_id * 15485863) % 997)) / 100.0 END AS logit
+       FROM win, classes),
+sc2 AS (SELECT *, max(logit) OVER (PARTITION BY doc_id, window_id, tok_idx) AS mlog FROM sc),
+lsm AS (SELECT *, logit - (mlog + ln(sum(exp(logit - mlog)) OVER (PARTITION BY doc_id, window_id, tok_idx))) AS logprob
+        FROM sc2),
+merged AS (SELECT doc_id, tok_idx, label_idx, max(logprob) + ln(sum(exp(logprob - mx))) - ln(count(*)) AS score
+           FROM (SELECT *, max(logprob) OVER (PARTITION BY doc_id, tok_idx, label_idx) AS mx FROM lsm) GROUP BY ALL)"""
+
+
+@register("dec_6_windows", sql=f"""
+WITH {TOKS_SQL}
+SELECT doc_id, count(DISTINCT window_id) AS n_windows, count(*) AS window_tokens FROM win GROUP BY doc_id
+""")
+def dec_6_windows(spark, sf_dir):
+    w = X.windows(rule_labels(spark, sf_dir), CTX, STRIDE)
+    return w.groupBy("doc_id").agg(F.count_distinct("window_id").alias("n_windows"),
+                                   F.count(F.lit(1)).alias("window_tokens"))
+
+
+@register("dec_7_log_softmax", sql=f"""
+WITH {TOKS_SQL}
+SELECT doc_id, count(*) AS n, round(max(logprob) + 1e-9, 6) AS max_lp, round(min(logprob) + 1e-9, 6) AS min_lp FROM lsm GROUP BY doc_id
+""")
+def dec_7_log_softmax(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), r6(F.max("logprob")).alias("max_lp"),
+                                   r6(F.min("logprob")).alias("min_lp"))
+
+
+@register("dec_5_window_merge", sql=f"""
+WITH {TOKS_SQL}
+SELECT doc_id, tok_idx, round(max(score) + 1e-9, 6) AS best_score, count(*) AS n_labels FROM merged GROUP BY ALL
+""")
+def dec_5_window_merge(spark, sf_dir):
+    m = X.merge_windows(scores(spark, sf_dir))
+    return m.groupBy("doc_id", "tok_idx").agg(r6(F.max("score")).alias("best_score"), F.count(F.lit(1)).alias("n_labels")) \
+        .select("doc_id", F.col("tok_idx").cast("long"), "best_score", "n_labels")
+
+
+@register("dec_3_argmax", sql=f"""
+WITH {TOKS_SQL}
+SELECT doc_id, tok_idx, CAST(arg_max(label_idx, score * 1000 - label_idx / 1000.0) AS INTEGER) AS label_idx
+FROM merged GROUP BY ALL
+""")
+def dec_3_argmax(spark, sf_dir):
+    a = X.argmax_labels(X.merge_windows(scores(spark, sf_dir)))
+    return a.select("doc_id", F.col("tok_idx").cast("long"), "label_idx")
+
+
+@register("dec_13_scores_offsets_join", sql=f"""
+WITH {TOKS_SQL}, best AS (
+  SELECT doc_id, tok_idx, CAST(arg_max(label_idx, score * 1000 - label_idx / 1000.0) AS INTEGER) AS label_idx FROM merged GROUP BY ALL
+)
+SELECT b.doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(sum(t.tok_end - t.tok_start) AS BIGINT) AS chars,
+       count(*) FILTER (WHERE b.label_idx > 0) AS labelled
+FROM best b JOIN toks t USING (doc_id, tok_idx) GROUP BY b.doc_id
+""")
+def dec_13_scores_offsets_join(spark, sf_dir):
+    best = X.argmax_labels(X.merge_windows(scores(spark, sf_dir)))
+    tt = token_table(conv_docs(spark, sf_dir))
+    j = best.join(tt, ["doc_id", "tok_idx"])
+    return j.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("tokens"),
+                                   F.sum(F.col("tok_end") - F.col("tok_start")).cast("long").alias("chars"),
+                                   F.count_if(F.col("label_idx") > 0).alias("labelled"))
+
+
+@register("dec_4_viterbi")
+def dec_4_viterbi(spark, sf_dir):
+    m = X.merge_windows(scores(spark, sf_dir))
+    v = X.viterbi(m)
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("label_idx") > 0).alias("labelled"))
+
+
+@register("dec_11_scorer_map_in_pandas")
+def dec_11_scorer_map_in_pandas(spark, sf_dir):
+    """A pluggable scorer as an iterator ``mapInPandas``: set up once per
+    worker, then score Arrow batches of tokens (here: the deterministic
+    rule scorer; a user model plugs in the same way)."""
+    labels = rule_labels(spark, sf_dir).select("doc_id", "tok_idx", "piece")
+
+    def scorer(batches):
+        import numpy as np
+        import pandas as pd
+        email = "S-private_email"
+        phone = "S-private_phone"
+        idx = {c: i for i, c in enumerate(CLASSES)}
+        for pdf in batches:
+            is_mail = pdf["piece"].str.contains("@", regex=False).to_numpy()
+            is_num = pdf["piece"].str.fullmatch(r"[0-9]{3,}").fillna(False).to_numpy()
+            lab = np.where(is_mail, idx[email], np.where(is_num, idx[phone], 0))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tok_idx": pdf["tok_idx"].astype("int32"),
+                                "label_idx": lab.astype("int32")})
+
+    return labels.mapInPandas(scorer, "doc_id long, tok_idx int, label_idx int") \
+        .groupBy("label_idx").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+# ---------------------------------------------------------------- label decoding on detected spans
+
+def doc_labels(spark, sf_dir) -> DataFrame:
+    return X.token_labels(spread(table(spark, sf_dir, "documents")))
+
+
+@register("dec_1_split_bioes")
+def dec_1_split_bioes(spark, sf_dir):
+    lab = doc_labels(spark, sf_dir)
+    s = X.split_bioes("label")
+    return lab.groupBy(s["tag"].alias("tag"), s["entity"].alias("entity")).agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@register("dec_2_bioes_spans")
+def dec_2_bioes_spans(spark, sf_dir):
+    sp = X.bioes_spans(doc_labels(spark, sf_dir), list(PII_CATEGORIES))
+    return sp.select("doc_id", F.posexplode("spans").alias("span_ord", "s")).select(
+        "doc_id", "span_ord", "s.label", "s.start", "s.end")
+
+
+@register("dec_8_index_spans")
+def dec_8_index_spans(spark, sf_dir):
+    sp = X.index_spans(doc_labels(spark, sf_dir), list(PII_CATEGORIES))
+    return sp.select("doc_id", F.size("spans").alias("n_spans"))
+
+
+@register("red_11_token_to_char_spans")
+def red_11_token_to_char_spans(spark, sf_dir):
+    lab = doc_labels(spark, sf_dir)
+    ts = X.index_spans(lab, list(PII_CATEGORIES))
+    return X.token_to_char_spans(ts, lab)
+
+
+@register("dec_9_fallback_alignment")
+def dec_9_fallback_alignment(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents"))
+    fb = X.fallback_spans(X.token_labels(d), d, list(PII_CATEGORIES))
+    return fb.select("doc_id", F.posexplode("spans").alias("span_ord", "s")).select(
+        "doc_id", "span_ord", "s.label", "s.start", "s.end")
+
+
+@register("dec_10_fallback_when_empty")
+def dec_10_fallback_when_empty(spark, sf_dir):
+    """Fallback spans only for documents whose BIOES decode found nothing
+    (decode on the reduced label space without e-mail, so some fall through)."""
+    d = spread(table(spark, sf_dir, "documents"))
+    lab = X.token_labels(d)
+    cats = [c for c in PII_CATEGORIES if c != "private_email"]
+    primary = X.bioes_spans(lab, cats).where(F.size("spans") > 0)
+    fb = X.fallback_spans(lab, d, list(PII_CATEGORIES))
+    rest = fb.join(primary.select("doc_id"), "doc_id", "left_anti")
+    both = primary.withColumn("source", F.lit("bioes")).unionByName(rest.withColumn("source", F.lit("fallback")))
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("spans")).alias("spans"))
+
+
+@register("dec_12_rebuild_text")
+def dec_12_rebuild_text(spark, sf_dir):
+    """Decode token pieces (gap + token) back to text with per-token char
+    offsets; compare with the source (the round-trip flag of RED-12)."""
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    tt = token_table(d)
+    pieces = tt.join(d, "doc_id").select(
+        "doc_id", "tok_idx", "tok_start", "tok_end",
+        F.substring("text", F.col("tok_start") + 1, F.col("tok_end") - F.col("tok_start")).alias("piece_text"),
+        "piece")
+    g = pieces.groupBy("doc_id").agg(
+        F.count_if(F.col("piece_text") != F.col("piece")).alias("bad_offsets"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "piece"))), lambda x: x["piece"]), "")
+        .alias("decoded"))
+    j = g.join(d, "doc_id")
+    stripped = F.regexp_replace("text", r"[\p{IsWhite_Space}\x{1c}-\x{1f}]", "")
+    return j.select("doc_id", "bad_offsets", (F.col("decoded") != stripped).alias("decoded_mismatch"))
+
+
+# ---------------------------------------------------------------- span redaction (RED-4..16)
+
+def doc_spans(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    sp = X.rule_spans_as_categories(d)
+    return d.join(sp, "doc_id", "left")
+
+
+@register("red_4_apply_spans")
+def red_4_apply_spans(spark, sf_dir):
+    j = doc_spans(spark, sf_dir)
+    spans = F.coalesce(X.select_non_overlapping(F.coalesce("spans", F.array().cast(X.SPAN_T))), F.array().cast(X.SPAN_T))
+    out = j.select("doc_id", apply_spans("text", spans).alias("redacted"), F.size(spans).alias("spans"))
+    return out.select("doc_id", F.md5("redacted").alias("redacted_md5"), "spans",
+                      token_count("redacted").alias("output_tokens"))
+
+
+@register("red_5_allowed_labels")
+def red_5_allowed_labels(spark, sf_dir):
+    j = doc_spans(spark, sf_dir).where(F.col("spans").isNotNull())
+    allowed = X.allowed_spans("spans", ("private_email", "private_phone"))
+    return j.select("doc_id", F.size("spans").alias("all_spans"), F.size(allowed).alias("allowed_spans"))
+
+
+@register("red_6_valid_spans")
+def red_6_valid_spans(spark, sf_dir):
+    """Shifted copies of each span (one past the end) are dropped by the validity filter."""
+    j = doc_spans(spark, sf_dir).where(F.col("spans").isNotNull())
+    shifted = F.transform("spans", lambda s: F.struct(s["label"].alias("label"), (s["start"] + F.length("text")).alias("start"),
+                                                      (s["end"] + F.length("text")).alias("end")))
+    both = F.concat("spans", shifted)
+    return j.select("doc_id", F.size(both).alias("candidates"), F.size(X.valid_spans(both, "text")).alias("valid"))
+
+
+@register("red_7_label_lookup")
+def red_7_label_lookup(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    cat_idx = F.floor((F.col("label_idx") - 1) / 4).cast("int")     # O -> -1 -> 'label_-1'
+    return s.select(X.lookup_label(cat_idx).alias("name")).groupBy("name").count()
+
+
+@register("red_8_trim_whitespace")
+def red_8_trim_whitespace(spark, sf_dir):
+    """Spans widened by one char each side are trimmed back where that char is whitespace."""
+    j = doc_spans(spark, sf_dir).where(F.col("spans").isNotNull())
+    wide = F.transform("spans", lambda s: F.struct(s["label"].alias("label"), F.greatest(s["start"] - 1, F.lit(0)).alias("start"),
+                                                   F.least(s["end"] + 1, F.length("text")).alias("end")))
+    t = X.trim_spans(wide, "text")
+    return j.select("doc_id", F.posexplode(t).alias("i", "s")).select("doc_id", "i", "s.start", "s.end")
+
+
+@register("red_9_discard_overlap_same_label")
+def red_9_discard_overlap_same_label(spark, sf_dir):
+    j = doc_spans(spark, sf_dir).where(F.col("spans").isNotNull())
+    return j.select("doc_id", F.size("spans").alias("spans"), F.size(X.discard_overlapping_by_label("spans")).alias("kept"))
+
+
+@register("red_10_non_overlapping")
+def red_10_non_overlapping(spark, sf_dir):
+    j = doc_spans(spark, sf_dir).where(F.col("spans").isNotNull())
+    return j.select("doc_id", F.size("spans").alias("spans"), F.size(X.select_non_overlapping("spans")).alias("kept"))
+
+
+@register("red_12_round_trip_flag")
+def red_12_round_trip_flag(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    tt = token_table(d)
+    g = tt.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "piece"))),
+                                                          lambda x: x["piece"]), " ").alias("decoded"))
+    j = d.join(g, "doc_id", "left")
+    mismatch = F.coalesce(F.col("decoded"), F.lit("")) != F.col("text")
+    src = F.when(mismatch, F.coalesce(F.col("decoded"), F.lit(""))).otherwise(F.col("text"))
+    return j.select("doc_id", mismatch.alias("decoded_mismatch"), F.length(src).alias("source_chars"))
+
+
+@register("red_13_empty_short_circuit")
+def red_13_empty_short_circuit(spark, sf_dir):
+    j = doc_spans(spark, sf_dir)
+    spans = F.coalesce("spans", F.array().cast(X.SPAN_T))
+    out = F.when(F.size(spans) == 0, F.col("text")).otherwise(apply_spans("text", X.select_non_overlapping(spans)))
+    return j.select("doc_id", F.size(spans).alias("spans"), (out == F.col("text")).alias("unchanged"))
+
+
+@register("red_14_detected_records")
+def red_14_detected_records(spark, sf_dir):
+    j = doc_spans(spark, sf_dir).where(F.col("spans").isNotNull())
+    rec = X.detected_records(X.select_non_overlapping("spans"), "text")
+    return j.select("doc_id", F.inline(rec))
+
+
+@register("red_15_output_mode")
+def red_15_output_mode(spark, sf_dir):
+    j = doc_spans(spark, sf_dir).where(F.col("spans").isNotNull())
+    rec = X.detected_records(X.select_non_overlapping("spans"), "text", mode="masked")
+    return j.select("doc_id", F.inline(rec)).groupBy("label", "placeholder").count()
+
+
+@register("red_16_string_result")
+def red_16_string_result(spark, sf_dir):
+    """A redactor may return finished text instead of spans: take it as is, zero spans."""
+    j = doc_spans(spark, sf_dir)
+    finished = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "@", "[at]"))
+    spans = F.coalesce("spans", F.array().cast(X.SPAN_T))
+    out = F.coalesce(finished, apply_spans("text", X.select_non_overlapping(spans)))
+    n = F.when(finished.isNotNull(), F.lit(0)).otherwise(F.size(X.select_non_overlapping(spans)))
+    return j.select("doc_id", F.md5(out).alias("out_md5"), n.alias("spans"))
