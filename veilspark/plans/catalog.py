@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import q_decode, q_eval, q_io, q_misc, q_text  # noqa: F401
+from . import q_decode, q_eval, q_io, q_misc, q_stream, q_text  # noqa: F401
 from .q_text import flagship  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
