@@ -39,3 +39,53 @@ def redact(text):
 def rule_matches(text, index):
     label, pat = _COMPILED[index - 1]
     return [(m.start(), m.end(), m.group(0)) for m in pat.finditer(text)]
+
+
+def bioes_spans(items, allowed=None):
+    """Sequential BIOES decoding over (start, end, label) triples."""
+    out = []
+    cur = [None, None, None]
+
+    def split(label):
+        if label == "O":
+            return None, None
+        head, sep, ent = label.partition("-")
+        if sep and head.upper() in {"B", "I", "E", "S"}:
+            return head.upper(), ent
+        return "S", label
+
+    def ok(e):
+        return allowed is None or e in allowed
+
+    def flush():
+        if cur[0] is not None and cur[1] is not None and cur[2] is not None and cur[1] < cur[2] and ok(cur[0]):
+            out.append((cur[0], cur[1], cur[2]))
+        cur[:] = [None, None, None]
+
+    for s, e, label in items:
+        if s >= e:
+            continue
+        tag, ent = split(label)
+        if ent is None:
+            flush()
+        elif tag == "S":
+            flush()
+            if ok(ent):
+                out.append((ent, s, e))
+        elif tag == "B":
+            flush()
+            cur[:] = [ent, s, e]
+        elif tag == "I":
+            if cur[0] == ent and cur[1] is not None:
+                cur[2] = max(cur[2] or e, e)
+            else:
+                flush()
+                cur[:] = [ent, s, e]
+        elif tag == "E":
+            if cur[0] == ent and cur[1] is not None:
+                cur[2] = max(cur[2] or e, e)
+                flush()
+            elif ok(ent):
+                out.append((ent, s, e))
+    flush()
+    return out

@@ -112,7 +112,12 @@ def token_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # ------------------------------------------------------------------ BIOES fold
 
 def _fold_step(allowed: Column | None):
-    """One step of the BIOES state machine over (start, end, tag, entity)."""
+    """One step of the BIOES state machine over (start, end, tag, entity, closers).
+
+    Only labelled tokens are folded; ``closers`` counts the positive-width O
+    tokens seen so far, and a change in it means an O closed the open span
+    in between.
+    """
     def ok(entity):
         return F.lit(True) if allowed is None else F.array_contains(allowed, entity)
 
@@ -124,29 +129,32 @@ def _fold_step(allowed: Column | None):
         can = acc["cl"].isNotNull() & acc["cs"].isNotNull() & acc["ce"].isNotNull() & (acc["cs"] < acc["ce"]) & ok(acc["cl"])
         return F.when(can, emit(acc["out"], acc["cl"], acc["cs"], acc["ce"])).otherwise(acc["out"])
 
-    def state(cl, cs, ce, out):
+    def state(cl, cs, ce, out, k):
         return F.struct(cl.cast("string").alias("cl"), cs.cast("int").alias("cs"), ce.cast("int").alias("ce"),
-                        out.alias("out"))
+                        out.alias("out"), k.cast("long").alias("k"))
 
     null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
 
-    def step(acc, x):
-        s, e, tag, ent = x["tok_start"], x["tok_end"], x["tag"], x["entity"]
+    def body(acc, x):
+        s, e, tag, ent, k = x["tok_start"], x["tok_end"], x["tag"], x["entity"], x["closers"]
         same = (acc["cl"] == ent) & acc["cs"].isNotNull()
         ext_end = F.greatest(F.coalesce(acc["ce"], e), e)
-        closed = state(null_s, null_i, null_i, flush(acc))
         return (F.when(s >= e, acc)
-                 .when(ent.isNull(), closed)
                  .when(tag == "S", state(null_s, null_i, null_i,
-                                         F.when(ok(ent), emit(flush(acc), ent, s, e)).otherwise(flush(acc))))
-                 .when(tag == "B", state(ent, s, e, flush(acc)))
-                 .when(tag == "I", F.when(same, state(acc["cl"], acc["cs"], ext_end, acc["out"]))
-                       .otherwise(state(ent, s, e, flush(acc))))
+                                         F.when(ok(ent), emit(flush(acc), ent, s, e)).otherwise(flush(acc)), k))
+                 .when(tag == "B", state(ent, s, e, flush(acc), k))
+                 .when(tag == "I", F.when(same, state(acc["cl"], acc["cs"], ext_end, acc["out"], k))
+                       .otherwise(state(ent, s, e, flush(acc), k)))
                  .when(tag == "E", F.when(same, state(null_s, null_i, null_i,
-                                                      flush(state(acc["cl"], acc["cs"], ext_end, acc["out"]))))
+                                                      flush(state(acc["cl"], acc["cs"], ext_end, acc["out"], k)), k))
                        .otherwise(state(acc["cl"], acc["cs"], acc["ce"],
-                                        F.when(ok(ent), emit(acc["out"], ent, s, e)).otherwise(acc["out"]))))
-                 .otherwise(closed))
+                                        F.when(ok(ent), emit(acc["out"], ent, s, e)).otherwise(acc["out"]), k)))
+                 .otherwise(state(null_s, null_i, null_i, flush(acc), k)))
+
+    def step(acc, x):
+        # an O between the previous labelled token and this one closed the span
+        closed = F.when(x["closers"] != acc["k"], state(null_s, null_i, null_i, flush(acc), x["closers"])).otherwise(acc)
+        return F.element_at(F.transform(F.array(closed), lambda a: body(a, x)), 1)
 
     return step, flush, state
 
@@ -156,14 +164,21 @@ def bioes_spans(labels: DataFrame, allowed: list[str] | None = None, key: str =
     zero-width tokens skipped; O closes; S closes and emits itself; B closes and
     opens; I extends the same open entity, else closes and opens; E extends and
     closes the same open entity, else emits itself and leaves the open span
-    open; the allowed-label filter acts only when a span is emitted."""
+    open; the allowed-label filter acts only when a span is emitted.
+
+    Every document is returned (``[]`` when nothing is labelled), but only
+    its labelled tokens are collected and folded.
+    """
     allowed_col = None if allowed is None else F.array(*[F.lit(a) for a in allowed])
     step, flush, state = _fold_step(allowed_col)
-    toks = labels.select(key, F.struct("tok_idx", "tok_start", "tok_end",
-                                       split_bioes("label")["tag"].alias("tag"),
-                                       split_bioes("label")["entity"].alias("entity")).alias("t"))
-    g = toks.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    init = state(F.lit(None), F.lit(None), F.lit(None), F.array().cast(SPAN_T))
+    sb = split_bioes("label")
+    w = Window.partitionBy(key).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    closing = (sb["entity"].isNull() & (F.col("tok_start") < F.col("tok_end"))).cast("long")
+    t = labels.select(key, "tok_idx", "tok_start", "tok_end", sb["tag"].alias("tag"), sb["entity"].alias("entity"),
+                      F.sum(closing).over(w).alias("closers"))
+    item = F.when(F.col("entity").isNotNull(), F.struct("tok_idx", "tok_start", "tok_end", "tag", "entity", "closers"))
+    g = t.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("ts"))
+    init = state(F.lit(None), F.lit(None), F.lit(None), F.array().cast(SPAN_T), F.lit(0))
     return g.select(key, F.aggregate("ts", init, step, lambda acc: flush(acc)).alias("spans"))
 
 
@@ -187,20 +202,21 @@ def token_to_char_spans(tok_spans: DataFrame, tokens: DataFrame, key: str = "doc
 def token_scores(labels: DataFrame, ctx: int, stride: int | None = None) -> DataFrame:
     """Deterministic scorer output (FIXTURES.md B3) over context windows.
 
-    Each token is scored once per window that contains it; the logit of its
-    true label is 0, every other label gets ``-(1 + h % 997) / 100`` from an
-    integer mix of (doc, token, label, window) that both engines compute.
-    Labels are the 8 categories x {B,I,E,S} plus O = 33 classes; class 0 is O.
+    One row per (document, window, token) with the 33 class logits as an
+    array (class 0 is O, then the 8 categories x B/I/E/S): the token's true
+    label scores 0, every other class ``-(1 + h % 997) / 100`` from an
+    integer mix of (doc, token, class, window) that both engines compute.
+    Keeping the classes in an array makes softmax and arg-max in-row work.
     """
     stride = stride or ctx
-    classes = ["O"] + [f"{t}-{c}" for c in PII_CATEGORIES for t in ("B", "I", "E", "S")]
-    cls = F.array(*[F.lit(c) for c in classes])
+    cls = F.array(*[F.lit(c) for c in class_names()])
     w = windows(labels, ctx, stride)
-    x = w.select("doc_id", "window_id", "tok_idx", "label",
-                 F.posexplode(cls).alias("label_idx", "cls"))
-    h = (F.col("doc_id") * 7919 + F.col("tok_idx") * 104729 + F.col("label_idx") * 1299709 + F.col("window_id") * 15485863)
-    logit = F.when(F.col("cls") == F.col("label"), F.lit(0.0)).otherwise(-(F.lit(1.0) + (h % 997)) / 100.0)
-    return x.select("doc_id", "window_id", "tok_idx", F.col("label_idx").cast("int"), logit.alias("logit"))
+
+    def logit(c, k):
+        h = (F.col("doc_id") * 7919 + F.col("tok_idx") * 104729 + k * 1299709 + F.col("window_id") * 15485863)
+        return F.when(c == F.col("label"), F.lit(0.0)).otherwise(-(F.lit(1.0) + (h % 997)) / 100.0)
+
+    return w.select("doc_id", "window_id", "tok_idx", F.transform(cls, logit).alias("logits"))
 
 
 def windows(labels: DataFrame, ctx: int, stride: int) -> DataFrame:
@@ -210,31 +226,38 @@ def windows(labels: DataFrame, ctx: int, stride: int) -> DataFrame:
     return labels.select("*", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))).alias("window_id"))
 
 
-def log_softmax(scores: DataFrame, keys=("doc_id", "window_id", "tok_idx")) -> DataFrame:
-    """logit - logsumexp over labels, per token occurrence (max-shifted)."""
-    w = Window.partitionBy(*keys)
-    m = F.max("logit").over(w)
-    z = F.sum(F.exp(F.col("logit") - m)).over(w)
-    return scores.select("*", (F.col("logit") - (m + F.log(z))).alias("logprob"))
+def _logsumexp(arr: Column) -> Column:
+    m = F.array_max(arr)
+    return m + F.log(F.aggregate(arr, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+
+
+def log_softmax(scores: DataFrame) -> DataFrame:
+    """logits - logsumexp(logits), per token occurrence, inside the row (no shuffle)."""
+    # let-bind (logits, lse) so the normaliser is computed once per row, not per class
+    pair = F.array(F.struct(F.col("logits").alias("v"), _logsumexp(F.col("logits")).alias("l")))
+    bound = F.element_at(F.transform(pair, lambda b: F.transform(b["v"], lambda x: x - b["l"])), 1)
+    return scores.select("doc_id", "window_id", "tok_idx", bound.alias("logprob"))
 
 
 def merge_windows(scores: DataFrame) -> DataFrame:
-    """Log-mean-exp of a token's log-probs over the windows that scored it."""
-    g = scores.groupBy("doc_id", "tok_idx", "label_idx")
-    m = g.agg(F.max("logprob").alias("m"))
-    j = scores.join(m, ["doc_id", "tok_idx", "label_idx"])
-    return (j.groupBy("doc_id", "tok_idx", "label_idx")
-             .agg(F.first("m").alias("m"), F.sum(F.exp(F.col("logprob") - F.col("m"))).alias("s"),
-                  F.count(F.lit(1)).alias("n"))
-             .select("doc_id", "tok_idx", "label_idx",
-                     (F.col("m") + F.log("s") - F.log(F.col("n").cast("double"))).alias("score")))
+    """Log-mean-exp of each class's log-prob over the windows that scored the token.
+
+    One shuffle keyed by (doc, token); a token appears in at most
+    ceil(ctx / stride) windows, so each group is tiny.
+    """
+    g = scores.groupBy("doc_id", "tok_idx").agg(F.collect_list("logprob").alias("ws"))
+
+    def per_class(_x, k):
+        vals = F.transform("ws", lambda w: w[k])
+        return _logsumexp(vals) - F.log(F.size("ws").cast("double"))
+
+    return g.select("doc_id", "tok_idx", F.transform(F.col("ws")[0], per_class).alias("score"))
 
 
 def argmax_labels(merged: DataFrame) -> DataFrame:
-    """Best label per token; ties go to the lowest label index."""
-    best = merged.groupBy("doc_id", "tok_idx").agg(
-        F.max(F.struct(F.col("score"), (-F.col("label_idx")).alias("neg"))).alias("b"))
-    return best.select("doc_id", "tok_idx", (-F.col("b.neg")).cast("int").alias("label_idx"))
+    """Best class per token; ties go to the lowest class index."""
+    return merged.select("doc_id", "tok_idx",
+                         (F.array_position("score", F.array_max("score")) - 1).cast("int").alias("label_idx"))
 
 
 def class_names() -> list[str]:
@@ -268,12 +291,9 @@ def viterbi(merged: DataFrame) -> DataFrame:
     end_ok = np.array([0.0 if t in ("O", "E", "S") else -np.inf for t in tag])
 
     def per_doc(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tok_idx", "label_idx"])
-        toks = pdf["tok_idx"].unique()
-        mat = np.full((len(toks), k), -np.inf)
-        pos = {t: i for i, t in enumerate(toks)}
-        mat[pdf["tok_idx"].map(pos).to_numpy(), pdf["label_idx"].to_numpy()] = pdf["score"].to_numpy()
-        n = len(toks)
+        pdf = pdf.sort_values("tok_idx")
+        mat = np.vstack(pdf["score"].to_numpy()).astype(float)
+        n = mat.shape[0]
         dp = mat[0] + start_ok
         back = np.zeros((n, k), dtype=np.int64)
         for i in range(1, n):
@@ -288,7 +308,7 @@ def viterbi(merged: DataFrame) -> DataFrame:
             path[-1] = int(np.argmax(dp))
             for i in range(n - 1, 0, -1):
                 path[i - 1] = back[i, path[i]]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "tok_idx": toks.astype("int32"),
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "tok_idx": pdf["tok_idx"].to_numpy().astype("int32"),
                              "label_idx": path.astype("int32")})
 
     return merged.groupBy("doc_id").applyInPandas(per_doc, "doc_id long, tok_idx int, label_idx int")

@@ -80,8 +80,9 @@ SELECT doc_id, count(*) AS n, round(max(logprob) + 1e-9, 6) AS max_lp, round(min
 """)
 def dec_7_log_softmax(spark, sf_dir):
     s = scores(spark, sf_dir)
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), r6(F.max("logprob")).alias("max_lp"),
-                                   r6(F.min("logprob")).alias("min_lp"))
+    return s.groupBy("doc_id").agg(F.sum(F.size("logprob")).cast("long").alias("n"),
+                                   r6(F.max(F.array_max("logprob"))).alias("max_lp"),
+                                   r6(F.min(F.array_min("logprob"))).alias("min_lp"))
 
 
 @register("dec_5_window_merge", sql=f"""
@@ -90,8 +91,8 @@ SELECT doc_id, tok_idx, round(max(score) + 1e-9, 6) AS best_score, count(*) AS n
 """)
 def dec_5_window_merge(spark, sf_dir):
     m = X.merge_windows(scores(spark, sf_dir))
-    return m.groupBy("doc_id", "tok_idx").agg(r6(F.max("score")).alias("best_score"), F.count(F.lit(1)).alias("n_labels")) \
-        .select("doc_id", F.col("tok_idx").cast("long"), "best_score", "n_labels")
+    return m.select("doc_id", F.col("tok_idx").cast("long"), r6(F.array_max("score")).alias("best_score"),
+                    F.size("score").cast("long").alias("n_labels"))
 
 
 @register("dec_3_argmax", sql=f"""
@@ -262,9 +263,9 @@ def red_6_valid_spans(spark, sf_dir):
 
 @register("red_7_label_lookup")
 def red_7_label_lookup(spark, sf_dir):
-    s = scores(spark, sf_dir)
+    best = X.argmax_labels(X.merge_windows(scores(spark, sf_dir)))
     cat_idx = F.floor((F.col("label_idx") - 1) / 4).cast("int")     # O -> -1 -> 'label_-1'
-    return s.select(X.lookup_label(cat_idx).alias("name")).groupBy("name").count()
+    return best.select(X.lookup_label(cat_idx).alias("name")).groupBy("name").count()
 
 
 @register("red_8_trim_whitespace")

@@ -27,8 +27,14 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "veilspark", extra: dict | None = None) -> SparkSession:
-    """Return the active session, or build a local one (tests, bench)."""
+                app_name: str = "veilspark", extra: dict | None = None,
+                local_driver_memory: str = "16g") -> SparkSession:
+    """Return the active session, or build a local one (tests, bench).
+
+    In local mode the driver JVM is the only executor, so its heap is the
+    only memory knob; Spark's 1g default is too small for shuffles of the
+    token tables. Cluster sessions keep whatever the cluster configured.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
@@ -37,6 +43,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = local_driver_memory
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

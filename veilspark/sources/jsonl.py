@@ -40,9 +40,12 @@ def read_samples(spark: SparkSession, path: str, strict: bool = False) -> tuple[
     """(samples, rejects) from labelled JSON lines."""
     raw = (spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
            .where((F.col("line") != "") & ~F.col("line").startswith("#")))
-    parsed = raw.select("file", "line", F.from_json("line", SAMPLE_SCHEMA).alias("s"))
-    bad = F.col("s").isNull() | F.col("s.id").isNull() | F.col("s.text").isNull()
-    rejects = parsed.where(bad).select("file", "line", F.when(F.col("s").isNull(), F.lit("malformed JSON"))
+    # from_json is permissive (a malformed line parses to all-NULL fields), so
+    # malformed lines are told apart with try_parse_json
+    parsed = raw.select("file", "line", F.from_json("line", SAMPLE_SCHEMA).alias("s"),
+                        F.try_parse_json("line").isNull().alias("malformed"))
+    bad = F.col("malformed") | F.col("s.id").isNull() | F.col("s.text").isNull()
+    rejects = parsed.where(bad).select("file", "line", F.when(F.col("malformed"), F.lit("malformed JSON"))
                                        .when(F.col("s.id").isNull(), F.lit("missing required field 'id'"))
                                        .otherwise(F.lit("missing required field 'text'")).alias("reason"))
     empty = F.array().cast("array<string>")
