@@ -96,3 +96,132 @@ def redact_steps(src: str, text_col: str, keys: list[str], n_rules: int = 10, pr
         import re
         out = re.sub(r"\b([sp])(\d+)\b", lambda m: f"{px}{m.group(1)}{m.group(2)}", out)
     return out
+
+
+# FIXED VALUES: detection label -> span category (same map as operators.decode).
+CATEGORY = {"SECRET": "secret", "ACCOUNT": "account_number", "EMAIL": "private_email", "PHONE": "private_phone",
+            "ADDRESS": "private_address", "DATE": "private_date", "URL": "private_url"}
+
+
+def spans_cte(src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTE ``spans(doc_id, rule, det_label, label, start, end, value)``: every rule's
+    matches on the original text with code-point offsets.
+
+    Each match is marked as <lead> chr(1) <match> chr(2) <trail>; after
+    splitting on chr(1), the k-th match starts after the (marker-free)
+    lengths of the first k pieces.
+    """
+    parts = []
+    for i, (label, pat, flags) in enumerate(RE2_RULES, start=1):
+        parts.append(
+            f"SELECT {key} AS doc_id, {i} AS rule, '{label}' AS det_label, "
+            f"string_split(regexp_replace({text}, {q(pat)}, '\\1' || chr(1) || '\\2' || chr(2) || '\\3', {q(flags)}), chr(1)) AS w "
+            f"FROM {src}")
+    cat = "CASE det_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY.items()) + " END"
+    return (f"marked AS ({' UNION ALL '.join(parts)}),\n"
+            f"spans AS (SELECT doc_id, rule, det_label, {cat} AS label,"
+            f" CAST(list_sum(list_transform(w[1:k], lambda x: length(replace(x, chr(2), '')))) AS INTEGER) AS start,"
+            f" CAST(list_sum(list_transform(w[1:k], lambda x: length(replace(x, chr(2), '')))) + length(split_part(w[k + 1], chr(2), 1)) AS INTEGER) AS \"end\","
+            f" split_part(w[k + 1], chr(2), 1) AS value"
+            f" FROM marked, range(1, len(w)) r(k))")
+
+
+def tokens_cte(src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTE ``toks(doc_id, tok_idx, piece, tok_start, tok_end)``."""
+    return (f"tk0 AS (SELECT {key} AS doc_id, regexp_extract_all({text}, {q(TOKEN_RE2)}, 0) AS k, "
+            f"string_split_regex({text}, {q(TOKEN_RE2)}) AS g FROM {src}),\n"
+            f"tk1 AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS tok_idx, length(g[i]) + length(k[i]) AS step, "
+            f"length(k[i]) AS klen, k[i] AS piece FROM tk0, range(1, len(k) + 1) r(i)),\n"
+            f"toks AS (SELECT doc_id, tok_idx, piece, "
+            f"CAST(sum(step) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS UNBOUNDED PRECEDING) - klen AS INTEGER) AS tok_start, "
+            f"CAST(sum(step) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS UNBOUNDED PRECEDING) AS INTEGER) AS tok_end FROM tk1)")
+
+
+def token_labels_cte() -> str:
+    """CTE ``labels(doc_id, tok_idx, tok_start, tok_end, piece, label)`` (needs spans, toks)."""
+    return ("pairs AS (SELECT t.doc_id, t.tok_idx, s.rule, s.start AS s_start, s.det_label, "
+            "CAST(s.rule AS VARCHAR) || ':' || CAST(s.start AS VARCHAR) AS span_id "
+            "FROM toks t JOIN spans s ON t.doc_id = s.doc_id AND t.tok_start < s.\"end\" AND t.tok_end > s.start),\n"
+            "best AS (SELECT doc_id, tok_idx, arg_min(span_id, (rule, s_start)) AS span_id, "
+            "arg_min(det_label, (rule, s_start)) AS det_label FROM pairs GROUP BY ALL),\n"
+            "ends AS (SELECT doc_id, span_id, min(tok_idx) AS first, max(tok_idx) AS last FROM best GROUP BY ALL),\n"
+            "lab AS (SELECT b.doc_id, b.tok_idx, CASE WHEN first = last THEN 'S' WHEN tok_idx = first THEN 'B' "
+            "WHEN tok_idx = last THEN 'E' ELSE 'I' END || '-' || "
+            "CASE det_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY.items()) + " END AS label "
+            "FROM best b JOIN ends e USING (doc_id, span_id)),\n"
+            "labels AS (SELECT t.doc_id, t.tok_idx, t.tok_start, t.tok_end, t.piece, coalesce(l.label, 'O') AS label "
+            "FROM toks t LEFT JOIN lab l USING (doc_id, tok_idx))")
+
+
+def split_bioes_sql(label: str) -> tuple[str, str]:
+    """(tag, entity) SQL for a BIOES label column."""
+    head = f"upper(split_part({label}, '-', 1))"
+    tagged = f"(position('-' IN {label}) > 0 AND {head} IN ('B', 'I', 'E', 'S'))"
+    tag = f"CASE WHEN {label} = 'O' THEN NULL WHEN {tagged} THEN {head} ELSE 'S' END"
+    ent = (f"CASE WHEN {label} = 'O' THEN NULL WHEN {tagged} THEN substr({label}, position('-' IN {label}) + 1) "
+           f"ELSE {label} END")
+    return tag, ent
+
+
+_SPAN_LIST_T = "STRUCT(label VARCHAR, s INTEGER, e INTEGER)[]"
+
+
+def bioes_fold_sql(items: str, allowed: list[str] | None) -> str:
+    """Fold over a list of {s, e, tag, ent} (in token order) -> list of {label, s, e}."""
+    def ok(ent):
+        if allowed is None:
+            return "true"
+        return f"list_contains([{', '.join(q(a) for a in allowed)}], {ent})"
+
+    def flush(cl, cs, ce, out):
+        return (f"CASE WHEN {cl} IS NOT NULL AND {cs} IS NOT NULL AND {ce} IS NOT NULL AND {cs} < {ce} AND {ok(cl)} "
+                f"THEN list_append({out}, {{'label': {cl}, 's': {cs}, 'e': {ce}}}) ELSE {out} END")
+
+    def st(cl, cs, ce, out):
+        return f"{{'cl': {cl}, 'cs': {cs}, 'ce': {ce}, 'out': {out}}}"
+
+    n_s, n_i = "CAST(NULL AS VARCHAR)", "CAST(NULL AS INTEGER)"
+    fa = flush("acc.cl", "acc.cs", "acc.ce", "acc.out")
+    same = "(acc.cl = x.ent AND acc.cs IS NOT NULL)"
+    ext = "greatest(coalesce(acc.ce, x.e), x.e)"
+    emit_x = "{'label': x.ent, 's': x.s, 'e': x.e}"
+    step = (
+        "CASE WHEN x.s >= x.e THEN acc "
+        f"WHEN x.ent IS NULL THEN {st(n_s, n_i, n_i, fa)} "
+        f"WHEN x.tag = 'S' THEN {st(n_s, n_i, n_i, f'CASE WHEN {ok('x.ent')} THEN list_append({fa}, {emit_x}) ELSE {fa} END')} "
+        f"WHEN x.tag = 'B' THEN {st('x.ent', 'x.s', 'x.e', fa)} "
+        f"WHEN x.tag = 'I' THEN CASE WHEN {same} THEN {st('acc.cl', 'acc.cs', ext, 'acc.out')} "
+        f"ELSE {st('x.ent', 'x.s', 'x.e', fa)} END "
+        f"WHEN x.tag = 'E' THEN CASE WHEN {same} THEN {st(n_s, n_i, n_i, flush('acc.cl', 'acc.cs', ext, 'acc.out'))} "
+        f"ELSE {st('acc.cl', 'acc.cs', 'acc.ce', f'CASE WHEN {ok('x.ent')} THEN list_append(acc.out, {emit_x}) ELSE acc.out END')} END "
+        f"ELSE {st(n_s, n_i, n_i, fa)} END")
+    init = st(n_s, n_i, n_i, f"CAST([] AS {_SPAN_LIST_T})")
+    r = f"list_reduce({items}, lambda acc, x: {step}, {init})"
+    return flush(f"{r}.cl", f"{r}.cs", f"{r}.ce", f"{r}.out")
+
+
+def greedy_sql(spans: str, same_label_only: bool) -> str:
+    """Keep spans (already ordered by start asc, length desc) that overlap no kept one."""
+    cond = "k.s < x.e AND x.s < k.e" + (" AND k.label = x.label" if same_label_only else "")
+    return (f"list_reduce({spans}, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: {cond})) > 0 "
+            f"THEN kept ELSE list_append(kept, x) END, CAST([] AS {_SPAN_LIST_T}))")
+
+
+def doc_span_lists_cte(ordered_by_length: bool = True) -> str:
+    """CTE ``dspans(doc_id, spans)``: each document's category spans ordered like
+    the Spark side (start, end, rule, label), then greedily de-overlapped."""
+    return ("dspans AS (SELECT doc_id, list({'label': label, 's': start, 'e': \"end\"} "
+            "ORDER BY start, \"end\", rule, det_label) AS spans, "
+            "list({'label': label, 's': start, 'e': \"end\"} ORDER BY start, (\"end\" - start) DESC, \"end\", rule, det_label) AS greedy_in "
+            "FROM spans GROUP BY doc_id)")
+
+
+def apply_spans_sql(text: str, spans: str) -> str:
+    """Right-to-left replacement with [PII_<LABEL>_n], n counting from the end per label."""
+    ordered = (f"list_transform(list_sort(list_transform({spans}, lambda x, i: {{'neg': -x.s, 'ord': i, 'label': x.label, "
+               f"'s': x.s, 'e': x.e}})), lambda y: y)")
+    numbered = (f"list_transform({ordered}, lambda y, i: {{'label': y.label, 's': y.s, 'e': y.e, "
+                f"'n': len(list_filter({ordered}[1:i], lambda z: z.label = y.label))}})")
+    step = ("{'t': substr(acc.t, 1, least(greatest(x.s, 0), length(acc.t))) || '[PII_' || upper(x.label) || '_' "
+            "|| CAST(x.n AS VARCHAR) || ']' || substr(acc.t, least(greatest(x.e, 0), length(acc.t)) + 1)}")
+    return f"list_reduce({numbered}, lambda acc, x: {step}, {{'t': {text}}}).t"

@@ -24,7 +24,7 @@ def r6(c):
 
 
 def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = spread(table(spark, sf_dir, "conversations"), key="conv_id")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
 
 
@@ -156,7 +156,7 @@ def dec_11_scorer_map_in_pandas(spark, sf_dir):
 # ---------------------------------------------------------------- label decoding on detected spans
 
 def doc_labels(spark, sf_dir) -> DataFrame:
-    return X.token_labels(spread(table(spark, sf_dir, "documents")))
+    return X.token_labels(spread(table(spark, sf_dir, "documents"), key="doc_id"))
 
 
 @register("dec_1_split_bioes")
@@ -188,7 +188,7 @@ def red_11_token_to_char_spans(spark, sf_dir):
 
 @register("dec_9_fallback_alignment")
 def dec_9_fallback_alignment(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents"))
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id")
     fb = X.fallback_spans(X.token_labels(d), d, list(PII_CATEGORIES))
     return fb.select("doc_id", F.posexplode("spans").alias("span_ord", "s")).select(
         "doc_id", "span_ord", "s.label", "s.start", "s.end")
@@ -198,7 +198,7 @@ def dec_9_fallback_alignment(spark, sf_dir):
 def dec_10_fallback_when_empty(spark, sf_dir):
     """Fallback spans only for documents whose BIOES decode found nothing
     (decode on the reduced label space without e-mail, so some fall through)."""
-    d = spread(table(spark, sf_dir, "documents"))
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id")
     lab = X.token_labels(d)
     cats = [c for c in PII_CATEGORIES if c != "private_email"]
     primary = X.bioes_spans(lab, cats).where(F.size("spans") > 0)
@@ -212,7 +212,7 @@ def dec_10_fallback_when_empty(spark, sf_dir):
 def dec_12_rebuild_text(spark, sf_dir):
     """Decode token pieces (gap + token) back to text with per-token char
     offsets; compare with the source (the round-trip flag of RED-12)."""
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
     tt = token_table(d)
     pieces = tt.join(d, "doc_id").select(
         "doc_id", "tok_idx", "tok_start", "tok_end",
@@ -224,13 +224,13 @@ def dec_12_rebuild_text(spark, sf_dir):
         .alias("decoded"))
     j = g.join(d, "doc_id")
     stripped = F.regexp_replace("text", r"[\p{IsWhite_Space}\x{1c}-\x{1f}]", "")
-    return j.select("doc_id", "bad_offsets", (F.col("decoded") != stripped).alias("decoded_mismatch"))
+    return j.select("doc_id", "bad_offsets", (F.col("decoded") != stripped).cast("int").alias("decoded_mismatch"))
 
 
 # ---------------------------------------------------------------- span redaction (RED-4..16)
 
 def doc_spans(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
     sp = X.rule_spans_as_categories(d)
     return d.join(sp, "doc_id", "left")
 
@@ -292,14 +292,14 @@ def red_10_non_overlapping(spark, sf_dir):
 
 @register("red_12_round_trip_flag")
 def red_12_round_trip_flag(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
     tt = token_table(d)
     g = tt.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "piece"))),
                                                           lambda x: x["piece"]), " ").alias("decoded"))
     j = d.join(g, "doc_id", "left")
     mismatch = F.coalesce(F.col("decoded"), F.lit("")) != F.col("text")
     src = F.when(mismatch, F.coalesce(F.col("decoded"), F.lit(""))).otherwise(F.col("text"))
-    return j.select("doc_id", mismatch.alias("decoded_mismatch"), F.length(src).alias("source_chars"))
+    return j.select("doc_id", mismatch.cast("int").alias("decoded_mismatch"), F.length(src).alias("source_chars"))
 
 
 @register("red_13_empty_short_circuit")
@@ -307,7 +307,7 @@ def red_13_empty_short_circuit(spark, sf_dir):
     j = doc_spans(spark, sf_dir)
     spans = F.coalesce("spans", F.array().cast(X.SPAN_T))
     out = F.when(F.size(spans) == 0, F.col("text")).otherwise(apply_spans("text", X.select_non_overlapping(spans)))
-    return j.select("doc_id", F.size(spans).alias("spans"), (out == F.col("text")).alias("unchanged"))
+    return j.select("doc_id", F.size(spans).alias("spans"), (out == F.col("text")).cast("int").alias("unchanged"))
 
 
 @register("red_14_detected_records")

@@ -28,13 +28,13 @@ def r6(c):
 # ----------------------------------------------------------------- quality inputs
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"), key="doc_id")
     return Q.gold_samples(docs, table(spark, sf_dir, "benchmark"))
 
 
 def outputs(spark: SparkSession, sf_dir: str, model: str = "regex") -> DataFrame:
     """One redactor's output per document; over-long inputs fail."""
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text", "n_chars")
     rules = RULES if model == "regex" else RULES[:8]
     red = redact_rules(docs, rules=rules)
     too_long = F.length("text") > MAX_INPUT_CHARS

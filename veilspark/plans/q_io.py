@@ -170,7 +170,9 @@ def rpt_1_runs(spark, sf_dir):
 
 @register("rpt_2_warmup")
 def rpt_2_warmup(spark, sf_dir):
-    return _report(spark, sf_dir, "warmup")
+    w = _report(spark, sf_dir, "warmup")
+    return w.select("model", "model_type", "repeats", "load_s", *[r6(F.col(c)).alias(c) for c in
+                    ("latency_s_p50", "input_tps_mean", "forward_s")], "windows")
 
 
 @register("rpt_3_speed", sql=f"""
@@ -222,7 +224,8 @@ def rpt_7_quality(spark, sf_dir):
     rows = RS.result_rows(meas(spark, sf_dir), _runs(spark, sf_dir), quality=q.drop("over_redactions", "errors"))
     path = J.scratch_path(spark, "results-q")
     J.write_jsonl(rows, path, mode="overwrite")
-    return RS.report_tables(J.read_results(spark, [path]))["quality"]
+    q = RS.report_tables(J.read_results(spark, [path]))["quality"]
+    return q.select(*[r6(F.col(c)).alias(c) if c in ("recall", "anchor_keep_rate") else F.col(c) for c in q.columns])
 
 
 @register("rpt_8_quality_details")

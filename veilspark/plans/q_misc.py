@@ -186,7 +186,7 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)
 """)
 def ord_1_sorted_turns(spark, sf_dir):
     """Descending order inside each conversation via array_sort on the group's (bounded) turns."""
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = spread(table(spark, sf_dir, "conversations"), key="conv_id")
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias("t"))
     return g.select("conv_id", F.posexplode("t").alias("pos", "turn"))
 
@@ -250,7 +250,7 @@ GROUP BY ALL
 def jn_2_sample_model_repeat(spark, sf_dir):
     """Sample x model x repeat without a join: each row is expanded by a
     fixed (model, repeat) array, the explicit plan's small side."""
-    d = spread(table(spark, sf_dir, "documents")).select("text")
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("text")
     grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(r).alias("repeat_index"))
                      for m in ("click", "view", "signup", "purchase") for r in range(3)])
     x = d.select(F.length("text").alias("n"), F.explode(grid).alias("g"))
@@ -280,7 +280,7 @@ def jn_4_selector_semi_anti(spark, sf_dir):
 
 @register("jn_5_span_token_overlap")
 def jn_5_span_token_overlap(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
     from ..operators.detect import detect
     sp = detect(d).withColumn("span_id", F.concat_ws(":", F.col("rule").cast("string"), F.col("start").cast("string")))
     pairs = X.overlap_join(token_table(d), sp)

@@ -21,11 +21,11 @@ BUCKETS = (256, 1024, 4096)
 def corpus_with_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame([(int(c), t) for c, t in RULE_CASES], "doc_id long, text string") \
         .selectExpr("'rule_cases' AS src", "doc_id", "text")
-    return spread(text_corpus(spark, sf_dir).unionByName(cases))
+    return spread(text_corpus(spark, sf_dir).unionByName(cases), key=("src", "doc_id"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return spread(table(spark, sf_dir, "documents"), key="doc_id")
 
 
 # --------------------------------------------------------------------------- TOK
@@ -110,7 +110,7 @@ def _seed_texts(spark, sf_dir):
     The group is one conversation (bounded); order comes from sorting on the
     turn number carried inside the collected structs, never from shuffle order.
     """
-    conv = spread(table(spark, sf_dir, "conversations"))
+    conv = spread(table(spark, sf_dir, "conversations"), key="conv_id")
     g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     return g.select("conv_id", F.array_join(F.transform("turns", lambda x: x["text"]), "\n\n").alias("seed"))
 

@@ -13,19 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, key: str | tuple | list | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (regex over text) at least one task per core.
 
     A scan has one partition per file split / row group. Large inputs already
     have many, and are returned unchanged (no shuffle). Only an input with
     fewer partitions than the cluster has cores -- one big row group, say --
-    is redistributed round-robin, which moves at most that small input once.
+    is redistributed, which moves at most that small input once.
+    With a ``key`` the rows are hash-partitioned on it (no sort needed, and
+    deterministic if a task is retried); without one, round-robin.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    if key is None:
+        return df.repartition(target)
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.repartition(target, *keys)
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
