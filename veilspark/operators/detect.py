@@ -11,22 +11,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULES, Rule
-from .redact import boundary_risk, split_rule
+from .redact import GUARDS, boundary_risk, split_rule
 
 _SPAN = "array<struct<rule:int,label:string,start:int,end:int,value:string>>"
 
 
 def _extract(text: Column, rule: Rule, risk: Column) -> Column:
     if not rule.has_boundary:
-        return F.regexp_extract_all(text, F.lit(rule.java), 0)
-    return F.when(risk, F.regexp_extract_all(text, F.lit(rule.java), 0)) \
-        .otherwise(F.regexp_extract_all(text, F.lit(rule.java_fast), 0))
+        out = F.regexp_extract_all(text, F.lit(rule.java), 0)
+    else:
+        out = F.when(risk, F.regexp_extract_all(text, F.lit(rule.java), 0)) \
+            .otherwise(F.regexp_extract_all(text, F.lit(rule.java_fast), 0))
+    guard = GUARDS.get(rule.index)
+    return out if guard is None else F.when(guard(text), out).otherwise(F.array().cast("array<string>"))
 
 
 def rule_values(text, rule: Rule, risk: Column | None = None) -> Column:
     """Matched strings of one rule, left to right, on the unmodified text."""
+    if risk is None:
+        return _with_risk(text, lambda t, r: _extract(t, rule, r))
     t = F.col(text) if isinstance(text, str) else text
-    return _extract(t, rule, boundary_risk(t) if risk is None else risk)
+    return _extract(t, rule, risk)
 
 
 def rule_spans(text, rule: Rule, risk: Column | None = None) -> Column:
@@ -36,11 +41,14 @@ def rule_spans(text, rule: Rule, risk: Column | None = None) -> Column:
     pieces and matches. The running sum is a fold over the (few) matches of
     one document.
     """
+    if risk is None:
+        return _with_risk(text, lambda t2, r2: rule_spans(t2, rule, r2))
     t = F.col(text) if isinstance(text, str) else text
-    r = boundary_risk(t) if risk is None else risk
-    pieces = split_rule(t, rule, r)
+    r = risk
     values = _extract(t, rule, r)
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(values)).alias("g"), values.alias("v"))
+    guard = GUARDS.get(rule.index)
+    pieces = split_rule(t, rule, r) if guard is None else \
+        F.when(guard(t), split_rule(t, rule, r)).otherwise(F.array(t))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc, p):
@@ -51,21 +59,62 @@ def rule_spans(text, rule: Rule, risk: Column | None = None) -> Column:
                         p["v"].alias("value"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    return F.when(F.size(values) > 0, F.aggregate(pairs, init, step, lambda a: a["out"])) \
-        .otherwise(F.array().cast(_SPAN))
+    def build(b: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(b["g"], 1, F.size(b["v"])).alias("g"), b["v"].alias("v"))
+        return F.when(F.size(b["v"]) > 0, F.aggregate(pairs, init, step, lambda a: a["out"])) \
+            .otherwise(F.array().cast(_SPAN))
+
+    # let-bind (pieces, values) so each regex runs once per row
+    bound = F.array(F.struct(pieces.alias("g"), values.alias("v")))
+    return F.element_at(F.transform(bound, build), 1)
+
+
+def _with_risk(text, fn) -> Column:
+    """Evaluate ``fn(text, risk)`` with the risk flag computed once per row (let-bound)."""
+    t = F.col(text) if isinstance(text, str) else text
+    bound = F.array(F.struct(t.alias("t"), boundary_risk(t).alias("r")))
+    return F.element_at(F.transform(bound, lambda b: fn(b["t"], b["r"])), 1)
 
 
 def all_rule_spans(text, rules=RULES) -> Column:
     """Union of every rule's spans on the original text (rule order kept)."""
-    t = F.col(text) if isinstance(text, str) else text
-    risk = boundary_risk(t)
-    return F.concat(*[rule_spans(t, r, risk) for r in rules])
+    return _with_risk(text, lambda t, r: F.concat(*[rule_spans(t, rule, r) for rule in rules]))
 
 
 def detect(df: DataFrame, text_col: str = "text", keys=("doc_id",), rules=RULES) -> DataFrame:
-    """Long span table ``(keys..., rule, label, start, end, value)``."""
-    return (df.select(*keys, all_rule_spans(text_col, rules).alias("_sp"))
-              .select(*keys, F.inline("_sp")))
+    """Long span table ``(keys..., rule, label, start, end, value)``.
+
+    Per row, each rule yields its matched values and the lengths of the gaps
+    between them (two regex passes, let-bound); offsets are then a running
+    sum over the match rows of one (document, rule), computed with a window.
+    That is linear in the number of matches, and the shuffle carries only
+    matches, never the text.
+    """
+    from pyspark.sql import Window
+
+    def per_row(t, r):
+        items = []
+        for rule in rules:
+            values = _extract(t, rule, r)
+            guard = GUARDS.get(rule.index)
+            pieces = split_rule(t, rule, r) if guard is None else \
+                F.when(guard(t), split_rule(t, rule, r)).otherwise(F.array(t))
+            bound = F.array(F.struct(pieces.alias("g"), values.alias("v")))
+            zipped = F.element_at(F.transform(bound, lambda b: F.arrays_zip(
+                F.transform(F.slice(b["g"], 1, F.size(b["v"])), lambda x: F.length(x)).alias("glen"),
+                b["v"].alias("value"))), 1)
+            items.append(F.struct(F.lit(rule.index).alias("rule"), F.lit(rule.label).alias("label"),
+                                  zipped.alias("m")))
+        return F.filter(F.array(*items), lambda it: F.size(it["m"]) > 0)
+
+    per_rule = df.select(*keys, F.explode(_with_risk(text_col, per_row)).alias("it"))
+    m = per_rule.select(*keys, F.col("it.rule").alias("rule"), F.col("it.label").alias("label"),
+                        F.posexplode("it.m").alias("pos", "x"))
+    w = Window.partitionBy(*keys, "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vlen = F.length("x.value")
+    end = F.sum(F.col("x.glen") + vlen).over(w)
+    return m.select(*keys, "rule", "label", (end - vlen).cast("int").alias("start"), end.cast("int").alias("end"),
+                    F.col("x.value").alias("value"))
 
 
 def detect_rule(df: DataFrame, rule_index: int, text_col: str = "text", keys=("doc_id",)) -> DataFrame:
@@ -77,6 +126,4 @@ def detect_rule(df: DataFrame, rule_index: int, text_col: str = "text", keys=("d
 
 def rule_counts(text, rules=RULES) -> Column:
     """``struct`` of per-rule match counts on the original text."""
-    t = F.col(text) if isinstance(text, str) else text
-    risk = boundary_risk(t)
-    return F.struct(*[F.size(_extract(t, r, risk)).alias(f"r{r.index}") for r in rules])
+    return _with_risk(text, lambda t, risk: F.struct(*[F.size(_extract(t, r, risk)).alias(f"r{r.index}") for r in rules]))

@@ -22,7 +22,7 @@ from ..functions.text import token_count
 # Cheap literal tests that must hold for a rule to match at all. They skip the
 # regex scan for most rows; each is implied by the pattern, so results are
 # unchanged.
-_GUARDS = {
+GUARDS = {
     1: lambda t: t.contains("sk-") | t.contains("AKIA") | t.contains("ASIA"),
     3: lambda t: t.contains("@"),
     4: lambda t: t.contains("://"),
@@ -72,7 +72,7 @@ def _apply_rule(state: Column, rule: Rule) -> Column:
 
         return F.element_at(F.transform(bound, emit), 1)
 
-    guard = _GUARDS.get(rule.index)
+    guard = GUARDS.get(rule.index)
     if guard is None:
         return F.element_at(F.transform(F.array(state), rewrite), 1)
     return F.element_at(F.transform(F.array(state), lambda s: F.when(guard(s["t"]), rewrite(s)).otherwise(s)), 1)

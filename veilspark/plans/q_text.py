@@ -21,7 +21,7 @@ BUCKETS = (256, 1024, 4096)
 def corpus_with_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = spark.createDataFrame([(int(c), t) for c, t in RULE_CASES], "doc_id long, text string") \
         .selectExpr("'rule_cases' AS src", "doc_id", "text")
-    return spread(text_corpus(spark, sf_dir).unionByName(cases), key=("src", "doc_id"))
+    return text_corpus(spark, sf_dir).unionByName(cases.coalesce(1))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

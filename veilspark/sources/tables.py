@@ -38,10 +38,15 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``src`` names the table and column so results stay traceable. Each branch
     prunes to the two columns it needs before the union.
+    Each branch is spread on its own before the union: a union of several
+    single-task scans already has "enough" partitions in total while each big
+    source would still be processed by one task.
     """
-    docs = table(spark, sf_dir, "documents").selectExpr("'documents' AS src", "doc_id", "text")
-    urls = table(spark, sf_dir, "pages").selectExpr("'pages.url' AS src", "page_id AS doc_id", "url AS text")
-    html = table(spark, sf_dir, "pages").selectExpr("'pages.html' AS src", "page_id AS doc_id", "html AS text")
-    conv = table(spark, sf_dir, "conversations").selectExpr(
-        "'conversations' AS src", "conv_id * 1000 + turn AS doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").selectExpr("'documents' AS src", "doc_id", "text"), key="doc_id")
+    urls = spread(table(spark, sf_dir, "pages").selectExpr("'pages.url' AS src", "page_id AS doc_id", "url AS text"),
+                  key="doc_id")
+    html = spread(table(spark, sf_dir, "pages").selectExpr("'pages.html' AS src", "page_id AS doc_id", "html AS text"),
+                  key="doc_id")
+    conv = spread(table(spark, sf_dir, "conversations").selectExpr(
+        "'conversations' AS src", "conv_id * 1000 + turn AS doc_id", "text"), key="doc_id")
     return docs.unionByName(urls).unionByName(html).unionByName(conv)
