@@ -5,17 +5,19 @@ Measurements are a long table, one row per attempt:
 ``(run_id, model, model_type, bucket_tokens, repeat_index, event_id,
 latency_s, input_tokens, input_tps, <stage columns>, error_type, error)``.
 All rollups are ``groupBy`` aggregations with partial (map-side) aggregation,
-so a group is never gathered into one task. The exception is the exact
-percentile, which keeps the distinct values of a group; benchmark groups
-are repeats of one configuration (small), and ``approx=True`` swaps in the
-bounded-memory ``percentile_approx`` for very large groups.
+so a group is never gathered into one task. Exact percentiles and attempt
+numbering use range-partitioned ordinals (:mod:`.ordinals`) instead of a
+per-group window or buffer, so a hot group is split across tasks;
+``approx=True`` swaps in ``percentile_approx`` (one pass, bounded memory).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordinals import exact_percentiles, ordinal_within_group
+
 # FIXED VALUES: metric keys always aggregated, and the stage fields of the
 # stage breakdown in report order.
 CORE_KEYS = ("latency_s", "input_tps", "ttft_s", "prefill_tps", "decode_tps", "short_e2e_tps", "peak_gpu_mem_mb")
@@ -57,11 +59,10 @@ def measurements_from_events(events: DataFrame) -> DataFrame:
     base = events.select(
         "event_id", (F.col("user_id") % 5).cast("long").alias("run_id"), model.alias("model"),
         F.lit("synthetic").alias("model_type"), bucket.alias("bucket_tokens"), failed.alias("failed"), "value", "ts")
-    w = Window.partitionBy("run_id", "model", "bucket_tokens").orderBy("event_id")
+    base = ordinal_within_group(base, ["run_id", "model", "bucket_tokens"], ["event_id"], "repeat_index")
     lat = F.when(~F.col("failed"), F.col("value") / 1000.0 + F.col("bucket_tokens") / 10000.0)
     m = base.select(
-        "run_id", "model", "model_type", "bucket_tokens", "event_id", "ts",
-        (F.row_number().over(w) - 1).cast("long").alias("repeat_index"),
+        "run_id", "model", "model_type", "bucket_tokens", "event_id", "ts", "repeat_index",
         lat.alias("latency_s"),
         F.when(~F.col("failed"), F.col("bucket_tokens")).alias("input_tokens"),
         F.when(F.col("failed"), F.lit("RuntimeError")).alias("error_type"),
@@ -78,10 +79,6 @@ def measurements_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _pct(c: Column, p: float, approx: bool) -> Column:
-    return F.percentile_approx(c, p, 100000) if approx else F.percentile(c, p)
-
-
 def aggregate_long(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), approx: bool = False) -> DataFrame:
     """Mean, p50, p95 per key group and metric (long form; metrics without values omitted)."""
     ks = metric_keys(meas.columns)
@@ -89,19 +86,24 @@ def aggregate_long(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), a
     stacked = meas.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in present])).alias("m"))
     long = stacked.select(*keys, "m.metric", "m.value").where(F.col("value").isNotNull())
-    return long.groupBy(*keys, "metric").agg(
-        F.avg("value").alias("mean"), _pct(F.col("value"), 0.5, approx).alias("p50"),
-        _pct(F.col("value"), 0.95, approx).alias("p95"), F.count(F.lit(1)).alias("n"))
+    gk = [*keys, "metric"]
+    if approx:
+        return long.groupBy(*gk).agg(
+            F.avg("value").alias("mean"), F.percentile_approx("value", 0.5, 100000).alias("p50"),
+            F.percentile_approx("value", 0.95, 100000).alias("p95"), F.count(F.lit(1)).alias("n"))
+    means = long.groupBy(*gk).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    pct = exact_percentiles(long, gk, "value", {"p50": 0.5, "p95": 0.95})
+    return means.join(pct, gk)
 
 
 def aggregate_wide(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), approx: bool = False) -> DataFrame:
     """One row per group with ``<metric>_mean/_p50/_p95`` columns (the speed row's aggregate)."""
+    keys = list(keys)
     present = [k for k in metric_keys(meas.columns) if k in meas.columns]
-    aggs = []
-    for k in present:
-        v = F.col(k).cast("double")
-        aggs += [F.avg(v).alias(f"{k}_mean"), _pct(v, 0.5, approx).alias(f"{k}_p50"), _pct(v, 0.95, approx).alias(f"{k}_p95")]
-    return meas.groupBy(*keys).agg(*aggs)
+    long = aggregate_long(meas, keys, approx)
+    wide = long.groupBy(*keys).pivot("metric", present).agg(
+        F.first("mean").alias("mean"), F.first("p50").alias("p50"), F.first("p95").alias("p95"))
+    return wide
 
 
 def per_watt(agg: DataFrame, power_col: str = "power_watts") -> DataFrame:

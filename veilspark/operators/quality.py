@@ -68,29 +68,34 @@ def contained_passages(docs: DataFrame, passages: DataFrame, broadcast_limit_row
                          F.xxhash64(F.array_join(F.slice(pt, 2, SHINGLE), "\u0001")).alias("key4"),
                          F.xxhash64(F.element_at(pt, 2)).alias("key1"))
     d = docs.select("doc_id", "text")
-    outs = []
+    cands = []
 
+    # keys carry only (doc_id, key): the text is not copied into every window row
     long_p = pk.where(F.col("n") >= SHINGLE + 2).select("item_id", "passage", F.col("key4").alias("key"))
     if long_p.count() <= broadcast_limit_rows:
         long_p = F.broadcast(long_p)
-    dk = d.select("doc_id", "text", F.explode(_windows(tokens("text"), SHINGLE)).alias("key"))
-    outs.append(dk.join(long_p, "key").where(F.col("text").contains(F.col("passage"))))
+    dk = d.select("doc_id", F.explode(_windows(tokens("text"), SHINGLE)).alias("key"))
+    cands.append(dk.join(long_p, "key").select("doc_id", "item_id", "passage"))
 
     mid_p = pk.where((F.col("n") >= 3) & (F.col("n") < SHINGLE + 2)).select("item_id", "passage", F.col("key1").alias("key"))
     if mid_p.limit(1).count() > 0:
-        d1 = d.select("doc_id", "text", F.explode(_windows(tokens("text"), 1)).alias("key"))
-        outs.append(d1.join(mid_p, "key").where(F.col("text").contains(F.col("passage"))))
+        d1 = d.select("doc_id", F.explode(_windows(tokens("text"), 1)).alias("key"))
+        cands.append(d1.join(F.broadcast(mid_p), "key").select("doc_id", "item_id", "passage"))
+
+    cand = cands[0]
+    for c in cands[1:]:
+        cand = cand.unionByName(c)
+    # candidates are few; the containment test needs the text once per (doc, passage)
+    out = cand.dropDuplicates(["doc_id", "item_id"]).join(d, "doc_id") \
+        .where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id", "passage")
 
     tiny_p = pk.where(F.col("n") <= 2).select("item_id", "passage")
     n_tiny = tiny_p.count()
     if n_tiny > tiny_limit_rows:
         raise ValueError(f"{n_tiny} passages of at most two tokens: too many to test directly")
     if n_tiny:
-        outs.append(d.join(F.broadcast(tiny_p), F.col("text").contains(F.col("passage"))))
-
-    out = outs[0].select("doc_id", "item_id", "passage")
-    for o in outs[1:]:
-        out = out.unionByName(o.select("doc_id", "item_id", "passage"))
+        out = out.unionByName(d.join(F.broadcast(tiny_p), F.col("text").contains(F.col("passage")))
+                              .select("doc_id", "item_id", "passage"))
     return out.dropDuplicates(["doc_id", "item_id"])
 
 

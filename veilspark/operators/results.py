@@ -27,28 +27,30 @@ def _agg_map(df: DataFrame, prefix_cols: list[str]) -> F.Column:
 
 
 def result_rows(meas: DataFrame, runs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """All result rows as one DataFrame (columns = union of the kinds' fields)."""
+    """All result rows as one DataFrame (columns = union of the kinds' fields).
+
+    Each attempt is its own ``measurement`` row instead of an element of a
+    per-bucket list: a (run, model, bucket) group can be arbitrarily large,
+    and a list would have to be gathered into one task and one record.
+    """
     key = ["run_id", "model", "model_type", "bucket_tokens"]
     ok = meas.where(F.col("error_type").isNull())
     agg = M.aggregate_wide(ok, key)
     agg_cols = [c for c in agg.columns if c not in key]
     counts = meas.groupBy(*key).agg(F.count(F.lit(1)).alias("repeats"),
                                     F.count_if(F.col("error_type").isNull()).alias("successful_repeats"))
-    mstruct = F.struct(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in M_SCHEMA.fields])
-    ms = ok.groupBy(*key).agg(F.array_sort(F.collect_list(mstruct)).alias("measurements"))
-    errs = (meas.where(F.col("error_type").isNotNull()).groupBy(*key)
-                .agg(F.array_sort(F.collect_list(F.struct("repeat_index", F.col("error_type").alias("type"),
-                                                          F.col("error").alias("message")))).alias("e")))
-    sp = (counts.join(agg, key, "left").join(ms, key, "left").join(errs, key, "left")
+    sp = (counts.join(agg, key, "left")
                 .join(F.broadcast(runs.select("run_id", "power_watts")), "run_id", "left"))
     speed = sp.select(
         F.lit("speed").alias("kind"), F.col("run_id").cast("string").alias("run_id"), "model", "model_type",
         "bucket_tokens", "repeats", "successful_repeats", "power_watts",
         F.create_map(F.lit("load_s"), F.lit(0.0)).alias("load"),
-        "measurements",
-        _agg_map(sp, agg_cols).alias("aggregate"),
-        F.coalesce(F.transform("e", lambda x: F.struct(x["type"].alias("type"), x["message"].alias("message"))),
-                   F.array().cast("array<struct<type:string,message:string>>")).alias("errors"))
+        _agg_map(sp, agg_cols).alias("aggregate"))
+    mfields = [f.name for f in M_SCHEMA.fields]
+    attempts = meas.select(
+        F.lit("measurement").alias("kind"), F.col("run_id").cast("string").alias("run_id"), "model", "model_type",
+        "bucket_tokens", *[F.col(c).cast(t.dataType) for c, t in zip(mfields, M_SCHEMA.fields)],
+        "error_type", "error")
     warm = (ok.where(F.col("repeat_index") == 0).groupBy("run_id", "model", "model_type")
               .agg(F.count(F.lit(1)).alias("repeats"), F.avg("latency_s").alias("latency_s_p50"),
                    F.avg("input_tps").alias("input_tps_mean"), F.avg("opf_model_forward_s").alias("opf_model_forward_s_mean"))
@@ -66,13 +68,26 @@ def result_rows(meas: DataFrame, runs: DataFrame, quality: DataFrame | None = No
                           "model_type", "error_type", "error"))
     meta = runs.select(F.lit("run_metadata").alias("kind"), F.col("run_id").cast("string").alias("run_id"),
                        "created_at", F.to_json("hardware").alias("hardware"))
-    out = speed.unionByName(warm, allowMissingColumns=True).unionByName(bc, allowMissingColumns=True) \
-        .unionByName(errors, allowMissingColumns=True).unionByName(meta, allowMissingColumns=True)
+    out = speed
+    for part in (attempts, warm, bc, errors, meta):
+        out = out.unionByName(part, allowMissingColumns=True)
     if quality is not None:
         out = out.unionByName(quality.select(F.lit("quality").alias("kind"), "*"), allowMissingColumns=True)
     return out.withColumn("schema_version", F.lit(SCHEMA_VERSION).cast("long"))
 
 
+def measurement_rows(rows: DataFrame) -> DataFrame:
+    """Attempts as a long table: ``measurement`` rows, plus the ``measurements``
+    lists embedded in speed rows written in the list format."""
+    keys = ["run_id", "model", "model_type", "bucket_tokens"]
+    fields = [f.name for f in M_SCHEMA.fields]
+    flat = rows.where(F.col("kind") == "measurement").select(*keys, *fields, "error_type")
+    nested = (rows.where((F.col("kind") == "speed") & F.col("measurements").isNotNull())
+                  .select(*keys, F.explode("measurements").alias("m"))
+                  .select(*keys, *[F.col(f"m.{f}") for f in fields], F.lit(None).cast("string").alias("error_type")))
+    return flat.unionByName(nested)
+
+
 HW_SCHEMA = ("struct<accelerators:struct<jetson:struct<detected:boolean,model:string>,"
              "nvidia_smi:array<struct<name:string>>,torch:struct<cuda_devices:array<struct<name:string>>,"
              "mps_available:boolean>,mac_displays:array<struct<name:string>>>,platform:struct<machine:string>,"
@@ -100,8 +115,7 @@ def report_tables(rows: DataFrame) -> dict[str, DataFrame]:
                               F.when(F.col("power_watts") > 0, a("input_tps_mean") / F.col("power_watts")).alias("input_tps_per_watt"),
                               a("prefill_tps_mean").alias("prefill_tps_mean"), a("decode_tps_mean").alias("decode_tps_mean"))
     # stage breakdown from the per-row measurement arrays
-    ex = k["speed"].select("run_id", "model", "model_type", "bucket_tokens", F.explode("measurements").alias("m")) \
-        .select("run_id", "model", "model_type", "bucket_tokens", "m.*")
+    ex = measurement_rows(rows).where(F.col("error_type").isNull())
     stage = M.stage_breakdown(ex)
     scaling = M.scaling_fit(speed.withColumn("successful_repeats", F.col("successful_repeats")))
     batch = k["batch_compare"].select("model", "serial_count", "serial_chunk_tokens", "serial_total_tokens",

@@ -254,9 +254,12 @@ SELECT run_id, model, bucket_tokens, round(1e-9 + quantile_cont(latency_s, 0.5),
 FROM meas WHERE error_type IS NULL GROUP BY ALL
 """)
 def agg_1_percentile(spark, sf_dir):
+    from ..operators.ordinals import exact_percentiles
     m = meas(spark, sf_dir).where(F.col("error_type").isNull())
-    return m.groupBy("run_id", "model", "bucket_tokens").agg(
-        r6(F.percentile("latency_s", 0.5)).alias("latency_s_p50"), r6(F.percentile("latency_s", 0.95)).alias("latency_s_p95"))
+    p = exact_percentiles(m, ["run_id", "model", "bucket_tokens"], "latency_s",
+                          {"latency_s_p50": 0.5, "latency_s_p95": 0.95})
+    return p.select("run_id", "model", "bucket_tokens", r6(F.col("latency_s_p50")).alias("latency_s_p50"),
+                    r6(F.col("latency_s_p95")).alias("latency_s_p95"))
 
 
 @register("agg_2_mean", sql=f"""

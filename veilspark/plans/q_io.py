@@ -83,6 +83,7 @@ UNION ALL SELECT 'batch_compare', count(*) FROM (SELECT run_id, model FROM meas
 UNION ALL SELECT 'warmup', count(*) FROM (SELECT DISTINCT run_id, model FROM meas WHERE repeat_index = 0 AND error_type IS NULL)
 UNION ALL SELECT 'model_error', count(*) FROM (SELECT DISTINCT run_id, model FROM meas WHERE error_type IS NOT NULL)
 UNION ALL SELECT 'run_metadata', count(*) FROM region
+UNION ALL SELECT 'measurement', count(*) FROM meas
 """)
 def src_3_read_results(spark, sf_dir):
     return results(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -120,9 +121,10 @@ SELECT CAST(run_id AS VARCHAR) AS run_id, model, CAST(bucket_tokens AS BIGINT) A
 FROM meas GROUP BY ALL
 """)
 def snk_1_jsonl_roundtrip(spark, sf_dir):
-    sp = results(spark, sf_dir).where(F.col("kind") == "speed")
-    return sp.select("run_id", "model", "bucket_tokens", F.size(F.coalesce("measurements", F.array())).cast("long").alias("n_measurements"),
-                     F.size("errors").cast("long").alias("n_errors"))
+    m = results(spark, sf_dir).where(F.col("kind") == "measurement")
+    return m.groupBy("run_id", "model", "bucket_tokens").agg(
+        F.count_if(F.col("error_type").isNull()).alias("n_measurements"),
+        F.count_if(F.col("error_type").isNotNull()).alias("n_errors"))
 
 
 @register("snk_2_overwrite_run", sql="""

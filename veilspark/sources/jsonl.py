@@ -91,6 +91,10 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("recall", T.DoubleType()), T.StructField("anchor_keep_rate", T.DoubleType()),
     T.StructField("latency_s", T.DoubleType()),
     T.StructField("error_type", T.StringType()), T.StructField("error", T.StringType()),
+    # kind = measurement: one attempt per row
+    T.StructField("repeat_index", T.LongType()), T.StructField("input_tps", T.DoubleType()),
+    T.StructField("input_tokens", T.LongType()), T.StructField("opf_tokenize_s", T.DoubleType()),
+    T.StructField("opf_model_forward_s", T.DoubleType()), T.StructField("opf_decode_s", T.DoubleType()),
 ])
 
 
