@@ -243,15 +243,20 @@ def merge_windows(scores: DataFrame) -> DataFrame:
     """Log-mean-exp of each class's log-prob over the windows that scored the token.
 
     One shuffle keyed by (doc, token); a token appears in at most
-    ceil(ctx / stride) windows, so each group is tiny.
+    ceil(ctx / stride) windows, so each group is tiny. The windows are folded
+    pairwise with ``zip_with`` and log-add-exp (max(a, b) + log1p(exp(-|a - b|))),
+    then ln(count) is subtracted.
     """
     g = scores.groupBy("doc_id", "tok_idx").agg(F.collect_list("logprob").alias("ws"))
 
-    def per_class(_x, k):
-        vals = F.transform("ws", lambda w: w[k])
-        return _logsumexp(vals) - F.log(F.size("ws").cast("double"))
+    def logaddexp(a, b):
+        return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
 
-    return g.select("doc_id", "tok_idx", F.transform(F.col("ws")[0], per_class).alias("score"))
+    folded = F.aggregate(F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(1))), F.col("ws")[0],
+                         lambda acc, w: F.zip_with(acc, w, logaddexp))
+    n = F.log(F.size("ws").cast("double"))
+    merged = F.when(F.size("ws") == 1, F.col("ws")[0]).otherwise(folded)
+    return g.select("doc_id", "tok_idx", F.transform(merged, lambda x: x - n).alias("score"))
 
 
 def argmax_labels(merged: DataFrame) -> DataFrame:
