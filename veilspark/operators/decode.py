@@ -65,13 +65,16 @@ def lookup_label(idx: Column, names: DataFrame | None = None) -> Column:
 
 # ------------------------------------------------------------------ range join
 
-def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucket: int = BUCKET_CHARS) -> DataFrame:
+def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucket: int = BUCKET_CHARS,
+                 broadcast_spans: bool = False) -> DataFrame:
     """Pairs (token, span) whose half-open char ranges overlap.
 
     An equi-join on (doc, bucket) plus the overlap filter: each range is
     exploded into the fixed-width buckets it touches, and a pair is kept
     only in the bucket where its overlap starts, so no pair is duplicated and
-    no document is compared all-tokens-by-all-spans.
+    no document is compared all-tokens-by-all-spans. With
+    ``broadcast_spans`` (only when the caller has checked the span table's
+    size) the token side is not shuffled.
     """
     t = tokens.select("*", F.explode(F.sequence(F.floor(F.col("tok_start") / bucket),
                                                 F.floor((F.greatest(F.col("tok_end"), F.col("tok_start") + 1) - 1) / bucket)))
@@ -79,23 +82,36 @@ def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucke
     s = spans.select(F.col(key), F.col("span_id"), F.col("rule"), F.col("label").alias("det_label"),
                      F.col("start").alias("s_start"), F.col("end").alias("s_end"),
                      F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))).alias("_b"))
-    j = t.join(s, [key, "_b"])
+    j = t.join(F.broadcast(s) if broadcast_spans else s, [key, "_b"])
     ov_start = F.greatest(F.col("tok_start"), F.col("s_start"))
     return j.where((F.col("tok_start") < F.col("s_end")) & (F.col("tok_end") > F.col("s_start"))
                    & (F.floor(ov_start / bucket) == F.col("_b"))).drop("_b")
 
 
-def token_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
+BROADCAST_LIMIT_ROWS = 2_000_000
+
+
+def token_labels(docs: DataFrame, text_col: str = "text", broadcast_limit_rows: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
     """BIOES token labels from detected spans (FIXTURES.md B3).
 
     A token covered by several spans takes the span of the lowest rule index
     (then earliest start). Within its span the first token is B, the last E,
     the others I; a one-token span is S.
+
+    Spans are far fewer than tokens. They are materialized once (reliable
+    checkpoint in the shared folder), and their row count and total length
+    -- an upper bound on the labelled tokens -- decide whether the span and
+    label sides are broadcast, so the token table is not shuffled for the
+    joins; above the limit both joins fall back to shuffles.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(docs.sparkSession)
     tt = token_table(docs, text_col)
     sp = detect(docs, text_col).withColumn(
-        "span_id", F.concat_ws(":", F.col("rule").cast("string"), F.col("start").cast("string")))
-    pairs = overlap_join(tt, sp)
+        "span_id", F.concat_ws(":", F.col("rule").cast("string"), F.col("start").cast("string"))).checkpoint(eager=True)
+    stats = sp.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("chars")).first()
+    small = stats.n <= broadcast_limit_rows and stats.chars <= broadcast_limit_rows
+    pairs = overlap_join(tt, sp, broadcast_spans=small)
     best = (pairs.groupBy("doc_id", "tok_idx")
                  .agg(F.min(F.struct("rule", "s_start", "span_id", "det_label")).alias("b"))
                  .select("doc_id", "tok_idx", F.col("b.span_id").alias("span_id"), F.col("b.det_label").alias("det_label")))
@@ -105,7 +121,7 @@ def token_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     tag = (F.when(F.col("first") == F.col("last"), "S").when(F.col("tok_idx") == F.col("first"), "B")
             .when(F.col("tok_idx") == F.col("last"), "E").otherwise("I"))
     lab = lab.select("doc_id", "tok_idx", F.concat(tag, F.lit("-"), F.element_at(cat, F.col("det_label"))).alias("label"))
-    return (tt.join(lab, ["doc_id", "tok_idx"], "left")
+    return (tt.join(F.broadcast(lab) if small else lab, ["doc_id", "tok_idx"], "left")
               .select("doc_id", "tok_idx", "tok_start", "tok_end", "piece", F.coalesce("label", F.lit("O")).alias("label")))
 
 
