@@ -214,16 +214,27 @@ def set_1_difference(spark, sf_dir):
 
 
 @register("set_2_key_union", sql=f"""
-WITH {MEAS_SQL}
-SELECT DISTINCT k FROM (SELECT unnest(['latency_s', 'input_tps', 'ttft_s', 'prefill_tps', 'decode_tps', 'short_e2e_tps', 'peak_gpu_mem_mb']) AS k
-UNION SELECT 'opf_tokenize_s' UNION SELECT 'opf_model_forward_s' UNION SELECT 'opf_decode_s')
+WITH {MEAS_SQL},
+present AS (
+  SELECT DISTINCT metric AS k FROM (
+    UNPIVOT (SELECT latency_s, input_tps, opf_tokenize_s, opf_model_forward_s, opf_decode_s FROM meas)
+    ON latency_s, input_tps, opf_tokenize_s, opf_model_forward_s, opf_decode_s INTO NAME metric VALUE value)
+  WHERE value IS NOT NULL AND (starts_with(metric, 'opf_') OR starts_with(metric, 'mlx_'))
+)
+SELECT k FROM present
+UNION SELECT unnest(['latency_s', 'input_tps', 'ttft_s', 'prefill_tps', 'decode_tps', 'short_e2e_tps', 'peak_gpu_mem_mb'])
 """)
 def set_2_key_union(spark, sf_dir):
+    """Metric key set: the fixed core keys united with the profiled keys that
+    actually carry a value in the measurement table."""
     from ..operators.metrics import CORE_KEYS, metric_keys
     m = meas(spark, sf_dir)
-    prof = spark.createDataFrame([(k,) for k in metric_keys(m.columns)], "k string")
-    core = spark.createDataFrame([(k,) for k in CORE_KEYS], "k string")
-    return core.union(prof).distinct()
+    prof = [k for k in metric_keys(m.columns) if k.startswith(("opf_", "mlx_"))]
+    present = (m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("v"))
+                                              for k in prof])).alias("x"))
+                .where(F.col("x.v").isNotNull()).select(F.col("x.k").alias("k")).distinct())
+    core = m.sparkSession.createDataFrame([(k,) for k in CORE_KEYS], "k string")
+    return present.union(core).distinct()
 
 
 @register("set_3_distinct_points", sql=f"""
