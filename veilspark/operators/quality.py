@@ -33,20 +33,28 @@ def gold_pii(text) -> Column:
 def _windows(token_array: Column, size: int) -> Column:
     """Hash of every run of ``size`` consecutive tokens (one per start token).
 
-    The token array is let-bound through a one-element ``transform``: used
-    directly inside the per-window lambda, Catalyst would inline the regex
-    and run it once per window.
+    The token array is let-bound through a one-element ``transform`` (used
+    directly in the lambdas, Catalyst would inline the regex and re-run it);
+    the runs come from zipping ``size`` shifted copies of the array, and the
+    hash takes the tokens as separate arguments.
     """
     def per_doc(k: Column) -> Column:
         n = F.greatest(F.size(k) - size + 1, F.lit(0))
-        # sequence(1, 0) would count down, so texts shorter than one window get []
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n),
-                                         lambda i: F.xxhash64(F.array_join(F.slice(k, i, size), "\u0001")))) \
+        if size == 1:
+            return F.transform(k, lambda x: F.xxhash64(x))
+        shifted = [F.slice(k, i + 1, n).alias(str(i)) for i in range(size)]
+        return F.when(n > 0, F.transform(F.arrays_zip(*shifted),
+                                         lambda z: F.xxhash64(*[z[str(i)] for i in range(size)]))) \
             .otherwise(F.array().cast("array<bigint>"))
 
     return F.element_at(F.transform(F.array(token_array), per_doc), 1)
 
 
+def _key(tokens_arr: Column, first: int, size: int) -> Column:
+    """Hash of ``size`` tokens starting at 1-based position ``first`` (same hash as :func:`_windows`)."""
+    return F.xxhash64(*[F.element_at(tokens_arr, first + i) for i in range(size)])
+
+
 def contained_passages(docs: DataFrame, passages: DataFrame, broadcast_limit_rows: int = 100_000,
                        tiny_limit_rows: int = 10_000) -> DataFrame:
     """``(doc_id, item_id, passage)`` for every passage contained in a document.
@@ -65,8 +73,8 @@ def contained_passages(docs: DataFrame, passages: DataFrame, broadcast_limit_row
     """
     pt = tokens("text")
     pk = passages.select("item_id", F.col("text").alias("passage"), F.size(pt).alias("n"),
-                         F.xxhash64(F.array_join(F.slice(pt, 2, SHINGLE), "\u0001")).alias("key4"),
-                         F.xxhash64(F.element_at(pt, 2)).alias("key1"))
+                         _key(pt, 2, SHINGLE).alias("key4"),
+                         _key(pt, 2, 1).alias("key1"))
     d = docs.select("doc_id", "text")
     cands = []
 
