@@ -243,8 +243,10 @@ def windows(labels: DataFrame, ctx: int, stride: int) -> DataFrame:
 
 
 def _logsumexp(arr: Column) -> Column:
-    m = F.array_max(arr)
-    return m + F.log(F.aggregate(arr, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+    """max + log(sum(exp(x - max))), with the max let-bound (not recomputed per element)."""
+    bound = F.array(F.struct(arr.alias("v"), F.array_max(arr).alias("m")))
+    return F.element_at(F.transform(bound, lambda b: b["m"] + F.log(
+        F.aggregate(b["v"], F.lit(0.0), lambda a, x: a + F.exp(x - b["m"])))), 1)
 
 
 def log_softmax(scores: DataFrame) -> DataFrame:
