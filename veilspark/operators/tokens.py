@@ -17,8 +17,11 @@ from ..functions.text import gaps, tokens
 
 def token_table(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, tok_idx, tok_start, tok_end, piece)`` for every token."""
-    z = df.select(key, F.posexplode(F.arrays_zip(F.slice(gaps(text_col), 1, F.size(tokens(text_col))).alias("g"),
-                                                  tokens(text_col).alias("k"))).alias("tok_idx", "z"))
+    # let-bind (gaps, tokens) so each regex runs once per row
+    bound = F.array(F.struct(gaps(text_col).alias("g"), tokens(text_col).alias("k")))
+    zipped = F.element_at(F.transform(bound, lambda b: F.arrays_zip(F.slice(b["g"], 1, F.size(b["k"])).alias("g"),
+                                                                    b["k"].alias("k"))), 1)
+    z = df.select(key, F.posexplode(zipped).alias("tok_idx", "z"))
     w = Window.partitionBy(key).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.length("z.g") + F.length("z.k")
     return (z.withColumn("tok_end", F.sum(step).over(w).cast("int"))
