@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 MODEL_CONFIG = (
     ("click", "regex", None, True, True, 0.0, 600, False),
     ("view", "opf", None, None, False, None, None, False),
-    ("signup", "mlx_token_classifier", "mlx-community/privacy-filter-bf16", False, True, 0.8, 1200, True),
-    ("purchase", "hf_causal_lm", "Qwen/Qwen3-1.7B", False, True, 2.5, 1800, True),
+    ("signup", "mlx_token_classifier", "example-org/token-classifier", False, True, 0.8, 1200, True),
+    ("purchase", "hf_causal_lm", "example-org/causal-lm", False, True, 2.5, 1800, True),
 )
 GLOBAL_CONFIG = {"cost_per_hour_usd": 0.5, "timeout_s": 600}
 MODEL_SCHEMA = ("name string, type string, model_id string, enabled boolean, has_cost boolean, "

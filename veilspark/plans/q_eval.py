@@ -357,8 +357,8 @@ MODELS_SQL = """
 models AS (SELECT * FROM (VALUES
   ('click', 'regex', NULL, true, true, 0.0, 600, false),
   ('view', 'opf', NULL, NULL, false, NULL, NULL, false),
-  ('signup', 'mlx_token_classifier', 'mlx-community/privacy-filter-bf16', false, true, 0.8, 1200, true),
-  ('purchase', 'hf_causal_lm', 'Qwen/Qwen3-1.7B', false, true, 2.5, 1800, true)
+  ('signup', 'mlx_token_classifier', 'example-org/token-classifier', false, true, 0.8, 1200, true),
+  ('purchase', 'hf_causal_lm', 'example-org/causal-lm', false, true, 2.5, 1800, true)
 ) AS m(name, type, model_id, enabled, has_cost, cost_per_hour_usd, timeout_s, stop_on_error)),
 cfg AS (SELECT 0.5 AS cost_per_hour_usd, 600 AS timeout_s)"""
 
