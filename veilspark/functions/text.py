@@ -33,25 +33,33 @@ def gaps(text) -> Column:
     return F.split(_c(text), TOKEN_JAVA, -1)
 
 
-def _end_of_token(text, n: int) -> Column:
-    """Code-point end offset of token ``n`` (1-based), assuming it exists.
-
-    ``split`` with limit n+1 stops after the n-th token and keeps the rest of
-    the text as its last element, so the end is len(text) - len(rest).
-    """
-    t = _c(text)
-    rest = F.element_at(F.split(t, TOKEN_JAVA, n + 1), n + 1)
-    return F.length(t) - F.length(rest)
+_NON_SPACE = r"[^\p{IsWhite_Space}\x{1c}-\x{1f}]"
 
 
 def truncate_to_tokens(text, n: int) -> Column:
     """First ``n`` tokens of the text, keeping the original characters up to the
-    end of token ``n``; ``n <= 0`` gives '' and a shorter text is unchanged."""
+    end of token ``n``; ``n <= 0`` gives '' and a shorter text is unchanged.
+
+    ``split`` with limit n+1 stops after the n-th token and keeps the rest of
+    the text as its last element, so the text is never scanned past token n
+    plus one character: fewer than n+1 pieces means at most n-1 tokens; the
+    text has more than n tokens exactly when the rest holds a non-space
+    character (every non-space character belongs to a token).
+    """
     t = _c(text)
     if n <= 0:
         return F.when(t.isNotNull(), F.lit(""))
-    return (F.when(token_count(t) <= n, t)
-             .otherwise(F.substring(t, F.lit(1), _end_of_token(t, n))))
+
+    def cut(b: Column) -> Column:
+        txt, parts = b["t"], b["p"]
+        rest = F.element_at(parts, n + 1)
+        return (F.when(F.size(parts) <= n, txt)
+                 .when(rest.rlike(_NON_SPACE), F.substring(txt, F.lit(1), F.length(txt) - F.length(rest)))
+                 .otherwise(txt))
+
+    # let-bind the text and its pieces (the text may itself be an expression)
+    bound = F.array(F.struct(t.alias("t"), F.split(t, TOKEN_JAVA, n + 1).alias("p")))
+    return F.element_at(F.transform(bound, cut), 1)
 
 
 def sized_text(seed, n: int) -> Column:
