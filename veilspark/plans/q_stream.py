@@ -19,11 +19,11 @@ def str_1_redact_stream(spark, sf_dir):
 
 
 @register("str_2_windowed_rollup", sql="""
-SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n,
+SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n,
        round(avg(value) + 1e-9, 6) AS mean_value
 FROM events GROUP BY ALL
 """)
 def str_2_windowed_rollup(spark, sf_dir):
     out = windowed_rollup_stream(spark, sf_dir)
-    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n",
+    return out.select(F.unix_timestamp("w.start").cast("long").alias("window_start"), "event_type", "n",
                       F.round(F.col("mean_value") + F.lit(1e-9), 6).alias("mean_value"))

@@ -41,8 +41,10 @@ def windowed_rollup_stream(spark: SparkSession, sf_dir: str, window: str = "1 da
                            watermark: str = "1 hour") -> DataFrame:
     """Per (day window, event type): count, mean value and approximate median."""
     out, ckpt = scratch_path(spark, "stream-rollup"), scratch_path(spark, "stream-rollup-ckpt")
-    # event time must be a zoned TIMESTAMP; the wall-clock values are read in the session zone (UTC)
-    ev = _source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    # event time must be a zoned TIMESTAMP; the zone-less wall clock is read as UTC
+    # whatever the session time zone is
+    as_utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    ev = _source(spark, sf_dir, "events").withColumn("ts", as_utc).withWatermark("ts", watermark)
     agg = (ev.groupBy(F.window("ts", window).alias("w"), "event_type")
              .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"),
                   F.percentile_approx("value", 0.5, 10000).alias("approx_p50_value")))
