@@ -14,8 +14,6 @@ softmax, arg-max) is plain grouped aggregation with partial aggregation.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +49,7 @@ def split_bioes(label) -> Column:
              .otherwise(F.struct(F.lit("S").alias("tag"), lab.alias("entity"))))
 
 
-def category_table(spark) -> DataFrame:
-    """Label index -> name for the eight categories (a fixed 8-row dimension)."""
-    return spark.createDataFrame([(i, n) for i, n in enumerate(PII_CATEGORIES)], "label_idx int, name string")
-
-
-def lookup_label(idx: Column, names: DataFrame | None = None) -> Column:
+def lookup_label(idx: Column) -> Column:
     """Label index to name, ``label_<i>`` outside the known range."""
     arr = F.array(*[F.lit(n) for n in PII_CATEGORIES])
     return F.when((idx >= 0) & (idx < len(PII_CATEGORIES)), F.element_at(arr, (idx + 1).cast("int"))) \
@@ -452,5 +445,3 @@ def rule_spans_as_categories(docs: DataFrame, text_col: str = "text", rules=RULE
                                                                      x["start"].alias("start"), x["end"].alias("end")))
                       .alias("spans")))
 
-
-LN = math.log

@@ -70,8 +70,3 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
         frac = F.first(pos - F.floor(pos))
         cols.append((lo + (hi - lo) * frac).alias(name))
     return picked.groupBy(*keys).agg(*cols)
-
-
-def percentile_col_names(metric: str) -> dict[str, float]:
-    return {f"{metric}_p50": 0.5, f"{metric}_p95": 0.95}
-

@@ -7,12 +7,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M
 from ..operators import results as RS
 from ..operators.config import run_metadata
 from ..operators.quality import gold_pii
 from ..sources import jsonl as J
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from .q_eval import MEAS_SQL, RUNS_SQL, meas
 from .registry import register
 

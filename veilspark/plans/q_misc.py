@@ -3,10 +3,8 @@ operations (SET) and the implicit joins (JN-2..5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count
 from ..operators import config as C
 from ..operators import decode as X
 from ..operators.tokens import token_table
