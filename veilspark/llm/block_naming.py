@@ -96,9 +96,10 @@ def identify(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int |
 def copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int | None = None) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (and ``row_id``)."""
     ids = identify(docs, block_bytes, hash_values)
-    groups = ids.groupBy("level", "name").agg(
+    # a written table, so that the join below may split the rows of a large group over tasks
+    groups = written(ids.groupBy("level", "name").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("row_id").alias("row")))
-        .alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        .alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return ids.join(groups, ["level", "name"]).select(
         "doc_id", F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("keep.row")).alias("kept"), "text_sha256", "row_id")
