@@ -8,4 +8,4 @@ guarded entry module and the pipeline) imports it.
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import (block_naming, bpe_rounds, token_files)  # noqa: F401,E402
+from . import (block_naming, bpe_rounds, language_tags, token_files, toxic_spans)  # noqa: F401,E402
