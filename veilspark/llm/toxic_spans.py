@@ -62,7 +62,7 @@ def marked_features(per_doc: list[set[str]], toxic: list[int]) -> set[str]:
         if t:
             with_toxic.update(fs)
     base = sum(toxic) / len(toxic)
-    need = math.log(max(2, len(total))) + 3
+    need = math.log(max(2, sum(n > 2 for n in total.values()))) + 2
     out = set()
     for f, k in with_toxic.items():
         n = total[f]
