@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .registry import query
-from .words import Texts, WordTable, gather, slices
+from .words import Texts, WordTable, gather, per_worker, slices
 
 _FREE = np.iinfo(np.int32).max
 
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, with_ids: bool = Fals
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BatchBPE(tokenizer_file)
+        bpe = per_worker("rounds", tokenizer_file, lambda: BatchBPE(tokenizer_file))
         for batch in batches:
             for piece in slices(batch, "text"):
                 rows = [(len(ids), packed := ids.astype("<u4").tobytes(), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text).hexdigest())

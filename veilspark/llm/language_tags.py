@@ -19,6 +19,7 @@ the language that sorts first. Only ``doc_id``, ``text`` and, in training,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import table
 from .chain_crf import ChainCRF, chains, hashed, letters
 from .registry import query
-from .words import Texts, WordTable, slices
+from .words import Texts, WordTable, per_worker, slices
 
 UNKNOWN = "und"
 #: Documents of each language that the fit sees, about.
@@ -59,6 +60,7 @@ def training_rows(doc_id: Column) -> Column:
 class LanguageModel:
     def __init__(self, rows: list[tuple[str, str]]):
         """Fit on (language, text) rows."""
+        self.ident = uuid.uuid4().hex
         self.languages = sorted({lang for lang, _ in rows})
         if not self.languages:
             return
@@ -131,7 +133,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.word_table() if model.languages else None
+        known = per_worker("language", model.ident, model.word_table) if model.languages else None
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = Texts(piece.column("text"))

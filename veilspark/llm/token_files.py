@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.taskcontext import TaskContext
 from ..sources.tables import table
 from .registry import query
 from .store import folder
-from .words import Texts, WordTable, gather, slices
+from .words import Texts, WordTable, gather, per_worker, slices
 
 NO_ID = -(1 << 63)
 END_ID = 2
@@ -65,8 +66,13 @@ class PieceEncoder:
         self.table = WordTable(self._build)
 
     def _build(self, words: list[bytes]) -> list:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        return [(np.array([i for ids in found for i in ids], dtype=np.uint32), [len(ids) for ids in found])]
+        flat, lengths = array("I"), []
+        for at in range(0, len(words), 4000):  # the library's result objects are large
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[at:at + 4000]], add_special_tokens=False):
+                ids = e.ids
+                flat.extend(ids)
+                lengths.append(len(ids))
+        return [(np.array(flat, dtype=np.uint32), lengths)]
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
@@ -99,7 +105,7 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = END_ID)
     """Write the ids of ``docs`` into ``path`` in ascending doc_id order; returns the index's parts."""
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = PieceEncoder(tokenizer_file)
+        encoder = per_worker("pieces", tokenizer_file, lambda: PieceEncoder(tokenizer_file))
         kind = np.dtype("<u2" if max(encoder.size - 1, end_id) < 1 << 16 else "<u4")
         store, root = _open(path)
         store.create_dir(root, recursive=True)

@@ -26,6 +26,7 @@ either table are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import table
 from .chain_crf import ChainCRF, chains, hashed, letters
 from .registry import query
-from .words import Texts, WordTable, slices
+from .words import Texts, WordTable, per_worker, slices
 
 #: Labelled documents that the fit sees, about; at most SAMPLE_CHARS characters of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000
@@ -77,6 +78,7 @@ def marked_features(per_doc: list[set[str]], toxic: list[int]) -> set[str]:
 class ToxicModel:
     def __init__(self, rows: list[tuple[int, str]]):
         """Fit on (label, text) rows."""
+        self.ident = uuid.uuid4().hex
         self.usable = {label for label, _ in rows} == {0, 1}
         if not self.usable:
             return
@@ -177,7 +179,7 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.word_table() if model.usable else None
+        known = per_worker("toxic", model.ident, model.word_table) if model.usable else None
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = Texts(piece.column("text"))

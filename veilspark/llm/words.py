@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; long texts are cut between words, never inside one.
-SEGMENT_BYTES = 3_000_000
+SEGMENT_BYTES = 1_000_000
 #: Words that a worker's table holds before it starts afresh.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 1_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
 _SPACE = np.zeros(256, dtype=bool)
@@ -202,6 +202,16 @@ class WordTable:
         return np.array(entries, dtype=np.int64)
 
 
+_kept: dict[str, tuple] = {}
+
+
+def per_worker(kind: str, ident: str, make: Callable):
+    """The value that ``make`` gives, kept by this worker process for its later tasks; one value per kind."""
+    if _kept.get(kind, ("",))[0] != ident:
+        _kept[kind] = (ident, make())
+    return _kept[kind][1]
+
+
 def gather(part: tuple, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The concatenated values of a ragged part for the entries, and each entry's length."""
     flat, starts, lengths = part
