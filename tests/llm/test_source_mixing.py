@@ -10,7 +10,7 @@ def brute_split(budget, children):
     out, left, rest = {}, dict(children), budget
     while left:
         total = sum(w for w, _ in left.values())
-        short = {k for k, (w, s) in left.items() if s * total <= rest * w}
+        short = {k for k, (w, s) in left.items() if not s or w and s * total <= rest * w}
         if not short:
             break
         for k in short:

@@ -76,8 +76,9 @@ def _share(children: DataFrame, parents: list[str], level: str, weights: dict) -
     before = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     onward = group.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     left = F.col("budget") - F.coalesce(F.sum("supply").over(before), F.lit(0))
-    rows = rows.withColumn("short", F.col("supply").cast(wide) * F.sum("weight").over(onward).cast(wide)
-                           <= F.greatest(left, F.lit(0)).cast(wide) * F.col("weight").cast(wide))
+    rows = rows.withColumn("short", (F.col("supply") == 0) | (F.col("weight") > 0) & (
+        F.col("supply").cast(wide) * F.sum("weight").over(onward).cast(wide)
+        <= F.greatest(left, F.lit(0)).cast(wide) * F.col("weight").cast(wide)))
     open_weight = F.when(F.col("short"), 0).otherwise(F.col("weight"))
     rows = rows.select("*", open_weight.alias("_w"),
                        (F.col("budget") - F.sum(F.when(F.col("short"), F.col("supply")).otherwise(0)).over(group)).alias("_rest"))
