@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..sources.tables import table
 from .chain_crf import ChainCRF, chains, hashed, letters
@@ -144,13 +144,25 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more; all columns stay.
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more; all columns stay."""
+    model = fit(docs)
+    taken = {c.lower() for c in docs.columns}
+    flag = "accepted"
+    while flag in taken:
+        flag += "_"
+    columns = [*docs.columns, flag]
 
-    Rows without a ``doc_id`` or with a shared one go only if all texts with that id are rejected.
-    """
-    found = identify(docs, fit(docs))
-    good = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = per_worker("language", model.ident, model.word_table) if model.languages else None
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                texts = Texts(piece.column("text"))
+                names, score = model.predict(texts, known) if known else ([UNKNOWN] * texts.count, np.zeros(texts.count))
+                good = pa.array((np.array(names) != UNKNOWN) & (score >= least), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*piece.columns, good], names=columns)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
+    return docs.mapInArrow(run, schema).where(F.col(flag)).select(docs.columns)
 
 
 @query("op9_language_tags")
