@@ -87,10 +87,11 @@ class ChainCRF:
         return post, post[starts].sum(axis=0) if counts else self.start, pairs
 
     def fit(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
-            rounds: int = 12, rate: float = 0.5, decay: float = 1e-4) -> ChainCRF:
+            rounds: int = 12, rate: float = 0.5, decay: float = 1e-4, counted: bool = False) -> ChainCRF:
         """Maximise the conditional likelihood of ``labels`` (Adagrad on whole passes).
 
         ``flat`` holds the feature numbers of all words one after the other and ``sizes`` how many each has.
+        With ``counted``, start and transition scores begin at the logarithms of their shares among the labels.
         """
         word = np.repeat(np.arange(len(sizes)), sizes)
         gold = np.zeros((len(sizes), self.k))
@@ -101,6 +102,9 @@ class ChainCRF:
         gold_start = gold[starts].sum(axis=0)
         gold_pairs = np.zeros((self.k, self.k))
         np.add.at(gold_pairs, (labels[inner - 1], labels[inner]), 1)
+        if counted:
+            self.start = np.log((gold_start + 1) / (gold_start + 1).sum())
+            self.move = np.log((gold_pairs + 1) / (gold_pairs + 1).sum(axis=1, keepdims=True))
         seen = np.bincount(flat, minlength=self.features)[:, None] + 1.0
         square_w, square_s, square_m = np.full_like(self.weights, 1e-8), np.full(self.k, 1e-8), np.full((self.k, self.k), 1e-8)
         for _ in range(rounds):

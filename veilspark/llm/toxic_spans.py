@@ -5,7 +5,7 @@ training document a word is toxic if the word itself or one of its prefixes
 occurs in toxic documents far more often than chance allows (a binomial
 likelihood-ratio test over document counts, corrected for the number of
 features); every other word, and every word of a clean document, is clean. The
-field learns emissions (word and affix features) and transitions from these
+field learns emissions (word and prefix features) and transitions from these
 tokens. Forward-backward marginals are turned into a document score by a
 logistic curve over the expected number of toxic words, its share of all words
 and the largest marginal, fitted on the same sample; words with a marginal of
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,42 +37,79 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import table
 from .chain_crf import ChainCRF, chains, hashed, letters
 from .registry import query
-from .words import Texts, WordTable, per_worker, slices
+from .words import Texts, WordTable, gather, per_worker, slices
 
 #: Labelled documents that the fit sees, about; at most SAMPLE_CHARS characters of each.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000
-FEATURES = 1 << 18
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 20_000
+#: Chains (sentences) of either kind that the field learns from.
+SAMPLE_CHAINS = 20_000
 THRESHOLD = 0.7
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 
 
 def word_features(word: str) -> list[str]:
     word = word[:40]
-    return ["bias", f"w{word}"] + [f"p{word[:i]}" for i in PREFIXES if len(word) > i] + [f"s{word[-i:]}" for i in (3, 4) if len(word) > i]
+    return ["bias", f"w{word}"] + [f"p{word[:i]}" for i in PREFIXES if len(word) > i]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def marked_features(per_doc: list[set[str]], toxic: list[int]) -> set[str]:
-    """Features whose share of toxic documents is beyond chance and at least one half."""
-    with_toxic, total = Counter(), Counter()
-    for fs, t in zip(per_doc, toxic, strict=True):
-        total.update(fs)
-        if t:
-            with_toxic.update(fs)
-    base = sum(toxic) / len(toxic)
-    need = math.log(max(2, sum(n > 2 for n in total.values()))) + 2
-    out = set()
-    for f, k in with_toxic.items():
-        n = total[f]
-        p = k / n
-        if p > 0.5 and p > base:
-            gain = k * math.log(p / base) + ((n - k) * math.log((1 - p) / (1 - base)) if k < n else 0.0)
-            if gain > need:
-                out.add(f)
-    return out
+def _ragged(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words' features, one after the other, and how many each has."""
+    flat, sizes = array("q"), array("q")
+    for w in words:
+        own = hashed(word_features(w), 1 << 32)
+        flat.extend(own)
+        sizes.append(len(own))
+    return np.array(flat, dtype=np.int64), np.array(sizes, dtype=np.int64)
+
+
+def _copies(hashes: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each document and label of each group: documents of one label with nearly the same words are one
+    group (two of three MinHash values agree), so that copies do not make their rare words look toxic."""
+    count = len(toxic)
+    low = np.full((count, 3), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k, seed in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)):
+        np.minimum.at(low[:, k], owner, hashes * np.uint64(seed))
+    group = np.arange(count)
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        seen: dict[tuple, int] = {}
+        for i, key in enumerate(zip(low[:, a].tolist(), low[:, b].tolist(), toxic.tolist(), strict=True)):
+            group[root(i)] = root(seen.setdefault(key, i))
+    names, group = np.unique([root(i) for i in range(count)], return_inverse=True)
+    return group, toxic[names]
+
+
+def marked_features(docs: np.ndarray, word: np.ndarray, part: tuple, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Which features occur in toxic documents beyond chance, and mostly there.
+
+    ``docs`` and ``word`` are the different (document, word) pairs in document order, ``part`` the words' features
+    (numbers below ``size``).
+    """
+    with_toxic, total = np.zeros(size), np.zeros(size)
+    for low in range(0, len(toxic), 250):  # a few documents at a time
+        at = slice(*np.searchsorted(docs, (low, low + 250)))
+        flat, n = gather(part, word[at])
+        pairs = np.unique(np.repeat(docs[at], n) * size + flat)
+        total += np.bincount(pairs % size, minlength=size)
+        bad = pairs[toxic[pairs // size] == 1]
+        with_toxic += np.bincount(bad % size, minlength=size)
+    base = toxic.mean()
+    need = math.log(max(2, int((total > 2).sum()))) + 2
+    share = with_toxic / np.maximum(total, 1)
+    rest = total - with_toxic
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = with_toxic * np.log(share / base) + np.where(rest > 0, rest * np.log((1 - share) / (1 - base)), 0.0)
+    return (share > max(0.5, base)) & (gain > need)
 
 
 class ToxicModel:
@@ -82,34 +119,50 @@ class ToxicModel:
         self.usable = {label for label, _ in rows} == {0, 1}
         if not self.usable:
             return
+        toxic = np.array([label for label, _ in rows])
         texts = Texts(pa.array([t for _, t in rows], pa.large_string()))
-        toxic = [label for label, _ in rows]
         starts, ends, owner = texts.words()
-        words = [letters(texts.data[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-        per_doc: list[set[str]] = [set() for _ in rows]
-        for w, r in zip(words, owner.tolist(), strict=True):
-            if w:
-                per_doc[r].update((f"w{w[:40]}", *(f"p{w[:i]}" for i in PREFIXES if len(w) > i)))
-        marked = marked_features(per_doc, toxic)
-        evident = {w: bool(w) and not marked.isdisjoint((f"w{w[:40]}", *(f"p{w[:i]}" for i in PREFIXES if len(w) > i))) for w in set(words)}
-        labels = np.array([evident[w] and toxic[r] for w, r in zip(words, owner.tolist(), strict=True)], dtype=np.int64)
-        known: dict[str, list[int]] = {}
-        feats = [known[w] if w in known else known.setdefault(w, hashed(word_features(w), FEATURES)) for w in words]
-        sizes = np.array([len(f) for f in feats])
-        flat = np.array([f for fs in feats for f in fs], dtype=np.int64)
+        _, where, word = np.unique(texts.hashes(starts, ends), return_index=True, return_inverse=True)
+        names, sizes = _ragged([letters(texts.data[a:b].tobytes()) for a, b in zip(starts[where], ends[where], strict=True)])
+        ids, flat = np.unique(names, return_inverse=True)
+        part = (flat, np.cumsum(sizes) - sizes, sizes)
+        group, group_toxic = _copies(texts.hashes(starts, ends), owner, toxic)
+        pairs = np.unique(group[owner] * len(where) + word)
+        marked = marked_features(pairs // len(where), pairs % len(where), part, group_toxic, len(ids))
+        marked[np.isin(ids, hashed(["bias"], 1 << 32))] = False
+        evident = np.bincount(np.repeat(np.arange(len(where)), sizes), weights=marked[flat], minlength=len(where)) > 0
+        labels = (evident[word] & (toxic[owner] == 1)).astype(np.int64)
         first, size = chains(texts, ends, owner)
-        self.crf = ChainCRF(2, FEATURES).fit(flat, sizes, labels, first, size, rounds=10)
-        word = np.repeat(np.arange(len(words)), sizes)
-        scores = np.stack([np.bincount(word, weights=self.crf.weights[flat, j], minlength=len(words)) for j in range(2)], axis=1)
-        p = self.crf.marginals(scores, first, size)[0][:, 1]
-        self._fit_curve(self._evidence(p, owner, texts.count), np.array(toxic, dtype=np.float64))
+        # the field learns from every chain with a toxic word and from a bounded draw of the others
+        with_toxic = np.add.reduceat(labels, first) > 0 if len(first) else np.zeros(0, dtype=bool)
+        others = np.flatnonzero(~with_toxic)
+        drawn = np.random.default_rng(11).permutation(others)[:SAMPLE_CHAINS]
+        bad = np.random.default_rng(12).permutation(np.flatnonzero(with_toxic))[:SAMPLE_CHAINS]
+        use = np.sort(np.concatenate([bad, drawn]))
+        token = np.concatenate([np.arange(first[c], first[c] + size[c]) for c in use]) if len(use) else np.zeros(0, dtype=np.int64)
+        own, n = gather(part, word[token])
+        self.crf = ChainCRF(2, len(ids)).fit(own, n, labels[token], np.cumsum(size[use]) - size[use], size[use], rounds=20, rate=1.0, counted=True)
+        # only the difference of the two states' weights counts, and most features have none
+        lean = self.crf.weights[:, 1] - self.crf.weights[:, 0]
+        self.ids, self.lean = ids[np.abs(lean) > 1e-3], lean[np.abs(lean) > 1e-3]
+        self.crf.weights = None
+        scores = self._scores(names, sizes)
+        p = self.crf.marginals(scores[word], first, size)[0][:, 1]
+        self._fit_curve(self._evidence(p, owner, texts.count), toxic.astype(np.float64))
+
+    def _scores(self, names: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.ids, names), max(0, len(self.ids) - 1))
+        own = np.where(self.ids[at] == names, self.lean[at], 0.0) if len(self.ids) else np.zeros(len(names))
+        toxic = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=own, minlength=len(sizes))
+        return np.column_stack([np.zeros(len(sizes)), toxic])
 
     @staticmethod
     def _evidence(p: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
         """Per text: expected toxic words, their share of all words, the largest marginal (all on log scales)."""
         most = np.zeros(count)
         np.maximum.at(most, rows, p)
-        expected = np.bincount(rows, weights=p, minlength=count)
+        # the faint probabilities of the many clean words of a long text are no evidence
+        expected = np.bincount(rows, weights=np.where(p > 0.3, p, 0.0), minlength=count)
         n = np.maximum(np.bincount(rows, minlength=count), 1)
         most = np.clip(most, 1e-6, 1 - 1e-6)
         return np.stack([np.log(expected + 0.05), np.log(expected / n + 1e-3), np.log(most / (1 - most)) / 4], axis=1)
@@ -130,11 +183,7 @@ class ToxicModel:
 
     def word_table(self) -> WordTable:
         def build(words: list[bytes]) -> list:
-            feats = [hashed(word_features(letters(w)), FEATURES) for w in words]
-            sizes = np.array([len(f) for f in feats])
-            flat = np.array([f for fs in feats for f in fs], dtype=np.int64)
-            word = np.repeat(np.arange(len(words)), sizes)
-            return [np.stack([np.bincount(word, weights=self.crf.weights[flat, j], minlength=len(words)) for j in range(2)], axis=1)]
+            return [self._scores(*_ragged([letters(w) for w in words]))]
         return WordTable(build)
 
     def score(self, texts: Texts, known: WordTable) -> tuple[np.ndarray, list[list[dict]]]:
