@@ -217,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
         return ToxicModel([])
     draw = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) / 1_000_000
     rate = F.when(F.col("toxic") == 1, min(1.0, toxic / sizes[1])).otherwise(min(1.0, clean / sizes[0]))
-    sample = marks.where(draw < rate).join(docs.select("doc_id", "text"), "doc_id").select(
+    # the drawn ids are bounded by the sample sizes, so they go to the texts, not the texts to them
+    drawn = F.broadcast(marks.where(draw < rate))
+    sample = docs.select("doc_id", "text").join(drawn, "doc_id").select(
         "toxic", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), "doc_id")
     return ToxicModel([(r.toxic, r.text) for r in sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))])
 
