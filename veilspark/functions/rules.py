@@ -9,6 +9,7 @@ explicit Unicode classes, so Spark finds exactly the matches Python would.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
@@ -76,6 +77,9 @@ _BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 # Python's \s is Unicode White_Space plus the four separators U+001C..U+001F.
 _SPACE_IN_CLASS = r"\p{IsWhite_Space}\x{1c}-\x{1f}"
 _DIGIT = r"\p{Nd}"
+# Without case, Python's A-Z and a-z also take dotted capital I, dotless i, long s and the Kelvin sign;
+# Java's ranges miss some of them.
+_FOLDED = r"\x{130}\x{131}\x{17f}\x{212a}"
 
 
 def to_java(pattern: str, ignore_case: bool = False, exact_boundary: bool = True) -> str:
@@ -106,6 +110,8 @@ def to_java(pattern: str, ignore_case: bool = False, exact_boundary: bool = True
         if ch == "[" and not in_class:
             in_class = True
             out.append(ch)
+            if ignore_case and pattern[i + 1:i + 2] != "^" and re.search("A-Z|a-z", pattern[i:pattern.index("]", i)]):
+                out.append(_FOLDED)
             if pattern[i + 1:i + 2] == "^":  # negation belongs to the class head
                 out.append("^")
                 i += 1

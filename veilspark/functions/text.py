@@ -73,34 +73,10 @@ def sized_text(seed, n: int) -> Column:
     per_copy = token_count(s)
     copies = F.greatest(F.lit(1), F.ceil(F.lit(n) / per_copy).cast("int"))
     joined = F.array_join(F.array_repeat(s, copies), "\n")
-    return F.when(per_copy == 0, F.raise_error(F.lit("Cannot build benchmark text from an empty seed.")).cast("string")) \
+    return F.when(per_copy == 0, F.raise_error(F.lit("a seed without tokens cannot be repeated to a size")).cast("string")) \
         .otherwise(truncate_to_tokens(joined, n))
 
 
-def token_spans(text) -> Column:
-    """``array<struct<start:int,end:int>>`` of half-open code-point offsets.
-
-    Offsets need a running sum of gap and token lengths. The fold below keeps
-    it inside one row (no shuffle); it copies the growing array at each step,
-    so the long-form :func:`veilspark.operators.tokens.token_table` is the
-    better choice for very long documents.
-    """
-    t = _c(text)
-    pairs = F.arrays_zip(F.slice(gaps(t), 1, F.greatest(F.size(tokens(t)), F.lit(0))).alias("g"),
-                         tokens(t).alias("k"))
-    init = F.struct(F.lit(0).alias("pos"),
-                    F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc, p):
-        start = acc["pos"] + F.length(p["g"])
-        end = start + F.length(p["k"])
-        return F.struct(end.alias("pos"),
-                        F.concat(acc["spans"], F.array(F.struct(start.cast("int").alias("start"),
-                                                                end.cast("int").alias("end")))).alias("spans"))
-
-    return F.aggregate(pairs, init, step, lambda acc: acc["spans"])
-
-
 def char_length(text) -> Column:
     return F.length(_c(text))
 
@@ -130,19 +106,28 @@ def generation_budget(configured, input_tokens) -> Column:
     return F.coalesce(F.nullif(_c(configured), F.lit(0)), fallback)
 
 
-def attention_token_count(mask, fallback) -> Column:
-    """Sum of an attention mask, or the fallback when the mask is NULL or empty."""
+def first_row(nested) -> Column:
+    """The first row of a batch-shaped array (``[[...]]``); NULL for NULL or empty."""
+    n = _c(nested)
+    return F.when(F.size(n) > 0, F.element_at(n, 1))
+
+
+def attention_token_count(mask, fallback, nested: bool = False) -> Column:
+    """Sum of an attention mask (of its first row if ``nested``), or the fallback when it is NULL or empty."""
     m = _c(mask)
-    return F.when(m.isNull() | (F.size(m) == 0), _c(fallback)) \
-        .otherwise(F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x))
+    empty = m.isNull() | (F.size(m) == 0)
+    row = first_row(m) if nested else m
+    return F.when(empty, _c(fallback)).otherwise(F.aggregate(row, F.lit(0).cast("long"), lambda a, x: a + x))
 
 
-def coerce_offsets(pairs) -> Column:
-    """Keep well-formed ``[start, end, ...]`` pairs as ``struct<start,end>``."""
-    return F.transform(F.filter(_c(pairs), lambda x: F.size(x) >= 2),
+def coerce_offsets(pairs, nested: bool = False) -> Column:
+    """Well-formed ``[start, end, ...]`` pairs (of the first row if ``nested``) as ``struct<start,end>``; NULL as none."""
+    rows = first_row(pairs) if nested else _c(pairs)
+    rows = F.coalesce(rows, F.array().cast("array<array<int>>"))
+    return F.transform(F.filter(rows, lambda x: F.size(x) >= 2),
                        lambda x: F.struct(x[0].cast("int").alias("start"), x[1].cast("int").alias("end")))
 
 
 def coerce_ids(nested) -> Column:
-    """Take the first row of a batch-shaped id array (``[[...]]``) as ints."""
-    return F.transform(F.coalesce(_c(nested)[0], F.array().cast("array<long>")), lambda x: x.cast("int"))
+    """The first row of a batch-shaped id array as ints; NULL as none."""
+    return F.transform(F.coalesce(first_row(nested), F.array().cast("array<long>")), lambda x: x.cast("int"))

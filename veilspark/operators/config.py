@@ -55,11 +55,20 @@ def unknown_selectors(models: DataFrame, selectors: DataFrame) -> DataFrame:
     return selectors.join(keys, "selector", "left_anti")
 
 
+def require_known(models: DataFrame, selectors: DataFrame) -> None:
+    """Raise if a selector matches no model; the message names up to ten of them."""
+    missing = [r.selector for r in unknown_selectors(models, selectors).orderBy("selector").limit(10).collect()]
+    if missing:
+        raise ValueError(f"no configured model matches: {', '.join(missing)}")
+
+
 def parse_csv_ints(value) -> Column:
-    """``'256, 1024,,4096'`` -> ``[256, 1024, 4096]``; NULL/empty -> NULL."""
+    """``'256, 1024,,4096'`` -> ``[256, 1024, 4096]``; NULL/empty -> NULL; a text without any number raises."""
     v = F.col(value) if isinstance(value, str) else value
     parts = F.filter(F.transform(F.split(v, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.coalesce(F.length(v), F.lit(0)) > 0, F.transform(parts, lambda x: x.cast("int")))
+    ints = F.when(F.size(parts) == 0, F.raise_error(F.lit("an integer list without integers")).cast("array<int>")) \
+        .otherwise(F.transform(parts, lambda x: x.cast("int")))
+    return F.when(F.coalesce(F.length(v), F.lit(0)) > 0, ints)
 
 
 def parse_csv_strings(value) -> Column:
@@ -99,6 +108,8 @@ def run_metadata(region: DataFrame, nation: DataFrame) -> DataFrame:
     )
     cfg_power = F.when(k == 0, "30").when(k == 1, "0").when(k == 2, "n/a")
     meta_power = F.when(k >= 1, F.length("r_name") * F.lit(2.5))
+    hw = F.struct(hw["accelerators"].alias("accelerators"), hw["platform"].alias("platform"), hw["git"].alias("git"),
+                  F.struct(power_budget(cfg_power, meta_power).alias("budget_watts")).alias("power"))
     return r.select(
         k.cast("long").alias("run_id"),
         F.concat(F.lit("2024-01-0"), (k + 1).cast("string"), F.lit("T00:00:00+00:00")).alias("created_at"),

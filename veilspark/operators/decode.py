@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PII_CATEGORIES, RULES
-from .detect import detect
+from .detect import all_rule_spans, detect
 from .tokens import token_table
 
 # FIXED VALUES: detection label -> span category of the classifier label space.
@@ -58,16 +58,13 @@ def lookup_label(idx: Column) -> Column:
 
 # ------------------------------------------------------------------ range join
 
-def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucket: int = BUCKET_CHARS,
-                 broadcast_spans: bool = False) -> DataFrame:
+def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucket: int = BUCKET_CHARS) -> DataFrame:
     """Pairs (token, span) whose half-open char ranges overlap.
 
     An equi-join on (doc, bucket) plus the overlap filter: each range is
     exploded into the fixed-width buckets it touches, and a pair is kept
     only in the bucket where its overlap starts, so no pair is duplicated and
-    no document is compared all-tokens-by-all-spans. With
-    ``broadcast_spans`` (only when the caller has checked the span table's
-    size) the token side is not shuffled.
+    no document is compared all-tokens-by-all-spans.
     """
     t = tokens.select("*", F.explode(F.sequence(F.floor(F.col("tok_start") / bucket),
                                                 F.floor((F.greatest(F.col("tok_end"), F.col("tok_start") + 1) - 1) / bucket)))
@@ -75,36 +72,23 @@ def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucke
     s = spans.select(F.col(key), F.col("span_id"), F.col("rule"), F.col("label").alias("det_label"),
                      F.col("start").alias("s_start"), F.col("end").alias("s_end"),
                      F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))).alias("_b"))
-    j = t.join(F.broadcast(s) if broadcast_spans else s, [key, "_b"])
+    j = t.join(s, [key, "_b"])
     ov_start = F.greatest(F.col("tok_start"), F.col("s_start"))
     return j.where((F.col("tok_start") < F.col("s_end")) & (F.col("tok_end") > F.col("s_start"))
                    & (F.floor(ov_start / bucket) == F.col("_b"))).drop("_b")
 
 
-BROADCAST_LIMIT_ROWS = 2_000_000
-
-
-def token_labels(docs: DataFrame, text_col: str = "text", broadcast_limit_rows: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
+def token_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """BIOES token labels from detected spans (FIXTURES.md B3).
 
     A token covered by several spans takes the span of the lowest rule index
     (then earliest start). Within its span the first token is B, the last E,
     the others I; a one-token span is S.
-
-    Spans are far fewer than tokens. They are materialized once (reliable
-    checkpoint in the shared folder), and their row count and total length
-    -- an upper bound on the labelled tokens -- decide whether the span and
-    label sides are broadcast, so the token table is not shuffled for the
-    joins; above the limit both joins fall back to shuffles.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(docs.sparkSession)
     tt = token_table(docs, text_col)
     sp = detect(docs, text_col).withColumn(
-        "span_id", F.concat_ws(":", F.col("rule").cast("string"), F.col("start").cast("string"))).checkpoint(eager=True)
-    stats = sp.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("chars")).first()
-    small = stats.n <= broadcast_limit_rows and stats.chars <= broadcast_limit_rows
-    pairs = overlap_join(tt, sp, broadcast_spans=small)
+        "span_id", F.concat_ws(":", F.col("rule").cast("string"), F.col("start").cast("string")))
+    pairs = overlap_join(tt, sp)
     best = (pairs.groupBy("doc_id", "tok_idx")
                  .agg(F.min(F.struct("rule", "s_start", "span_id", "det_label")).alias("b"))
                  .select("doc_id", "tok_idx", F.col("b.span_id").alias("span_id"), F.col("b.det_label").alias("det_label")))
@@ -114,7 +98,7 @@ def token_labels(docs: DataFrame, text_col: str = "text", broadcast_limit_rows:
     tag = (F.when(F.col("first") == F.col("last"), "S").when(F.col("tok_idx") == F.col("first"), "B")
             .when(F.col("tok_idx") == F.col("last"), "E").otherwise("I"))
     lab = lab.select("doc_id", "tok_idx", F.concat(tag, F.lit("-"), F.element_at(cat, F.col("det_label"))).alias("label"))
-    return (tt.join(F.broadcast(lab) if small else lab, ["doc_id", "tok_idx"], "left")
+    return (tt.join(lab, ["doc_id", "tok_idx"], "left")
               .select("doc_id", "tok_idx", "tok_start", "tok_end", "piece", F.coalesce("label", F.lit("O")).alias("label")))
 
 
@@ -256,12 +240,18 @@ def merge_windows(scores: DataFrame) -> DataFrame:
     One shuffle keyed by (doc, token); a token appears in at most
     ceil(ctx / stride) windows, so each group is tiny. The windows are folded
     pairwise with ``zip_with`` and log-add-exp (max(a, b) + log1p(exp(-|a - b|))),
-    then ln(count) is subtracted.
+    then ln(count) is subtracted. Two windows that both say -inf stay -inf.
+    Rows whose ``mask`` (if that column is there) is not set and rows with a
+    negative position take no part.
     """
+    if "mask" in scores.columns:
+        scores = scores.where(F.coalesce(F.col("mask").cast("boolean"), F.lit(False)))
+    scores = scores.where(F.col("tok_idx") >= 0)
     g = scores.groupBy("doc_id", "tok_idx").agg(F.collect_list("logprob").alias("ws"))
 
     def logaddexp(a, b):
-        return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+        top = F.greatest(a, b)
+        return F.when(top == F.lit(float("-inf")), top).otherwise(top + F.log1p(F.exp(-F.abs(a - b))))
 
     folded = F.aggregate(F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(1))), F.col("ws")[0],
                          lambda acc, w: F.zip_with(acc, w, logaddexp))
@@ -407,12 +397,19 @@ def _greedy(spans, same_label_only: bool) -> Column:
                            .when((a["end"] - a["start"]) > (b["end"] - b["start"]), -1)
                            .when((a["end"] - a["start"]) < (b["end"] - b["start"]), 1).otherwise(0))
 
-    def step(kept, s):
-        clash = F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])
-                         & ((k["label"] == s["label"]) if same_label_only else F.lit(True)))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
+    # sorted by start, a span overlaps a kept one only if it starts before the furthest kept end (of its label);
+    # an empty span lies inside a kept one only strictly between its ends
+    def step(acc, s):
+        key = s["label"] if same_label_only else F.lit("")
+        reach = F.coalesce(F.element_at(acc["ends"], key), F.lit(-1))
+        clash = (s["start"] < reach) & ((s["start"] < s["end"]) | F.exists(
+            acc["kept"], lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])
+            & ((k["label"] == s["label"]) if same_label_only else F.lit(True))))
+        ends = F.map_concat(F.map_filter(acc["ends"], lambda k, v: k != key), F.create_map(key, F.greatest(reach, s["end"])))
+        return F.when(clash, acc).otherwise(F.struct(ends.alias("ends"), F.concat(acc["kept"], F.array(s)).alias("kept")))
 
-    return F.aggregate(ordered, F.array().cast(SPAN_T), step)
+    init = F.struct(F.create_map().cast("map<string,int>").alias("ends"), F.array().cast(SPAN_T).alias("kept"))
+    return F.aggregate(ordered, init, step, lambda acc: acc["kept"])
 
 
 def discard_overlapping_by_label(spans) -> Column:
@@ -437,11 +434,12 @@ def detected_records(spans, text, mode: str = "typed") -> Column:
 
 
 def rule_spans_as_categories(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """Detected spans with category labels, as the span list of each document."""
-    sp = detect(docs, text_col, rules=rules)
-    cat = F.create_map(*[x for kv in DETECT_TO_CATEGORY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return (sp.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "rule", "label"))).alias("xs"))
-              .select("doc_id", F.transform("xs", lambda x: F.struct(F.element_at(cat, x["label"]).alias("label"),
-                                                                     x["start"].alias("start"), x["end"].alias("end")))
-                      .alias("spans")))
+    """``docs`` with ``spans``: its detected spans with category labels, NULL if it has none.
 
+    Spans are built in the row that holds the text; nothing is shuffled.
+    """
+    cat = F.create_map(*[x for kv in DETECT_TO_CATEGORY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    found = F.array_sort(F.transform(all_rule_spans(text_col, rules), lambda x: F.struct(x["start"], x["end"], x["rule"], x["label"])))
+    bound = F.array(F.transform(found, lambda x: F.struct(F.element_at(cat, x["label"]).alias("label"), x["start"].alias("start"),
+                                                          x["end"].alias("end"))))
+    return docs.withColumn("spans", F.element_at(F.transform(bound, lambda b: F.when(F.size(b) > 0, b)), 1))

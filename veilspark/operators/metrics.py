@@ -1,9 +1,10 @@
-"""Benchmark measurement rollups: percentiles, means, throughput, cost, power,
+"""Rollups of timing measurements: percentiles, means, throughput, cost, power,
 error counts, batch comparison, stage breakdown and the scaling fit.
 
 Measurements are a long table, one row per attempt:
-``(run_id, model, model_type, bucket_tokens, repeat_index, event_id,
-latency_s, input_tokens, input_tps, <stage columns>, error_type, error)``.
+``(run_id, model, model_type, bucket_tokens, event_id, latency_s,
+input_tokens, input_tps, <stage columns>, error_type, error)``, and where
+attempts are told apart also ``repeat_index`` and ``mode``.
 All rollups are ``groupBy`` aggregations with partial (map-side) aggregation,
 so a group is never gathered into one task. Exact percentiles and attempt
 numbering use range-partitioned ordinals (:mod:`.ordinals`) instead of a
@@ -16,24 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinals import exact_percentiles, ordinal_within_group
+from .ordinals import exact_percentiles, join_on, ordinal_within_group
 
 # FIXED VALUES: metric keys always aggregated, and the stage fields of the
 # stage breakdown in report order.
 CORE_KEYS = ("latency_s", "input_tps", "ttft_s", "prefill_tps", "decode_tps", "short_e2e_tps", "peak_gpu_mem_mb")
 PROFILED_PREFIXES = ("opf_", "mlx_")
 PROFILED_EXCLUDED = ("opf_decoded_mismatch",)
-STAGE_FIELDS = (
-    ("opf_component_s", "Components ms"),
-    ("opf_tokenize_s", "Tokenize ms"),
-    ("opf_window_prepare_s", "Tensor ms"),
-    ("opf_model_forward_s", "Forward ms"),
-    ("opf_logprob_transfer_s", "Logprob/copy ms"),
-    ("opf_aggregation_s", "Aggregate ms"),
-    ("opf_decode_s", "Decode ms"),
-    ("opf_span_postprocess_s", "Span ms"),
-    ("opf_redaction_s", "Redact ms"),
-)
+STAGE_FIELDS = ("opf_component_s", "opf_tokenize_s", "opf_window_prepare_s", "opf_model_forward_s", "opf_logprob_transfer_s",
+                "opf_aggregation_s", "opf_decode_s", "opf_span_postprocess_s", "opf_redaction_s")
 PER_WATT = (("input_tps_mean", "input_tps_per_watt"), ("prefill_tps_mean", "prefill_tps_per_watt"),
             ("decode_tps_mean", "decode_tps_per_watt"))
 MODEL_NAMES = ("click", "view", "signup", "purchase")
@@ -46,11 +38,8 @@ def metric_keys(columns) -> list[str]:
 
 
 def measurements_from_events(events: DataFrame) -> DataFrame:
-    """Deterministic measurement table derived from ``events`` (FIXTURES.md B1).
-
-    ``repeat_index`` numbers attempts within (run, model, bucket) in event
-    order; error events are failed attempts assigned to a model by event id.
-    """
+    """Deterministic measurement table derived from ``events`` (FIXTURES.md B1);
+    error events are failed attempts assigned to a model by event id."""
     k = F.get_json_object("props", "$.k").cast("long")
     bucket = (F.lit(256) * (F.lit(1) + k % 4)).cast("long")
     failed = F.col("event_type") == "error"
@@ -59,10 +48,9 @@ def measurements_from_events(events: DataFrame) -> DataFrame:
     base = events.select(
         "event_id", (F.col("user_id") % 5).cast("long").alias("run_id"), model.alias("model"),
         F.lit("synthetic").alias("model_type"), bucket.alias("bucket_tokens"), failed.alias("failed"), "value", "ts")
-    base = ordinal_within_group(base, ["run_id", "model", "bucket_tokens"], ["event_id"], "repeat_index")
     lat = F.when(~F.col("failed"), F.col("value") / 1000.0 + F.col("bucket_tokens") / 10000.0)
     m = base.select(
-        "run_id", "model", "model_type", "bucket_tokens", "event_id", "ts", "repeat_index",
+        "run_id", "model", "model_type", "bucket_tokens", "event_id", "ts",
         lat.alias("latency_s"),
         F.when(~F.col("failed"), F.col("bucket_tokens")).alias("input_tokens"),
         F.when(F.col("failed"), F.lit("RuntimeError")).alias("error_type"),
@@ -75,10 +63,15 @@ def measurements_from_events(events: DataFrame) -> DataFrame:
         (F.col("latency_s") * 0.5).alias("opf_tokenize_s"),
         (F.col("latency_s") * 0.2).alias("opf_model_forward_s"),
         (F.col("latency_s") * 0.1).alias("opf_decode_s"),
-        F.when(F.col("repeat_index") == 0, F.lit("concat")).otherwise(F.lit("serial")).alias("mode"),
     )
 
 
+def numbered(meas: DataFrame) -> DataFrame:
+    """Add ``repeat_index`` (attempts of a run, model and bucket in event order) and the ``mode`` that follows from it."""
+    m = ordinal_within_group(meas, ["run_id", "model", "bucket_tokens"], ["event_id"], "repeat_index")
+    return m.withColumn("mode", F.when(F.col("repeat_index") == 0, F.lit("concat")).otherwise(F.lit("serial")))
+
+
 def aggregate_long(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), approx: bool = False) -> DataFrame:
     """Mean, p50, p95 per key group and metric (long form; metrics without values omitted)."""
     ks = metric_keys(meas.columns)
@@ -93,7 +86,7 @@ def aggregate_long(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), a
             F.percentile_approx("value", 0.95, 100000).alias("p95"), F.count(F.lit(1)).alias("n"))
     means = long.groupBy(*gk).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
     pct = exact_percentiles(long, gk, "value", {"p50": 0.5, "p95": 0.95})
-    return means.join(pct, gk)
+    return join_on(means, pct, gk)
 
 
 def aggregate_wide(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), approx: bool = False) -> DataFrame:
@@ -128,7 +121,7 @@ def stop_after_first_error(meas: DataFrame, stop_col: str = "stop_on_error",
     """
     first = (meas.where(F.col("error_type").isNotNull()).groupBy(*keys)
                  .agg(F.min("repeat_index").alias("_first_err")))
-    j = meas.join(first, list(keys), "left")
+    j = join_on(meas, first, list(keys), "left")
     keep = (~F.coalesce(F.col(stop_col), F.lit(False))) | F.col("_first_err").isNull() | \
            (F.col("repeat_index") <= F.col("_first_err"))
     return j.where(keep).drop("_first_err")
@@ -141,11 +134,16 @@ def speed_rows(meas: DataFrame, keys=("run_id", "model", "model_type", "bucket_t
     counts = meas.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"),
                                      F.count_if(F.col("error_type").isNull()).alias("successful_repeats"),
                                      F.count_if(F.col("error_type").isNotNull()).alias("errors"))
-    return counts.join(agg, list(keys), "left")
+    return join_on(counts, agg, list(keys), "left")
 
 
-def batch_compare(meas: DataFrame, keys=("run_id", "model")) -> DataFrame:
-    """Serial attempts versus the single concatenated one, per run and model."""
+def batch_compare(meas: DataFrame, keys=("run_id", "model"), chunk_tokens: int = 256, chunk_count: int = 100) -> DataFrame:
+    """Serial attempts versus the single concatenated one, per run and model.
+
+    Nothing is compared (no rows) unless ``chunk_tokens`` is positive and ``chunk_count`` exceeds one.
+    """
+    if chunk_tokens <= 0 or chunk_count <= 1:
+        meas = meas.where(F.lit(False))
     serial = F.col("mode") == "serial"
     concat = F.col("mode") == "concat"
     lat_num = F.coalesce(F.col("latency_s"), F.lit(0.0))
@@ -158,7 +156,7 @@ def batch_compare(meas: DataFrame, keys=("run_id", "model")) -> DataFrame:
         F.max(F.when(concat, F.col("input_tps"))).alias("concat_input_tps"),
     )
     return g.where(F.col("serial_count") > 1).select(
-        "*",
+        "*", F.lit(chunk_tokens).cast("long").alias("serial_chunk_tokens"),
         F.when(F.col("serial_total_latency_s") > 0,
                F.col("serial_total_tokens") / F.col("serial_total_latency_s")).alias("serial_effective_tps"),
         F.when(F.col("concat_latency_s") > 0,
@@ -167,14 +165,15 @@ def batch_compare(meas: DataFrame, keys=("run_id", "model")) -> DataFrame:
 
 
 def stage_breakdown(meas: DataFrame, keys=("run_id", "model", "model_type", "bucket_tokens")) -> DataFrame:
-    """Mean of each stage field and the unaccounted remainder; groups with no stage value are skipped."""
-    present = [k for k, _ in STAGE_FIELDS if k in meas.columns]
+    """Mean of each stage field, of the window count, and the unaccounted remainder; groups with no stage value are skipped."""
+    present = [k for k in STAGE_FIELDS if k in meas.columns]
+    windows = [F.avg(F.col("opf_windows").cast("double")).alias("opf_windows")] if "opf_windows" in meas.columns else []
     aggs = [F.avg(F.col(k).cast("double")).alias(k) for k in present]
     g = meas.groupBy(*keys).agg(F.avg(F.col("latency_s").cast("double")).alias("latency_s"),
-                                F.count(F.coalesce(*[F.col(k) for k in present])).alias("_staged"), *aggs)
+                                F.count(F.coalesce(*[F.col(k) for k in present])).alias("_staged"), *aggs, *windows)
     accounted = sum((F.coalesce(F.col(k), F.lit(0.0)) for k in present), F.lit(0.0))
     return g.where(F.col("_staged") > 0).select(
-        *keys, "latency_s", *present,
+        *keys, "latency_s", *present, *(["opf_windows"] if windows else []),
         F.when(F.col("latency_s").isNotNull(), F.greatest(F.col("latency_s") - accounted, F.lit(0.0))).alias("other_s"))
 
 

@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the key columns are the left ones."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def ordinal_within_group(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal",
                          partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row inside its group, ordered by ``order``.
@@ -40,33 +49,47 @@ def ordinal_within_group(df: DataFrame, keys: list[str], order: list[str], name:
     stats = ranged.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select("_pid", *keys, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"))
-    out = ranged.join(F.broadcast(offsets), ["_pid", *keys])
+    out = join_on(ranged, offsets, ["_pid", *keys])
     return out.withColumn(name, (F.col("_mid") - F.col("_first") + F.col("_before")).cast("long")) \
         .drop("_mid", "_pid", "_first", "_before")
 
 
+#: Steps per octave of the value buckets that running sums start from.
+BUCKET_STEPS = 1024
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation percentiles per group (rank = (n - 1) * p).
 
-    NULL values are ignored; the result has one row per group with one
-    column per entry of ``ps``. Only the rows at the two ranks around each
-    percentile are brought together, so memory per group is constant.
+    NULL values are ignored; the result has one row per group (NULL keys form
+    groups too) with one column per entry of ``ps``. Equal values are counted
+    first, with partial aggregation. Counts are summed by buckets of the value
+    (logarithmic steps, in the order of the values); running sums over the
+    buckets show which ones hold a wanted rank, and only their values are
+    ordered. So no task sees all rows or all values of a group.
     """
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ranked = ordinal_within_group(v, keys, ["_v"], "_r")
-    counts = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(counts, keys)
+    bucket = F.signum("_v") * F.floor(F.log2(F.abs("_v") + 1.0) * BUCKET_STEPS)
+    counts = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*keys)
+    sums = sums.select("*", (F.sum("_s").over(group.orderBy("_b")) - F.col("_s")).alias("_before"), F.sum("_s").over(group).alias("_n"))
+
+    def inside(rank, low, size):
+        return (rank >= low) & (rank < low + size)
+
+    ranks = {name: (F.floor((F.col("_n") - 1) * F.lit(p)), F.ceil((F.col("_n") - 1) * F.lit(p))) for name, p in ps.items()}
+    wanted = F.lit(False)
+    for low, high in ranks.values():
+        wanted = wanted | inside(low, F.col("_before"), F.col("_s")) | inside(high, F.col("_before"), F.col("_s"))
+    near = join_on(counts, sums.where(wanted).select(*keys, "_b", "_before", "_n"), [*keys, "_b"])
+    order = Window.partitionBy(*keys, "_b").orderBy("_v")
+    near = near.withColumn("_from", F.col("_before") + F.sum("_c").over(order) - F.col("_c"))
     cols = []
-    wanted = None
-    for p in ps.values():
-        pos = (F.col("_n") - 1) * F.lit(p)
-        hit = (F.col("_r") == F.floor(pos)) | (F.col("_r") == F.ceil(pos))
-        wanted = hit if wanted is None else (wanted | hit)
-    picked = j.where(wanted)
     for name, p in ps.items():
-        pos = (F.col("_n") - 1) * F.lit(p)
-        lo = F.max(F.when(F.col("_r") == F.floor(pos), F.col("_v")))
-        hi = F.max(F.when(F.col("_r") == F.ceil(pos), F.col("_v")))
-        frac = F.first(pos - F.floor(pos))
-        cols.append((lo + (hi - lo) * frac).alias(name))
-    return picked.groupBy(*keys).agg(*cols)
+        low, high = ranks[name]
+        pos = F.first((F.col("_n") - 1) * F.lit(p))
+        a = F.max(F.when(inside(low, F.col("_from"), F.col("_c")), F.col("_v")))
+        b = F.max(F.when(inside(high, F.col("_from"), F.col("_c")), F.col("_v")))
+        cols.append((a + (b - a) * (pos - F.floor(pos))).alias(name))
+    return near.groupBy(*keys).agg(*cols)

@@ -55,57 +55,60 @@ def _key(tokens_arr: Column, first: int, size: int) -> Column:
     return F.xxhash64(*[F.element_at(tokens_arr, first + i) for i in range(size)])
 
 
-def contained_passages(docs: DataFrame, passages: DataFrame, broadcast_limit_rows: int = 100_000,
-                       tiny_limit_rows: int = 10_000) -> DataFrame:
+GRAM = 3
+
+
+def _char_grams(text, size: int) -> Column:
+    """The different runs of ``size`` characters of a text."""
+    t = F.col(text) if isinstance(text, str) else text
+    n = F.length(t) - size + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(t, i, F.lit(size)))
+    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def contained_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``(doc_id, item_id, passage)`` for every passage contained in a document.
 
     Testing every document against every passage would be a cross join.
     Instead: a passage's first token may be the tail of a longer token in the
     document and its last token the head of one, but every token in between
-    is a whole token of the document too. So the passage is keyed by the hash
-    of its tokens 2..SHINGLE+1 and every document by the hashes of all its
-    SHINGLE-token windows; the equi-join gives candidates and ``contains``
-    confirms them (exact). Passages of 3..SHINGLE+1 tokens use 1-token keys;
-    passages of at most 2 tokens have no whole token and are tested directly
-    against the documents through a broadcast, only while their count is
-    below ``tiny_limit_rows``. The keyed passage side is broadcast only when
-    its row count is below ``broadcast_limit_rows`` (checked, not assumed).
+    is a whole token of the document too. So a passage of SHINGLE + 2 and more
+    tokens is keyed by the hash of its tokens 2..SHINGLE+1, and a document by
+    the different hashes of its SHINGLE-token windows. A shorter passage is
+    keyed by the one of its GRAM-character runs that the fewest documents
+    have (a passage of fewer characters by itself), and documents by their
+    different runs. The equi-joins give candidates and ``contains`` confirms
+    them (exact); an empty passage is contained in every document.
     """
     pt = tokens("text")
-    pk = passages.select("item_id", F.col("text").alias("passage"), F.size(pt).alias("n"),
-                         _key(pt, 2, SHINGLE).alias("key4"),
-                         _key(pt, 2, 1).alias("key1"))
-    d = docs.select("doc_id", "text")
-    cands = []
+    pk = passages.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("passage"), F.size(pt).alias("n"),
+                                                         _key(pt, 2, SHINGLE).alias("key4"))
+    d = docs.select("doc_id", "text").where(F.col("text").isNotNull())
 
     # keys carry only (doc_id, key): the text is not copied into every window row
     long_p = pk.where(F.col("n") >= SHINGLE + 2).select("item_id", "passage", F.col("key4").alias("key"))
-    if long_p.count() <= broadcast_limit_rows:
-        long_p = F.broadcast(long_p)
-    dk = d.select("doc_id", F.explode(_windows(tokens("text"), SHINGLE)).alias("key"))
-    cands.append(dk.join(long_p, "key").select("doc_id", "item_id", "passage"))
-
-    mid_p = pk.where((F.col("n") >= 3) & (F.col("n") < SHINGLE + 2)).select("item_id", "passage", F.col("key1").alias("key"))
-    if mid_p.limit(1).count() > 0:
-        d1 = d.select("doc_id", F.explode(_windows(tokens("text"), 1)).alias("key"))
-        cands.append(d1.join(F.broadcast(mid_p), "key").select("doc_id", "item_id", "passage"))
-
-    cand = cands[0]
-    for c in cands[1:]:
-        cand = cand.unionByName(c)
+    dk = d.select("doc_id", F.explode(F.array_distinct(_windows(tokens("text"), SHINGLE))).alias("key"))
+    cand = dk.join(long_p, "key").select("doc_id", "item_id", "passage")
+
+    short_p = pk.where(F.col("n") < SHINGLE + 2).select("item_id", "passage", F.length("passage").alias("size"))
+    sizes = [r["size"] for r in short_p.select(F.least("size", F.lit(GRAM)).alias("size")).distinct().collect()]
+    for size in sorted(s for s in sizes if s > 0):
+        own = short_p.where(F.least("size", F.lit(GRAM)) == size)
+        runs = own.select("item_id", "passage", F.explode(_char_grams("passage", size)).alias("run"))
+        have = d.select("doc_id", F.explode(_char_grams("text", size)).alias("run"))
+        spread = have.join(runs.select("run").distinct(), "run").groupBy("run").agg(F.count(F.lit(1)).alias("docs"))
+        # a run that no document has cannot be joined, and its passage is in none
+        rarest = (runs.join(spread, "run", "left").groupBy("item_id", "passage")
+                      .agg(F.min_by("run", F.struct(F.coalesce("docs", F.lit(0)), "run")).alias("run")))
+        cand = cand.unionByName(have.join(rarest, "run").select("doc_id", "item_id", "passage"))
+    if 0 in sizes:
+        empty = [F.struct(F.lit(r.item_id).alias("item_id")) for r in short_p.where("size = 0").select("item_id").distinct().collect()]
+        cand = cand.unionByName(d.select("doc_id", F.explode(F.array(*empty)).alias("e"))
+                                 .select("doc_id", "e.item_id", F.lit("").alias("passage")))
     # candidates are few; the containment test needs the text once per (doc, passage)
-    out = cand.dropDuplicates(["doc_id", "item_id"]).join(d, "doc_id") \
+    return cand.dropDuplicates(["doc_id", "item_id"]).join(d, "doc_id") \
         .where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id", "passage")
 
-    tiny_p = pk.where(F.col("n") <= 2).select("item_id", "passage")
-    n_tiny = tiny_p.count()
-    if n_tiny > tiny_limit_rows:
-        raise ValueError(f"{n_tiny} passages of at most two tokens: too many to test directly")
-    if n_tiny:
-        out = out.unionByName(d.join(F.broadcast(tiny_p), F.col("text").contains(F.col("passage")))
-                              .select("doc_id", "item_id", "passage"))
-    return out.dropDuplicates(["doc_id", "item_id"])
-
 
 def gold_samples(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``Sample`` rows: id, text, pii, anchors, tags built from the raw tables.
@@ -136,7 +139,7 @@ def score_samples(samples: DataFrame, outputs: DataFrame, output_col: str = "out
     missed = F.filter("pii", lambda v: out.contains(v))
     changed = F.filter("anchors", lambda v: ~out.contains(v))
     scored = j.select(
-        "model", "doc_id", "lang", "tags", "error",
+        "model", "doc_id", "lang", "tags", "error", *(["latency_s"] if "latency_s" in outputs.columns else []),
         F.size("pii").alias("pii_total"),
         (F.size("pii") - F.size(missed)).alias("pii_hit"),
         missed.alias("missed_pii"),
@@ -162,6 +165,7 @@ def quality_totals(scored: DataFrame, keys=("model",)) -> DataFrame:
         s("anchor_total").alias("anchor_total"), s("anchor_keep").alias("anchor_keep"),
         F.count_if(ok & F.col("over_redaction")).alias("over_redactions"),
         F.count_if(~ok).alias("errors"),
+        *([F.coalesce(F.sum(F.when(ok, F.col("latency_s"))), F.lit(0.0)).alias("latency_s")] if "latency_s" in scored.columns else []),
     )
     return agg.select(
         "*",

@@ -199,9 +199,7 @@ def dec_10_fallback_when_empty(spark, sf_dir):
     """Fallback spans only for documents whose BIOES decode found nothing
     (decode on the reduced label space without e-mail, so some fall through)."""
     d = spread(table(spark, sf_dir, "documents"), key="doc_id")
-    # both decoders read the label table: materialize it once (reliable
-    # checkpoint in the shared folder) instead of computing it twice
-    lab = X.token_labels(d).checkpoint(eager=True)
+    lab = X.token_labels(d)
     cats = [c for c in PII_CATEGORIES if c != "private_email"]
     primary = X.bioes_spans(lab, cats).where(F.size("spans") > 0)
     fb = X.fallback_spans(lab, d, list(PII_CATEGORIES))
@@ -233,8 +231,7 @@ def dec_12_rebuild_text(spark, sf_dir):
 
 def doc_spans(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
-    sp = X.rule_spans_as_categories(d)
-    return d.join(sp, "doc_id", "left")
+    return X.rule_spans_as_categories(d)
 
 
 @register("red_4_apply_spans")

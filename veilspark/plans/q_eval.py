@@ -1,4 +1,4 @@
-"""Registered queries: quality scoring (QLT, AGG-10, JN-1) and benchmark rollups (AGG, RPT)."""
+"""Registered queries: quality scoring (QLT, AGG-10, JN-1) and timing rollups (AGG, RPT)."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from ..sources.tables import spread, table
 from . import oracle_sql as O
 from .registry import register
 
-MAX_INPUT_CHARS = 20000     # longer samples fail ("input too long"), like a timeout
 R6 = 6
 
 
@@ -27,20 +26,37 @@ def r6(c):
 
 # ----------------------------------------------------------------- quality inputs
 
+def sample_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, plus cases from ``benchmark`` that no document has: a text that cannot be
+    redacted (NULL) and a gold address that the rules miss (its last part has one letter)."""
+    docs = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    case = F.col("item_id") % 10
+    text = F.when(case == 1, F.concat(F.lit("Write to user"), F.col("item_id").cast("string"), F.lit("@host.x today")))
+    cases = table(spark, sf_dir, "benchmark").where(case < 2).select(
+        (-1 - F.col("item_id")).alias("doc_id"), text.alias("text"), F.lit("xx").alias("lang"), F.lit("cases").alias("source"),
+        F.length(text).cast("long").alias("n_chars"))
+    return docs.unionByName(cases)
+
+
+SAMPLES_SQL = """
+alldocs AS (
+  SELECT doc_id, text, lang, source FROM documents UNION ALL
+  SELECT -1 - item_id, CASE WHEN item_id % 10 = 1 THEN 'Write to user' || item_id || '@host.x today' END, 'xx', 'cases'
+  FROM benchmark WHERE item_id % 10 < 2
+)"""
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"), key="doc_id")
-    return Q.gold_samples(docs, table(spark, sf_dir, "benchmark"))
+    return Q.gold_samples(sample_texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def outputs(spark: SparkSession, sf_dir: str, model: str = "regex") -> DataFrame:
-    """One redactor's output per document; over-long inputs fail."""
-    docs = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text", "n_chars")
-    rules = RULES if model == "regex" else RULES[:8]
-    red = redact_rules(docs, rules=rules)
-    too_long = F.length("text") > MAX_INPUT_CHARS
-    return red.select("doc_id", F.lit(model).alias("model"),
-                      F.when(~too_long, F.col("redacted")).alias("output"),
-                      F.when(too_long, F.lit("InputTooLong")).alias("error"))
+    """One redactor's output per sample; a sample without text fails. ``latency_s`` stands in for a
+    measured time: a microsecond per character."""
+    red = redact_rules(sample_texts(spark, sf_dir), rules=RULES if model == "regex" else RULES[:8])
+    return red.select("doc_id", F.lit(model).alias("model"), F.col("redacted").alias("output"),
+                      F.when(F.col("text").isNull(), F.lit("TypeError")).alias("error"),
+                      (F.length("text") / 1e6).alias("latency_s"))
 
 
 def scored(spark, sf_dir, model="regex"):
@@ -58,25 +74,24 @@ def _trunc5(expr):
 
 def scored_sql(model: str = "regex") -> str:
     n_rules = 10 if model == "regex" else 8
-    return f"""
+    return f"""{SAMPLES_SQL},
 found AS (
   SELECT d.doc_id, list(b.text ORDER BY b.item_id) AS found
-  FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id
+  FROM alldocs d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id
 ),
 samples AS (
   SELECT d.doc_id, d.text, d.lang, d.source, {_GOLD} AS pii,
          [{_trunc5('d.text')}] || coalesce(f.found, []) AS anchors, [d.lang, d.source] AS tags
-  FROM documents d LEFT JOIN found f USING (doc_id)
+  FROM alldocs d LEFT JOIN found f USING (doc_id)
 ),
-{O.redact_steps('documents', 'text', ['doc_id'], n_rules)},
+{O.redact_steps('alldocs', 'text', ['doc_id'], n_rules)},
 outputs AS (
-  SELECT s10.doc_id, '{model}' AS model,
-         CASE WHEN length(d.text) <= {MAX_INPUT_CHARS} THEN s10.t END AS output,
-         CASE WHEN length(d.text) > {MAX_INPUT_CHARS} THEN 'InputTooLong' END AS error
-  FROM s10 JOIN documents d USING (doc_id)
+  SELECT s10.doc_id, '{model}' AS model, CASE WHEN d.text IS NOT NULL THEN s10.t END AS output,
+         CASE WHEN d.text IS NULL THEN 'TypeError' END AS error, length(d.text) / 1e6 AS latency_s
+  FROM s10 JOIN alldocs d USING (doc_id)
 ),
 scored AS (
-  SELECT o.model, s.doc_id, s.lang, s.tags, o.error,
+  SELECT o.model, s.doc_id, s.lang, s.tags, o.error, o.latency_s,
          len(s.pii) AS pii_total,
          len(s.pii) - len(list_filter(s.pii, lambda v: contains(o.output, v))) AS pii_hit,
          list_filter(s.pii, lambda v: contains(o.output, v)) AS missed_pii,
@@ -89,13 +104,15 @@ scored AS (
 
 @register("jn_1_sample_output_join", sql=f"""
 WITH {scored_sql()}
-SELECT doc_id, model, CAST(pii_total AS BIGINT) AS pii_total, CAST(anchor_total AS BIGINT) AS anchor_total,
+SELECT doc_id, model, CASE WHEN error IS NULL THEN CAST(pii_total AS BIGINT) END AS pii_total, CASE WHEN error IS NULL THEN CAST(anchor_total AS BIGINT) END AS anchor_total,
        CASE WHEN error IS NULL THEN 0 ELSE 1 END AS failed
 FROM scored
 """)
 def jn_1_sample_output_join(spark, sf_dir):
     s = scored(spark, sf_dir)
-    return s.select("doc_id", "model", F.col("pii_total").cast("long"), F.col("anchor_total").cast("long"),
+    fine = F.col("error").isNull()
+    return s.select("doc_id", "model", F.when(fine, F.col("pii_total").cast("long")).alias("pii_total"),
+                    F.when(fine, F.col("anchor_total").cast("long")).alias("anchor_total"),
                     F.when(F.col("error").isNull(), 0).otherwise(1).alias("failed"))
 
 
@@ -165,11 +182,11 @@ def qlt_6_failed_samples(spark, sf_dir):
 
 
 @register("qlt_7_exact_match", sql=f"""
-WITH {O.redact_steps('documents', 'text', ['doc_id'], 10, prefix='a')},
-{O.redact_steps('documents', 'text', ['doc_id'], 8, prefix='b')}
+WITH {SAMPLES_SQL}, {O.redact_steps('alldocs', 'text', ['doc_id'], 10, prefix='a')},
+{O.redact_steps('alldocs', 'text', ['doc_id'], 8, prefix='b')}
 SELECT count(*) AS samples, count(*) FILTER (WHERE a.t = b.t) AS exact,
        round(1e-9 + avg(CASE WHEN a.t = b.t THEN 1.0 ELSE 0.0 END), 6) AS exact_rate
-FROM as10 a JOIN bs10 b USING (doc_id) JOIN documents d USING (doc_id) WHERE length(d.text) <= {MAX_INPUT_CHARS}
+FROM as10 a JOIN bs10 b USING (doc_id) JOIN alldocs d USING (doc_id) WHERE d.text IS NOT NULL
 """)
 def qlt_7_exact_match(spark, sf_dir):
     a = outputs(spark, sf_dir, "regex")
@@ -178,7 +195,7 @@ def qlt_7_exact_match(spark, sf_dir):
     return m.select("samples", "exact", r6(F.col("exact_rate")).alias("exact_rate"))
 
 
-def _totals_sql(model: str) -> str:
+def totals_sql(model: str) -> str:
     return f"""
 SELECT model, count(*) AS sample_count, count(*) FILTER (WHERE error IS NULL) AS successful_samples,
   CAST(sum(CASE WHEN error IS NULL THEN pii_total ELSE 0 END) AS BIGINT) AS pii_total,
@@ -186,33 +203,33 @@ SELECT model, count(*) AS sample_count, count(*) FILTER (WHERE error IS NULL) AS
   CAST(sum(CASE WHEN error IS NULL THEN anchor_total ELSE 0 END) AS BIGINT) AS anchor_total,
   CAST(sum(CASE WHEN error IS NULL THEN anchor_keep ELSE 0 END) AS BIGINT) AS anchor_keep,
   count(*) FILTER (WHERE error IS NULL AND pii_total = 0 AND anchor_keep < anchor_total) AS over_redactions,
-  count(*) FILTER (WHERE error IS NOT NULL) AS errors
+  count(*) FILTER (WHERE error IS NOT NULL) AS errors, coalesce(sum(latency_s) FILTER (WHERE error IS NULL), 0.0) AS latency_s
 FROM scored GROUP BY model"""
 
 
 @register("agg_10_quality_totals", sql=f"""
-WITH {scored_sql()}, t AS ({_totals_sql('regex')})
-SELECT *, round(1e-9 + CASE WHEN pii_total > 0 THEN pii_hit / pii_total ELSE 1.0 END, 6) AS recall,
-       round(1e-9 + CASE WHEN anchor_total > 0 THEN anchor_keep / anchor_total ELSE 1.0 END, 6) AS anchor_keep_rate
+WITH {scored_sql()}, t AS ({totals_sql('regex')})
+SELECT * EXCLUDE (latency_s), round(1e-9 + CASE WHEN pii_total > 0 THEN pii_hit / pii_total ELSE 1.0 END, 6) AS recall,
+       round(1e-9 + CASE WHEN anchor_total > 0 THEN anchor_keep / anchor_total ELSE 1.0 END, 6) AS anchor_keep_rate,
+       round(1e-9 + latency_s, 6) AS latency_s
 FROM t
 """)
 def agg_10_quality_totals(spark, sf_dir):
     t = Q.quality_totals(scored(spark, sf_dir))
-    return t.select(*[c for c in t.columns if c not in ("recall", "anchor_keep_rate")],
-                    r6(F.col("recall")).alias("recall"), r6(F.col("anchor_keep_rate")).alias("anchor_keep_rate"))
+    rounded = ("recall", "anchor_keep_rate", "latency_s")
+    return t.select(*[r6(F.col(c)).alias(c) if c in rounded else F.col(c) for c in t.columns])
 
 
 @register("qlt_8_recall_by_lang", sql=f"""
-WITH {scored_sql()}
-SELECT lang, CAST(sum(pii_total) AS BIGINT) AS pii_total, CAST(sum(pii_hit) AS BIGINT) AS pii_hit,
+WITH {scored_sql()}, by_tag AS (SELECT unnest(tags) AS tag, pii_total, pii_hit FROM scored WHERE error IS NULL)
+SELECT tag, CAST(sum(pii_total) AS BIGINT) AS pii_total, CAST(sum(pii_hit) AS BIGINT) AS pii_hit,
        round(1e-9 + CASE WHEN sum(pii_total) > 0 THEN sum(pii_hit) / sum(pii_total) ELSE 1.0 END, 6) AS recall
-FROM scored WHERE error IS NULL GROUP BY ROLLUP (lang)
+FROM by_tag GROUP BY tag
 """)
 def qlt_8_recall_by_lang(spark, sf_dir):
-    s = scored(spark, sf_dir).where(F.col("error").isNull())
-    g = s.rollup("lang").agg(F.sum("pii_total").cast("long").alias("pii_total"),
-                             F.sum("pii_hit").cast("long").alias("pii_hit"))
-    return g.select("lang", "pii_total", "pii_hit",
+    s = scored(spark, sf_dir).where(F.col("error").isNull()).select(F.explode("tags").alias("tag"), "pii_total", "pii_hit")
+    g = s.groupBy("tag").agg(F.sum("pii_total").cast("long").alias("pii_total"), F.sum("pii_hit").cast("long").alias("pii_hit"))
+    return g.select("tag", "pii_total", "pii_hit",
                     r6(F.when(F.col("pii_total") > 0, F.col("pii_hit") / F.col("pii_total")).otherwise(1.0)).alias("recall"))
 
 
@@ -222,6 +239,11 @@ def meas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.measurements_from_events(table(spark, sf_dir, "events"))
 
 
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements with their attempt numbers."""
+    return M.numbered(meas(spark, sf_dir))
+
+
 MEAS_SQL = """
 meas0 AS (
   SELECT event_id, CAST(user_id % 5 AS BIGINT) AS run_id,
@@ -296,7 +318,7 @@ SELECT model, key, count(*) AS n_numeric, round(1e-9 + sum(CAST(json_extract(j,
 FROM kv WHERE json_type(j, '$.' || key) IN ('BIGINT', 'UBIGINT', 'DOUBLE') GROUP BY ALL
 """)
 def agg_3_numeric_filter(spark, sf_dir):
-    v = _variant_rows(meas(spark, sf_dir))
+    v = _variant_rows(attempts(spark, sf_dir))
     kv = v.select("model", F.explode(F.from_json("j", "map<string,variant>")).alias("key", "v"))
     typ = F.schema_of_variant("v")
     num = kv.where(typ.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | typ.startswith("DECIMAL"))
@@ -319,7 +341,7 @@ FROM long GROUP BY ALL
 """)
 def agg_4_metric_rollup(spark, sf_dir):
     m = meas(spark, sf_dir).where(F.col("error_type").isNull())
-    a = M.aggregate_long(m.drop("repeat_index", "input_tokens"), ("run_id", "model", "bucket_tokens"))
+    a = M.aggregate_long(m.drop("input_tokens"), ("run_id", "model", "bucket_tokens"))
     return a.select("run_id", "model", "bucket_tokens", "metric", r6(F.col("mean")).alias("mean"),
                     r6(F.col("p50")).alias("p50"), r6(F.col("p95")).alias("p95"), "n")
 
@@ -405,7 +427,7 @@ FROM kept GROUP BY ALL
 """)
 def agg_8_stop_on_error(spark, sf_dir):
     cfg = models_table(spark).select(F.col("name").alias("model"), "stop_on_error")
-    m = meas(spark, sf_dir).join(F.broadcast(cfg), "model")
+    m = attempts(spark, sf_dir).join(F.broadcast(cfg), "model")
     k = M.stop_after_first_error(m)
     return k.groupBy("run_id", "model", "bucket_tokens").agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("error_type").isNotNull()).alias("errors"))
@@ -429,7 +451,7 @@ SELECT run_id, model, serial_count, serial_total_tokens, round(1e-9 + serial_tot
 FROM g WHERE serial_count > 1
 """)
 def agg_9_batch_compare(spark, sf_dir):
-    b = M.batch_compare(meas(spark, sf_dir))
+    b = M.batch_compare(attempts(spark, sf_dir))
     return b.select("run_id", "model", "serial_count", "serial_total_tokens",
                     r6(F.col("serial_total_latency_s")).alias("serial_total_latency_s"), "concat_tokens",
                     r6(F.col("concat_latency_s")).alias("concat_latency_s"),

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import results as RS
-from ..operators.config import run_metadata
-from ..operators.quality import gold_pii
+from ..operators.config import models_table, run_metadata
+from ..operators.quality import gold_pii, quality_totals
 from ..sources import jsonl as J
 from ..sources.tables import table
-from .q_eval import MEAS_SQL, RUNS_SQL, meas
+from .q_eval import MEAS_SQL, RUNS_SQL, SPEED_SQL, attempts, scored, scored_sql, totals_sql
 from .registry import register
 
 
@@ -20,24 +18,26 @@ def r6(c):
     return F.round(c + F.lit(1e-9), 6)
 
 
+def r4(c):
+    return F.round(c + F.lit(1e-9), 4)
+
+
 def _runs(spark, sf_dir):
     return run_metadata(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation"))
 
 
-@lru_cache(maxsize=8)
 def _written_results(spark: SparkSession, sf_dir: str) -> str:
     """SNK-1/2: write the run's result rows as JSON lines (fresh folder per run)."""
-    rows = RS.result_rows(meas(spark, sf_dir), _runs(spark, sf_dir))
+    rows = RS.result_rows(attempts(spark, sf_dir), _runs(spark, sf_dir), costs=models_table(spark))
     path = J.scratch_path(spark, "results")
     J.write_jsonl(rows, path, mode="overwrite")
     return path
 
 
 def results(spark, sf_dir) -> DataFrame:
-    return J.read_results(spark, [_written_results(spark, sf_dir)])
+    return J.read_results(spark, [_written_results(spark, sf_dir)])[0]
 
 
-@lru_cache(maxsize=8)
 def _written_samples(spark: SparkSession, sf_dir: str) -> str:
     """Labelled samples as JSON lines, with per-language comment lines, blank
     lines and the ``labels`` rows (objects without id/text) mixed in."""
@@ -101,15 +101,16 @@ def src_4_split_by_kind(spark, sf_dir):
 
 @register("src_5_merge_machines", sql=f"""
 WITH {MEAS_SQL}
-SELECT model, 2 * count(DISTINCT (run_id, bucket_tokens)) AS speed_rows FROM meas GROUP BY model
+SELECT model, count(DISTINCT (run_id, bucket_tokens)) + count(DISTINCT CASE WHEN run_id % 2 = 0 THEN (run_id, bucket_tokens) END) AS speed_rows
+FROM meas GROUP BY model
 """)
 def src_5_merge_machines(spark, sf_dir):
-    """Two machines' result folders merged into one table (multi-path read + union)."""
+    """Two machines' result folders, the second with the even runs only, merged into one table."""
     a = _written_results(spark, sf_dir)
-    rows_b = RS.result_rows(meas(spark, sf_dir), _runs(spark, sf_dir))
+    rows_b = RS.result_rows(attempts(spark, sf_dir).where(F.col("run_id") % 2 == 0), _runs(spark, sf_dir))
     b = J.scratch_path(spark, "results-b")
     J.write_jsonl(rows_b, b, mode="overwrite")
-    merged = J.merge(J.read_results(spark, [a]), J.read_results(spark, [b]))
+    merged = J.merge(J.read_results(spark, [a])[0], J.read_results(spark, [b])[0])
     return merged.where(F.col("kind") == "speed").groupBy("model").agg(F.count(F.lit(1)).alias("speed_rows"))
 
 
@@ -131,21 +132,24 @@ SELECT count(*) AS run_metadata_rows FROM region
 """)
 def snk_2_overwrite_run(spark, sf_dir):
     """Writing the same run twice with overwrite leaves one copy."""
-    rows = RS.result_rows(meas(spark, sf_dir), _runs(spark, sf_dir)).where(F.col("kind") == "run_metadata")
+    rows = RS.result_rows(attempts(spark, sf_dir), _runs(spark, sf_dir)).where(F.col("kind") == "run_metadata")
     path = J.scratch_path(spark, "overwrite")
     J.write_jsonl(rows, path, mode="overwrite")
     J.write_jsonl(rows, path, mode="overwrite")
-    back = J.read_results(spark, [path])
+    back = J.read_results(spark, [path])[0]
     return back.agg(F.count(F.lit(1)).alias("run_metadata_rows"))
 
 
 @register("snk_3_flat_csv")
 def snk_3_flat_csv(spark, sf_dir):
+    """The flat table written as CSV and read back: rows, columns and sums by kind."""
     flat = RS.flat_rows(results(spark, sf_dir))
     path = J.scratch_path(spark, "csv")
     flat.write.mode("overwrite").option("header", True).csv(path)
     back = spark.read.option("header", True).csv(path)
-    return back.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
+    sums = ("latency_s_p50", "input_tps_mean", "input_tps_per_watt", "opf_model_forward_s_mean", "per_token_ms")
+    return back.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.lit(len(back.columns)).alias("columns"),
+                                    *[r4(F.sum(F.col(c).cast("double"))).alias(c) for c in sums])
 
 
 def _report(spark, sf_dir, name):
@@ -154,19 +158,21 @@ def _report(spark, sf_dir, name):
 
 @register("snk_4_report_sections")
 def snk_4_report_sections(spark, sf_dir):
-    tabs = RS.report_tables(results(spark, sf_dir))
-    parts = [t.agg(F.count(F.lit(1)).alias("rows")).withColumn("section", F.lit(n)) for n, t in tabs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@register("rpt_1_runs", sql="""
-SELECT CAST(r_regionkey AS VARCHAR) AS run_id FROM region
+    """The nine sections: rows and the sum of one value of each."""
+    tabs = RS.report_tables(J.merge(results(spark, sf_dir), _quality_results(spark, sf_dir)))
+    values = {"runs": F.col("power_watts"), "warmup": F.col("latency_s_p50"), "speed": F.col("input_tps_mean"),
+              "stage_breakdown": F.col("other_s"), "scaling": F.col("per_token_ms"), "batch_compare": F.col("speedup_vs_serial"),
+              "quality": F.col("pii_total"), "quality_details": F.size("missed_pii") + F.size("changed_anchors"), "errors": F.length("error")}
+    return J.merge(*[t.agg(F.count(F.lit(1)).alias("rows"), r4(F.sum(values[n].cast("double"))).alias("total"))
+                     .withColumn("section", F.lit(n)) for n, t in tabs.items()])
+
+
+@register("rpt_1_runs", sql=f"""
+WITH {RUNS_SQL}
+SELECT CAST(run_id AS VARCHAR) AS run_id, power_watts FROM power
 """)
 def rpt_1_runs(spark, sf_dir):
-    return _report(spark, sf_dir, "runs").select("run_id")
+    return _report(spark, sf_dir, "runs").select("run_id", "power_watts")
 
 
 @register("rpt_2_warmup")
@@ -203,10 +209,18 @@ def rpt_4_stage_breakdown(spark, sf_dir):
                     r6(F.col("other_s")).alias("other_s"))
 
 
-@register("rpt_5_scaling")
+@register("rpt_5_scaling", sql=f"""
+WITH {MEAS_SQL}, {SPEED_SQL},
+pts AS (SELECT DISTINCT run_id, model, CAST(bucket_tokens AS DOUBLE) AS x, latency_s_p50 AS y
+        FROM speed WHERE latency_s_p50 IS NOT NULL AND successful_repeats > 0),
+g AS (SELECT run_id, model, count(*) AS points, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept, regr_r2(y, x) AS r2, var_pop(y) AS vy FROM pts GROUP BY ALL)
+SELECT CAST(run_id AS VARCHAR) AS run_id, model, points, round(greatest(icept, 0) + 1e-9, 6) AS fixed_overhead_s,
+       round(slope * 1000 + 1e-9, 6) AS per_token_ms, round(1 / slope + 1e-9, 6) AS asymptotic_tps, round(CASE WHEN vy > 0 THEN r2 END + 1e-9, 6) AS r2
+FROM g WHERE points >= 2 AND slope > 0
+""")
 def rpt_5_scaling(spark, sf_dir):
     s = _report(spark, sf_dir, "scaling")
-    return s.select("run_id", "model", "points", r6(F.col("per_token_ms")).alias("per_token_ms"))
+    return s.select("run_id", "model", "points", *[r6(F.col(c)).alias(c) for c in ("fixed_overhead_s", "per_token_ms", "asymptotic_tps", "r2")])
 
 
 @register("rpt_6_batch_compare")
@@ -215,25 +229,41 @@ def rpt_6_batch_compare(spark, sf_dir):
     return b.select("model", "serial_count", r6(F.col("speedup_vs_serial")).alias("speedup_vs_serial"))
 
 
-@register("rpt_7_quality")
+def _quality_results(spark, sf_dir) -> DataFrame:
+    """Result rows with the quality job's rows, written and read back."""
+    scores = scored(spark, sf_dir)
+    q = quality_totals(scores).withColumn("model_type", F.lit("regex")).withColumnRenamed("errors", "error_count").drop("over_redactions")
+    rows = RS.result_rows(attempts(spark, sf_dir), _runs(spark, sf_dir), quality=q, scores=scores)
+    path = J.scratch_path(spark, "results-q")
+    J.write_jsonl(rows.where(F.col("kind").isin("quality", "sample_score")), path, mode="overwrite")
+    return J.read_results(spark, [path])[0]
+
+
+@register("rpt_7_quality", sql=f"""
+WITH {scored_sql()}, t AS ({totals_sql('regex')})
+SELECT model, 'regex' AS model_type, successful_samples, sample_count, pii_hit, pii_total, anchor_keep, anchor_total, errors,
+       round(CASE WHEN pii_total > 0 THEN pii_hit / pii_total ELSE 1.0 END + 1e-9, 6) AS recall,
+       round(CASE WHEN anchor_total > 0 THEN anchor_keep / anchor_total ELSE 1.0 END + 1e-9, 6) AS anchor_keep_rate,
+       round(latency_s + 1e-9, 6) AS latency_s
+FROM t
+""")
 def rpt_7_quality(spark, sf_dir):
     """Quality rows join the results table (written by the quality job)."""
-    from .q_eval import scored
-    from ..operators.quality import quality_totals
-    q = quality_totals(scored(spark, sf_dir)).withColumn("model_type", F.lit("regex")) \
-        .withColumn("latency_s", F.lit(None).cast("double"))
-    rows = RS.result_rows(meas(spark, sf_dir), _runs(spark, sf_dir), quality=q.drop("over_redactions", "errors"))
-    path = J.scratch_path(spark, "results-q")
-    J.write_jsonl(rows, path, mode="overwrite")
-    q = RS.report_tables(J.read_results(spark, [path]))["quality"]
-    return q.select(*[r6(F.col(c)).alias(c) if c in ("recall", "anchor_keep_rate") else F.col(c) for c in q.columns])
+    q = RS.report_tables(_quality_results(spark, sf_dir))["quality"]
+    return q.select(*[r6(F.col(c)).alias(c) if c in ("recall", "anchor_keep_rate", "latency_s") else F.col(c) for c in q.columns])
 
 
-@register("rpt_8_quality_details")
+@register("rpt_8_quality_details", sql=f"""
+WITH {scored_sql()}
+SELECT model, CAST(doc_id AS VARCHAR) AS sample_id, array_to_string(missed_pii, '<br>') AS missed,
+       md5(array_to_string(changed_anchors, '<br>')) AS changed_md5
+FROM scored WHERE error IS NULL AND (len(missed_pii) > 0 OR len(changed_anchors) > 0)
+""")
 def rpt_8_quality_details(spark, sf_dir):
-    from .q_eval import scored
-    from ..operators.quality import quality_details
-    return quality_details(scored(spark, sf_dir)).groupBy("model", "kind").agg(F.count(F.lit(1)).alias("rows"))
+    """The Quality Details section, from result rows written and read back."""
+    d = RS.report_tables(_quality_results(spark, sf_dir))["quality_details"]
+    return d.select("model", "sample_id", F.array_join("missed_pii", "<br>").alias("missed"),
+                    F.md5(F.array_join("changed_anchors", "<br>")).alias("changed_md5"))
 
 
 @register("rpt_9_model_errors", sql=f"""

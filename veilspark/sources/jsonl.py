@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import py_strip
 from ..session import ensure_checkpoint_dir
 
 SAMPLE_SCHEMA = "id string, text string, pii array<string>, anchors array<string>, tags array<string>"
@@ -38,7 +39,7 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_samples(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(samples, rejects) from labelled JSON lines."""
-    raw = (spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    raw = (spark.read.text(path).select(py_strip("value").alias("line"), F.col("_metadata.file_path").alias("file"))
            .where((F.col("line") != "") & ~F.col("line").startswith("#")))
     # from_json is permissive (a malformed line parses to all-NULL fields), so
     # malformed lines are told apart with try_parse_json
@@ -62,46 +63,66 @@ def read_samples(spark: SparkSession, path: str, strict: bool = False) -> tuple[
     return samples, rejects
 
 
-M_SCHEMA = T.StructType([
-    T.StructField("repeat_index", T.LongType()), T.StructField("latency_s", T.DoubleType()),
-    T.StructField("input_tps", T.DoubleType()), T.StructField("input_tokens", T.LongType()),
-    T.StructField("opf_tokenize_s", T.DoubleType()), T.StructField("opf_model_forward_s", T.DoubleType()),
-    T.StructField("opf_decode_s", T.DoubleType()),
-])
+# FIXED VALUES: the numeric fields of one measured call.
+M_FIELDS = ("latency_s", "input_tokens", "input_tps", "output_tokens", "ttft_s", "prefill_tps", "decode_tps", "short_e2e_tps",
+            "peak_gpu_mem_mb", "opf_component_s", "opf_tokenize_s", "opf_window_prepare_s", "opf_model_forward_s",
+            "opf_logprob_transfer_s", "opf_aggregation_s", "opf_decode_s", "opf_span_postprocess_s", "opf_redaction_s",
+            "opf_windows", "opf_window_tokens")
+_WHOLE = ("input_tokens", "output_tokens")
+
+
+def _fields(names, kind) -> list[T.StructField]:
+    return [T.StructField(n, kind) for n in names]
+
+
+M_SCHEMA = T.StructType([T.StructField("repeat_index", T.LongType()),
+                         *[T.StructField(n, T.LongType() if n in _WHOLE else T.DoubleType()) for n in M_FIELDS]])
+SCORE_SCHEMA = T.StructType([
+    T.StructField("sample_id", T.StringType()), T.StructField("pii_total", T.LongType()), T.StructField("pii_hit", T.LongType()),
+    T.StructField("missed_pii", T.ArrayType(T.StringType())), T.StructField("anchor_total", T.LongType()),
+    T.StructField("anchor_keep", T.LongType()), T.StructField("changed_anchors", T.ArrayType(T.StringType()))])
 RESULT_SCHEMA = T.StructType([
-    T.StructField("schema_version", T.LongType()), T.StructField("kind", T.StringType()),
-    T.StructField("run_id", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("model_type", T.StringType()), T.StructField("created_at", T.StringType()),
-    T.StructField("hardware", T.StringType()),
-    T.StructField("bucket_tokens", T.LongType()), T.StructField("repeats", T.LongType()),
-    T.StructField("successful_repeats", T.LongType()), T.StructField("power_watts", T.DoubleType()),
-    T.StructField("load", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("schema_version", T.LongType()), *_fields(("kind", "run_id", "model", "model_type", "created_at", "hardware"), T.StringType()),
+    *_fields(("bucket_tokens", "actual_tokens", "chars", "repeats", "successful_repeats"), T.LongType()),
+    T.StructField("power_watts", T.DoubleType()),
+    T.StructField("load", T.StructType([T.StructField("load_s", T.DoubleType()), T.StructField("device", T.StringType())])),
     T.StructField("measurements", T.ArrayType(M_SCHEMA)),
     T.StructField("aggregate", T.MapType(T.StringType(), T.DoubleType())),
-    T.StructField("errors", T.ArrayType(T.StructType([T.StructField("type", T.StringType()),
-                                                     T.StructField("message", T.StringType())]))),
-    T.StructField("serial_count", T.LongType()), T.StructField("serial_chunk_tokens", T.LongType()),
-    T.StructField("serial_total_tokens", T.LongType()), T.StructField("serial_total_latency_s", T.DoubleType()),
-    T.StructField("serial_effective_tps", T.DoubleType()), T.StructField("concat_tokens", T.LongType()),
-    T.StructField("concat_latency_s", T.DoubleType()), T.StructField("concat_input_tps", T.DoubleType()),
-    T.StructField("speedup_vs_serial", T.DoubleType()),
-    T.StructField("sample_count", T.LongType()), T.StructField("successful_samples", T.LongType()),
-    T.StructField("pii_total", T.LongType()), T.StructField("pii_hit", T.LongType()),
-    T.StructField("anchor_total", T.LongType()), T.StructField("anchor_keep", T.LongType()),
-    T.StructField("recall", T.DoubleType()), T.StructField("anchor_keep_rate", T.DoubleType()),
-    T.StructField("latency_s", T.DoubleType()),
-    T.StructField("error_type", T.StringType()), T.StructField("error", T.StringType()),
-    # kind = measurement: one attempt per row
-    T.StructField("repeat_index", T.LongType()), T.StructField("input_tps", T.DoubleType()),
-    T.StructField("input_tokens", T.LongType()), T.StructField("opf_tokenize_s", T.DoubleType()),
-    T.StructField("opf_model_forward_s", T.DoubleType()), T.StructField("opf_decode_s", T.DoubleType()),
+    T.StructField("errors", T.ArrayType(T.StructType(_fields(("sample_id", "type", "message"), T.StringType())))),
+    *_fields(("serial_count", "serial_chunk_tokens", "serial_total_tokens", "concat_tokens"), T.LongType()),
+    *_fields(("serial_total_latency_s", "serial_effective_tps", "concat_latency_s", "concat_input_tps", "speedup_vs_serial"), T.DoubleType()),
+    *_fields(("sample_count", "successful_samples", "pii_total", "pii_hit", "anchor_total", "anchor_keep", "error_count"), T.LongType()),
+    *_fields(("recall", "anchor_keep_rate"), T.DoubleType()),
+    T.StructField("sample_scores", T.ArrayType(SCORE_SCHEMA)),
+    *_fields(("error_type", "error"), T.StringType()),
+    # kind = measurement: one attempt per row; kind = sample_score: one scored sample per row
+    *M_SCHEMA.fields,
+    T.StructField("sample_id", T.StringType()), T.StructField("missed_pii", T.ArrayType(T.StringType())),
+    T.StructField("changed_anchors", T.ArrayType(T.StringType())),
 ])
 
 
-def read_results(spark: SparkSession, paths: list[str], glob: str = "*.json*") -> DataFrame:
-    """Result rows from files or folders (non-recursive), tagged with ``_source``."""
-    return (spark.read.schema(RESULT_SCHEMA).option("pathGlobFilter", glob).json(paths)
-                 .withColumn("_source", F.col("_metadata.file_path")))
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jvm_path).isDirectory()
+
+
+def read_results(spark: SparkSession, paths: list[str], glob: str = "{*.jsonl,part-*.json*}") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): result rows tagged with ``_source``, and the lines that are not JSON objects.
+
+    A folder contributes its ``*.jsonl`` files and the part files Spark wrote
+    (not recursively, and no other JSON files); a file named outright is read
+    whatever its name.
+    """
+    folders = [p for p in paths if _is_folder(spark, p)]
+    files = [p for p in paths if p not in folders]
+    parts = ([spark.read.option("pathGlobFilter", glob).text(folders)] if folders else []) + ([spark.read.text(files)] if files else [])
+    # the part files of one written folder are one source
+    source = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
+    lines = merge(*[p.select(py_strip("value").alias("line"), source.alias("_source")) for p in parts]).where(F.col("line") != "")
+    parsed = lines.select("line", "_source", F.from_json("line", RESULT_SCHEMA).alias("r"), F.try_parse_json("line").isNull().alias("malformed"))
+    rejects = parsed.where("malformed").select(F.col("_source").alias("file"), "line", F.lit("malformed JSON").alias("reason"))
+    return parsed.where(~F.col("malformed")).select("r.*", "_source"), rejects
 
 
 def split_kinds(rows: DataFrame) -> dict[str, DataFrame]:

@@ -13,24 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: A table of at least this many files per core keeps its partitions.
+FILES_PER_CORE = 4
+
+
 def spread(df: DataFrame, min_partitions: int | None = None, key: str | tuple | list | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work (regex over text) at least one task per core.
-
-    A scan has one partition per file split / row group. Large inputs already
-    have many, and are returned unchanged (no shuffle). Only an input with
-    fewer partitions than the cluster has cores -- one big row group, say --
-    is redistributed, which moves at most that small input once.
-    With a ``key`` the rows are hash-partitioned on it (no sort needed, and
-    deterministic if a task is retried); without one, round-robin.
+    """Give CPU-heavy per-row work (regex over text) an even share of the rows per core.
+
+    A scan may have many partitions and still hold all rows in one of them,
+    as a Parquet row group is read by a single task. Files are what surely
+    lies apart: a table of several files per core keeps its partitions
+    (no shuffle). A table of few files is small and is dealt out once: by
+    ``key`` (deterministic if a task is retried) or else round-robin.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= FILES_PER_CORE * target:
         return df
     if key is None:
-        return df.repartition(target)
+        return df.repartition(target * FILES_PER_CORE)
     keys = [key] if isinstance(key, str) else list(key)
-    return df.repartition(target, *keys)
+    return df.repartition(target * FILES_PER_CORE, *keys)
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ from ..sources.jsonl import scratch_path
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                 .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    table = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{table}*")
 
 
 def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,14 @@ def windowed_rollup_stream(spark: SparkSession, sf_dir: str, window: str = "1 da
              .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"),
                   F.percentile_approx("value", 0.5, 10000).alias("approx_p50_value")))
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        # complete mode: every micro-batch carries the full (small, bounded by
-        # days x types) result, so each one replaces the table atomically
-        batch.write.mode("overwrite").parquet(out)
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        # an epoch that runs again replaces its own folder only
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    q = (agg.writeStream.outputMode("complete").option("checkpointLocation", ckpt)
+    # update mode: a micro-batch brings the windows it changed, and the watermark drops the state of closed ones
+    q = (agg.writeStream.outputMode("update").option("checkpointLocation", ckpt)
             .foreachBatch(write_batch).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    newest = spark.read.parquet(out).groupBy("w", "event_type").agg(
+        F.max_by(F.struct("n", "mean_value", "approx_p50_value"), "epoch").alias("x"))
+    return newest.select("w", "event_type", "x.*")
