@@ -18,8 +18,8 @@ def _decode(spark, cases, allowed=None):
 
 
 def test_bioes_merge(spark):
-    case = [(1, ((0, 5, "B-private_person"), (6, 11, "E-private_person"), (16, 33, "S-private_email")))]
-    assert _decode(spark, case)[1] == [("private_person", 0, 11), ("private_email", 16, 33)]
+    case = [(1, ((2, 4, "B-secret"), (5, 7, "I-secret"), (8, 12, "E-secret"), (20, 21, "S-private_url")))]
+    assert _decode(spark, case)[1] == [("secret", 2, 12), ("private_url", 20, 21)]
 
 
 def test_bioes_fixture_cases_match_sequential_rules(spark):
@@ -47,14 +47,12 @@ def test_split_bioes(spark):
 
 
 def test_fallback_alignment(spark):
-    labels = spark.createDataFrame(
-        [(1, 0, "Alice", "B-private_person"), (1, 1, " Smith", "E-private_person"), (1, 2, " alice@example.com", "S-private_email")],
-        "doc_id long, tok_idx int, piece string, label string")
-    texts = spark.createDataFrame([(1, "Alice Smith <alice@example.com>")], "doc_id long, text string")
-    r = X.fallback_spans(labels, texts).first()
-    text = "Alice Smith <alice@example.com>"
-    assert [(s.label, text[s.start:s.end]) for s in r.spans] == [("private_person", "Alice Smith"),
-                                                                 ("private_email", "alice@example.com")]
+    labels = spark.createDataFrame([(1, 0, "Mira", "B-private_person"), (1, 1, " Voss", "E-private_person"),
+                                    (1, 2, " wrote", "O"), (1, 3, " mv@post.example", "S-private_email")],
+                                   "doc_id long, tok_idx int, piece string, label string")
+    text = "On Monday Mira Voss wrote: mv@post.example"
+    r = X.fallback_spans(labels, spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.label, text[s.start:s.end]) for s in r.spans] == [("private_person", "Mira Voss"), ("private_email", "mv@post.example")]
 
 
 def test_window_merge_single_window_is_identity(spark):
@@ -110,3 +108,37 @@ def test_overlap_join_no_duplicates(spark):
     spans = spark.createDataFrame([(1, "s1", 1, "EMAIL", 5, 150)], "doc_id long, span_id string, rule int, label string, start int, end int")
     got = sorted(r.tok_idx for r in X.overlap_join(toks, spans).collect())
     assert got == list(range(0, 15))
+
+
+def test_window_merge_mask_negative_position_and_minus_infinity(spark):
+    low = float("-inf")
+    df = spark.createDataFrame([(1, 0, 3, True, [low, -2.0]), (1, 1, 3, True, [low, -2.0]), (1, 2, 3, False, [0.0, 0.0]),
+                                (1, 0, -1, True, [0.0, 0.0]), (1, 0, 4, None, [0.0, 0.0])],
+                               "doc_id long, window_id long, tok_idx int, mask boolean, logprob array<double>")
+    row, = X.merge_windows(df).collect()
+    assert row.tok_idx == 3 and row.score[0] == low and abs(row.score[1] + 2.0) < 1e-12
+
+
+def test_greedy_selection_equals_pairwise_definition(spark):
+    import random
+    rnd = random.Random(6)
+    rows = [(d, [(rnd.choice("ab"), s, s + rnd.randint(0, 6)) for s in (rnd.randint(0, 20) for _ in range(rnd.randint(0, 9)))]) for d in range(200)]
+    df = spark.createDataFrame(rows, f"doc_id long, spans {X.SPAN_T}")
+    got = {r.doc_id: ([tuple(x) for x in r.a], [tuple(x) for x in r.b]) for r in df.select(
+        "doc_id", X.select_non_overlapping(F.col("spans")).alias("a"), X.discard_overlapping_by_label(F.col("spans")).alias("b")).collect()}
+
+    def keep(spans, by_label):
+        out = []
+        for s in sorted(spans, key=lambda s: (s[1], s[1] - s[2])):
+            if not any(k[1] < s[2] and s[1] < k[2] and (not by_label or k[0] == s[0]) for k in out):
+                out.append(s)
+        return out
+
+    assert got == {d: (keep(x, False), keep(x, True)) for d, x in rows}
+
+
+def test_span_queries_shuffle_no_text(spark):
+    from veilspark.sources.tables import table
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    plan = X.rule_spans_as_categories(docs).select("doc_id", X.select_non_overlapping(F.col("spans")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
