@@ -225,6 +225,15 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
 
+def _gaps(numbers: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, low bytes first, then the (mostly zero) higher ones: they compress well."""
+    return np.diff(numbers, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _from_gaps(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.reshape(4, -1).T.copy().view("<u4").ravel()).astype("<u4")
+
+
 _RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 _RESULT_SQL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -251,7 +260,7 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     at = order[bounds[b]:bounds[b + 1]]
                     if len(at):
                         rows.append((b, number, False, _pack(ids[row[at]], h[at].astype("<u4"), own[at].astype("<u4"),
-                                                             at.astype("<u4"), (own[at] >> np.uint64(32)).astype("<u2"))))
+                                                             _gaps(at), (own[at] >> np.uint64(32)).astype("<u2"))))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
 
@@ -262,7 +271,8 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
             sizes = [len(blob) // 22 for _, blob in held]
             part = lambda low, kind: np.concatenate([np.frombuffer(blob, kind, n, low * n) for (_, blob), n in zip(held, sizes, strict=True)])
             stretch = part(12, "<u4").astype(np.uint64) | part(20, "<u2").astype(np.uint64) << np.uint64(32)
-            marks, numbers = _marks(part(8, "<u4"), stretch, part(0, "<i8")), part(16, "<u4")
+            marks = _marks(part(8, "<u4"), stretch, part(0, "<i8"))
+            numbers = np.concatenate([_from_gaps(np.frombuffer(blob, np.uint8, 4 * n, 16 * n)) for (_, blob), n in zip(held, sizes, strict=True)])
             blobs, at = [], 0
             for n in sizes:
                 some = np.flatnonzero(marks[at:at + n]) + at
