@@ -5,15 +5,15 @@
    copies and go on as one row.
 2. MinHash signatures are cut into bands; band and row counts follow from the
    target recall at the threshold. Band hashes are the shuffle key.
-3. Within a bucket every set is paired with the bucket's first set only (a
-   star), and each pair is verified on the full sets. Connected components
-   of the verified pairs are formed; where a bucket still joins sets of
-   different components, all those cross-component pairs are verified too. So
-   no two sets that share a bucket and are similar end in different groups,
-   and a group of n near copies costs about n pairs, not n squared.
-4. Within a component, tasks compare blocks of at most 2 x BLOCK sets with each other and
-   return only counts: every link between different texts counts, no pair is
-   emitted.
+3. Sets that share a bucket belong to one candidate group: the connected
+   components of "set and first set of its bucket", as many pairs as bucket
+   entries.
+4. Within a candidate group, tasks compare blocks of at most 2 x BLOCK sets in
+   full. They return, for each set, how many it is linked to, and a spanning
+   forest of the links; the pairs themselves are never rows. So every pair of
+   a bucket is verified and every link between different texts counts, while a
+   group of n near copies makes about n * n / BLOCK rows, not n * n.
+5. Connected components of the forests are the classes.
 
 Result: one row per document. Defined results for odd input: null and text
 without words have no shingles and link to nothing (a class of their own, id
@@ -140,20 +140,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return joined.mapInArrow(run, "set_no long, shingles array<long>").dropDuplicates(["set_no"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("set_no").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_no").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return joined.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
-def _long_enough(n: str, m: str, threshold: float):
-    """Sets whose sizes differ too much cannot reach the threshold."""
-    return F.least(n, m) >= threshold * F.greatest(n, m)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's connected component; large-star and small-star rounds."""
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -195,10 +181,26 @@ def _link_matrix(left: list[np.ndarray], right: list[np.ndarray], threshold: flo
     return both >= threshold * (nx[:, None] + ny[None, :] - both)
 
 
-def _link_counts(groups: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Per set_no: ``sets`` (other sets linked to it) and ``docs`` (documents with those sets).
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric adjacency matrix."""
+    left, out = near.any(axis=1), []
+    while left.any():
+        todo = [int(left.argmax())]
+        left[todo[0]] = False
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & left)
+            left[new] = False
+            out += [(at, int(k)) for k in new]
+            todo += new.tolist()
+    return out
+
+
+def _linked(groups: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Rows (set_no, sets, docs, other): how many sets a set is linked to and how many documents have them
+    (to be summed), or with ``other`` a link of the spanning forests.
 
-    ``groups``: set_no, label, n_rows, for components of two and more sets.
+    ``groups``: set_no, label, n_rows, for candidate groups.
     """
     sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = groups.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("set_no"), F.col("blocks")).cast("int"))
@@ -206,7 +208,7 @@ def _link_counts(groups: DataFrame, sets: DataFrame, threshold: float, block: in
     rows = rows.select("set_no", "n_rows", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # deal block pairs, not components, to tasks
     rows = rows.join(sets, "set_no").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    schema = pa.schema([("set_no", pa.int64()), ("sets", pa.int64()), ("docs", pa.int64())])
+    schema = pa.schema([("set_no", pa.int64()), ("sets", pa.int64()), ("docs", pa.int64()), ("other", pa.int64())])
 
     def count(members: list[dict], i: int, j: int) -> pa.RecordBatch:
         at = [m for m in members if m["own"] == i]
@@ -216,13 +218,16 @@ def _link_counts(groups: DataFrame, sets: DataFrame, threshold: float, block: in
         out = []
         if i == j:
             np.fill_diagonal(linked, False)
-            sides = [(at, to, linked)]
+            sides, near = [(at, to, linked)], linked
         else:
             sides = [(at, to, linked), (to, at, linked.T)]
+            near = np.block([[np.zeros((len(at), len(at)), dtype=bool), linked], [linked.T, np.zeros((len(to), len(to)), dtype=bool)]])
         for own, other, links in sides:
             weight = np.array([m["n_rows"] for m in other], dtype=np.int64)
-            out += [(m["set_no"], int(row.sum()), int(weight[row].sum())) for m, row in zip(own, links, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], schema=schema)
+            out += [(m["set_no"], int(row.sum()), int(weight[row].sum()), None) for m, row in zip(own, links, strict=True) if row.any()]
+        nodes = [m["set_no"] for m in (at if i == j else at + to)]
+        out += [(nodes[a], 0, 0, nodes[b]) for a, b in _forest(near)]
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, []
@@ -240,8 +245,7 @@ def _link_counts(groups: DataFrame, sets: DataFrame, threshold: float, block: in
         if members:
             yield count(members, *now[1:])
 
-    found = rows.mapInArrow(run, "set_no long, sets long, docs long")
-    return found.groupBy("set_no").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(run, "set_no long, sets long, docs long, other long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, max_hashes: int = MAX_HASHES,
@@ -255,36 +259,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .withColumn("set_no", F.monotonically_increasing_id()), "sets")
 
-    # buckets with two and more sets, and the star pairs of each
-    members = sets.select("set_no", "n", F.posexplode("bands").alias("band", "h"))
+    # sets that share a bucket, through the first set of the bucket
+    members = sets.select("set_no", F.posexplode("bands").alias("band", "h"))
     buckets = members.groupBy("band", "h").agg(F.min("set_no").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(members.join(buckets, ["band", "h"]), "members")
-    lengths = sets.select(F.col("set_no").alias("a"), F.col("n").alias("m"))
-    star = members.where("set_no <> first").groupBy(F.col("first").alias("a"), F.col("set_no").alias("b")).agg(F.first("n").alias("n"))
-    star = written(star.join(lengths, "a").where(_long_enough("n", "m", threshold)).select("a", "b"), "star")
-    near = members.select("set_no").distinct().join(sets.select("set_no", "set_key", "doc_id"), "set_no")
-    full = written(_sets(docs, near, n), "shingles")
-    links = written(_verified(star, full, threshold), "links")
-    labels = written(components(links), "labels")
-
-    # what the stars left apart: pairs of a bucket across components
-    named = members.join(labels, members["set_no"] == labels["node"], "left").select(
-        "band", "h", "set_no", "n", F.coalesce("label", "set_no").alias("label"))
-    parts = named.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("band", "h").agg(
-        F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    mixed = written(named.join(parts, ["band", "h"]), "mixed")
-    apart = mixed.where("label <> main").select("band", "h", F.col("set_no").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
-    rest = apart.join(mixed, ["band", "h"]).where(
-        (F.col("la") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("set_no")))
-        & _long_enough("n", "m", threshold))
-    rest = rest.select(F.least("a", "set_no").alias("a"), F.greatest("a", "set_no").alias("b")).distinct()
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(_verified(rest, full, threshold), "more-links")
-    if not more.isEmpty():
-        labels = written(components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
-
-    groups = labels.join(sets, labels["node"] == sets["set_no"]).select("set_no", "label", "n_rows")
-    counts = _link_counts(groups, full, threshold, block)
+    star = members.join(buckets, ["band", "h"]).where("set_no <> first").select(F.col("first").alias("a"), F.col("set_no").alias("b"))
+    candidates = written(components(star).join(sets.select(F.col("set_no").alias("node"), "set_key", "doc_id", "n_rows"), "node")
+                         .withColumnRenamed("node", "set_no"), "candidates")
+    full = _sets(docs, candidates.select("set_no", "set_key", "doc_id"), n)
+    found = written(_linked(candidates.select("set_no", "label", "n_rows"), full, threshold, block), "links")
+    counts = found.where("other IS NULL").groupBy("set_no").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
+    labels = components(found.where("other IS NOT NULL").select(F.col("set_no").alias("a"), F.col("other").alias("b")))
+    groups = written(labels.select(F.col("node").alias("set_no"), "label"), "labels")
     heads = groups.select("set_no", "label").join(sets.select("set_no", "doc_id"), "set_no").groupBy("label").agg(F.min("doc_id").alias("head"))
     info = sets.select("set_no", "set_key", "n_rows", F.col("doc_id").alias("own")).join(groups.select("set_no", "label"), "set_no", "left")
     info = info.join(heads, "label", "left").join(counts, "set_no", "left").select(
