@@ -8,7 +8,7 @@ the registered queries so that they read real data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # FIXED VALUES: the model configuration used by the registered queries
@@ -143,3 +143,22 @@ def short_commit(git) -> Column:
     g = F.col(git) if isinstance(git, str) else git
     return F.concat(F.substring(F.coalesce(g["commit"], F.lit("")), 1, 8),
                     F.when(F.coalesce(g["dirty"], F.lit(False)), F.lit(" dirty")).otherwise(F.lit("")))
+
+
+def display(value: Column, pattern: str = "%.2f") -> Column:
+    """A number by a format; ``-`` for NULL."""
+    return F.when(value.isNull(), F.lit("-")).otherwise(F.format_string(pattern, value))
+
+
+def display_list(items: Column) -> Column:
+    """Items joined by ``<br>``, with ``/`` for ``|``; ``-`` for NULL or none."""
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.replace(x, F.lit("|"), F.lit("/"))), "<br>")).otherwise(F.lit("-"))
+
+
+def first_n(df: DataFrame, keys: list[str], order: list[str], n: int | None) -> DataFrame:
+    """The first ``n`` rows of each group; 0 or None keeps all. Spark limits each
+    partition's groups before the shuffle, so a hot group sends few rows."""
+    if not n:
+        return df
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -56,6 +56,12 @@ def lookup_label(idx: Column) -> Column:
         .otherwise(F.concat(F.lit("label_"), idx.cast("string")))
 
 
+def label_of(names: Column, idx: Column) -> Column:
+    """The name that a label map (integer or text keys) has for an index; ``O`` if it has none or an empty one."""
+    by_text = F.transform_keys(names, lambda k, v: k.cast("string"))
+    return F.coalesce(F.nullif(F.try_element_at(by_text, idx.cast("string")), F.lit("")), F.lit("O"))
+
+
 # ------------------------------------------------------------------ range join
 
 def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucket: int = BUCKET_CHARS) -> DataFrame:

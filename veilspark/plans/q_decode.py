@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PII_CATEGORIES
@@ -24,16 +24,29 @@ def r6(c):
 
 
 def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations``, plus cases from ``benchmark`` with tokens of every label:
+    runs of numbers, an address, and a word whose label cannot stand alone."""
     c = spread(table(spark, sf_dir, "conversations"), key="conv_id")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    turns = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    i = F.col("item_id").cast("string")
+    cases = table(spark, sf_dir, "benchmark").select(
+        (-1 - F.col("item_id")).alias("doc_id"),
+        F.concat(F.lit("call 555 "), i, F.lit("123 4567 or 999 write user"), i, F.lit("@host.example now_ or 12 777 8888"), i).alias("text"))
+    return turns.unionByName(cases)
 
 
 def rule_labels(spark, sf_dir) -> DataFrame:
-    """Token table of conversations with a simple per-token 'true' label."""
+    """Token table of :func:`conv_docs` with a simple per-token 'true' label: addresses are S, numbers of three
+    and more digits B, I, E or S by their neighbours, and ``now_`` an I that no B begins."""
     tt = token_table(conv_docs(spark, sf_dir))
+    w = Window.partitionBy("doc_id").orderBy("tok_idx")
+    num = F.col("piece").rlike("^[0-9]{3,}$")
+    tt = tt.withColumn("_before", F.coalesce(F.lag(num).over(w), F.lit(False))).withColumn("_after", F.coalesce(F.lead(num).over(w), F.lit(False)))
+    tag = (F.when(F.col("_before") & F.col("_after"), "I").when(F.col("_before"), "E").when(F.col("_after"), "B").otherwise("S"))
     lab = (F.when(F.col("piece").contains("@"), F.lit("S-private_email"))
-            .when(F.col("piece").rlike("^[0-9]{3,}$"), F.lit("S-private_phone")).otherwise(F.lit("O")))
-    return tt.withColumn("label", lab)
+            .when(num, F.concat(tag, F.lit("-private_phone")))
+            .when(F.col("piece") == "now_", F.lit("I-private_date")).otherwise(F.lit("O")))
+    return tt.withColumn("label", lab).drop("_before", "_after")
 
 
 def scores(spark, sf_dir) -> DataFrame:
@@ -41,15 +54,20 @@ def scores(spark, sf_dir) -> DataFrame:
 
 
 TOKS_SQL = f"""
-cdocs AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
+cdocs AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations UNION ALL
+  SELECT -1 - item_id, 'call 555 ' || item_id || '123 4567 or 999 write user' || item_id || '@host.example now_ or 12 777 8888' || item_id FROM benchmark),
 t0 AS (SELECT doc_id, regexp_extract_all(text, {O.q(O.TOKEN_RE2)}, 0) AS k, string_split_regex(text, {O.q(O.TOKEN_RE2)}) AS g FROM cdocs),
 z AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS tok_idx, len(g[i]) + len(k[i]) AS step, len(k[i]) AS klen, k[i] AS piece
       FROM t0, range(1, len(k) + 1) r(i)),
 toks AS (SELECT doc_id, tok_idx, piece,
            sum(step) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS UNBOUNDED PRECEDING) - klen AS tok_start,
            sum(step) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS UNBOUNDED PRECEDING) AS tok_end FROM z),
-labs AS (SELECT *, CASE WHEN contains(piece, '@') THEN 'S-private_email'
-                        WHEN regexp_full_match(piece, '[0-9]{{3,}}') THEN 'S-private_phone' ELSE 'O' END AS label FROM toks),
+nums AS (SELECT *, regexp_full_match(piece, '[0-9]{{3,}}') AS num FROM toks),
+near AS (SELECT *, coalesce(lag(num) OVER (PARTITION BY doc_id ORDER BY tok_idx), false) AS bef,
+                coalesce(lead(num) OVER (PARTITION BY doc_id ORDER BY tok_idx), false) AS aft FROM nums),
+labs AS (SELECT * EXCLUDE (num, bef, aft), CASE WHEN contains(piece, '@') THEN 'S-private_email'
+           WHEN num THEN CASE WHEN bef AND aft THEN 'I' WHEN bef THEN 'E' WHEN aft THEN 'B' ELSE 'S' END || '-private_phone'
+           WHEN piece = 'now_' THEN 'I-private_date' ELSE 'O' END AS label FROM near),
 classes AS (SELECT CAST(i - 1 AS BIGINT) AS label_idx, c AS cls FROM (SELECT unnest({CLASS_LIST}) AS c,
             unnest(range(1, {len(CLASSES)} + 1)) AS i)),
 win AS (SELECT l.*, w AS window_id FROM labs l,
@@ -124,9 +142,13 @@ def dec_13_scores_offsets_join(spark, sf_dir):
 
 @register("dec_4_viterbi")
 def dec_4_viterbi(spark, sf_dir):
+    """Best legal path of each document: its total score, and how many of its labels differ from arg-max."""
     m = X.merge_windows(scores(spark, sf_dir))
-    v = X.viterbi(m)
-    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("label_idx") > 0).alias("labelled"))
+    v = X.viterbi(m).join(m, ["doc_id", "tok_idx"])
+    own = F.element_at("score", F.col("label_idx") + 1)
+    # the total's order of summing differs between engines: five digits are compared
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.round(F.sum(own) + F.lit(1e-9), 5).alias("best_score"),
+                                   (F.count_if(own < F.array_max("score")) > 0).alias("differs"))
 
 
 @register("dec_11_scorer_map_in_pandas")
@@ -144,7 +166,7 @@ def dec_11_scorer_map_in_pandas(spark, sf_dir):
         idx = {c: i for i, c in enumerate(CLASSES)}
         for pdf in batches:
             is_mail = pdf["piece"].str.contains("@", regex=False).to_numpy()
-            is_num = pdf["piece"].str.fullmatch(r"[0-9]{3,}").fillna(False).to_numpy()
+            is_num = pdf["piece"].str.fullmatch(r"[0-9]{3,}").fillna(False).to_numpy(dtype=bool)
             lab = np.where(is_mail, idx[email], np.where(is_num, idx[phone], 0))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tok_idx": pdf["tok_idx"].astype("int32"),
                                 "label_idx": lab.astype("int32")})
@@ -262,9 +284,13 @@ def red_6_valid_spans(spark, sf_dir):
 
 @register("red_7_label_lookup")
 def red_7_label_lookup(spark, sf_dir):
+    """Label names of predictions: by category index, and through a label map with text keys that
+    knows the e-mail and phone classes only (others are ``O``)."""
     best = X.argmax_labels(X.merge_windows(scores(spark, sf_dir)))
     cat_idx = F.floor((F.col("label_idx") - 1) / 4).cast("int")     # O -> -1 -> 'label_-1'
-    return best.select(X.lookup_label(cat_idx).alias("name")).groupBy("name").count()
+    known = [(str(i), c) for i, c in enumerate(CLASSES) if c.endswith(("_email", "_phone"))]
+    names = F.create_map(*[F.lit(x) for kv in known for x in kv])
+    return best.select(X.lookup_label(cat_idx).alias("name"), X.label_of(names, F.col("label_idx")).alias("mapped")).groupBy("name", "mapped").count()
 
 
 @register("red_8_trim_whitespace")

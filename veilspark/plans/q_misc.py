@@ -31,12 +31,12 @@ def prj_1_nested_defaults(spark, sf_dir):
 
 @register("prj_2_derived_throughput", sql=f"""
 WITH {MEAS_SQL}
-SELECT event_id, round(CASE WHEN latency_s > 0 THEN coalesce(nullif(input_tokens, 0), 256) / latency_s END + 1e-9, 6) AS input_tps
+SELECT event_id, round(CASE WHEN latency_s > 0 THEN coalesce(nullif(input_tokens, 0), bucket_tokens) / latency_s END + 1e-9, 6) AS input_tps
 FROM meas
 """)
 def prj_2_derived_throughput(spark, sf_dir):
     m = meas(spark, sf_dir)
-    tokens = F.coalesce(F.nullif(F.col("input_tokens"), F.lit(0)), F.lit(256))
+    tokens = F.coalesce(F.nullif(F.col("input_tokens"), F.lit(0)), F.col("bucket_tokens"))
     return m.select("event_id", r6(F.when(F.col("latency_s") > 0, tokens / F.col("latency_s"))).alias("input_tps"))
 
 
@@ -159,16 +159,20 @@ def prj_11_power_telemetry(spark, sf_dir):
     return e.select("event_id", r6(F.when(w != "", w.cast("double") / 1000)).alias("watts"))
 
 
-@register("prj_12_display_format")
+@register("prj_12_display_format", sql=f"""
+WITH {MEAS_SQL}, v AS (SELECT event_id, floor(latency_s * 100) / 100 + 0.003 AS x, bucket_tokens, model, error_type FROM meas)
+SELECT event_id, coalesce(printf('%.2f', x), '-') AS latency, coalesce(printf('%.1f', x * 1000 + 0.02), '-') AS latency_ms,
+       printf('%.1f%%', bucket_tokens / 4096.0 * 100 + 0.02) AS bucket_pct,
+       CASE WHEN error_type IS NULL THEN '-' ELSE replace(model || '|x', '|', '/') || '<br>' || error_type END AS findings
+FROM v
+""")
 def prj_12_display_format(spark, sf_dir):
-    """Formatted report strings (2 decimals, percent, ms, '-' for NULL, '<br>' lists).
-    Java and Python round half-way cases differently, so strings are not
-    compared against an oracle."""
-    m = meas(spark, sf_dir)
-    fmt = F.when(F.col("latency_s").isNull(), F.lit("-")).otherwise(F.format_string("%.2f", F.col("latency_s")))
-    ms = F.when(F.col("latency_s").isNull(), F.lit("-")).otherwise(F.format_string("%.1f", F.col("latency_s") * 1000))
-    pct = F.format_string("%.1f%%", (F.col("bucket_tokens") / 4096.0) * 100)
-    return m.select("event_id", fmt.alias("latency"), ms.alias("latency_ms"), pct.alias("bucket_pct"))
+    """Formatted report strings (2 decimals, percent, ms, '-' for NULL, '<br>' lists), on values moved
+    off half-way points, where Java and C round alike."""
+    m = meas(spark, sf_dir).withColumn("x", F.floor(F.col("latency_s") * 100) / 100 + 0.003)
+    items = F.when(F.col("error_type").isNotNull(), F.array(F.concat(F.col("model"), F.lit("|x")), F.col("error_type")))
+    return m.select("event_id", C.display(F.col("x")).alias("latency"), C.display(F.col("x") * 1000 + 0.02, "%.1f").alias("latency_ms"),
+                    C.display(F.col("bucket_tokens") / 4096.0 * 100 + 0.02, "%.1f%%").alias("bucket_pct"), C.display_list(items).alias("findings"))
 
 
 @register("prj_13_short_commit", sql="""
@@ -193,13 +197,8 @@ def ord_1_sorted_turns(spark, sf_dir):
 SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 3
 """)
 def ord_2_first_n_per_lang(spark, sf_dir):
-    """First N samples in file (id) order per language. The top-k is the
-    feature; Spark plans it as a per-partition group limit before the shuffle,
-    so a hot language never ships more than N rows per partition."""
-    from pyspark.sql import Window
-    d = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return d.select("lang", "doc_id", F.row_number().over(w).alias("rn")).where(F.col("rn") <= 3).drop("rn")
+    """First N samples in file (id) order per language; the top-k is the feature."""
+    return C.first_n(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], 3)
 
 
 @register("set_1_difference", sql="""

@@ -7,8 +7,11 @@ or shuffle sizing is never overridden.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -73,6 +76,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="veilspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path (not created) under the shared checkpoint folder; removed when this driver process ends."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/veilspark-{uuid.uuid4().hex}"
+    _folders.append((spark, base))
+    return f"{base}/{name}"
+
+
+@atexit.register
+def _remove_folders() -> None:
+    for spark, base in _folders:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended already; whoever owns the shared folder cleans it
+            return

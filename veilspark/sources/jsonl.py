@@ -9,22 +9,19 @@ with an explicit schema and tagged with their source file.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_strip
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 
 SAMPLE_SCHEMA = "id string, text string, pii array<string>, anchors array<string>, tags array<string>"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never machine-local on a cluster)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/veilspark/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_folder(spark, name)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
