@@ -100,3 +100,11 @@ def test_samples_reader_skips_and_rejects(spark, tmp_path):
     assert got == [("31", "one", (), (), ()), ("z", "two", ("p1", "p2"), (), ("t",))]
     assert sorted(r.reason for r in rejects.collect()) == ["malformed JSON", "missing required field 'id'", "missing required field 'text'"]
     assert samples.where(F.col("file").endswith("s.jsonl")).count() == 2
+
+
+def test_written_keys_are_sorted_at_every_level(spark, tmp_path):
+    df = spark.createDataFrame([(1, {"z": 1, "b": 2}, [{"y": 1, "a": None}], (2, "é"))],
+                               "z int, m map<string,int>, l array<struct<y:int,a:int>>, c struct<q:int,d:string>")
+    write_jsonl(df, str(tmp_path / "o"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == [
+        '{"c":{"d":"é","q":2},"l":[{"a":null,"y":1}],"m":{"b":2,"z":1},"z":1}']

@@ -117,14 +117,21 @@ def src_5_merge_machines(spark, sf_dir):
 @register("snk_1_jsonl_roundtrip", sql=f"""
 WITH {MEAS_SQL}
 SELECT CAST(run_id AS VARCHAR) AS run_id, model, CAST(bucket_tokens AS BIGINT) AS bucket_tokens,
-       count(*) FILTER (WHERE error_type IS NULL) AS n_measurements, count(*) FILTER (WHERE error_type IS NOT NULL) AS n_errors
+       count(*) FILTER (WHERE error_type IS NULL) AS n_measurements, count(*) FILTER (WHERE error_type IS NOT NULL) AS n_errors,
+       count(*) AS sorted_lines, round(sum(latency_s) + 1e-9, 4) AS latency_s
 FROM meas GROUP BY ALL
 """)
 def snk_1_jsonl_roundtrip(spark, sf_dir):
-    m = results(spark, sf_dir).where(F.col("kind") == "measurement")
+    """Written lines: their top-level keys are in order, and their values come back."""
+    lines = spark.read.text(_written_results(spark, sf_dir)).where(F.get_json_object("value", "$.kind") == "measurement")
+    keys = F.json_object_keys("value")
+    v = lambda k, kind: F.get_json_object("value", f"$.{k}").cast(kind)
+    m = lines.select(v("run_id", "string").alias("run_id"), v("model", "string").alias("model"), v("bucket_tokens", "long").alias("bucket_tokens"),
+                     v("error_type", "string").alias("error_type"), v("latency_s", "double").alias("latency_s"), (keys == F.array_sort(keys)).alias("in_order"))
     return m.groupBy("run_id", "model", "bucket_tokens").agg(
         F.count_if(F.col("error_type").isNull()).alias("n_measurements"),
-        F.count_if(F.col("error_type").isNotNull()).alias("n_errors"))
+        F.count_if(F.col("error_type").isNotNull()).alias("n_errors"),
+        F.count_if("in_order").alias("sorted_lines"), r4(F.sum("latency_s")).alias("latency_s"))
 
 
 @register("snk_2_overwrite_run", sql="""

@@ -24,9 +24,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, name)
 
 
+def _in_key_order(col, kind: T.DataType):
+    """The value with the fields of every struct in it in name order."""
+    if isinstance(kind, T.StructType):
+        fields = [_in_key_order(col[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(col, lambda x: _in_key_order(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(col))
+        return F.map_from_entries(entries)
+    return col
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON object per line, keys sorted, nulls written, non-ASCII kept."""
-    cols = sorted(df.columns)
+    """One JSON object per line, keys sorted at every level, nulls written, non-ASCII kept."""
+    cols = [_in_key_order(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(df.columns)]
     (df.select(*cols).write.mode(mode).option("ignoreNullFields", "false").json(path))
 
 
