@@ -135,7 +135,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([piece.column("set_no"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], schema=schema)
                 yield out.filter(pa.array(same, pa.bool_()))
 
-    ids = wanted.select("set_no", "set_key", F.col("doc_id").alias("_id"))
+    # the same join at every size: the wanted sets grow with the corpus
+    ids = wanted.select("set_no", "set_key", F.col("doc_id").alias("_id")).hint("merge")
     joined = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_no", "set_key", "text")
     return joined.mapInArrow(run, "set_no long, shingles array<long>").dropDuplicates(["set_no"])
 
