@@ -19,7 +19,7 @@ MIX_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language (null, or no letter) go; mixed and unsure ones stay."""
     return language_tags.accepted(docs)
 
 

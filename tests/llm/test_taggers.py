@@ -60,6 +60,20 @@ def test_language(spark):
     assert kept.columns == df.columns and {1000, 1001, 1002}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_mixed_texts_are_accepted(spark):
+    rnd = random.Random(9)
+    rows = language_rows()
+    langs = sorted({lang for _, _, lang in rows})
+    mixed = []
+    for d in range(2000, 2010):
+        parts = [" ".join("".join(rnd.choices(WORDS[lang], k=2)) for _ in range(12)) + "." for lang in langs]
+        mixed.append((d, " ".join(parts), None))
+    df = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string").repartition(3)
+    found = {r.doc_id: r for r in L.identify(df, L.fit(df)).collect() if r.doc_id >= 2000}
+    assert all(r.lang_pred != L.UNKNOWN for r in found.values()) and min(r.score for r in found.values()) < 0.5
+    assert set(found) <= {r.doc_id for r in L.accepted(df).collect()}
+
+
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(2, "a b", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in L.identify(df, L.fit(df)).collect()] == [(2, L.UNKNOWN, 0.0)]

@@ -143,8 +143,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more; all columns stay."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is known, whatever its score (a mixed text's is low); all columns stay."""
     model = fit(docs)
     taken = {c.lower() for c in docs.columns}
     flag = "accepted"
@@ -157,8 +157,8 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text"):
                 texts = Texts(piece.column("text"))
-                names, score = model.predict(texts, known) if known else ([UNKNOWN] * texts.count, np.zeros(texts.count))
-                good = pa.array((np.array(names) != UNKNOWN) & (score >= least), pa.bool_())
+                names = model.predict(texts, known)[0] if known else [UNKNOWN] * texts.count
+                good = pa.array([n != UNKNOWN for n in names], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*piece.columns, good], names=columns)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
