@@ -24,12 +24,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
-    return block_naming.drop_copies(docs)
+    """Of equal texts one row with the smallest doc_id stays, also if ids repeat or are missing."""
+    return block_naming.first_rows(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies one row with the smallest doc_id stays, also if ids repeat or are missing."""
     return ngram_join.drop_near_copies(docs)
 
 

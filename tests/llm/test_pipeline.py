@@ -54,3 +54,21 @@ def test_stages(spark, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected = {(d, hashlib.sha256(np.array(tok.encode(by_id[d][1], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for d in ids(step4)}
     assert {(r.doc_id, r.ids_sha256) for r in C.run(spark, str(tmp_path)).collect()} == expected
+
+
+def test_copies_with_repeated_and_missing_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{k % 97}x{k % 13}" for k in range(200))
+    rows = [(d, f"the house {d} and {d * d} trees " * 3, "en", f"src{d % 3}", 5) for d in range(20)]
+    rows += rows + [(None, "one text", "en", "src1", 8)] * 30 + [(7, "another text of seven", "en", "src1", 9)]
+    rows += [(None, long + " a", "en", "src2", 1), (None, long + " b", "en", "src2", 1), (40, long + " c", "en", "src2", 1), (40, long + " d", "en", "src2", 1)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    step = C.written(C.exact_copies(spark, docs, ""), "a")
+    assert sorted(map(tuple, step.collect()), key=repr) == sorted(set(rows), key=repr)
+    near = C.written(C.near_copies(spark, step, ""), "b")
+    left = [tuple(r) for r in near.collect()]
+    assert len(left) == len(set(rows)) - 3 and sum(r[1].startswith(long) for r in left) == 1
+    assert [r[0] for r in left if r[1].startswith(long)] == [40]
+    # of two rows with one id the mix takes one if only that one's leaf has weight
+    two = spark.createDataFrame([(1, "a b c", "en", "src0", 5), (1, "d e f", "de", "src0", 5)], schema)
+    assert [r.text for r in M.chosen(two, percent=100, max_epochs=1, weights={"lang": {"en": 1, "de": 0}}).collect()] == ["a b c"]

@@ -12,7 +12,7 @@ Defined results for odd input: a null text counts as empty, so null and empty
 texts form one group. A null ``doc_id`` sorts after every other id. If rows
 with equal text also share their ``doc_id``, exactly one of them is kept. An
 empty table gives an empty result. Columns other than ``doc_id`` and ``text``
-are ignored by ``identify`` and untouched by ``drop_copies``.
+are ignored by ``identify`` and untouched by ``drop_copies`` and ``first_rows``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 from .registry import query
-from .store import written
+from .store import keyed, written
 
 #: Bytes in a block: one name stands for so much text, and a text of n blocks takes log2(n) rounds.
 BLOCK_BYTES = 8192
@@ -40,15 +40,17 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return rows.withColumn("block", F.substring("_bin", F.col("pos") * block_bytes + 1, F.lit(block_bytes)))
 
 
-def identify(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int | None = None) -> DataFrame:
+def identify(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int | None = None, row_id: str | None = None) -> DataFrame:
     """Per row: ``row_id``, ``doc_id``, ``text_sha256`` and its identity (``level``, ``name``).
 
     ``hash_values`` narrows the routing hash; tests use it to force clashes.
+    ``row_id`` names a column that numbers the rows; without it they are numbered here.
     """
     routed = F.xxhash64("block")
     if hash_values:
         routed = F.pmod(routed, F.lit(hash_values))
-    base = docs.select("doc_id", normalised(F.col("text")).alias("_norm"))
+    number = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    base = docs.select("doc_id", normalised(F.col("text")).alias("_norm"), number.alias("row_id"))
 
     # level 0: number the distinct blocks; the text crosses the network once, here
     sets = (_blocks(base.select("_norm"), block_bytes).select(routed.alias("h"), "block")
@@ -57,7 +59,7 @@ def identify(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int |
         sets.sortWithinPartitions("h").select("h", F.size("blocks").alias("many"), F.explode("blocks").alias("block"))
         .withColumn("name", F.monotonically_increasing_id())
         .select("h", "name", F.when(F.col("many") > 1, F.col("block")).alias("block")), "blocks")
-    rows = _blocks(base.withColumn("row_id", F.monotonically_increasing_id()), block_bytes).select(
+    rows = _blocks(base, block_bytes).select(
         "row_id", "pos", "n", routed.alias("h"), "block",
         F.when(F.col("pos") == 0, F.col("doc_id")).alias("doc_id"),
         F.when(F.col("pos") == 0, F.sha2("_bin", 256)).alias("text_sha256"))
@@ -93,9 +95,9 @@ def identify(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int |
     return out
 
 
-def copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int | None = None) -> DataFrame:
+def copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_values: int | None = None, row_id: str | None = None) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 (and ``row_id``)."""
-    ids = identify(docs, block_bytes, hash_values)
+    ids = identify(docs, block_bytes, hash_values, row_id)
     # a written table, so that the join below may split the rows of a large group over tasks
     groups = written(ids.groupBy("level", "name").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("row_id").alias("row")))
@@ -116,6 +118,13 @@ def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def first_rows(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exactly one row of each group of equal texts, the one that ``copies`` keeps, whatever its id; all columns stay."""
+    rows, key = keyed(docs, "rows")
+    gone = copies(rows, block_bytes, row_id=key).where(~F.col("kept")).select(F.col("row_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
+
+
 @query("op1_block_naming", sql=r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

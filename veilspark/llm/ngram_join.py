@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 from .registry import query
-from .store import written
+from .store import keyed, written
 from .words import Texts, slices
 
 N, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
@@ -284,12 +284,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group (the one with the smallest doc_id) and every document that links to none; all columns.
+    """One row of each group (one with the smallest doc_id, a null id being the largest) and every row that links to none; all columns.
 
-    Rows without a ``doc_id`` stay; rows that share one stay or go together.
+    The join runs on row numbers, so rows that share a ``doc_id`` or have none are told apart.
     """
-    gone = join(docs, **options).where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, key = keyed(docs, "rows")
+    found = join(rows.select(F.col(key).alias("doc_id"), "text"), **options)
+    linked = written(found.where("n_links > 0").select(F.col("doc_id").alias(key), "class_id").join(rows.select(key, "doc_id"), key), "linked")
+    heads = linked.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("head"))
+    gone = linked.join(heads.select(F.col("head")[key].alias(key)), key, "left_anti").select(key)
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 @query("op6_ngram_join")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.tables import table
 from .registry import query
-from .store import written
+from .store import keyed, written
 
 NONE = "(none)"
 LEAF = ["domain", "lang", "source"]
@@ -108,12 +108,16 @@ def budgets(leaves: DataFrame, total: Column, max_epochs: int, weights: dict) ->
 
 
 def mix(docs: DataFrame, weights: dict | None = None, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS,
-        seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per use of a document: doc_id, domain, lang, source, epoch, n_tokens, take_tokens."""
+        seed: int = SEED, bucket_rows: int = BUCKET_ROWS, row: str | None = None) -> DataFrame:
+    """One row per use of a document: doc_id, domain, lang, source, epoch, n_tokens, take_tokens.
+
+    ``row`` names a column that numbers the rows, which then comes last.
+    """
+    own = [row] if row else []
     weights = WEIGHTS if weights is None else weights
     lengths = written(docs.select(
         "doc_id", F.coalesce(domain_of(F.col("source")), F.lit(NONE)).alias("domain"), F.coalesce("lang", F.lit(NONE)).alias("lang"),
-        F.coalesce("source", F.lit(NONE)).alias("source"), n_words(F.col("text")).alias("n_tokens")), "lengths")
+        F.coalesce("source", F.lit(NONE)).alias("source"), n_words(F.col("text")).alias("n_tokens"), *own), "lengths")
     leaves = lengths.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     leaves = written(leaves, "leaves")
     totals = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.max("docs"), F.lit(0)).alias("docs")).first()
@@ -121,7 +125,7 @@ def mix(docs: DataFrame, weights: dict | None = None, percent: int = BUDGET_PERC
     plan = written(plan.select(*LEAF, F.expr("CASE WHEN tokens > 0 THEN amount div tokens ELSE 0 END").alias("whole"),
                                F.expr("CASE WHEN tokens > 0 THEN amount % tokens ELSE 0 END").alias("rest")), "plan")
     used = lengths.join(plan.where("whole > 0 OR rest > 0"), LEAF)
-    columns = ["doc_id", *LEAF, "epoch", "n_tokens", "take_tokens"]
+    columns = ["doc_id", *LEAF, "epoch", "n_tokens", "take_tokens", *own]
     full = (used.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, whole - 1)")))
             .withColumn("take_tokens", F.col("n_tokens")).select(columns))
 
@@ -135,7 +139,7 @@ def mix(docs: DataFrame, weights: dict | None = None, percent: int = BUDGET_PERC
             .withColumn("_bucket", F.substring("_at", 1, digits)))
     sums = last.groupBy(*LEAF, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     sums = sums.withColumn("_base", F.sum("_sum").over(Window.partitionBy(*LEAF).orderBy("_bucket")) - F.col("_sum")).drop("_sum")
-    inside = Window.partitionBy(*LEAF, "_bucket").orderBy("_at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*LEAF, "_bucket").orderBy("_at", "doc_id", "n_tokens", *own).rowsBetween(Window.unboundedPreceding, -1)
     cut = (last.join(sums, [*LEAF, "_bucket"])
            .withColumn("_before", F.col("_base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
            .where(F.col("_before") < F.col("rest"))
@@ -144,9 +148,10 @@ def mix(docs: DataFrame, weights: dict | None = None, percent: int = BUDGET_PERC
 
 
 def chosen(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix uses at least once, whole texts, all columns; ids must be unique."""
-    used = mix(docs, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(used, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    """The rows of ``docs`` that the mix uses at least once, whole texts, all columns; rows that share an id are told apart."""
+    rows, key = keyed(docs, "rows")
+    used = mix(rows, **options, row=key).select(key).distinct()
+    return rows.join(used, key, "left_semi").select(docs.columns)
 
 
 def _oracle() -> str:

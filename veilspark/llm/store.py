@@ -7,7 +7,7 @@ driver process are removed when that process ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_folder
 
@@ -23,3 +23,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number of its own for every row, and the name of that column."""
+    key, taken = "row_key", {c.lower() for c in df.columns}
+    while key in taken:
+        key += "_"
+    return written(df.withColumn(key, F.monotonically_increasing_id()), name), key
