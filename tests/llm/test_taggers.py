@@ -113,3 +113,12 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [tuple(r) for r in T.score_documents(docs, T.fit(docs, none)).collect()] == [(1, 0.0, [])]
+
+
+def test_toxicity_fit_sees_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(T, "ToxicModel", lambda rows: rows)
+    texts = ["bado " * 5000 + "vexo", "kilu " * 6000 + "mer"]
+    rows = [(d, texts[d % 2], d % 2) for d in range(20)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    seen = T.fit(docs, labels)
+    assert {t for _, t in seen} == set(texts)

@@ -39,8 +39,8 @@ from .chain_crf import ChainCRF, chains, hashed, letters
 from .registry import query
 from .words import Texts, WordTable, gather, per_worker, slices
 
-#: Labelled documents that the fit sees, about; at most SAMPLE_CHARS characters of each.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 20_000
+#: Labelled documents that the fit sees, about, whole.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 #: Chains (sentences) of either kind that the field learns from.
 SAMPLE_CHAINS = 20_000
 THRESHOLD = 0.7
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     # the drawn ids are bounded by the sample sizes, so they go to the texts, not the texts to them
     drawn = F.broadcast(marks.where(draw < rate))
     sample = docs.select("doc_id", "text").join(drawn, "doc_id").select(
-        "toxic", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), "doc_id")
+        "toxic", F.coalesce("text", F.lit("")).alias("text"), "doc_id")
     return ToxicModel([(r.toxic, r.text) for r in sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))])
 
 
