@@ -8,4 +8,4 @@ guarded entry module and the pipeline) imports it.
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import (block_naming, bpe_rounds, bwt_merge, fill_middle, language_tags, ngram_join, page_differencing, posting_lists, prefix_trie, source_mixing, token_files, toxic_spans)  # noqa: F401,E402
+from . import (block_naming, bpe_rounds, bwt_merge, fill_middle, imatch, language_tags, ngram_join, page_differencing, posting_lists, prefix_trie, source_mixing, token_files, toxic_spans)  # noqa: F401,E402
