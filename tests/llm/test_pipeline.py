@@ -72,3 +72,19 @@ def test_copies_with_repeated_and_missing_ids(spark):
     # of two rows with one id the mix takes one if only that one's leaf has weight
     two = spark.createDataFrame([(1, "a b c", "en", "src0", 5), (1, "d e f", "de", "src0", 5)], schema)
     assert [r.text for r in M.chosen(two, percent=100, max_epochs=1, weights={"lang": {"en": 1, "de": 0}}).collect()] == ["a b c"]
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key long, accepted string"
+    empty = spark.createDataFrame([], schema)
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, empty, "")
+        assert got.count() == 0 and got.columns == empty.columns, name
+    assert C.STAGES[-1][1](spark, empty, "").count() == 0
+    rows = [(d, f"the house {d} and the {d * d} trees of words " * 4, "en", f"src{d % 3}", 5, 7, "no") for d in range(12)]
+    docs = spark.createDataFrame(rows + [(50, rows[0][1], "en", "src0", 5, 8, "x")], schema)
+    for name, stage in C.STAGES[:3]:
+        docs = C.written(stage(spark, docs, ""), name)
+        assert docs.columns == empty.columns
+    assert sorted(map(tuple, docs.collect())) == sorted(rows)
+    assert C.STAGES[3][1](spark, docs, "").columns == empty.columns

@@ -3,14 +3,18 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import language_tags as L
 from veilspark.llm import toxic_spans as T
+from veilspark.llm import chain_crf
 from veilspark.llm.chain_crf import ChainCRF
 
 
-def test_marginals_against_all_paths():
+@pytest.mark.parametrize("segment", [128, 2, 3])
+def test_marginals_against_all_paths(monkeypatch, segment):
+    monkeypatch.setattr(chain_crf, "SEGMENT", segment)
     rng = np.random.default_rng(0)
     crf = ChainCRF(3, 1)
     crf.start, crf.move = rng.normal(size=3), rng.normal(size=(3, 3))
@@ -122,3 +126,35 @@ def test_toxicity_fit_sees_whole_texts(spark, monkeypatch):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
     seen = T.fit(docs, labels)
     assert {t for _, t in seen} == set(texts)
+
+
+def test_long_chains_keep_their_state(monkeypatch):
+    rng = np.random.default_rng(3)
+    crf = ChainCRF(4, 1)
+    crf.start, crf.move = rng.normal(size=4), 3 * rng.normal(size=(4, 4))
+    lengths = np.array([1000, 1, 129, 128, 700, 257])
+    starts = np.cumsum(lengths) - lengths
+    scores = rng.normal(size=(lengths.sum(), 4))
+    got = crf.marginals(scores, starts, lengths, counts=True)
+    monkeypatch.setattr(chain_crf, "SEGMENT", 5000)
+    for a, b in zip(got, crf.marginals(scores, starts, lengths, counts=True)):
+        assert np.allclose(a, b)
+
+
+def test_whole_words_are_features():
+    long = "a" * 60
+    assert T.word_features(long + "x")[1] != T.word_features(long + "y")[1]
+    assert set(L.word_features(long + "xyz", {})) != set(L.word_features(long + "xyw", {}))
+
+
+def test_training_reads_beyond_the_beginning_and_the_middle(spark):
+    # the only German words stand at the end of long texts
+    rows = [(d, "12 " * 4000 + "der nicht straße schön ung " * 20, "de") for d in range(30)]
+    rows += [(100 + d, "the walking house thought ing " * 20, "en") for d in range(30)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=60_000)
+    assert model.lexicon.get("straße") == "de" and model.lexicon.get("house") == "en"
+
+
+def test_missing_ids_are_not_held_out(spark):
+    df = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert df.select(T.held_out(F.col("doc_id")).alias("x"), L.training_rows(F.col("doc_id")).alias("y")).where("x IS NULL OR y IS NULL").count() == 0

@@ -1,9 +1,12 @@
 """Linear-chain conditional random field over words, in numpy.
 
 Chains are sentences: a chain ends after a word that closes with ``.``, ``!``
-or ``?``, at the end of its text, and after ``MAX_CHAIN`` words, so that long
-texts need no long loops. All chains of a batch advance one word at a time
-together (forward and backward), so a step costs one small matrix product.
+or ``?`` and at the end of its text. All chains of a batch advance one word at
+a time together (forward and backward), so a step costs one small matrix
+product. A chain of more than ``SEGMENT`` words is worked on in segments that
+advance together too: the product of a segment's step matrices carries the
+state over it, so that the result is that of the whole chain and a long text
+needs no long loop.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import numpy as np
 
 from .words import Texts
 
-MAX_CHAIN = 128
+SEGMENT = 128
 _CLOSES = np.zeros(256, dtype=bool)
 _CLOSES[[ord(c) for c in ".!?"]] = True
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -38,12 +41,18 @@ def chains(texts: Texts, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
     new = np.empty(n, dtype=bool)
     new[0] = True
     new[1:] = _CLOSES[texts.data[ends[:-1] - 1]] | (rows[1:] != rows[:-1])
-    spot = np.arange(n)
-    since = spot - np.maximum.accumulate(np.where(new, spot, 0))
-    starts = np.flatnonzero(since % MAX_CHAIN == 0)
+    starts = np.flatnonzero(new)
     return starts, np.diff(np.append(starts, n))
 
 
+def segments(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, length and place within its chain of each segment, chain by chain."""
+    n = -(-lengths // SEGMENT)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(starts, n) + place * SEGMENT
+    return first, np.minimum(np.repeat(starts + lengths, n) - first, SEGMENT), place
+
+
 class ChainCRF:
     """Emission weights of hashed features, start and transition scores of ``k`` states."""
 
@@ -57,14 +66,18 @@ class ChainCRF:
                   counts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """State probabilities of every word given its chain; with ``counts`` also the
         expected start states and transitions (sums over chains)."""
+        chain_starts = starts
+        starts, lengths, place = segments(starts, lengths)
         order = np.argsort(-lengths, kind="stable")
         first, size = starts[order], lengths[order]
         longest = int(size[0]) if len(size) else 0
-        alive = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # chains with more than t words
+        alive = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # segments with more than t words
         e = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
         a = np.exp(self.move)
+        before, after, joined = self._carried(e, a, starts, lengths, place)
         alpha = np.empty_like(e)
-        now = np.exp(self.start)[None, :] * e[first]
+        head = np.where((place > 0)[:, None], before @ a, np.exp(self.start)[None, :])
+        now = head[order] * e[first]
         now /= now.sum(axis=1, keepdims=True)
         alpha[first] = now
         for t in range(1, longest):
@@ -73,18 +86,54 @@ class ChainCRF:
             now /= now.sum(axis=1, keepdims=True)
             alpha[at] = now
         beta = np.ones_like(e)
+        beta[starts + lengths - 1] = after
         pairs = np.zeros((self.k, self.k))
+
+        def count(at: np.ndarray) -> None:
+            nonlocal pairs
+            joint = alpha[at - 1][:, :, None] * a[None] * (e[at] * beta[at])[:, None, :]
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         for t in range(longest - 1, 0, -1):
             at = first[:alive[t]] + t
-            right = e[at] * beta[at]
             if counts:
-                joint = alpha[at - 1][:, :, None] * a[None] * right[:, None, :]
-                pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            left = right @ a.T
+                count(at)
+            left = (e[at] * beta[at]) @ a.T
             beta[at - 1] = left / left.sum(axis=1, keepdims=True)
+        if counts and len(joined):
+            count(starts[joined])
         post = alpha * beta
         post /= post.sum(axis=1, keepdims=True)
-        return post, post[starts].sum(axis=0) if counts else self.start, pairs
+        return post, post[chain_starts].sum(axis=0) if counts else self.start, pairs
+
+    def _carried(self, e: np.ndarray, a: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
+                 place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment: the forward state of the word before it, the backward state of its last word; and the
+        segments that continue a chain. Ones where the chain begins or ends."""
+        before, after = np.ones((len(starts), self.k)), np.ones((len(starts), self.k))
+        joined = np.flatnonzero(place > 0)
+        if not len(joined):
+            return before, after, joined
+        # the segments of long chains: each one's product of step matrices (the first word of a chain has its start)
+        long = np.union1d(joined, joined - 1)
+        at, size = starts[long], lengths[long]
+        product = np.where((place[long] > 0)[:, None, None], a[None], np.exp(self.start)[None, None, :]) * e[at][:, None, :]
+        product /= product.sum(axis=(1, 2), keepdims=True)
+        for t in range(1, int(size.max())):
+            live = np.flatnonzero(size > t)
+            step = (product[live] @ a) * e[at[live] + t][:, None, :]
+            product[live] = step / step.sum(axis=(1, 2), keepdims=True)
+        row = np.full(len(starts), -1)
+        row[long] = np.arange(len(long))
+        by_place = np.argsort(place[joined], kind="stable")
+        cuts = np.searchsorted(place[joined][by_place], np.arange(1, int(place.max()) + 2))
+        waves = [joined[by_place[x:y]] for x, y in zip(cuts, cuts[1:], strict=False)]
+        for wave in waves:  # the k-th segments of all long chains together
+            state = (before[wave - 1][:, None, :] @ product[row[wave - 1]])[:, 0]
+            before[wave] = state / state.sum(axis=1, keepdims=True)
+        for wave in reversed(waves):
+            state = (product[row[wave]] @ after[wave][:, :, None])[:, :, 0]
+            after[wave - 1] = state / state.sum(axis=1, keepdims=True)
+        return before, after, joined
 
     def fit(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
             rounds: int = 12, rate: float = 0.5, decay: float = 1e-4, counted: bool = False) -> ChainCRF:

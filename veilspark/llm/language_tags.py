@@ -8,12 +8,16 @@ with letters, and that mean is its score; so code-switched texts are judged by
 all their words.
 
 Training words take the language of their document. The fit uses a bounded
-sample of the training rows (``SAMPLE_PER_LANGUAGE`` documents of each
-language, chosen by a hash of the id); scoring reads every whole text.
+sample of the training rows: ``SAMPLE_PER_LANGUAGE`` documents of each language,
+chosen by a hash of the id, and of their whole texts stretches of
+``STRETCH_WORDS`` words, chosen by a hash of the text and the place, so that
+``SAMPLE_WORDS`` words of each language come together. Scoring reads every
+whole text.
 
 Defined results for odd input: ``und`` with score 0.0 for texts that are null
 or hold no letter, and for every text when no training row exists. Ties go to
-the language that sorts first. Only ``doc_id``, ``text`` and, in training,
+the language that sorts first. A null ``doc_id`` is never held out and never
+trained on. Words, sentences and texts of any length are taken whole. Only ``doc_id``, ``text`` and, in training,
 ``lang`` are read; other columns are ignored.
 """
 
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 from .chain_crf import ChainCRF, chains, hashed, letters
@@ -34,8 +38,8 @@ from .words import Texts, WordTable, per_worker, slices
 UNKNOWN = "und"
 #: Documents of each language that the fit sees, about.
 SAMPLE_PER_LANGUAGE = 200
-#: Words that the fit takes from one document, a stretch from its middle: bounds the sample in bytes too.
-SAMPLE_WORDS = 1500
+#: Words of each language that the fit sees, about, and words of one stretch of them.
+SAMPLE_WORDS, STRETCH_WORDS = 100_000, 50
 FEATURES = 1 << 16
 #: A word belongs to a language's lexicon if it makes up this share of the language's training words.
 LEXICON_SHARE = 2e-3
@@ -44,8 +48,8 @@ LEXICON_SHARE = 2e-3
 def word_features(word: str, lexicon: dict[str, str]) -> list[str]:
     if not word:
         return ["empty"]
-    edged = f"^{word[:40]}$"
-    out = ["bias", f"w{word[:40]}"]
+    edged = f"^{word}$"
+    out = ["bias", f"w{word}"]
     out += [f"p{word[:i]}" for i in (1, 2, 3) if len(word) >= i] + [f"s{word[-i:]}" for i in (1, 2, 3, 4) if len(word) >= i]
     out += [f"g{edged[i:i + 2]}" for i in range(len(edged) - 1)] + [f"g{edged[i:i + 3]}" for i in range(len(edged) - 2)]
     if word in lexicon:
@@ -54,7 +58,7 @@ def word_features(word: str, lexicon: dict[str, str]) -> list[str]:
 
 
 def training_rows(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
 class LanguageModel:
@@ -112,20 +116,28 @@ class LanguageModel:
         return names, np.clip(np.where(n > 0, mean.max(axis=1), 0.0), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int = SAMPLE_WORDS) -> LanguageModel:
-    """Fit on a bounded sample of the training rows of ``docs``."""
-    train = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(training_rows(F.col("doc_id")))
+def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int = SAMPLE_WORDS, stretch: int = STRETCH_WORDS) -> LanguageModel:
+    """Fit on a bounded sample of the training rows of ``docs``: drawn documents, and drawn stretches of their whole texts."""
+    train = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(training_rows(F.col("doc_id"))).select("doc_id", "lang", "text")
     sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return LanguageModel([])
-    # a row is in the sample if the hash of its id falls below its language's rate
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    split = F.split("text", r"\s+")
-    part = F.when(F.size(split) <= words, F.col("text")).otherwise(
-        F.concat_ws(" ", F.slice(split, F.greatest(F.lit(1), (F.size(split) / 2 - words / 2).cast("int")), F.lit(words))))
-    sample = train.where(draw < rate).select("lang", part.alias("text"), "doc_id")
-    return LanguageModel([(r.lang, r.text) for r in sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id))])
+
+    def rates(wanted: int, have: dict[str, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(have.items()) for x in (lang, min(1.0, wanted / max(1, n)))]), F.col("lang"))
+
+    def draw(*parts: str | Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("language"), *parts), F.lit(1_000_000)) / 1_000_000
+
+    # repeated ids differ in their texts' hash
+    drawn = train.where(draw("doc_id", F.xxhash64("text")) < rates(per_language, sizes)).select("lang", "doc_id", "text", F.split("text", r"\s+").alias("split"))
+    held = {r.lang: r.n for r in drawn.groupBy("lang").agg(F.sum(F.size("split")).alias("n")).collect()}
+    if not held:
+        return LanguageModel([])
+    places = drawn.select("lang", "doc_id", "text", "split", F.explode(F.sequence(F.lit(0), F.floor((F.size("split") - 1) / stretch).cast("int"))).alias("place"))
+    sample = places.where(draw("doc_id", F.xxhash64("text"), "place") < rates(words, held)).select(
+        "lang", "doc_id", "place", F.array_join(F.slice("split", F.col("place") * stretch + 1, F.lit(stretch)), " ").alias("part"))
+    return LanguageModel([(r.lang, r.part) for r in sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id, r.place, r.part))])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -146,23 +158,19 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known, whatever its score (a mixed text's is low); all columns stay."""
     model = fit(docs)
-    taken = {c.lower() for c in docs.columns}
-    flag = "accepted"
-    while flag in taken:
-        flag += "_"
-    columns = [*docs.columns, flag]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def named(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = per_worker("language", model.ident, model.word_table) if model.languages else None
-        for batch in batches:
-            for piece in slices(batch, "text"):
+        for column in columns:
+            names: list[str] = []
+            for piece in slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
                 texts = Texts(piece.column("text"))
-                names = model.predict(texts, known)[0] if known else [UNKNOWN] * texts.count
-                good = pa.array([n != UNKNOWN for n in names], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*piece.columns, good], names=columns)
+                names += model.predict(texts, known)[0] if known else [UNKNOWN] * texts.count
+            yield pa.array([n != UNKNOWN for n in names], pa.bool_())
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
-    return docs.mapInArrow(run, schema).where(F.col(flag)).select(docs.columns)
+    # only the text goes to Python, and one flag comes back
+    return docs.where(named("text"))
 
 
 @query("op9_language_tags")

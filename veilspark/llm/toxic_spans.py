@@ -19,8 +19,9 @@ Defined results for odd input: null and empty texts are scored like a text
 without words (a low score); with no training row of one of the two classes
 every score is 0.0. Rows sharing a ``doc_id`` are scored each; a label row
 without a document, with a null id or a null label is ignored, and of
-contradicting labels of one document the toxic one counts. Extra columns of
-either table are ignored.
+contradicting labels of one document the toxic one counts. A null ``doc_id``
+is never held out, and has no label to learn from. Words, sentences and texts
+of any length are taken whole. Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -41,19 +42,18 @@ from .words import Texts, WordTable, gather, per_worker, slices
 
 #: Labelled documents that the fit sees, about, whole.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
-#: Chains (sentences) of either kind that the field learns from.
+#: Labelled sequences (sentences of those documents) of either kind that the field learns from.
 SAMPLE_CHAINS = 20_000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
 
 
 def word_features(word: str) -> list[str]:
-    word = word[:40]
     return ["bias", f"w{word}"] + [f"p{word[:i]}" for i in PREFIXES if len(word) > i]
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _ragged(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
