@@ -87,6 +87,28 @@ def render_prompt(text) -> Column:
     return F.concat(F.lit(head), _c(text), F.lit(tail))
 
 
+#: Characters of one block of a text that is cut at many places.
+BLOCK = 1024
+
+
+def blocks(text) -> Column:
+    """The text in blocks of ``BLOCK`` characters, made in one pass.
+
+    ``substring`` counts characters from the start of its text; on a block that is short, on a long text it is not.
+    """
+    return F.regexp_extract_all(_c(text), F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` (half-open, within the text) of a text given by its :func:`blocks`."""
+    first, last = (F.floor(x / BLOCK).cast("int") for x in (start, end - 1))
+    middle = F.array_join(F.slice(parts, first + 2, last - first - 1), "")
+    return (F.when(end <= start, "")
+            .when(first == last, F.substring(F.get(parts, first), (start % BLOCK + 1).cast("int"), (end - start).cast("int")))
+            .otherwise(F.concat(F.substring(F.get(parts, first), (start % BLOCK + 1).cast("int"), F.lit(BLOCK)), middle,
+                                F.substring(F.get(parts, last), F.lit(1), ((end - 1) % BLOCK + 1).cast("int")))))
+
+
 # Python's str.strip() removes Unicode White_Space and U+001C..U+001F.
 _STRIP = r"^[\p{IsWhite_Space}\x{1c}-\x{1f}]+|[\p{IsWhite_Space}\x{1c}-\x{1f}]+$"
 

@@ -17,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import chain, first_after, let
 from ..functions.rules import PII_CATEGORIES, RULES
+from ..functions.text import blocks, cut
 from .detect import all_rule_spans, detect
+from .redact import SPAN_T
 from .tokens import token_table
 
 # FIXED VALUES: detection label -> span category of the classifier label space.
@@ -32,7 +35,6 @@ DETECT_TO_CATEGORY = {
     "URL": "private_url",
 }
 BUCKET_CHARS = 64
-SPAN_T = "array<struct<label:string,start:int,end:int>>"
 
 
 # ------------------------------------------------------------------ labels
@@ -371,7 +373,9 @@ def fallback_spans(labels: DataFrame, texts: DataFrame, allowed: list[str] | Non
 
 def valid_spans(spans, text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(t)))
+    sp = F.col(spans) if isinstance(spans, str) else spans
+    return let(F.struct(sp.alias("s"), F.length(t).alias("n")), lambda b: F.filter(
+        b["s"], lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= b["n"])))
 
 
 def allowed_spans(spans, categories=PII_CATEGORIES) -> Column:
@@ -385,37 +389,64 @@ _WS = r"[\p{IsWhite_Space}\x{1c}-\x{1f}]*"
 def trim_spans(spans, text) -> Column:
     """Move span edges inward past whitespace (an all-space span becomes empty)."""
     t = F.col(text) if isinstance(text, str) else text
+    sp = F.col(spans) if isinstance(spans, str) else spans
 
-    def one(s):
-        body = F.substring(t, s["start"] + 1, s["end"] - s["start"])
+    def one(s, body):
         lead = F.length(F.regexp_extract(body, "^" + _WS, 0))
         trail = F.length(F.regexp_extract(body, _WS + "$", 0))
         new_start = s["start"] + lead
         new_end = F.greatest(new_start, s["end"] - trail)
         return F.struct(s["label"].alias("label"), new_start.cast("int").alias("start"), new_end.cast("int").alias("end"))
 
-    return F.transform(spans, one)
+    def all_of(b):
+        inside = lambda s: cut(b["p"], F.greatest(s["start"], F.lit(0)), F.least(s["end"], b["n"]))
+        return F.transform(b["s"], lambda s: let(inside(s), lambda body: one(s, body)))
+
+    return let(F.struct(sp.alias("s"), blocks(t).alias("p"), F.length(t).alias("n")), all_of)
 
 
 def _greedy(spans, same_label_only: bool) -> Column:
-    """Keep spans greedily by (start asc, length desc); drop any overlapping a kept one."""
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
-                           .when((a["end"] - a["start"]) > (b["end"] - b["start"]), -1)
-                           .when((a["end"] - a["start"]) < (b["end"] - b["start"]), 1).otherwise(0))
-
-    # sorted by start, a span overlaps a kept one only if it starts before the furthest kept end (of its label);
-    # an empty span lies inside a kept one only strictly between its ends
-    def step(acc, s):
-        key = s["label"] if same_label_only else F.lit("")
-        reach = F.coalesce(F.element_at(acc["ends"], key), F.lit(-1))
-        clash = (s["start"] < reach) & ((s["start"] < s["end"]) | F.exists(
-            acc["kept"], lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])
-            & ((k["label"] == s["label"]) if same_label_only else F.lit(True))))
-        ends = F.map_concat(F.map_filter(acc["ends"], lambda k, v: k != key), F.create_map(key, F.greatest(reach, s["end"])))
-        return F.when(clash, acc).otherwise(F.struct(ends.alias("ends"), F.concat(acc["kept"], F.array(s)).alias("kept")))
-
-    init = F.struct(F.create_map().cast("map<string,int>").alias("ends"), F.array().cast(SPAN_T).alias("kept"))
-    return F.aggregate(ordered, init, step, lambda acc: acc["kept"])
+    """Keep spans greedily by (start asc, length desc); drop any overlapping a kept one.
+
+    Sorted by start, the span kept after a kept one is the first that begins
+    at its end or later: the kept spans are a chain of such steps. An empty
+    span stays unless it lies strictly inside a kept one.
+    """
+    sp = F.col(spans) if isinstance(spans, str) else spans
+    group = (lambda s: s["label"]) if same_label_only else (lambda s: F.lit(""))
+    keyed = F.transform(sp, lambda s, i: F.struct(group(s).alias("group"), s["start"].alias("start"), (s["start"] - s["end"]).alias("less"),
+                                                  i.alias("ord"), s["end"].alias("end"), s["label"].alias("label")))
+
+    def place(s, at: str):
+        return F.struct(s["group"].alias("group"), s[at].alias("start"))
+
+    def following(full):
+        return let(F.transform(full, lambda s: place(s, "start")), lambda starts: F.transform(
+            full, lambda s: first_after(starts, place(s, "end"), True)))
+
+    def chosen(full):
+        return F.when(F.size(full) == 0, full).otherwise(F.transform(chain(following(full), F.array(F.lit(0))), lambda i: F.get(full, i)))
+
+    def with_empty(empty, kept):
+        starts = F.transform(kept, lambda s: place(s, "start"))
+
+        def inside(s, begins):
+            return let(F.get(kept, first_after(begins, place(s, "end"), True) - 1),
+                       lambda k: F.coalesce((k["group"] == s["group"]) & (k["start"] < s["end"]) & (s["start"] < k["end"]), F.lit(False)))
+        return F.when(F.size(empty) == 0, kept).otherwise(let(starts, lambda begins: F.concat(
+            kept, F.filter(empty, lambda s: (F.size(kept) == 0) | ~inside(s, begins)))))
+
+    def in_order(found):
+        ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["less"].alias("less"), s["ord"].alias("ord"),
+                                                                     s["end"].alias("end"), s["label"].alias("label"))))
+        return F.transform(ordered, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end")))
+
+    def select(b):
+        empty = F.filter(b, lambda s: s["less"] >= 0)
+        kept = let(F.filter(b, lambda s: s["less"] < 0), chosen)
+        return let(kept, lambda k: in_order(with_empty(empty, k)))
+
+    return let(F.sort_array(keyed), select)
 
 
 def discard_overlapping_by_label(spans) -> Column:
@@ -429,14 +460,15 @@ def select_non_overlapping(spans) -> Column:
 def detected_records(spans, text, mode: str = "typed") -> Column:
     """``struct<label,start,end,text,placeholder>`` per span; ``masked`` maps every label to one."""
     t = F.col(text) if isinstance(text, str) else text
+    sp = F.col(spans) if isinstance(spans, str) else spans
 
-    def one(s):
+    def one(s, b):
         label = s["label"] if mode == "typed" else F.lit("pii")
         return F.struct(label.alias("label"), s["start"].alias("start"), s["end"].alias("end"),
-                        F.substring(t, s["start"] + 1, s["end"] - s["start"]).alias("text"),
+                        cut(b["p"], F.greatest(s["start"], F.lit(0)), F.least(s["end"], b["n"])).alias("text"),
                         F.concat(F.lit("["), F.upper(label), F.lit("]")).alias("placeholder"))
 
-    return F.transform(spans, one)
+    return let(F.struct(sp.alias("s"), blocks(t).alias("p"), F.length(t).alias("n")), lambda b: F.transform(b["s"], lambda s: one(s, b)))
 
 
 def rule_spans_as_categories(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
@@ -445,7 +477,7 @@ def rule_spans_as_categories(docs: DataFrame, text_col: str = "text", rules=RULE
     Spans are built in the row that holds the text; nothing is shuffled.
     """
     cat = F.create_map(*[x for kv in DETECT_TO_CATEGORY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    found = F.array_sort(F.transform(all_rule_spans(text_col, rules), lambda x: F.struct(x["start"], x["end"], x["rule"], x["label"])))
+    found = F.sort_array(F.transform(all_rule_spans(text_col, rules), lambda x: F.struct(x["start"], x["end"], x["rule"], x["label"])))
     bound = F.array(F.transform(found, lambda x: F.struct(F.element_at(cat, x["label"]).alias("label"), x["start"].alias("start"),
                                                           x["end"].alias("end"))))
     return docs.withColumn("spans", F.element_at(F.transform(bound, lambda b: F.when(F.size(b) > 0, b)), 1))

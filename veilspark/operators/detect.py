@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running_sum
 from ..functions.rules import RULES, Rule
 from .redact import GUARDS, boundary_risk, split_rule
 
@@ -37,43 +38,32 @@ def rule_values(text, rule: Rule, risk: Column | None = None) -> Column:
 def rule_spans(text, rule: Rule, risk: Column | None = None) -> Column:
     """``array<struct<rule,label,start,end,value>>`` of one rule's matches.
 
-    Offsets come from the split pieces: a match starts after all earlier
-    pieces and matches. The running sum is a fold over the (few) matches of
-    one document.
+    A match ends where the gaps and matches up to it end: a running sum of
+    their lengths, so the work grows with the matches, not with their square.
     """
     if risk is None:
         return _with_risk(text, lambda t2, r2: rule_spans(t2, rule, r2))
     t = F.col(text) if isinstance(text, str) else text
-    r = risk
-    values = _extract(t, rule, r)
+    values = _extract(t, rule, risk)
     guard = GUARDS.get(rule.index)
-    pieces = split_rule(t, rule, r) if guard is None else \
-        F.when(guard(t), split_rule(t, rule, r)).otherwise(F.array(t))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc, p):
-        start = acc["pos"] + F.length(p["g"])
-        end = start + F.length(p["v"])
-        item = F.struct(F.lit(rule.index).alias("rule"), F.lit(rule.label).alias("label"),
-                        start.cast("int").alias("start"), end.cast("int").alias("end"),
-                        p["v"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
+    pieces = split_rule(t, rule, risk) if guard is None else \
+        F.when(guard(t), split_rule(t, rule, risk)).otherwise(F.array(t))
 
     def build(b: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(b["g"], 1, F.size(b["v"])).alias("g"), b["v"].alias("v"))
-        return F.when(F.size(b["v"]) > 0, F.aggregate(pairs, init, step, lambda a: a["out"])) \
-            .otherwise(F.array().cast(_SPAN))
+        steps = F.zip_with(F.slice(b["g"], 1, F.size(b["v"])), b["v"], lambda g, v: F.length(g) + F.length(v))
+        return let(running_sum(steps), lambda ends: F.transform(b["v"], lambda v, i: F.struct(
+            F.lit(rule.index).alias("rule"), F.lit(rule.label).alias("label"), (F.get(ends, i) - F.length(v)).alias("start"),
+            F.get(ends, i).alias("end"), v.alias("value"))))
 
-    # let-bind (pieces, values) so each regex runs once per row
-    bound = F.array(F.struct(pieces.alias("g"), values.alias("v")))
-    return F.element_at(F.transform(bound, build), 1)
+    # each regex runs once per row
+    return let(F.struct(pieces.alias("g"), values.alias("v")),
+               lambda b: F.when(F.size(b["v"]) > 0, build(b)).otherwise(F.array().cast(_SPAN)))
 
 
 def _with_risk(text, fn) -> Column:
-    """Evaluate ``fn(text, risk)`` with the risk flag computed once per row (let-bound)."""
+    """Evaluate ``fn(text, risk)`` with the risk flag computed once per row."""
     t = F.col(text) if isinstance(text, str) else text
-    bound = F.array(F.struct(t.alias("t"), boundary_risk(t).alias("r")))
-    return F.element_at(F.transform(bound, lambda b: fn(b["t"], b["r"])), 1)
+    return let(F.struct(t.alias("t"), boundary_risk(t).alias("r")), lambda b: fn(b["t"], b["r"]))
 
 
 def all_rule_spans(text, rules=RULES) -> Column:
@@ -84,37 +74,10 @@ def all_rule_spans(text, rules=RULES) -> Column:
 def detect(df: DataFrame, text_col: str = "text", keys=("doc_id",), rules=RULES) -> DataFrame:
     """Long span table ``(keys..., rule, label, start, end, value)``.
 
-    Per row, each rule yields its matched values and the lengths of the gaps
-    between them (two regex passes, let-bound); offsets are then a running
-    sum over the match rows of one (document, rule), computed with a window.
-    That is linear in the number of matches, and the shuffle carries only
-    matches, never the text.
+    Spans are built in the row that holds the text and laid out as rows there; nothing is shuffled.
     """
-    from pyspark.sql import Window
-
-    def per_row(t, r):
-        items = []
-        for rule in rules:
-            values = _extract(t, rule, r)
-            guard = GUARDS.get(rule.index)
-            pieces = split_rule(t, rule, r) if guard is None else \
-                F.when(guard(t), split_rule(t, rule, r)).otherwise(F.array(t))
-            bound = F.array(F.struct(pieces.alias("g"), values.alias("v")))
-            zipped = F.element_at(F.transform(bound, lambda b: F.arrays_zip(
-                F.transform(F.slice(b["g"], 1, F.size(b["v"])), lambda x: F.length(x)).alias("glen"),
-                b["v"].alias("value"))), 1)
-            items.append(F.struct(F.lit(rule.index).alias("rule"), F.lit(rule.label).alias("label"),
-                                  zipped.alias("m")))
-        return F.filter(F.array(*items), lambda it: F.size(it["m"]) > 0)
-
-    per_rule = df.select(*keys, F.explode(_with_risk(text_col, per_row)).alias("it"))
-    m = per_rule.select(*keys, F.col("it.rule").alias("rule"), F.col("it.label").alias("label"),
-                        F.posexplode("it.m").alias("pos", "x"))
-    w = Window.partitionBy(*keys, "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vlen = F.length("x.value")
-    end = F.sum(F.col("x.glen") + vlen).over(w)
-    return m.select(*keys, "rule", "label", (end - vlen).cast("int").alias("start"), end.cast("int").alias("end"),
-                    F.col("x.value").alias("value"))
+    spans = df.select(*keys, F.explode(all_rule_spans(text_col, rules)).alias("_s"))
+    return spans.select(*keys, "_s.rule", "_s.label", "_s.start", "_s.end", "_s.value")
 
 
 def detect_rule(df: DataFrame, rule_index: int, text_col: str = "text", keys=("doc_id",)) -> DataFrame:
@@ -122,8 +85,3 @@ def detect_rule(df: DataFrame, rule_index: int, text_col: str = "text", keys=("d
     rule = RULES[rule_index - 1]
     return (df.select(*keys, F.posexplode(rule_spans(text_col, rule)).alias("match_idx", "_s"))
               .select(*keys, "match_idx", "_s.label", "_s.start", "_s.end", "_s.value"))
-
-
-def rule_counts(text, rules=RULES) -> Column:
-    """``struct`` of per-rule match counts on the original text."""
-    return _with_risk(text, lambda t, risk: F.struct(*[F.size(_extract(t, r, risk)).alias(f"r{r.index}") for r in rules]))
