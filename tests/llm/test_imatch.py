@@ -31,21 +31,21 @@ def brute_print(text, lexicon):
     us = sorted(int(md5(w)[:15], 16) for w in own if w in lexicon)
     if not us:
         return "x" + md5(" ".join(sorted(own)) if own else text)
-    marks = [md5(",".join(map(str, us)))]
+    levels = []
     for level in range(I.LEVELS):
-        for lane in range(I.LANES):
-            part = [u for u in us if u >> 55 == lane and u % 2 ** level == 0]
-            if part:
-                marks.append(f"{level}{I._LANE_NAMES[lane]}{md5(','.join(map(str, part)))[:5]}")
-    return " ".join(marks)
+        parts = [(lane, [u for u in us if u >> 55 == lane and u % 2 ** level == 0]) for lane in range(I.LANES)]
+        levels.append(" ".join(f"{I._LANE_NAMES[lane]}{md5(','.join(map(str, part)))[:5]}" for lane, part in parts if part))
+    return "|".join([md5(",".join(map(str, us))), *levels])
 
 
 def brute_likeness(a, b):
     if a == b:
         return 1.0
-    one, two = set(a.split()[1:]), set(b.split()[1:])
-    used = [len({m[:2] for m in one | two if int(m[0]) == k}) for k in range(I.LEVELS)]
-    same = [sum(int(m[0]) == k for m in one & two) for k in range(I.LEVELS)]
+    pairs = list(zip([x.split() for x in a.split("|")[1:]], [x.split() for x in b.split("|")[1:]]))
+    if not pairs:
+        return 0.0
+    used = [len({m[0] for m in x + y}) for x, y in pairs]
+    same = [len(set(x) & set(y)) for x, y in pairs]
     low = max((k for k in range(I.LEVELS) if used[k] >= I.ENOUGH), default=0)
     ks = [k for k in (low - 1, low) if k >= 0]
     return sum(same[k] for k in ks) / sum(used[k] for k in ks) if sum(used[k] for k in ks) else 0.0

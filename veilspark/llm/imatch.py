@@ -80,32 +80,31 @@ def lexicon(docs: DataFrame, rarest: int = RAREST, commonest: int = COMMONEST) -
 # --- fingerprints ------------------------------------------------------------------------
 
 def subset_marks(sorted_u: Column) -> Column:
-    """One mark for each subset that holds any of the (ascending) lexicon terms: level, lane and hash."""
-    none = F.struct(F.lit(-1).alias("lane"), F.lit("").alias("text"), F.array().cast("array<string>").alias("out"))
+    """Of each level one text: a mark (lane and hash) for each subset that holds any of the (ascending) lexicon terms."""
+    def mark(a: Column) -> Column:
+        return F.concat(F.substring(F.lit(_LANE_NAMES), a["lane"] + 1, F.lit(1)), F.substring(F.md5(a["text"]), 1, 5))
 
-    def mark(level: Column, a: Column) -> Column:
-        name = F.substring(F.lit(_LANE_NAMES), a["lane"] + 1, F.lit(1))
-        return F.concat(level.cast("string"), name, F.substring(F.md5(a["text"]), 1, 5))
+    def closed(a: Column) -> Column:
+        return F.when(a["lane"] < 0, "").when(a["out"] == "", mark(a)).otherwise(F.concat(a["out"], F.lit(" "), mark(a)))
 
-    def closed(level: Column, a: Column) -> Column:
-        return F.when(a["lane"] < 0, a["out"]).otherwise(F.concat(a["out"], F.array(mark(level, a))))
+    def step(a: Column, u: Column) -> Column:
+        lane = F.shiftright(u, 55).cast("int")  # ascending numbers are grouped by lane
+        return F.when(a["lane"] == lane, F.struct(a["lane"].alias("lane"), F.concat(a["text"], F.lit(","), u.cast("string")).alias("text"), a["out"].alias("out"))) \
+            .otherwise(F.struct(lane.alias("lane"), u.cast("string").alias("text"), closed(a).alias("out")))
 
-    def at_level(us: Column, level: Column) -> Column:
-        def step(a: Column, u: Column) -> Column:
-            lane = F.shiftright(u, 55).cast("int")
-            return F.when(a["lane"] == lane, F.struct(a["lane"].alias("lane"), F.concat(a["text"], F.lit(","), u.cast("string")).alias("text"), a["out"].alias("out"))) \
-                .otherwise(F.struct(lane.alias("lane"), u.cast("string").alias("text"), closed(level, a).alias("out")))
+    def next_level(a: Column, level: Column) -> Column:
+        none = F.struct(F.lit(-1).alias("lane"), F.lit("").alias("text"), F.lit("").alias("out"))
         # the lowest bits of a term's number say down to which level it is drawn
-        drawn = F.filter(us, lambda u: u.bitwiseAND(F.element_at(F.lit([2 ** k - 1 for k in range(LEVELS)]), level + 1)) == 0)
-        return F.aggregate(drawn, none, step, lambda a: closed(level, a))
+        drawn = F.filter(a["us"], lambda u: F.call_function("shiftrightunsigned", u, level).bitwiseAND(F.lit(1)) == 0)
+        return F.struct(drawn.alias("us"), F.concat(a["out"], F.array(F.aggregate(a["us"], none, step, closed))).alias("out"))
 
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    return _bound("us", sorted_u, lambda us: F.flatten(F.transform(levels, lambda level: at_level(us, level))))
+    start = F.struct(sorted_u.alias("us"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, next_level, lambda a: a["out"])
 
 
 def fingerprint(sorted_u: Column, otherwise: Column) -> Column:
-    """The hash of all lexicon terms, then the marks of the subsets; without a term ``x`` and the other hash."""
-    marks = F.concat_ws(" ", F.md5(F.array_join(sorted_u.cast("array<string>"), ",")), subset_marks(sorted_u))
+    """The hash of all lexicon terms, then the marks of each level's subsets; without a term ``x`` and the other hash."""
+    marks = F.concat(F.md5(F.array_join(sorted_u.cast("array<string>"), ",")), F.lit("|"), F.array_join(subset_marks(sorted_u), "|"))
     return F.when(F.size(sorted_u) == 0, F.concat(F.lit("x"), otherwise)).otherwise(marks)
 
 
@@ -115,21 +114,22 @@ def likeness(a: Column, b: Column) -> Column:
     Of the levels on which the pair has terms in ``ENOUGH`` subsets, the one with
     the smallest subsets and the one above count; the top level if there is none.
     """
-    def at_level(x: Column, level: int) -> Column:
-        one, two = (F.filter(x[k], lambda m: F.substring(m, 1, 1) == str(level)) for k in ("a", "b"))
-        used = F.array_distinct(F.transform(F.concat(one, two), lambda m: F.substring(m, 1, 2)))
-        return F.struct(F.size(used).alias("used"), F.size(F.array_intersect(one, two)).alias("same"))
+    def at_level(one: Column, two: Column) -> Column:
+        return _bound("m", F.struct(*[F.filter(F.split(F.coalesce(x, F.lit("")), " "), lambda m: m != "").alias(k) for x, k in ((one, "a"), (two, "b"))]),
+                      lambda m: F.struct(F.size(F.array_union(*[F.transform(m[k], lambda x: F.substring(x, 1, 1)) for k in "ab"])).alias("used"),
+                                         F.size(F.array_intersect(m["a"], m["b"])).alias("same")))
 
     def share(levels: Column) -> Column:
         low = F.coalesce(F.array_max(F.filter(F.transform(levels, lambda v, i: F.when(v["used"] >= ENOUGH, i)), lambda i: i.isNotNull())), F.lit(0))
-        taken = F.filter(levels, lambda v, i: (i == low) | (i == low - 1))
-        used = F.aggregate(taken, F.lit(0), lambda s, v: s + v["used"])
-        same = F.aggregate(taken, F.lit(0), lambda s, v: s + v["same"])
-        return F.when(used == 0, 0.0).otherwise(same / used)
+        def taken(low: Column) -> Column:
+            return F.filter(levels, lambda v, i: (i == low) | (i == low - 1))
+        return _bound("low", low, lambda low: _bound("taken", taken(low), lambda t: F.aggregate(
+            t, F.struct(F.lit(0).alias("used"), F.lit(0).alias("same")),
+            lambda s, v: F.struct((s["used"] + v["used"]).alias("used"), (s["same"] + v["same"]).alias("same")),
+            lambda s: F.when(s["used"] == 0, 0.0).otherwise(s["same"] / s["used"]))))
 
-    marks = [F.slice(F.split(c, " "), 2, 10 ** 6).alias(k) for c, k in ((a, "a"), (b, "b"))]
-    found = _bound("marks", F.struct(*marks), lambda x: _bound("levels", F.array(*[at_level(x, k) for k in range(LEVELS)]), share))
-    return F.when(a == b, 1.0).otherwise(found)
+    parts = F.zip_with(F.slice(F.split(a, r"\|"), 2, LEVELS), F.slice(F.split(b, r"\|"), 2, LEVELS), at_level)
+    return F.when(a == b, 1.0).otherwise(_bound("levels", parts, share))
 
 
 # --- neighbouring documents --------------------------------------------------------------
@@ -185,15 +185,17 @@ def fingerprints(docs: DataFrame, words: DataFrame | None = None, run_rows: int
     rows = with_next(docs, run_rows).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next", F.lit(1), half))
-    rows = rows.withColumn("edited", edited)
 
     def whole(words: Column, text: Column) -> Column:
         return F.md5(F.when(F.size(words) > 0, F.array_join(F.array_sort(words), " ")).otherwise(text))
 
+    def both(e: Column) -> Column:
+        return F.struct(terms(F.col("text")).alias("own"), F.coalesce(terms(e), F.array().cast("array<string>")).alias("new"), e.alias("edited"))
+
     def items(b: Column) -> Column:
         """One item of the row's own values, and one for each term of the text (0) and of the edited text (1)."""
-        own = F.struct("doc_id", "extra", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                       whole(b["own"], F.col("text")).alias("other"), whole(b["new"], F.col("edited")).alias("edited_other"))
+        own = F.struct("doc_id", "extra", "n_chars", F.sha2(b["edited"], 256).alias("edited_sha256"),
+                       whole(b["own"], F.col("text")).alias("other"), whole(b["new"], b["edited"]).alias("edited_other"))
         no_own = F.lit(None).cast("struct<doc_id:long,extra:int,n_chars:long,edited_sha256:string,other:string,edited_other:string>")
 
         def item(side: int, term: Column, value: Column) -> Column:
@@ -201,8 +203,8 @@ def fingerprints(docs: DataFrame, words: DataFrame | None = None, run_rows: int
         return F.concat(F.array(item(-1, F.lit(None).cast("string"), own)), F.transform(b["own"], lambda t: item(0, t, no_own)),
                         F.transform(b["new"], lambda t: item(1, t, no_own)))
 
-    both = F.struct(terms(F.col("text")).alias("own"), F.coalesce(terms(F.col("edited")), F.array().cast("array<string>")).alias("new"))
-    exploded = rows.select("run", "place", F.explode(_bound("both", both, items)).alias("i")).select("run", "place", "i.side", "i.term", "i.own")
+    laid_out = _bound("edited", edited, lambda e: _bound("both", both(e), items))
+    exploded = rows.select("run", "place", F.explode(laid_out).alias("i")).select("run", "place", "i.side", "i.term", "i.own")
     found = exploded.join(words, "term", "left").where("u IS NOT NULL OR side = -1")
     lists = found.groupBy("run", "place").agg(
         F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("u")))).alias("us"),
@@ -246,7 +248,8 @@ w AS (SELECT doc_id, side, md5(string_agg(u::VARCHAR, ',' ORDER BY u)) AS whole
 m AS (SELECT doc_id, side, k, u >> 55 AS lane, k::VARCHAR || substr('{_LANE_NAMES}', (u >> 55)::INT + 1, 1) || substr(md5(string_agg(u::VARCHAR, ',' ORDER BY u)), 1, 5) AS mark
       FROM h, range({LEVELS}) r(k) WHERE u & ((1::BIGINT << k::INT) - 1) = 0 GROUP BY doc_id, side, k, lane),
 l AS (SELECT doc_id, side, list(mark ORDER BY k, lane) AS marks FROM m GROUP BY 1, 2),
-fp AS (SELECT t.doc_id, t.side, coalesce(marks, []) AS marks, coalesce(whole || ' ' || array_to_string(marks, ' '),
+fp AS (SELECT t.doc_id, t.side, coalesce(marks, []) AS marks, coalesce(whole || '|' || array_to_string(list_transform(range({LEVELS}),
+                lambda k: array_to_string(list_transform(list_filter(marks, lambda m: m[1] = k::VARCHAR), lambda m: m[2:]), ' ')), '|'),
               'x' || md5(CASE WHEN len(words) > 0 THEN array_to_string(list_sort(words), ' ') ELSE s END)) AS fp
        FROM t LEFT JOIN w ON w.doc_id = t.doc_id AND w.side = t.side LEFT JOIN l ON l.doc_id = t.doc_id AND l.side = t.side),
 a AS (SELECT e.doc_id, e.n AS n_chars, sha256(e.ed) AS edited_sha256, o.fp AS fp0, o.marks AS m0, c.fp AS fp1, c.marks AS m1,
