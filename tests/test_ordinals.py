@@ -63,3 +63,17 @@ def test_one_row_group_is_spread_evenly(spark, tmp_path):
     for cores in (2, 4, 8):
         sizes = [r[1] for r in spread(df, cores, "doc_id").groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) >= cores and max(sizes) <= 4000 / cores
+
+
+def test_percentiles_of_a_narrow_range_order_few_values(spark):
+    n = 200_000
+    df = spark.range(n).selectExpr("id % 2 AS g", "1 + pmod(id * 7919, 200000) / 1e9 AS v").unionByName(
+        spark.range(n).selectExpr("2L AS g", "CASE WHEN id % 3 = 0 THEN 1.00001 ELSE 1 + id / 1e9 END AS v"))
+    ps = {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}
+    out = exact_percentiles(df, ["g"], "v", ps, small=1000)
+    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(*[F.percentile("v", p).alias(k) for k, p in ps.items()]).collect()}
+    rows = out.collect()
+    assert {r.g: tuple(r)[1:] for r in rows} == want
+    # between the sketched neighbours of a rank lies less than a hundredth of the group
+    near = df.where("g = 0").agg(F.percentile_approx("v", [0.4995, 0.5005], 10_000).alias("q")).first().q
+    assert df.where(f"g = 0 AND v BETWEEN {near[0]} AND {near[1]}").count() < n / 2 / 100

@@ -98,7 +98,7 @@ def test_samples_reader_skips_and_rejects(spark, tmp_path):
     samples, rejects = read_samples(spark, str(tmp_path))
     got = sorted((r.id, r.text, tuple(r.pii), tuple(r.anchors), tuple(r.tags)) for r in samples.collect())
     assert got == [("31", "one", (), (), ()), ("z", "two", ("p1", "p2"), (), ("t",))]
-    assert sorted(r.reason for r in rejects.collect()) == ["malformed JSON", "missing required field 'id'", "missing required field 'text'"]
+    assert sorted(r.reason for r in rejects.collect()) == ["malformed JSON", "no id", "no text"]
     assert samples.where(F.col("file").endswith("s.jsonl")).count() == 2
 
 
@@ -108,3 +108,27 @@ def test_written_keys_are_sorted_at_every_level(spark, tmp_path):
     write_jsonl(df, str(tmp_path / "o"))
     assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == [
         '{"c":{"d":"é","q":2},"l":[{"a":null,"y":1}],"m":{"b":2,"z":1},"z":1}']
+
+
+def test_unknown_numbers_are_rolled_up(spark, tmp_path):
+    from veilspark.operators.metrics import aggregate_open
+    from veilspark.operators.results import measurement_rows
+    lines = ['{"kind": "measurement", "run_id": "a", "model": "m", "bucket_tokens": 8, "latency_s": %d, "mlx_new": %s, "mlx_on": true, "note": 3}' % (i, v)
+             for i, v in enumerate(["1", "2.5", "null", "true", '"x"', "1e3"])]
+    lines.append('{"kind": "speed", "run_id": "b", "model": "m", "bucket_tokens": 8, "measurements": [{"latency_s": 4, "mlx_new": 7}, {"opf_extra": 2, "opf_decoded_mismatch": 1}]}')
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    got = aggregate_open(measurement_rows(read_results(spark, [str(tmp_path)])[0])).collect()
+    found = {(r.run_id, r.metric): (r.mean, r.p50, r.n) for r in got}
+    assert found == {("a", "latency_s"): (2.5, 2.5, 6), ("a", "mlx_new"): (1003.5 / 3, 2.5, 3), ("b", "latency_s"): (4, 4, 1),
+                     ("b", "mlx_new"): (7, 7, 1), ("b", "opf_extra"): (2, 2, 1)}
+
+
+def test_sections_open_their_kind_only(spark, tmp_path):
+    from veilspark.sources.jsonl import store_by_kind
+    rows = store_by_kind(read_results(spark, [folder(tmp_path)])[0], str(tmp_path.parent / f"{tmp_path.name}-kinds"))
+    tabs = report_tables(rows)
+    for name, kind in (("runs", "run_metadata"), ("warmup", "warmup"), ("batch_compare", "batch_compare"), ("errors", "model_error")):
+        plan = tabs[name]._jdf.queryExecution().executedPlan().toString()
+        assert f"PartitionFilters: [isnotnull(kind" in plan and f"= {kind})" in plan, name
+    direct = report_tables(read_results(spark, [str(tmp_path)])[0])
+    assert all(tabs[n].count() == direct[n].count() for n in tabs)

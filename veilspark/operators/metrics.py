@@ -72,6 +72,16 @@ def numbered(meas: DataFrame) -> DataFrame:
     return m.withColumn("mode", F.when(F.col("repeat_index") == 0, F.lit("concat")).otherwise(F.lit("serial")))
 
 
+def rollup(long: DataFrame, keys: list[str], approx: bool = False) -> DataFrame:
+    """Mean, p50, p95 and count of ``value`` per group of a long table."""
+    if approx:
+        return long.groupBy(*keys).agg(
+            F.avg("value").alias("mean"), F.percentile_approx("value", 0.5, 100000).alias("p50"),
+            F.percentile_approx("value", 0.95, 100000).alias("p95"), F.count(F.lit(1)).alias("n"))
+    means = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return join_on(means, exact_percentiles(long, keys, "value", {"p50": 0.5, "p95": 0.95}), keys)
+
+
 def aggregate_long(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), approx: bool = False) -> DataFrame:
     """Mean, p50, p95 per key group and metric (long form; metrics without values omitted)."""
     ks = metric_keys(meas.columns)
@@ -79,14 +89,21 @@ def aggregate_long(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), a
     stacked = meas.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in present])).alias("m"))
     long = stacked.select(*keys, "m.metric", "m.value").where(F.col("value").isNotNull())
-    gk = [*keys, "metric"]
-    if approx:
-        return long.groupBy(*gk).agg(
-            F.avg("value").alias("mean"), F.percentile_approx("value", 0.5, 100000).alias("p50"),
-            F.percentile_approx("value", 0.95, 100000).alias("p95"), F.count(F.lit(1)).alias("n"))
-    means = long.groupBy(*gk).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    pct = exact_percentiles(long, gk, "value", {"p50": 0.5, "p95": 0.95})
-    return join_on(means, pct, gk)
+    return rollup(long, [*keys, "metric"], approx)
+
+
+def aggregate_open(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), metrics: str = "metrics", approx: bool = False) -> DataFrame:
+    """The same for measurements whose numbers are a map: its keys are found in the data.
+
+    Aggregated are the core keys and whatever profiled keys some measurement
+    holds a number under; what is no number is not in the map.
+    """
+    long = meas.select(*keys, F.explode(metrics).alias("metric", "value")).where(F.col("value").isNotNull())
+    profiled = F.lit(False)
+    for prefix in PROFILED_PREFIXES:
+        profiled = profiled | F.col("metric").startswith(prefix)
+    wanted = F.col("metric").isin(*CORE_KEYS) | (profiled & ~F.col("metric").isin(*PROFILED_EXCLUDED))
+    return rollup(long.where(wanted), [*keys, "metric"], approx)
 
 
 def aggregate_wide(meas: DataFrame, keys=("run_id", "model", "bucket_tokens"), approx: bool = False) -> DataFrame:
@@ -127,14 +144,17 @@ def stop_after_first_error(meas: DataFrame, stop_col: str = "stop_on_error",
     return j.where(keep).drop("_first_err")
 
 
+def attempt_counts(meas: DataFrame, keys=("run_id", "model", "model_type", "bucket_tokens")) -> DataFrame:
+    """Attempts, successes and errors per group: one aggregation, no metric is computed."""
+    return meas.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"),
+                                   F.count_if(F.col("error_type").isNull()).alias("successful_repeats"),
+                                   F.count_if(F.col("error_type").isNotNull()).alias("errors"))
+
+
 def speed_rows(meas: DataFrame, keys=("run_id", "model", "model_type", "bucket_tokens"), approx: bool = False) -> DataFrame:
     """Per-bucket success/attempt counts and the metric aggregate over successes."""
     ok = meas.where(F.col("error_type").isNull())
-    agg = aggregate_wide(ok, keys, approx)
-    counts = meas.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeats"),
-                                     F.count_if(F.col("error_type").isNull()).alias("successful_repeats"),
-                                     F.count_if(F.col("error_type").isNotNull()).alias("errors"))
-    return join_on(counts, agg, list(keys), "left")
+    return join_on(attempt_counts(meas, keys), aggregate_wide(ok, keys, approx), list(keys), "left")
 
 
 def batch_compare(meas: DataFrame, keys=("run_id", "model"), chunk_tokens: int = 256, chunk_count: int = 100) -> DataFrame:

@@ -11,7 +11,7 @@ per-(partition, group) counts turns local positions into global ordinals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -54,42 +54,55 @@ def ordinal_within_group(df: DataFrame, keys: list[str], order: list[str], name:
         .drop("_mid", "_pid", "_first", "_before")
 
 
-#: Steps per octave of the value buckets that running sums start from.
-BUCKET_STEPS = 1024
+#: Values of a group that are ordered as they are; a larger group is narrowed down by a sketch first.
+SMALL_GROUP = 50_000
+#: A sketched rank is right to within one part in this many of the group.
+SKETCH_ACCURACY = 10_000
+#: A wanted rank lies this many such parts at most from its sketched neighbours.
+SLACK = 5
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float], small: int = SMALL_GROUP,
+                      accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Exact linear-interpolation percentiles per group (rank = (n - 1) * p).
 
     NULL values are ignored; the result has one row per group (NULL keys form
-    groups too) with one column per entry of ``ps``. Equal values are counted
-    first, with partial aggregation. Counts are summed by buckets of the value
-    (logarithmic steps, in the order of the values); running sums over the
-    buckets show which ones hold a wanted rank, and only their values are
-    ordered. So no task sees all rows or all values of a group.
+    groups too) with one column per entry of ``ps``. A mergeable quantile
+    sketch per group gives two values that enclose each wanted rank, whatever
+    the values are spread like. Rows below the two are only counted; the few
+    between them (``2 * SLACK / accuracy`` of the group and a little) are
+    counted by value and ordered. So one hot value is one row, and a task
+    orders all values of small groups only.
     """
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    bucket = F.signum("_v") * F.floor(F.log2(F.abs("_v") + 1.0) * BUCKET_STEPS)
-    counts = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
-    sums = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
-    group = Window.partitionBy(*keys)
-    sums = sums.select("*", (F.sum("_s").over(group.orderBy("_b")) - F.col("_s")).alias("_before"), F.sum("_s").over(group).alias("_n"))
-
-    def inside(rank, low, size):
-        return (rank >= low) & (rank < low + size)
-
-    ranks = {name: (F.floor((F.col("_n") - 1) * F.lit(p)), F.ceil((F.col("_n") - 1) * F.lit(p))) for name, p in ps.items()}
-    wanted = F.lit(False)
-    for low, high in ranks.values():
-        wanted = wanted | inside(low, F.col("_before"), F.col("_s")) | inside(high, F.col("_before"), F.col("_s"))
-    near = join_on(counts, sums.where(wanted).select(*keys, "_b", "_before", "_n"), [*keys, "_b"])
-    order = Window.partitionBy(*keys, "_b").orderBy("_v")
-    near = near.withColumn("_from", F.col("_before") + F.sum("_c").over(order) - F.col("_c"))
+    names = list(ps)
+    reach = SLACK / accuracy
+    edges = [e for p in ps.values() for e in (max(0.0, p - reach), min(1.0, p + reach))]
+    sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_q"))
+    held = join_on(v, sketch, keys)
+
+    def place(i: int, p: float) -> Column:
+        """Of one percentile: the value if it lies between the edges, NULL if below them; not kept if above."""
+        open_low, open_high = (F.col("_n") <= small) | F.lit(p - reach <= 0), (F.col("_n") <= small) | F.lit(p + reach >= 1)
+        below = ~open_low & (F.col("_v") < F.col("_q")[2 * i])
+        above = ~open_high & (F.col("_v") > F.col("_q")[2 * i + 1])
+        return F.struct(F.lit(i).alias("i"), F.when(~below, F.col("_v")).alias("v"), (~above).alias("kept"))
+
+    each = held.select(*keys, "_n", F.explode(F.filter(F.array(*[place(i, p) for i, p in enumerate(ps.values())]), lambda x: x["kept"])).alias("_x"))
+    counts = each.groupBy(*keys, "_n", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
+    near = counts.withColumn("_from", F.sum("_c").over(order) - F.col("_c")).where("_v IS NOT NULL")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_from") + F.col("_c")), F.col("_v")))
+
     cols = []
-    for name, p in ps.items():
-        low, high = ranks[name]
-        pos = F.first((F.col("_n") - 1) * F.lit(p))
-        a = F.max(F.when(inside(low, F.col("_from"), F.col("_c")), F.col("_v")))
-        b = F.max(F.when(inside(high, F.col("_from"), F.col("_c")), F.col("_v")))
-        cols.append((a + (b - a) * (pos - F.floor(pos))).alias(name))
+    for i, name in enumerate(names):
+        own = near["_i"] == i
+        rank = (F.col("_n") - 1) * F.lit(ps[name])
+        a, b = at(F.when(own, F.floor(rank))), at(F.when(own, F.ceil(rank)))
+        share = F.max(rank - F.floor(rank))
+        exact = F.when(share == 0, a).otherwise(a + (b - a) * share)
+        cols.append(F.when(a.isNull() | b.isNull(), F.raise_error(F.lit("a wanted rank lies outside its sketched neighbours")).cast("double"))
+                    .otherwise(exact).alias(name))
     return near.groupBy(*keys).agg(*cols)

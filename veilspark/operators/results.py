@@ -43,7 +43,7 @@ def result_rows(meas: DataFrame, runs: DataFrame, quality: DataFrame | None = No
     agg = M.aggregate_wide(ok.drop("repeat_index", "input_tokens"), key)
     counts = meas.groupBy(*key).agg(F.count(F.lit(1)).alias("repeats"),
                                     F.count_if(F.col("error_type").isNull()).alias("successful_repeats"))
-    sp = M.per_watt(join_on(counts, agg, key, "left").join(F.broadcast(runs.select("run_id", "power_watts")), "run_id", "left"))
+    sp = M.per_watt(join_on(counts, agg, key, "left").join(runs.select("run_id", "power_watts"), "run_id", "left"))
     if costs is not None:
         sp = sp.join(F.broadcast(costs.select(F.col("name").alias("model"), "cost_per_hour_usd")), "model", "left").withColumn(
             "usd_per_1m_input_tokens", M.usd_per_million(F.col("cost_per_hour_usd"), F.col("input_tps_mean")))
@@ -88,14 +88,14 @@ def result_rows(meas: DataFrame, runs: DataFrame, quality: DataFrame | None = No
 
 
 def measurement_rows(rows: DataFrame) -> DataFrame:
-    """Attempts as a long table: ``measurement`` rows, plus the ``measurements``
+    """Attempts as a long table with their open ``metrics``: ``measurement`` rows, plus the ``measurements``
     lists embedded in speed rows written in the list format."""
     keys = ["_source", "run_id", "model", "model_type", "bucket_tokens"]
     fields = [f.name for f in M_SCHEMA.fields]
-    flat = rows.where(F.col("kind") == "measurement").select(*keys, *fields, "error_type")
+    flat = rows.where(F.col("kind") == "measurement").select(*keys, *fields, "error_type", "metrics")
     nested = (rows.where((F.col("kind") == "speed") & F.col("measurements").isNotNull())
-                  .select(*keys, F.explode("measurements").alias("m"))
-                  .select(*keys, *[F.col(f"m.{f}") for f in fields], F.lit(None).cast("string").alias("error_type")))
+                  .select(*keys, F.explode(F.arrays_zip(F.col("measurements").alias("m"), F.col("listed").alias("l"))).alias("x"))
+                  .select(*keys, *[F.col(f"x.m.{f}") for f in fields], F.lit(None).cast("string").alias("error_type"), F.col("x.l").alias("metrics")))
     return flat.unionByName(nested)
 
 

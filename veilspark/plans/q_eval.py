@@ -370,7 +370,7 @@ def agg_5_per_watt(spark, sf_dir):
     m = meas(spark, sf_dir).where(F.col("error_type").isNull())
     a = m.groupBy("run_id", "model", "bucket_tokens").agg(F.avg("input_tps").alias("input_tps_mean"))
     runs = run_metadata(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation"))
-    j = M.per_watt(a.join(F.broadcast(runs.select("run_id", "power_watts")), "run_id"))
+    j = M.per_watt(a.join(runs.select("run_id", "power_watts"), "run_id"))
     return j.select("run_id", "model", "bucket_tokens", r6(F.col("power_watts")).alias("power_watts"),
                     r6(F.col("input_tps_per_watt")).alias("input_tps_per_watt"))
 
@@ -410,9 +410,7 @@ SELECT run_id, model, model_type, bucket_tokens, count(*) AS repeats,
 FROM meas GROUP BY ALL
 """)
 def agg_7_error_counts(spark, sf_dir):
-    s = M.speed_rows(meas(spark, sf_dir).select("run_id", "model", "model_type", "bucket_tokens", "error_type",
-                                                 "latency_s"))
-    return s.select("run_id", "model", "model_type", "bucket_tokens", "repeats", "successful_repeats", "errors")
+    return M.attempt_counts(meas(spark, sf_dir))
 
 
 @register("agg_8_stop_on_error", sql=f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import results as RS
 from ..operators.config import models_table, run_metadata
 from ..operators.quality import gold_pii, quality_totals
@@ -35,7 +36,12 @@ def _written_results(spark: SparkSession, sf_dir: str) -> str:
 
 
 def results(spark, sf_dir) -> DataFrame:
-    return J.read_results(spark, [_written_results(spark, sf_dir)])[0]
+    """The written lines, parsed once and stored by kind."""
+    return _by_kind(spark, J.read_results(spark, [_written_results(spark, sf_dir)])[0])
+
+
+def _by_kind(spark, rows: DataFrame) -> DataFrame:
+    return J.store_by_kind(rows, J.scratch_path(spark, "kinds"))
 
 
 def _written_samples(spark: SparkSession, sf_dir: str) -> str:
@@ -68,7 +74,7 @@ def src_1_read_samples(spark, sf_dir):
 
 
 @register("src_2_reject_rows", sql="""
-SELECT 'missing required field ''id''' AS reason, count(*) AS n FROM labels
+SELECT 'no id' AS reason, count(*) AS n FROM labels
 """)
 def src_2_reject_rows(spark, sf_dir):
     _, rejects = J.read_samples(spark, _written_samples(spark, sf_dir))
@@ -99,6 +105,33 @@ def src_4_split_by_kind(spark, sf_dir):
     return speed.select("run_id", "model", "bucket_tokens", "repeats", "successful_repeats")
 
 
+def _open_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurement rows with fields that no schema names, written as lines and read back."""
+    m = attempts(spark, sf_dir).where(F.col("error_type").isNull())
+    line = F.struct(F.lit("measurement").alias("kind"), F.col("run_id").cast("string").alias("run_id"), "model", "model_type", "bucket_tokens", "latency_s",
+                    (F.col("latency_s") * 0.3).alias("mlx_forward_s"), (F.col("repeat_index") % 2 == 0).alias("mlx_cached"),
+                    F.when(F.col("repeat_index") % 3 == 0, F.col("repeat_index")).alias("mlx_evictions"),
+                    F.col("repeat_index").alias("opf_decoded_mismatch"), F.col("repeat_index").alias("other_number"), F.col("model").alias("mlx_note"))
+    path = J.scratch_path(spark, "open-measurements")
+    J.write_lines(m.select(F.to_json(line).alias("value")), path)
+    return RS.measurement_rows(J.read_results(spark, [path], glob="part-*")[0])
+
+
+@register("src_3b_open_metrics", sql=f"""
+WITH {MEAS_SQL},
+o AS (SELECT CAST(run_id AS VARCHAR) AS run_id, model, bucket_tokens, latency_s, latency_s * 0.3 AS mlx_forward_s,
+             CASE WHEN repeat_index % 3 = 0 THEN CAST(repeat_index AS DOUBLE) END AS mlx_evictions FROM meas WHERE error_type IS NULL),
+long AS (UNPIVOT o ON latency_s, mlx_forward_s, mlx_evictions INTO NAME metric VALUE value)
+SELECT run_id, model, bucket_tokens, metric, round(1e-9 + avg(value), 6) AS mean, round(1e-9 + quantile_cont(value, 0.5), 6) AS p50,
+       round(1e-9 + quantile_cont(value, 0.95), 6) AS p95, count(*) AS n
+FROM long GROUP BY ALL
+""")
+def src_3b_open_metrics(spark, sf_dir):
+    """Mean, p50 and p95 of every number that the lines hold under a core or profiled key, known beforehand or not."""
+    a = M.aggregate_open(_open_measurements(spark, sf_dir))
+    return a.select("run_id", "model", "bucket_tokens", "metric", *[r6(F.col(c)).alias(c) for c in ("mean", "p50", "p95")], "n")
+
+
 @register("src_5_merge_machines", sql=f"""
 WITH {MEAS_SQL}
 SELECT model, count(DISTINCT (run_id, bucket_tokens)) + count(DISTINCT CASE WHEN run_id % 2 = 0 THEN (run_id, bucket_tokens) END) AS speed_rows
@@ -175,11 +208,15 @@ def snk_4_report_sections(spark, sf_dir):
 
 
 @register("rpt_1_runs", sql=f"""
-WITH {RUNS_SQL}
-SELECT CAST(run_id AS VARCHAR) AS run_id, power_watts FROM power
+WITH {RUNS_SQL}, n AS (SELECT n_regionkey, string_agg(n_name, ' + ' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey)
+SELECT CAST(r_regionkey AS VARCHAR) AS run_id, '2024-01-0' || (r_regionkey + 1) || 'T00:00:00+00:00' AS created_at,
+       CASE r_regionkey WHEN 0 THEN 'Jetson ' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2))
+                        WHEN 4 THEN 'Apple Silicon MPS' ELSE coalesce(names, upper(substr(r_name, 1, 3))) END AS hardware_label,
+       power_watts, substr(sha1(r_name), 1, 8) || CASE WHEN r_regionkey % 2 = 1 THEN ' dirty' ELSE '' END AS git
+FROM region JOIN power ON power.run_id = r_regionkey LEFT JOIN n ON n.n_regionkey = r_regionkey
 """)
 def rpt_1_runs(spark, sf_dir):
-    return _report(spark, sf_dir, "runs").select("run_id", "power_watts")
+    return _report(spark, sf_dir, "runs").drop("_source")
 
 
 @register("rpt_2_warmup")
@@ -243,7 +280,7 @@ def _quality_results(spark, sf_dir) -> DataFrame:
     rows = RS.result_rows(attempts(spark, sf_dir), _runs(spark, sf_dir), quality=q, scores=scores)
     path = J.scratch_path(spark, "results-q")
     J.write_jsonl(rows.where(F.col("kind").isin("quality", "sample_score")), path, mode="overwrite")
-    return J.read_results(spark, [path])[0]
+    return _by_kind(spark, J.read_results(spark, [path])[0])
 
 
 @register("rpt_7_quality", sql=f"""

@@ -155,6 +155,7 @@ def prj_11_power_telemetry(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     line = F.concat(F.lit("RAM 1/8 "), F.when(F.col("event_type") == "view", F.lit("POM_5V_IN ")).otherwise(F.lit("VDD_IN ")),
                     (F.col("value") * 100).cast("string"), F.lit("mW/"), (F.col("value") * 100).cast("string"), F.lit("mW"))
+    # FIXED VALUE: the telemetry line's pattern
     w = F.regexp_extract(line, r"\b(?:VDD_IN|POM_5V_IN)\s+(\d+(?:\.\d+)?)mW", 1)
     return e.select("event_id", r6(F.when(w != "", w.cast("double") / 1000)).alias("watts"))
 
@@ -271,7 +272,7 @@ SELECT m.run_id, model, count(*) AS attempts, round(max(p.power_watts) + 1e-9, 6
 """)
 def jn_3_result_run_join(spark, sf_dir):
     runs = _runs(spark, sf_dir).select("run_id", "power_watts")
-    m = meas(spark, sf_dir).join(F.broadcast(runs), "run_id", "left")
+    m = meas(spark, sf_dir).join(runs, "run_id", "left")
     return m.groupBy("run_id", "model").agg(F.count(F.lit(1)).alias("attempts"), r6(F.max("power_watts")).alias("power_watts"))
 
 

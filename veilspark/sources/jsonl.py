@@ -57,8 +57,8 @@ def read_samples(spark: SparkSession, path: str, strict: bool = False) -> tuple[
                         F.try_parse_json("line").isNull().alias("malformed"))
     bad = F.col("malformed") | F.col("s.id").isNull() | F.col("s.text").isNull()
     rejects = parsed.where(bad).select("file", "line", F.when(F.col("malformed"), F.lit("malformed JSON"))
-                                       .when(F.col("s.id").isNull(), F.lit("missing required field 'id'"))
-                                       .otherwise(F.lit("missing required field 'text'")).alias("reason"))
+                                       .when(F.col("s.id").isNull(), F.lit("no id"))
+                                       .otherwise(F.lit("no text")).alias("reason"))
     empty = F.array().cast("array<string>")
     samples = parsed.where(~bad).select(
         F.col("s.id").alias("id"), F.col("s.text").alias("text"),
@@ -69,7 +69,7 @@ def read_samples(spark: SparkSession, path: str, strict: bool = False) -> tuple[
         if first:
             raise ValueError(f"invalid sample in {first[0].m}")
         if samples.limit(1).count() == 0:
-            raise ValueError(f"No samples loaded from {path}")
+            raise ValueError(f"{path} holds no sample")
     return samples, rejects
 
 
@@ -110,6 +110,16 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("sample_id", T.StringType()), T.StructField("missed_pii", T.ArrayType(T.StringType())),
     T.StructField("changed_anchors", T.ArrayType(T.StringType())),
 ])
+#: Kinds of result rows that are sections of the report, and those that hold one attempt or sample each.
+SECTIONS = ("run_metadata", "warmup", "speed", "quality", "batch_compare", "model_error")
+KINDS = (*SECTIONS, "measurement", "sample_score")
+
+
+def numbers(fields):
+    """The numeric values of a ``map<string,variant>``, whatever their keys; booleans, texts and NULLs are no numbers."""
+    kind = lambda v: F.schema_of_variant(v)
+    is_number = lambda v: kind(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | kind(v).startswith("DECIMAL")
+    return F.transform_values(F.map_filter(fields, lambda k, v: is_number(v)), lambda k, v: v.cast("double"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -122,7 +132,8 @@ def read_results(spark: SparkSession, paths: list[str], glob: str = "{*.jsonl,pa
 
     A folder contributes its ``*.jsonl`` files and the part files Spark wrote
     (not recursively, and no other JSON files); a file named outright is read
-    whatever its name.
+    whatever its name. ``metrics`` holds all numbers of a row by their keys,
+    and ``listed`` those of each embedded measurement, known fields or not.
     """
     folders = [p for p in paths if _is_folder(spark, p)]
     files = [p for p in paths if p not in folders]
@@ -130,14 +141,24 @@ def read_results(spark: SparkSession, paths: list[str], glob: str = "{*.jsonl,pa
     # the part files of one written folder are one source
     source = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
     lines = merge(*[p.select(py_strip("value").alias("line"), source.alias("_source")) for p in parts]).where(F.col("line") != "")
-    parsed = lines.select("line", "_source", F.from_json("line", RESULT_SCHEMA).alias("r"), F.try_parse_json("line").isNull().alias("malformed"))
+    open_fields = F.from_json("line", "map<string,variant>")
+    embedded = F.from_json("line", "struct<measurements:array<map<string,variant>>>")["measurements"]
+    parsed = lines.select("line", "_source", F.from_json("line", RESULT_SCHEMA).alias("r"), F.try_parse_json("line").isNull().alias("malformed"),
+                          numbers(open_fields).alias("metrics"), F.transform(embedded, numbers).alias("listed"))
     rejects = parsed.where("malformed").select(F.col("_source").alias("file"), "line", F.lit("malformed JSON").alias("reason"))
-    return parsed.where(~F.col("malformed")).select("r.*", "_source"), rejects
+    return parsed.where(~F.col("malformed")).select("r.*", "metrics", "listed", "_source"), rejects
+
+
+def store_by_kind(rows: DataFrame, path: str) -> DataFrame:
+    """Write parsed rows in one folder per kind and read them back: the lines are parsed once, and a section that
+    filters its ``kind`` opens that kind's folder only."""
+    rows.write.mode("overwrite").partitionBy("kind").parquet(path)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "kind"] + [T.StructField("kind", T.StringType())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def split_kinds(rows: DataFrame) -> dict[str, DataFrame]:
-    kinds = ("run_metadata", "warmup", "speed", "quality", "batch_compare", "model_error")
-    return {k: rows.where(F.col("kind") == k) for k in kinds}
+    return {k: rows.where(F.col("kind") == k) for k in SECTIONS}
 
 
 def merge(*frames: DataFrame) -> DataFrame:
