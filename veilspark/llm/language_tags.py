@@ -11,7 +11,7 @@ Training words take the language of their document. The fit uses a bounded
 sample of the training rows: ``SAMPLE_PER_LANGUAGE`` documents of each language,
 chosen by a hash of the id, and of their whole texts stretches of
 ``STRETCH_WORDS`` words, chosen by a hash of the text and the place, so that
-``SAMPLE_WORDS`` words of each language come together. Scoring reads every
+``SAMPLE_WORDS`` words come together, evenly from all languages. Scoring reads every
 whole text.
 
 Defined results for odd input: ``und`` with score 0.0 for texts that are null
@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import table
 from .chain_crf import ChainCRF, chains, hashed, letters
 from .registry import query
-from .words import Texts, WordTable, per_worker, slices
+from .words import Texts, WordTable, gather, per_worker, slices
 
 UNKNOWN = "und"
 #: Documents of each language that the fit sees, about.
 SAMPLE_PER_LANGUAGE = 200
-#: Words of each language that the fit sees, about, and words of one stretch of them.
-SAMPLE_WORDS, STRETCH_WORDS = 100_000, 50
+#: Words that the fit sees, about, evenly from all languages, and words of one stretch of them.
+SAMPLE_WORDS, STRETCH_WORDS = 160_000, 50
 FEATURES = 1 << 16
 #: A word belongs to a language's lexicon if it makes up this share of the language's training words.
 LEXICON_SHARE = 2e-3
@@ -82,11 +82,15 @@ class LanguageModel:
             part = n / totals[k]
             if w and part >= LEXICON_SHARE and part > share.get(w, 0):
                 share[w], self.lexicon[w] = part, self.languages[k]
-        known: dict[str, list[int]] = {}
-        feats = [known[w] if w in known else known.setdefault(w, hashed(word_features(w, self.lexicon), FEATURES)) for w in words]
+        numbers: dict[str, int] = {}
+        entry = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
+        feats = [np.array(hashed(word_features(w, self.lexicon), FEATURES), dtype=np.int64) for w in numbers]
+        own = np.array([len(f) for f in feats], dtype=np.int64)
+        flat, sizes = gather((np.concatenate(feats), np.cumsum(own) - own, own), entry) if len(feats) else (entry, entry)
+        del feats, words
         first, size = chains(texts, ends, owner)
         self.crf = ChainCRF(len(self.languages), FEATURES)
-        self.crf.fit(np.array([f for fs in feats for f in fs], dtype=np.int64), np.array([len(f) for f in feats]), labels, first, size)
+        self.crf.fit(flat, sizes, labels, first, size)
 
     def word_table(self) -> WordTable:
         def build(words: list[bytes]) -> list:
@@ -135,7 +139,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: int = S
     if not held:
         return LanguageModel([])
     places = drawn.select("lang", "doc_id", "text", "split", F.explode(F.sequence(F.lit(0), F.floor((F.size("split") - 1) / stretch).cast("int"))).alias("place"))
-    sample = places.where(draw("doc_id", F.xxhash64("text"), "place") < rates(words, held)).select(
+    sample = places.where(draw("doc_id", F.xxhash64("text"), "place") < rates(words // len(held), held)).select(
         "lang", "doc_id", "place", F.array_join(F.slice("split", F.col("place") * stretch + 1, F.lit(stretch)), " ").alias("part"))
     return LanguageModel([(r.lang, r.part) for r in sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id, r.place, r.part))])
 
