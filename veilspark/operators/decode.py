@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import chain, first_after, let
+from ..functions.arrays import chain, first_after, let, running_sum
 from ..functions.rules import PII_CATEGORIES, RULES
 from ..functions.text import blocks, cut
-from .detect import all_rule_spans, detect
+from .detect import all_rule_spans
 from .redact import SPAN_T
-from .tokens import token_table
+from .tokens import overlaps, token_spans
 
 # FIXED VALUES: detection label -> span category of the classifier label space.
 DETECT_TO_CATEGORY = {
@@ -86,28 +86,57 @@ def overlap_join(tokens: DataFrame, spans: DataFrame, key: str = "doc_id", bucke
                    & (F.floor(ov_start / bucket) == F.col("_b"))).drop("_b")
 
 
-def token_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """BIOES token labels from detected spans (FIXTURES.md B3).
+def labelled_tokens(text) -> Column:
+    """``array<struct<tok_start,tok_end,piece,label>>``: a text's tokens with BIOES labels from its detected spans.
 
     A token covered by several spans takes the span of the lowest rule index
     (then earliest start). Within its span the first token is B, the last E,
-    the others I; a one-token span is S.
+    the others I; a one-token span is S. Tokens and spans meet as sorted
+    arrays in the row; nothing is shuffled.
     """
-    tt = token_table(docs, text_col)
-    sp = detect(docs, text_col).withColumn(
-        "span_id", F.concat_ws(":", F.col("rule").cast("string"), F.col("start").cast("string")))
-    pairs = overlap_join(tt, sp)
-    best = (pairs.groupBy("doc_id", "tok_idx")
-                 .agg(F.min(F.struct("rule", "s_start", "span_id", "det_label")).alias("b"))
-                 .select("doc_id", "tok_idx", F.col("b.span_id").alias("span_id"), F.col("b.det_label").alias("det_label")))
-    ends = best.groupBy("doc_id", "span_id").agg(F.min("tok_idx").alias("first"), F.max("tok_idx").alias("last"))
-    lab = best.join(ends, ["doc_id", "span_id"]).select("doc_id", "tok_idx", "det_label", "first", "last")
     cat = F.create_map(*[x for kv in DETECT_TO_CATEGORY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    tag = (F.when(F.col("first") == F.col("last"), "S").when(F.col("tok_idx") == F.col("first"), "B")
-            .when(F.col("tok_idx") == F.col("last"), "E").otherwise("I"))
-    lab = lab.select("doc_id", "tok_idx", F.concat(tag, F.lit("-"), F.element_at(cat, F.col("det_label"))).alias("label"))
-    return (tt.join(lab, ["doc_id", "tok_idx"], "left")
-              .select("doc_id", "tok_idx", "tok_start", "tok_end", "piece", F.coalesce("label", F.lit("O")).alias("label")))
+
+    def best(b: Column) -> Column:
+        """One (rule, start, token, category) for each covered token, by span."""
+        def own(x: Column) -> Column:
+            s = F.get(b["spans"], x["span_idx"])
+            return F.struct(x["tok_idx"].alias("t"), s["rule"].alias("rule"), s["start"].alias("start"), s["label"].alias("label"))
+        ranked = F.sort_array(F.transform(overlaps(b["toks"], b["spans"]), own))
+        first = let(ranked, lambda r: F.filter(r, lambda x, i: (i == 0) | (x["t"] != F.get(r, i - 1)["t"])))
+        return F.sort_array(F.transform(first, lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["t"].alias("t"),
+                                                                  F.element_at(cat, x["label"]).alias("category"))))
+
+    def named(p: Column) -> Column:
+        def label(x: Column, i: Column) -> Column:
+            def apart(k: Column) -> Column:
+                y = F.get(p, k)
+                return F.coalesce((y["rule"] != x["rule"]) | (y["start"] != x["start"]), F.lit(True))
+            begins, ends = (i == 0) | apart(i - 1), apart(i + 1)
+            tag = F.when(begins & ends, "S").when(begins, "B").when(ends, "E").otherwise("I")
+            return F.struct(x["t"].alias("t"), F.lit(0).alias("is_token"), F.concat(tag, F.lit("-"), x["category"]).alias("label"))
+        return F.transform(p, label)
+
+    def merged(toks: Column, labels: Column) -> Column:
+        """Tokens and labels in one order: a token's label stands right before it."""
+        both = F.sort_array(F.concat(labels, F.transform(toks, lambda t, i: F.struct(i.alias("t"), F.lit(1).alias("is_token"), F.lit("O").alias("label")))))
+        found = let(both, lambda m: F.filter(F.transform(m, lambda x, i: F.struct(x["is_token"].alias("is_token"), F.when(
+            (i > 0) & (F.get(m, i - 1)["t"] == x["t"]), F.get(m, i - 1)["label"]).otherwise(x["label"]).alias("label"))), lambda x: x["is_token"] == 1))
+        return F.zip_with(toks, found, lambda t, x: token(t, x["label"]))
+
+    def token(t: Column, label: Column) -> Column:
+        return F.struct(t["tok_start"].alias("tok_start"), t["tok_end"].alias("tok_end"), t["piece"].alias("piece"), label.alias("label"))
+
+    def build(b: Column) -> Column:
+        plain = F.transform(b["toks"], lambda t: token(t, F.lit("O")))
+        return F.when(F.size(b["spans"]) == 0, plain).otherwise(merged(b["toks"], let(best(b), named)))
+
+    return let(F.struct(token_spans(text).alias("toks"), all_rule_spans(text).alias("spans")), build)
+
+
+def token_labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same as a long table ``(doc_id, tok_idx, tok_start, tok_end, piece, label)``."""
+    t = docs.select("doc_id", F.posexplode(labelled_tokens(text_col)).alias("tok_idx", "t"))
+    return t.select("doc_id", "tok_idx", "t.tok_start", "t.tok_end", "t.piece", "t.label")
 
 
 # ------------------------------------------------------------------ BIOES fold
@@ -183,6 +212,33 @@ def bioes_spans(labels: DataFrame, allowed: list[str] | None = None, key: str =
     return g.select(key, F.aggregate("ts", init, step, lambda acc: flush(acc)).alias("spans"))
 
 
+def row_spans(toks: Column, allowed: list[str] | None = None) -> Column:
+    """The same spans for one row's labelled tokens (``array<struct<tok_start,tok_end,label>>``, in order)."""
+    step, flush, state = _fold_step(None if allowed is None else F.array(*[F.lit(a) for a in allowed]))
+    init = state(F.lit(None), F.lit(None), F.lit(None), F.array().cast(SPAN_T), F.lit(0))
+
+    def fold(ts: Column) -> Column:
+        closing = F.transform(ts, lambda t: F.when((t["label"] == "O") & (t["tok_start"] < t["tok_end"]), F.lit(1).cast("long")).otherwise(0))
+        def items(closers: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                return let(split_bioes(t["label"]), lambda sb: F.struct(
+                    t["tok_start"].alias("tok_start"), t["tok_end"].alias("tok_end"), sb["tag"].alias("tag"), sb["entity"].alias("entity"), F.get(closers, i).alias("closers")))
+            return F.filter(F.transform(ts, one), lambda x: x["entity"].isNotNull())
+        return let(running_sum(closing), lambda closers: F.aggregate(items(closers), init, step, lambda acc: flush(acc)))
+    return let(toks, fold)
+
+
+def row_index_spans(toks: Column, allowed: list[str] | None = None) -> Column:
+    """Spans over token indices of one row's labelled tokens."""
+    return row_spans(F.transform(toks, lambda t, i: F.struct(i.alias("tok_start"), (i + 1).alias("tok_end"), t["label"].alias("label"))), allowed)
+
+
+def row_char_spans(index: Column, toks: Column) -> Column:
+    """Token-index spans as character spans: start of the first token, end of the last."""
+    return F.transform(index, lambda s: F.struct(s["label"].alias("label"), F.get(toks, s["start"])["tok_start"].alias("start"),
+                                                 F.get(toks, s["end"] - 1)["tok_end"].alias("end")))
+
+
 def index_spans(labels: DataFrame, allowed: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """Labels by token index -> token-index spans (DEC-2 rules on [i, i+1))."""
     lab = labels.select(key, "tok_idx", F.col("tok_idx").alias("tok_start"), (F.col("tok_idx") + 1).alias("tok_end"), "label")

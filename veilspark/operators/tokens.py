@@ -1,30 +1,43 @@
-"""Long-form token table: one row per token with code-point offsets.
+"""Tokens with code-point offsets, built in the row that holds the text.
 
-Offsets are a running sum of gap and token lengths. In long form that is a
-window sum partitioned by document, which is linear in the text length (the
-in-row fold of :func:`functions.text.token_spans` is quadratic). The shuffle
-is keyed by ``doc_id``; the sequence operators downstream group by the same
-key, so Spark reuses that partitioning instead of shuffling again.
+Offsets are a running sum of gap and token lengths over the row's arrays
+(:mod:`..functions.arrays`), so neither a token nor the text is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import first_after, let, running_sum
 from ..functions.text import gaps, tokens
 
 
+def token_spans(text) -> Column:
+    """``array<struct<tok_start,tok_end,piece>>`` in text order."""
+    def build(b: Column) -> Column:
+        steps = F.zip_with(F.slice(b["g"], 1, F.size(b["k"])), b["k"], lambda g, k: F.length(g) + F.length(k))
+        return let(running_sum(steps), lambda ends: F.transform(b["k"], lambda k, i: F.struct(
+            (F.get(ends, i) - F.length(k)).alias("tok_start"), F.get(ends, i).alias("tok_end"), k.alias("piece"))))
+    return let(F.struct(gaps(text).alias("g"), tokens(text).alias("k")), build)
+
+
 def token_table(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, tok_idx, tok_start, tok_end, piece)`` for every token."""
-    # let-bind (gaps, tokens) so each regex runs once per row
-    bound = F.array(F.struct(gaps(text_col).alias("g"), tokens(text_col).alias("k")))
-    zipped = F.element_at(F.transform(bound, lambda b: F.arrays_zip(F.slice(b["g"], 1, F.size(b["k"])).alias("g"),
-                                                                    b["k"].alias("k"))), 1)
-    z = df.select(key, F.posexplode(zipped).alias("tok_idx", "z"))
-    w = Window.partitionBy(key).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.length("z.g") + F.length("z.k")
-    return (z.withColumn("tok_end", F.sum(step).over(w).cast("int"))
-             .select(key, F.col("tok_idx").cast("int").alias("tok_idx"),
-                     (F.col("tok_end") - F.length("z.k")).cast("int").alias("tok_start"),
-                     "tok_end", F.col("z.k").alias("piece")))
+    """``(key, tok_idx, tok_start, tok_end, piece)`` for every token; nothing is shuffled."""
+    z = df.select(key, F.posexplode(token_spans(text_col)).alias("tok_idx", "t"))
+    return z.select(key, "tok_idx", "t.tok_start", "t.tok_end", "t.piece")
+
+
+def overlaps(toks: Column, spans: Column) -> Column:
+    """``array<struct<tok_idx,span_idx>>``: the tokens each span touches (half-open ranges), span by span.
+
+    Tokens are disjoint and in order, so a span touches a stretch of them that
+    two bisections find; the work grows with the result.
+    """
+    def stretch(b: Column, s: Column, j: Column) -> Column:
+        first, stop = first_after(b["e"], s["start"], False), first_after(b["s"], s["end"], True)
+        return let(F.struct(first.alias("a"), stop.alias("z")), lambda x: F.when(
+            x["a"] < x["z"], F.transform(F.sequence(x["a"], x["z"] - 1), lambda t: F.struct(t.alias("tok_idx"), j.alias("span_idx"))))
+            .otherwise(F.array().cast("array<struct<tok_idx:int,span_idx:int>>")))
+    bound = F.struct(F.transform(toks, lambda t: t["tok_start"]).alias("s"), F.transform(toks, lambda t: t["tok_end"]).alias("e"))
+    return let(bound, lambda b: F.flatten(F.transform(spans, lambda s, j: stretch(b, s, j))))

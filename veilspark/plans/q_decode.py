@@ -181,6 +181,11 @@ def doc_labels(spark, sf_dir) -> DataFrame:
     return X.token_labels(spread(table(spark, sf_dir, "documents"), key="doc_id"))
 
 
+def doc_tokens(spark, sf_dir) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id")
+    return d.select("doc_id", X.labelled_tokens("text").alias("toks"))
+
+
 @register("dec_1_split_bioes")
 def dec_1_split_bioes(spark, sf_dir):
     lab = doc_labels(spark, sf_dir)
@@ -190,22 +195,23 @@ def dec_1_split_bioes(spark, sf_dir):
 
 @register("dec_2_bioes_spans")
 def dec_2_bioes_spans(spark, sf_dir):
-    sp = X.bioes_spans(doc_labels(spark, sf_dir), list(PII_CATEGORIES))
+    sp = doc_tokens(spark, sf_dir).select("doc_id", X.row_spans(F.col("toks"), list(PII_CATEGORIES)).alias("spans"))
     return sp.select("doc_id", F.posexplode("spans").alias("span_ord", "s")).select(
         "doc_id", "span_ord", "s.label", "s.start", "s.end")
 
 
 @register("dec_8_index_spans")
 def dec_8_index_spans(spark, sf_dir):
-    sp = X.index_spans(doc_labels(spark, sf_dir), list(PII_CATEGORIES))
-    return sp.select("doc_id", F.size("spans").alias("n_spans"))
+    sp = doc_tokens(spark, sf_dir).where(F.size("toks") > 0)
+    return sp.select("doc_id", F.size(X.row_index_spans(F.col("toks"), list(PII_CATEGORIES))).alias("n_spans"))
 
 
 @register("red_11_token_to_char_spans")
 def red_11_token_to_char_spans(spark, sf_dir):
-    lab = doc_labels(spark, sf_dir)
-    ts = X.index_spans(lab, list(PII_CATEGORIES))
-    return X.token_to_char_spans(ts, lab)
+    """Labels, index spans and character spans, all in the row that holds the text."""
+    d = doc_tokens(spark, sf_dir).withColumn("index", X.row_index_spans(F.col("toks"), list(PII_CATEGORIES)))
+    out = d.select("doc_id", F.posexplode(X.row_char_spans(F.col("index"), F.col("toks"))).alias("span_ord", "s"))
+    return out.select("doc_id", "span_ord", "s.label", "s.start", "s.end")
 
 
 @register("dec_9_fallback_alignment")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import config as C
 from ..operators import decode as X
-from ..operators.tokens import token_table
+from ..operators.detect import all_rule_spans
+from ..operators.tokens import overlaps, token_spans
 from ..sources.tables import spread, table
 from .q_eval import MEAS_SQL, MODELS_SQL, RUNS_SQL, meas
 from .registry import register
@@ -290,7 +291,8 @@ def jn_4_selector_semi_anti(spark, sf_dir):
 @register("jn_5_span_token_overlap")
 def jn_5_span_token_overlap(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
-    from ..operators.detect import detect
-    sp = detect(d).withColumn("span_id", F.concat_ws(":", F.col("rule").cast("string"), F.col("start").cast("string")))
-    pairs = X.overlap_join(token_table(d), sp)
-    return pairs.groupBy("doc_id", "span_id").agg(F.count(F.lit(1)).alias("tokens"))
+    rows = d.select("doc_id", token_spans("text").alias("toks"), all_rule_spans("text").alias("spans"))
+    pairs = rows.select("doc_id", "spans", F.explode(overlaps(F.col("toks"), F.col("spans"))).alias("x"))
+    span = F.get(F.col("spans"), F.col("x.span_idx"))
+    named = pairs.select("doc_id", F.concat_ws(":", span["rule"].cast("string"), span["start"].cast("string")).alias("span_id"))
+    return named.groupBy("doc_id", "span_id").agg(F.count(F.lit(1)).alias("tokens"))
