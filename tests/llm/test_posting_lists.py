@@ -67,3 +67,50 @@ def test_graph_walk_finds_all_centroids():
     index = P.Index(np.random.default_rng(0).normal(size=(1000, 8)), 5.0)
     ids, dist = index.nearest(index.aimed(np.random.default_rng(1).normal(size=(50, 8))), len(index.centres))
     assert (np.sort(ids, axis=1) == np.arange(len(index.centres))).all() and (np.diff(dist, axis=1) >= 0).all()
+
+
+def test_every_query_reaches_enough_vectors():
+    rng = np.random.default_rng(5)
+    for n in range(2, 200):
+        data = rng.normal(size=(n, 6)) * rng.choice([0.1, 1, 30], size=(n, 1))
+        index = P.Index(data, np.linalg.norm(data, axis=1).max())
+        row, lists = index.lists_of(data)
+        homes = np.bincount(lists[:n], minlength=len(index.centres))
+        asked, searched = index.probes(data, homes)
+        for q in range(n):
+            found = set(row[np.isin(lists, searched[asked == q])].tolist()) - {q}
+            assert len(found) >= min(20, n - 1), (n, q)
+
+
+def test_a_walk_leaves_centroids_out():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12)) * 4
+    data = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 12))
+    index = P.Index(data, np.linalg.norm(data, axis=1).max(), lists=512)
+    queries = data[:200]
+    ids, _ = index.nearest(index.aimed(queries), max(P.BEAM, 512 // P.BEAM_SHARE))
+    assert (ids >= 0).sum(axis=1).max() <= 128
+    row, lists = index.lists_of(data)
+    homes = np.bincount(lists[:6000], minlength=512)
+    asked, searched = index.probes(queries, homes)
+    hit = 0
+    for q in range(200):
+        mine = np.unique(row[np.isin(lists, searched[asked == q])])
+        score = data @ queries[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(mine.tolist()))
+    assert hit / 4000 >= 0.9 and len(searched) < 200 * 256
+
+
+def test_products_beyond_single_precision(spark):
+    rows = [(i, [3e38 if i == 5 else float(i), 1.0]) for i in range(60)]
+    got = P.search(frame(spark, [(i, [3e30 if i == 0 else v[0], 1.0]) for i, v in rows]), F.col("vec_id") % 20 == 0).where("query_id = 0 AND rank <= 2").collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 5), (2, 59)]
+
+
+def test_all_neighbours_of_small_tables(spark):
+    rng = np.random.default_rng(9)
+    for n in (16, 21, 45):
+        rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 5)) * rng.choice([0.1, 5], size=(n, 1)))]
+        got = P.search(frame(spark, rows), F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in got} == {q: min(20, n - 1) for q in range(0, n, 20)}

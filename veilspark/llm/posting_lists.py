@@ -9,7 +9,11 @@ list of its nearest centroid and, if it lies near a border, also to those of
 other centroids nearly as close (a centroid closer to one already chosen than
 to the vector is skipped). A query walks the centroid graph and searches the
 lists whose distance is at most ``ratio`` times the nearest one's; the ratio is
-the smallest that finds ``RECALL`` of the sample's true neighbours.
+the smallest that finds ``RECALL`` of the sample's true neighbours. If those
+lists hold too few other vectors, the query goes on to the next nearest until
+they hold as many as it asks for (all lists, if the table has no more). The
+number of lists grows with the table, and with it the part of the centroids
+that a walk leaves out.
 
 Lists are split into blocks of about ``BLOCK_ROWS`` vectors, so that a list
 that holds many copies of one vector is many tasks; queries stream past a
@@ -37,8 +41,12 @@ from ..sources.tables import table
 from .registry import query
 from .store import written
 
-#: Rows of the sample that the index is fitted on, lists, replicas of a border vector.
-SAMPLE, LISTS, REPLICAS = 8192, 64, 3
+#: Rows of the sample that the index is fitted on, the fewest and the most lists, replicas of a border vector.
+SAMPLE, LISTS, MOST_LISTS, REPLICAS = 8192, 64, 1024, 3
+#: Vectors that a list holds, about, while there may be more lists.
+LIST_ROWS = 20_000
+#: Centroids that a walk keeps in view, and their share of all.
+BEAM, BEAM_SHARE = 64, 4
 #: How much farther than the nearest centroid another one may be to get a replica.
 BORDER = 0.05
 #: Share of the sample's true neighbours that the pruning ratio must reach.
@@ -164,12 +172,31 @@ class Index:
         need = np.where(inside[true], d[:, None, :], np.inf).min(axis=2)
         return float(np.quantile(need, recall)) * (1 + 1e-9)
 
-    def probes(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list that a query searches."""
-        ids, dist = self.nearest(self.aimed(queries), len(self.centres))
-        keep = (ids >= 0) & (dist <= self.ratio * np.maximum(dist[:, :1], 1e-12))
-        row, j = np.nonzero(keep)
-        return row, ids[row, j]
+    def probes(self, queries: np.ndarray, homes: np.ndarray | None = None, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of every list that a query searches.
+
+        ``homes`` counts the different vectors whose nearest centroid each list belongs to.
+        """
+        count = len(self.centres)
+        homes = np.zeros(count) if homes is None else homes
+        aimed = self.aimed(queries)
+        ids, dist = self.nearest(aimed, max(BEAM, count // BEAM_SHARE))
+        row, j = np.nonzero(self._taken(ids, dist, homes, k))
+        short = np.flatnonzero(np.where(ids >= 0, homes[np.maximum(ids, 0)], 0).sum(axis=1) < min(k + 1, homes.sum()))
+        if not len(short) or ids.shape[1] == count:
+            return row, ids[row, j]
+        # what the walk has in view holds too few vectors: all lists by distance
+        all_dist = _distances(aimed[short], self.centres)
+        order = np.argsort(all_dist, axis=1, kind="stable")
+        more, at = np.nonzero(self._taken(order, np.take_along_axis(all_dist, order, axis=1), homes, k))
+        rest = ~np.isin(row, short)
+        return np.concatenate([row[rest], short[more]]), np.concatenate([ids[row[rest], j[rest]], order[more, at]])
+
+    def _taken(self, ids: np.ndarray, dist: np.ndarray, homes: np.ndarray, k: int) -> np.ndarray:
+        own = np.where(ids >= 0, homes[np.maximum(ids, 0)], 0)
+        before = np.cumsum(own, axis=1) - own
+        # the query itself may be one of the vectors counted
+        return (ids >= 0) & ((dist <= self.ratio * np.maximum(dist[:, :1], 1e-12)) | (before < k + 1))
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, **options) -> Index | None:
@@ -183,6 +210,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, **options) -> Index | None:
     if not rows:
         rows = [r.embedding for r in vectors.orderBy("vec_id").select("embedding").limit(64).collect()]
     width = Counter(len(r) for r in rows).most_common(1)[0][0]
+    options.setdefault("lists", min(MOST_LISTS, max(LISTS, total.n // LIST_ROWS)))
     return Index(np.array([r for r in rows if len(r) == width], dtype=np.float64), total.norm, **options)
 
 
@@ -192,15 +220,19 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _best(ids: np.ndarray, block: np.ndarray, small: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple:
     """The k best of a block for each query: (query row, vec_id, score), by score, then id."""
-    rough = queries.astype(np.float32) @ small
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    own = query_ids[:, None] == ids[None, :]
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = queries.astype(np.float32) @ small
     if rough.shape[1] > k:
         # single precision only narrows the choice; its error is far below the slack
-        edge = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-        slack = 1e-4 * np.linalg.norm(queries, axis=1) * np.sqrt((small ** 2).sum(axis=0).max())
-        row, at = np.nonzero((rough >= (edge - slack)[:, None]) & np.isfinite(rough))
+        odd = ~np.isfinite(rough)
+        rough[own | odd] = -np.inf
+        edge = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k].astype(np.float64)
+        slack = 1e-4 * np.linalg.norm(queries, axis=1) * np.sqrt((small.astype(np.float64) ** 2).sum(axis=0).max())
+        wide = odd.any(axis=1)  # where single precision overflows, double precision decides among all
+        row, at = np.nonzero(((rough >= np.nan_to_num(edge - slack, nan=-np.inf)[:, None]) | wide[:, None]) & ~own)
     else:
-        row, at = np.nonzero(np.isfinite(rough))
+        row, at = np.nonzero(~own)
     score = np.empty(len(row))
     for low in range(0, len(row), 65536):
         part = slice(low, low + 65536)
@@ -221,8 +253,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == index.width)
     kind = pa.list_(pa.float32() if dict(vectors.dtypes)["embedding"] == "array<float>" else pa.float64())
-    schema = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("embedding", kind)])
-    text = "list int, id long, embedding " + dict(vectors.dtypes)["embedding"]
+    schema = pa.schema([("list", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("embedding", kind)])
+    text = "list int, home boolean, id long, embedding " + dict(vectors.dtypes)["embedding"]
 
     def placing(of) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,14 +263,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = B
                     part = batch.slice(low, QUERY_ROWS)
                     row, lists = of(_matrix(part.column("embedding"), index.width))
                     at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column("vec_id").cast(pa.int64()).take(at),
+                    home = np.arange(len(row)) < part.num_rows  # of a vector's lists the nearest comes first
+                    yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(home), part.column("vec_id").cast(pa.int64()).take(at),
                                                       part.column("embedding").cast(kind).take(at)], schema=schema)
         return run
 
     posted = written(rows.mapInArrow(placing(index.lists_of), text), "postings")
     sizes = {r.list: r.n for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
+    held = posted.where("home").select("list", "id").distinct().groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()
+    homes = np.zeros(len(index.centres))
+    homes[[r.list for r in held]] = [r.n for r in held]
     blocks = F.element_at(F.create_map(*[F.lit(x) for c, n in sorted(sizes.items()) for x in (c, -(-n // block_rows))]), F.col("list"))
-    asked = rows.where(is_query).mapInArrow(placing(index.probes), text).where(F.col("list").isin(list(sizes)))
+    asked = rows.where(is_query).mapInArrow(placing(lambda q: index.probes(q, homes, k)), text).where(F.col("list").isin(list(sizes)))
     both = posted.select("list", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(0).alias("role"), "id", "embedding").unionByName(
         asked.select("list", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), F.lit(1).alias("role"), "id", "embedding"))
     # vectors of a block come first, then its queries stream past
