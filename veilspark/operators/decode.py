@@ -256,26 +256,6 @@ def token_to_char_spans(tok_spans: DataFrame, tokens: DataFrame, key: str = "doc
 
 # ------------------------------------------------------------------ scores
 
-def token_scores(labels: DataFrame, ctx: int, stride: int | None = None) -> DataFrame:
-    """Deterministic scorer output (FIXTURES.md B3) over context windows.
-
-    One row per (document, window, token) with the 33 class logits as an
-    array (class 0 is O, then the 8 categories x B/I/E/S): the token's true
-    label scores 0, every other class ``-(1 + h % 997) / 100`` from an
-    integer mix of (doc, token, class, window) that both engines compute.
-    Keeping the classes in an array makes softmax and arg-max in-row work.
-    """
-    stride = stride or ctx
-    cls = F.array(*[F.lit(c) for c in class_names()])
-    w = windows(labels, ctx, stride)
-
-    def logit(c, k):
-        h = (F.col("doc_id") * 7919 + F.col("tok_idx") * 104729 + k * 1299709 + F.col("window_id") * 15485863)
-        return F.when(c == F.col("label"), F.lit(0.0)).otherwise(-(F.lit(1.0) + (h % 997)) / 100.0)
-
-    return w.select("doc_id", "window_id", "tok_idx", F.transform(cls, logit).alias("logits"))
-
-
 def windows(labels: DataFrame, ctx: int, stride: int) -> DataFrame:
     """Assign each token to every window [w*stride, w*stride+ctx) that holds it."""
     lo = F.greatest(F.lit(0), F.ceil((F.col("tok_idx") - ctx + 1) / stride))
@@ -324,6 +304,103 @@ def merge_windows(scores: DataFrame) -> DataFrame:
     return g.select("doc_id", "tok_idx", F.transform(merged, lambda x: x - n).alias("score"))
 
 
+# ------------------------------------------------------------------ score blocks
+
+def token_windows(toks: Column, ctx: int, stride: int) -> Column:
+    """``array<struct<window_id,first,toks>>``: a row's tokens cut into overlapping windows."""
+    last = F.floor((F.size(toks) - 1) / stride).cast("int")
+    cut_out = lambda w: F.struct(w.cast("long").alias("window_id"), (w * stride).alias("first"), F.slice(toks, w * stride + 1, ctx).alias("toks"))
+    return F.when(F.size(toks) > 0, F.transform(F.sequence(F.lit(0), last), cut_out))
+
+
+BLOCK_T = "doc_id long, window_id long, first int, logprob array<double>"
+
+
+def _values(batch, name: str, classes: int):
+    """The scores of a batch's blocks, a row per token, and each block's number of tokens."""
+    import numpy as np
+
+    column = batch.column(name).fill_null([])
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, classes)
+    return flat, np.diff(column.offsets.to_numpy()) // classes
+
+
+def log_softmax_blocks(blocks: DataFrame, classes: int, scores: str = "logits") -> DataFrame:
+    """``logprob`` of each block: a window's scores, ``classes`` numbers per token from token ``first`` on.
+
+    A block is one array, worked on by numpy per Arrow batch; nothing is shuffled.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            flat, n = _values(batch, scores, classes)
+            top = flat.max(axis=1, keepdims=True, initial=-np.inf) if len(flat) else flat[:, :1]
+            top = np.where(np.isfinite(top), top, 0.0)
+            with np.errstate(divide="ignore"):
+                out = flat - (top + np.log(np.exp(flat - top).sum(axis=1, keepdims=True)))
+            bounds = np.concatenate([[0], np.cumsum(n) * classes]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "window_id", "first")),
+                                              pa.ListArray.from_arrays(pa.array(bounds), pa.array(out.reshape(-1)))], names=["doc_id", "window_id", "first", "logprob"])
+
+    return blocks.select("doc_id", "window_id", F.col("first").cast("int").alias("first"), scores).mapInArrow(run, BLOCK_T)
+
+
+def merge_blocks(blocks: DataFrame, classes: int, segment: int = 64) -> DataFrame:
+    """``(doc_id, tok_idx, score)``: log-mean-exp of each class over the windows that scored a token.
+
+    Blocks are cut where ``segment`` divides the token's position; the pieces of
+    a (document, segment) meet in one exchange, a block of numbers each, and
+    are merged by numpy over many segments at once. A long document is many
+    segments, and a segment has as many pieces as windows cover it.
+    """
+    piece = F.transform(F.sequence(F.floor(F.col("first") / segment), F.floor((F.col("first") + F.col("n") - 1) / segment)), lambda s: F.struct(
+        s.alias("segment"), F.greatest(s * segment, F.col("first")).cast("int").alias("first"),
+        F.slice("logprob", (F.greatest(s * segment - F.col("first"), F.lit(0)) * classes + 1).cast("int"),
+                (F.least((s + 1) * segment - F.col("first"), F.col("n")) - F.greatest(s * segment - F.col("first"), F.lit(0))).cast("int") * classes).alias("logprob")))
+    rows = blocks.withColumn("n", (F.size("logprob") / classes).cast("int")).where("n > 0 AND first >= 0")
+    pieces = rows.select("doc_id", F.explode(piece).alias("p")).select("doc_id", "p.segment", "p.first", "p.logprob")
+    dealt = pieces.repartition("doc_id", "segment").sortWithinPartitions("doc_id", "segment")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def merged(parts):
+            doc, segs, first, n, flat = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            owner = np.repeat(doc, n)
+            order = np.lexsort((spot, owner))
+            owner, spot, flat = owner[order], spot[order], flat[order]
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (spot[1:] != spot[:-1])]))
+            counts = np.diff(np.append(new, len(owner)))
+            score = np.logaddexp.reduceat(flat, new, axis=0) - np.log(counts)[:, None]
+            bounds = np.arange(len(new) + 1, dtype=np.int32) * classes
+            return pa.RecordBatch.from_arrays([pa.array(owner[new]), pa.array(spot[new].astype(np.int32)),
+                                               pa.ListArray.from_arrays(pa.array(bounds), pa.array(score.reshape(-1)))], names=["doc_id", "tok_idx", "score"])
+
+        held = []
+        for batch in batches:
+            flat, n = _values(batch, "logprob", classes)
+            doc, segs, first = (batch.column(c).to_numpy() for c in ("doc_id", "segment", "first"))
+            if not len(doc):
+                continue
+            # the last segment may go on in the next batch
+            go = np.flatnonzero((doc != doc[-1]) | (segs != segs[-1]))
+            cut_at = int(go[-1]) + 1 if len(go) else 0
+            at = int(n[:cut_at].sum())
+            if cut_at or (held and (held[-1][0][-1], held[-1][1][-1]) != (doc[-1], segs[-1])):
+                done = held + ([(doc[:cut_at], segs[:cut_at], first[:cut_at], n[:cut_at], flat[:at])] if cut_at else [])
+                held = []
+                yield merged(done)
+            held.append((doc[cut_at:], segs[cut_at:], first[cut_at:], n[cut_at:], flat[at:]))
+        if held:
+            yield merged(held)
+
+    return dealt.mapInArrow(run, "doc_id long, tok_idx int, score array<double>")
+
+
 def argmax_labels(merged: DataFrame) -> DataFrame:
     """Best class per token; ties go to the lowest class index."""
     return merged.select("doc_id", "tok_idx",

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.rules import PII_CATEGORIES
 from ..functions.text import token_count
 from ..operators import decode as X
 from ..operators.redact import apply_spans
-from ..operators.tokens import token_table
+from ..operators.tokens import token_spans, token_table
 from ..sources.tables import spread, table
 from . import oracle_sql as O
 from .registry import register
@@ -35,22 +36,60 @@ def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.unionByName(cases)
 
 
-def rule_labels(spark, sf_dir) -> DataFrame:
-    """Token table of :func:`conv_docs` with a simple per-token 'true' label: addresses are S, numbers of three
+def rule_tokens(spark, sf_dir) -> DataFrame:
+    """Tokens of :func:`conv_docs`, an array a row, with a simple 'true' label: addresses are S, numbers of three
     and more digits B, I, E or S by their neighbours, and ``now_`` an I that no B begins."""
-    tt = token_table(conv_docs(spark, sf_dir))
-    w = Window.partitionBy("doc_id").orderBy("tok_idx")
-    num = F.col("piece").rlike("^[0-9]{3,}$")
-    tt = tt.withColumn("_before", F.coalesce(F.lag(num).over(w), F.lit(False))).withColumn("_after", F.coalesce(F.lead(num).over(w), F.lit(False)))
-    tag = (F.when(F.col("_before") & F.col("_after"), "I").when(F.col("_before"), "E").when(F.col("_after"), "B").otherwise("S"))
-    lab = (F.when(F.col("piece").contains("@"), F.lit("S-private_email"))
-            .when(num, F.concat(tag, F.lit("-private_phone")))
-            .when(F.col("piece") == "now_", F.lit("I-private_date")).otherwise(F.lit("O")))
-    return tt.withColumn("label", lab).drop("_before", "_after")
+    def label(ts, t, i):
+        num = lambda x: F.coalesce(x["piece"].rlike("^[0-9]{3,}$"), F.lit(False))
+        before, after = (i > 0) & num(F.get(ts, i - 1)), num(F.get(ts, i + 1))
+        tag = F.when(before & after, "I").when(before, "E").when(after, "B").otherwise("S")
+        return (F.when(t["piece"].contains("@"), F.lit("S-private_email")).when(num(t), F.concat(tag, F.lit("-private_phone")))
+                .when(t["piece"] == "now_", F.lit("I-private_date")).otherwise(F.lit("O")))
+    toks = let(token_spans("text"), lambda ts: F.transform(ts, lambda t, i: F.struct(
+        t["tok_start"].alias("tok_start"), t["tok_end"].alias("tok_end"), t["piece"].alias("piece"), label(ts, t, i).alias("label"))))
+    return conv_docs(spark, sf_dir).select("doc_id", toks.alias("toks"))
+
+
+def rule_labels(spark, sf_dir) -> DataFrame:
+    """The same as a long table."""
+    t = rule_tokens(spark, sf_dir).select("doc_id", F.posexplode("toks").alias("tok_idx", "t"))
+    return t.select("doc_id", "tok_idx", "t.tok_start", "t.tok_end", "t.piece", "t.label")
+
+
+def scored_blocks(spark, sf_dir) -> DataFrame:
+    """Stand-in for a model's output: one block of logits per window. A token's own label scores 0, every other
+    class ``-(1 + h % 997) / 100`` from an integer mix of document, token, class and window."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        number = {c: i for i, c in enumerate(CLASSES)}
+        k = np.arange(len(CLASSES), dtype=np.int64)
+        for batch in batches:
+            labels = batch.column("labels")
+            bounds = labels.offsets.to_numpy()
+            n = np.diff(bounds)
+            own = np.array([number[x] for x in labels.flatten().to_pylist()], dtype=np.int64)
+            doc, window, first = (np.repeat(batch.column(c).to_numpy().astype(np.int64), n) for c in ("doc_id", "window_id", "first"))
+            spot = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first
+            mix = np.fmod((doc * 7919 + spot * 104729 + window * 15485863)[:, None] + k[None, :] * 1299709, 997)
+            logits = -(1.0 + mix) / 100.0
+            logits[np.arange(len(own)), own] = 0.0
+            ends = np.concatenate([[0], np.cumsum(n) * len(CLASSES)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "window_id", "first")),
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(logits.reshape(-1)))], names=["doc_id", "window_id", "first", "logits"])
+
+    w = rule_tokens(spark, sf_dir).select("doc_id", F.explode(X.token_windows(F.col("toks"), CTX, STRIDE)).alias("w"))
+    rows = w.select("doc_id", "w.window_id", "w.first", F.transform("w.toks", lambda t: t["label"]).alias("labels"))
+    return rows.mapInArrow(run, "doc_id long, window_id long, first int, logits array<double>")
+
+
+def score_blocks(spark, sf_dir) -> DataFrame:
+    return X.log_softmax_blocks(scored_blocks(spark, sf_dir), len(CLASSES))
 
 
-def scores(spark, sf_dir) -> DataFrame:
-    return X.log_softmax(X.token_scores(rule_labels(spark, sf_dir), CTX, STRIDE))
+def merged_scores(spark, sf_dir) -> DataFrame:
+    return X.merge_blocks(score_blocks(spark, sf_dir), len(CLASSES), STRIDE)
 
 
 TOKS_SQL = f"""
@@ -97,7 +136,7 @@ WITH {TOKS_SQL}
 SELECT doc_id, count(*) AS n, round(max(logprob) + 1e-9, 6) AS max_lp, round(min(logprob) + 1e-9, 6) AS min_lp FROM lsm GROUP BY doc_id
 """)
 def dec_7_log_softmax(spark, sf_dir):
-    s = scores(spark, sf_dir)
+    s = score_blocks(spark, sf_dir)
     return s.groupBy("doc_id").agg(F.sum(F.size("logprob")).cast("long").alias("n"),
                                    r6(F.max(F.array_max("logprob"))).alias("max_lp"),
                                    r6(F.min(F.array_min("logprob"))).alias("min_lp"))
@@ -108,7 +147,7 @@ WITH {TOKS_SQL}
 SELECT doc_id, tok_idx, round(max(score) + 1e-9, 6) AS best_score, count(*) AS n_labels FROM merged GROUP BY ALL
 """)
 def dec_5_window_merge(spark, sf_dir):
-    m = X.merge_windows(scores(spark, sf_dir))
+    m = merged_scores(spark, sf_dir)
     return m.select("doc_id", F.col("tok_idx").cast("long"), r6(F.array_max("score")).alias("best_score"),
                     F.size("score").cast("long").alias("n_labels"))
 
@@ -119,7 +158,7 @@ SELECT doc_id, tok_idx, CAST(arg_max(label_idx, score * 1000 - label_idx / 1000.
 FROM merged GROUP BY ALL
 """)
 def dec_3_argmax(spark, sf_dir):
-    a = X.argmax_labels(X.merge_windows(scores(spark, sf_dir)))
+    a = X.argmax_labels(merged_scores(spark, sf_dir))
     return a.select("doc_id", F.col("tok_idx").cast("long"), "label_idx")
 
 
@@ -132,7 +171,7 @@ SELECT b.doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(sum(t.tok_end - t.tok_
 FROM best b JOIN toks t USING (doc_id, tok_idx) GROUP BY b.doc_id
 """)
 def dec_13_scores_offsets_join(spark, sf_dir):
-    best = X.argmax_labels(X.merge_windows(scores(spark, sf_dir)))
+    best = X.argmax_labels(merged_scores(spark, sf_dir))
     tt = token_table(conv_docs(spark, sf_dir))
     j = best.join(tt, ["doc_id", "tok_idx"])
     return j.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("tokens"),
@@ -143,7 +182,7 @@ def dec_13_scores_offsets_join(spark, sf_dir):
 @register("dec_4_viterbi")
 def dec_4_viterbi(spark, sf_dir):
     """Best legal path of each document: its total score, and how many of its labels differ from arg-max."""
-    m = X.merge_windows(scores(spark, sf_dir))
+    m = merged_scores(spark, sf_dir)
     v = X.viterbi(m).join(m, ["doc_id", "tok_idx"])
     own = F.element_at("score", F.col("label_idx") + 1)
     # the total's order of summing differs between engines: five digits are compared
@@ -292,7 +331,7 @@ def red_6_valid_spans(spark, sf_dir):
 def red_7_label_lookup(spark, sf_dir):
     """Label names of predictions: by category index, and through a label map with text keys that
     knows the e-mail and phone classes only (others are ``O``)."""
-    best = X.argmax_labels(X.merge_windows(scores(spark, sf_dir)))
+    best = X.argmax_labels(merged_scores(spark, sf_dir))
     cat_idx = F.floor((F.col("label_idx") - 1) / 4).cast("int")     # O -> -1 -> 'label_-1'
     known = [(str(i), c) for i, c in enumerate(CLASSES) if c.endswith(("_email", "_phone"))]
     names = F.create_map(*[F.lit(x) for kv in known for x in kv])
