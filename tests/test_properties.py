@@ -35,3 +35,23 @@ def test_detect_partition_invariance(spark):
     base = sorted(tuple(r) for r in detect(docs).collect())
     for n in (1, 4, 16):
         assert sorted(tuple(r) for r in detect(docs.repartition(n)).collect()) == base
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    import os
+    import time
+    from veilspark.streaming.stream import windowed_rollup_stream
+    days = [["2024-01-01 10:00:00"] * 3, ["2024-01-05 12:00:00"], ["2024-01-05 13:00:00", "2024-01-05 11:30:00"],
+            ["2024-01-09 00:00:00", "2024-01-01 11:00:00"]]
+    folder = tmp_path / "events.parquet"
+    for k, ts in enumerate(days):
+        rows = [(k * 10 + i, t, "view", float(k * 10 + i)) for i, t in enumerate(ts)]
+        part = spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+        new = [f for f in folder.iterdir() if f.suffix == ".parquet" and f.stat().st_mtime > 2_000_000]
+        for f in new:
+            os.utime(f, (1_000_000 + 10 * k, 1_000_000 + 10 * k))
+        time.sleep(0.01)
+    got = {r.w.start.day: (r.n, r.mean_value, r.approx_p50_value) for r in windowed_rollup_stream(spark, str(tmp_path), files_per_batch=1).collect()}
+    # the last file's row of the first day comes when the watermark stands at the fifth day; the others are in time
+    assert got == {1: (3, 1.0, 1.0), 5: (3, (10 + 20 + 21) / 3, 20.0), 9: (1, 30.0, 30.0)}

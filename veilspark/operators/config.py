@@ -39,6 +39,33 @@ def models_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def setting(model: Column, config: Column, name: str, default: str | None = None) -> Column:
+    """A setting of a model, as text, from two maps of settings.
+
+    What the model names wins, even if it is 0, empty or NULL; else what the
+    whole run's configuration names; else the default.
+    """
+    return (F.when(F.map_contains_key(model, name), F.try_element_at(model, F.lit(name)))
+            .when(F.map_contains_key(config, name), F.try_element_at(config, F.lit(name))).otherwise(F.lit(default)))
+
+
+def run_settings(model: Column, config: Column) -> dict[str, Column]:
+    """The settings that an attempt runs under, by name.
+
+    Warm-up calls take their new tokens from the run's configuration alone, a
+    negative number of warm-ups is none, and a timeout of 0 is no timeout.
+    """
+    whole = lambda c: c.cast("long")
+    none = F.create_map().cast("map<string,string>")
+    chunk, count = (whole(setting(model, config, n, d)) for n, d in (("batch_compare_chunk_tokens", "256"), ("batch_compare_count", "100")))
+    timeout = setting(model, config, "timeout_s").try_cast("double")
+    return {"warmup_repeats": F.greatest(whole(setting(model, config, "warmup_repeats", "1")), F.lit(0)),
+            "warmup_new_tokens": whole(setting(none, config, "decode_new_tokens", "32")),
+            "decode_new_tokens": whole(setting(model, config, "decode_new_tokens", "64")),
+            "batch_compare_chunk_tokens": chunk, "batch_compare_count": count, "batch_compared": (chunk > 0) & (count > 1),
+            "timeout_s": F.when(timeout != 0, timeout)}
+
+
 def selected_models(models: DataFrame, selectors: DataFrame | None) -> DataFrame:
     """Model selection: with no selectors keep enabled models (missing = enabled);
     otherwise keep models whose name, type or model_id is a selector."""

@@ -239,6 +239,24 @@ def row_char_spans(index: Column, toks: Column) -> Column:
                                                  F.get(toks, s["end"] - 1)["tok_end"].alias("end")))
 
 
+def decoded(pieces: Column) -> Column:
+    """``struct<text,starts,ends>``: pieces put together again, with the character range of each in the result.
+
+    The ranges are a running sum of the pieces' lengths, so they are right for
+    a text that differs from the one the tokens came from.
+    """
+    def build(p: Column) -> Column:
+        return let(running_sum(F.transform(p, lambda x: F.length(x))), lambda ends: F.struct(
+            F.array_join(p, "").alias("text"), F.zip_with(ends, p, lambda e, x: e - F.length(x)).alias("starts"), ends.alias("ends")))
+    return let(pieces, build)
+
+
+def decoded_spans(index: Column, text: Column) -> Column:
+    """Token-index spans as character spans of a :func:`decoded` text."""
+    return F.transform(index, lambda s: F.struct(s["label"].alias("label"), F.get(text["starts"], s["start"]).alias("start"),
+                                                 F.get(text["ends"], s["end"] - 1).alias("end")))
+
+
 def index_spans(labels: DataFrame, allowed: list[str] | None = None, key: str = "doc_id") -> DataFrame:
     """Labels by token index -> token-index spans (DEC-2 rules on [i, i+1))."""
     lab = labels.select(key, "tok_idx", F.col("tok_idx").alias("tok_start"), (F.col("tok_idx") + 1).alias("tok_end"), "label")

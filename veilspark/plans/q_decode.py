@@ -294,6 +294,19 @@ def dec_12_rebuild_text(spark, sf_dir):
     return j.select("doc_id", "bad_offsets", (F.col("decoded") != stripped).cast("int").alias("decoded_mismatch"))
 
 
+@register("dec_12b_decoded_offsets")
+def dec_12b_decoded_offsets(spark, sf_dir):
+    """Spans in a text decoded from pieces (a token and a blank) that differs from the source: offsets,
+    value and whether the source has the same characters there."""
+    d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text", X.labelled_tokens("text").alias("toks"))
+    d = d.select("doc_id", "text", X.decoded(F.transform("toks", lambda t: F.concat(t["piece"], F.lit(" ")))).alias("out"),
+                 X.row_index_spans(F.col("toks"), list(PII_CATEGORIES)).alias("index"))
+    spans = d.select("doc_id", "text", "out.text", F.posexplode(X.decoded_spans(F.col("index"), F.col("out"))).alias("span_ord", "s")).toDF(
+        "doc_id", "text", "decoded", "span_ord", "s")
+    value = F.substring("decoded", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    return spans.select("doc_id", "span_ord", "s.label", "s.start", "s.end", value.alias("value"), (F.col("decoded") != F.col("text")).alias("differs"))
+
+
 # ---------------------------------------------------------------- span redaction (RED-4..16)
 
 def doc_spans(spark, sf_dir):
@@ -363,12 +376,10 @@ def red_10_non_overlapping(spark, sf_dir):
 @register("red_12_round_trip_flag")
 def red_12_round_trip_flag(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
-    tt = token_table(d)
-    g = tt.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "piece"))),
-                                                          lambda x: x["piece"]), " ").alias("decoded"))
-    j = d.join(g, "doc_id", "left")
-    mismatch = F.coalesce(F.col("decoded"), F.lit("")) != F.col("text")
-    src = F.when(mismatch, F.coalesce(F.col("decoded"), F.lit(""))).otherwise(F.col("text"))
+    pieces = F.transform(token_spans("text"), lambda t, i: F.when(i == 0, t["piece"]).otherwise(F.concat(F.lit(" "), t["piece"])))
+    j = d.select("doc_id", "text", F.coalesce(X.decoded(pieces)["text"], F.lit("")).alias("decoded"))
+    mismatch = F.col("decoded") != F.col("text")
+    src = F.when(mismatch, F.col("decoded")).otherwise(F.col("text"))
     return j.select("doc_id", mismatch.cast("int").alias("decoded_mismatch"), F.length(src).alias("source_chars"))
 
 

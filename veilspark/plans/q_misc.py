@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import token_count
 from ..operators import config as C
 from ..operators import decode as X
 from ..operators.detect import all_rule_spans
 from ..operators.tokens import overlaps, token_spans
 from ..sources.tables import spread, table
+from . import oracle_sql as O
 from .q_eval import MEAS_SQL, MODELS_SQL, RUNS_SQL, meas
 from .registry import register
 
@@ -41,6 +43,20 @@ def prj_2_derived_throughput(spark, sf_dir):
     return m.select("event_id", r6(F.when(F.col("latency_s") > 0, tokens / F.col("latency_s"))).alias("input_tps"))
 
 
+@register("prj_2b_counted_tokens", sql=f"""
+WITH c AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 7 END AS reported, (conv_id % 4) / 8.0 AS latency_s FROM conversations),
+t AS (SELECT *, coalesce(nullif(reported, 0), {O.token_count('text')}) AS n FROM c)
+SELECT conv_id, turn, CAST(n AS BIGINT) AS input_tokens, round(CASE WHEN latency_s > 0 THEN n / latency_s END + 1e-9, 6) AS input_tps FROM t
+""")
+def prj_2b_counted_tokens(spark, sf_dir):
+    """Calls that report no tokens, or none, have the tokens of their text counted; no time, no rate."""
+    c = spread(table(spark, sf_dir, "conversations"), key=["conv_id", "turn"])
+    third = F.col("turn") % 3
+    n = F.coalesce(F.nullif(F.when(third == 2, 7).when(third == 1, 0), F.lit(0)), token_count("text")).cast("long")
+    latency = (F.col("conv_id") % 4) / 8.0
+    return c.select("conv_id", "turn", n.alias("input_tokens"), r6(F.when(latency > 0, n / latency)).alias("input_tps"))
+
+
 @register("prj_3_prefill_decode_rates", sql=f"""
 WITH {MEAS_SQL}, t AS (SELECT event_id, input_tokens AS n_in, 64 AS n_new, latency_s AS total, latency_s * 0.3 AS ttft
                       FROM meas WHERE error_type IS NULL)
@@ -106,6 +122,35 @@ def prj_7_setting_precedence(spark, sf_dir):
         F.count_if(F.col("latency_s") * 10000 > F.col("timeout_s")).alias("over_budget"))
 
 
+@register("prj_7b_layered_settings", sql="""
+WITH e AS (SELECT event_id, event_id % 4 AS m, event_id % 3 AS g FROM events),
+s AS (SELECT event_id, m, g,
+        CASE WHEN m = 0 THEN 0 WHEN m = 1 THEN NULL WHEN m = 2 THEN event_id % 100 WHEN g = 0 THEN 16 ELSE 64 END AS decode_new_tokens,
+        CASE WHEN g = 0 THEN 16 ELSE 32 END AS warmup_new_tokens,
+        greatest(CASE WHEN m = 0 THEN -2 WHEN m = 2 THEN 3 WHEN g = 1 THEN 0 ELSE 1 END, 0) AS warmup_repeats,
+        CASE WHEN m = 3 THEN 0 WHEN g = 2 THEN 128 ELSE 256 END AS batch_compare_chunk_tokens,
+        CASE WHEN m = 2 THEN 1 ELSE 100 END AS batch_compare_count,
+        CASE WHEN m = 0 THEN NULL WHEN m = 2 THEN 1.5 WHEN g <> 1 THEN 600.0 END AS timeout_s FROM e)
+SELECT event_id, warmup_repeats, warmup_new_tokens, decode_new_tokens, batch_compare_chunk_tokens, batch_compare_count,
+       batch_compare_chunk_tokens > 0 AND batch_compare_count > 1 AS batch_compared, timeout_s FROM s
+""")
+def prj_7b_layered_settings(spark, sf_dir):
+    """Settings of every event's model and run (maps with present, absent, zero and NULL entries) resolved."""
+    e = table(spark, sf_dir, "events")
+    m, g = F.col("event_id") % 4, F.col("event_id") % 3
+
+    def entries(*known):
+        kept = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"), present.alias("p")) for k, v, present in known]), lambda x: x["p"])
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
+    model = entries(("decode_new_tokens", F.when(m == 0, 0).when(m == 2, F.col("event_id") % 100), m < 3),
+                    ("warmup_repeats", F.when(m == 0, -2).otherwise(3), m.isin(0, 2)), ("batch_compare_chunk_tokens", F.lit(0), m == 3),
+                    ("batch_compare_count", F.lit(1), m == 2), ("timeout_s", F.when(m == 0, 0.0).otherwise(1.5), m.isin(0, 2)))
+    config = entries(("decode_new_tokens", F.lit(16), g == 0), ("warmup_repeats", F.lit(0), g == 1), ("batch_compare_chunk_tokens", F.lit(128), g == 2),
+                     ("timeout_s", F.lit(600), g != 1))
+    rows = e.select("event_id", model.alias("model"), config.alias("config"))
+    return rows.select("event_id", *[c.alias(n) for n, c in C.run_settings(F.col("model"), F.col("config")).items()])
+
+
 @register("prj_8_power_budget", sql=f"""
 WITH {RUNS_SQL}
 SELECT run_id, power_watts FROM power

@@ -20,10 +20,10 @@ def str_1_redact_stream(spark, sf_dir):
 
 @register("str_2_windowed_rollup", sql="""
 SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n,
-       round(avg(value) + 1e-9, 6) AS mean_value
+       round(avg(value) + 1e-9, 6) AS mean_value, round(quantile_disc(value, 0.5) + 1e-9, 6) AS approx_p50_value
 FROM events GROUP BY ALL
 """)
 def str_2_windowed_rollup(spark, sf_dir):
     out = windowed_rollup_stream(spark, sf_dir)
     return out.select(F.unix_timestamp("w.start").cast("long").alias("window_start"), "event_type", "n",
-                      F.round(F.col("mean_value") + F.lit(1e-9), 6).alias("mean_value"))
+                      *[F.round(F.col(c) + F.lit(1e-9), 6).alias(c) for c in ("mean_value", "approx_p50_value")])

@@ -20,10 +20,13 @@ from ..operators.redact import redact_rules
 from ..sources.jsonl import scratch_path
 
 
-def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     table = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{table}*")
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{table}*")
 
 
 def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +41,17 @@ def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windowed_rollup_stream(spark: SparkSession, sf_dir: str, window: str = "1 day",
-                           watermark: str = "1 hour") -> DataFrame:
-    """Per (day window, event type): count, mean value and approximate median."""
+                           watermark: str = "1 hour", files_per_batch: int | None = None) -> DataFrame:
+    """Per (day window, event type): count, mean value and approximate median.
+
+    Rows that come after the watermark has passed the end of their window are
+    dropped. ``files_per_batch`` bounds a micro-batch (all files, if not given).
+    """
     out, ckpt = scratch_path(spark, "stream-rollup"), scratch_path(spark, "stream-rollup-ckpt")
     # event time must be a zoned TIMESTAMP; the zone-less wall clock is read as UTC
     # whatever the session time zone is
     as_utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
-    ev = _source(spark, sf_dir, "events").withColumn("ts", as_utc).withWatermark("ts", watermark)
+    ev = _source(spark, sf_dir, "events", files_per_batch).withColumn("ts", as_utc).withWatermark("ts", watermark)
     agg = (ev.groupBy(F.window("ts", window).alias("w"), "event_type")
              .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"),
                   F.percentile_approx("value", 0.5, 10000).alias("approx_p50_value")))
