@@ -9,6 +9,7 @@ from ..functions.text import token_count
 from ..operators import config as C
 from ..operators import decode as X
 from ..operators.detect import all_rule_spans
+from ..operators.ordinals import ordinal_within_group
 from ..operators.tokens import overlaps, token_spans
 from ..sources.tables import spread, table
 from . import oracle_sql as O
@@ -234,10 +235,10 @@ def prj_13_short_commit(spark, sf_dir):
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS INTEGER) AS pos, turn FROM conversations
 """)
 def ord_1_sorted_turns(spark, sf_dir):
-    """Descending order inside each conversation via array_sort on the group's (bounded) turns."""
-    c = spread(table(spark, sf_dir, "conversations"), key="conv_id")
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias("t"))
-    return g.select("conv_id", F.posexplode("t").alias("pos", "turn"))
+    """Descending order inside each conversation; a hot conversation's turns are numbered by many tasks."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (-F.col("turn")).alias("_down"))
+    o = ordinal_within_group(c, ["conv_id"], ["_down"], "pos")
+    return o.select("conv_id", F.col("pos").cast("int").alias("pos"), "turn")
 
 
 @register("ord_2_first_n_per_lang", sql="""
