@@ -40,7 +40,7 @@ def random_spans(r, n, size, lengths):
 def test_random_spans_equal_repeated_slicing(spark):
     r = random.Random(6)
     rows = []
-    for k in range(300):
+    for k in range(150):
         text = "".join(r.choice("ab é😀") for _ in range(r.choice([0, 3, 30, 90])))
         rows.append((k, text, random_spans(r, r.randrange(9), len(text) + 1, [0, 1, 2, 5, 40, -2])))
     rows += [(1000, "abc", [("a", 7, 9), ("b", 5, 2), ("a", 1, 2)]), (1001, "abc", [("a", -5, 2), ("a", -1, 9)]), (1002, "long " * 1000, [("a", 1023, 1025), ("a", 2000, 4096)])]
