@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .registry import query
-from .words import Texts, WordTable, gather, per_worker, slices
+from .words import TABLE_WORDS, Texts, WordTable, gather, per_worker, slices
 
 _FREE = np.iinfo(np.int32).max
 
@@ -116,7 +116,7 @@ class Merges:
 class BatchBPE:
     """Encoder and decoder over whole batches; new words are merged together, once."""
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, table_words: int = TABLE_WORDS):
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         self.merges = Merges(spec)
@@ -132,7 +132,7 @@ class BatchBPE:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_split = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")")
-        self.table = WordTable(self._build)
+        self.table = WordTable(self._build, table_words)
 
     def _pieces(self, word: bytes) -> list[bytes]:
         text = word.decode()
@@ -195,13 +195,13 @@ class BatchBPE:
             i, j = i + k, j + size
 
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_file: str, with_ids: bool = False, table_words: int = TABLE_WORDS) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``, little-endian 32-bit, if asked for)."""
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = per_worker("rounds", tokenizer_file, lambda: BatchBPE(tokenizer_file))
+        bpe = per_worker("rounds", f"{tokenizer_file} {table_words}", lambda: BatchBPE(tokenizer_file, table_words))
         for batch in batches:
             for piece in slices(batch, "text"):
                 rows = [(len(ids), packed := ids.astype("<u4").tobytes(), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text).hexdigest())

@@ -8,6 +8,9 @@ gathered. The table of a worker is bounded: when full, it starts afresh.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +18,9 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; long texts are cut between words, never inside one.
 SEGMENT_BYTES = 1_000_000
-#: Words that a worker's table holds before it starts afresh.
+#: Words and bytes that a worker's table holds before it starts afresh.
 TABLE_WORDS = 1_000_000
+TABLE_BYTES = 96_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
 _SPACE = np.zeros(256, dtype=bool)
@@ -141,6 +145,10 @@ class WordTable:
         self.check = np.zeros(0, dtype=np.uint64)
         self.parts: list = []
 
+    def _bytes(self) -> int:
+        arrays = [self.keys, self.place, self.check] + [a for p in self.parts for a in (p if isinstance(p, tuple) else (p,))]
+        return sum(a.nbytes for a in arrays)
+
     def _add(self, words: list[bytes]) -> None:
         new = self.build(words)
         if not self.parts:
@@ -168,7 +176,8 @@ class WordTable:
         known = np.zeros(len(unique), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == unique[inside]
-        if len(self.keys) + np.count_nonzero(~known) > self.limit and len(self.keys):
+        full = len(self.keys) + np.count_nonzero(~known) > self.limit or self._bytes() > TABLE_BYTES
+        if full and len(self.keys):
             self._clear()
             known[:] = False
             at[:] = 0
@@ -202,14 +211,22 @@ class WordTable:
         return np.array(entries, dtype=np.int64)
 
 
-_kept: dict[str, tuple] = {}
+_kept: list[tuple] = []
 
 
 def per_worker(kind: str, ident: str, make: Callable):
-    """The value that ``make`` gives, kept by this worker process for its later tasks; one value per kind."""
-    if _kept.get(kind, ("",))[0] != ident:
-        _kept[kind] = (ident, make())
-    return _kept[kind][1]
+    """The value that ``make`` gives, kept by this worker process for its later tasks.
+
+    A worker keeps one value: what an earlier stage left is dropped first, and its memory given back.
+    """
+    if not _kept or _kept[0][0] != (kind, ident):
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)  # freed arrays go back to the system, not to the next stage's peak
+        _kept.append(((kind, ident), make()))
+    return _kept[0][1]
 
 
 def gather(part: tuple, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
