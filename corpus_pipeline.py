@@ -3,44 +3,65 @@
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on; its
 result is written as Parquet into the shared folder and reread by the next
 one. All stages but the last return the columns of ``documents``.
+
+The stages run one after the other: once a stage's result is written, what the
+stage kept in the scratch folder is of no more use, and the next stage removes
+it (but for what its own ``docs`` read).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import block_naming, bpe_rounds, language_tags, ngram_join, source_mixing
 from veilspark.llm.store import written
+from veilspark.session import remove_scratch, scratch_folders
 from veilspark.sources.tables import table
 
 #: Tokens that the mix may keep, as a share of those it is given; no document is used twice.
 MIX_PERCENT = 80
+#: Words that a worker's table holds in the last stage, when the executors' heaps are at their largest.
+TABLE_WORDS = 300_000
+
+_left: list[str] = []
+
+
+def _only(docs: DataFrame, stage: Callable[[], DataFrame]) -> DataFrame:
+    """The stage's result; the scratch folders that earlier stages left go first."""
+    files = docs.inputFiles()
+    remove_scratch([base for base in _left if not any(base.rsplit("/", 1)[1] in f for f in files)])
+    before = set(scratch_folders())
+    out = stage()
+    _left[:] = [base for base in scratch_folders() if base in _left or base not in before]
+    return out
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language (null, or no letter) go; mixed and unsure ones stay."""
-    return language_tags.accepted(docs)
+    return _only(docs, lambda: language_tags.accepted(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row with the smallest doc_id stays, also if ids repeat or are missing."""
-    return block_naming.first_rows(docs)
+    return _only(docs, lambda: block_naming.first_rows(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row with the smallest doc_id stays, also if ids repeat or are missing."""
-    return ngram_join.drop_near_copies(docs)
+    return _only(docs, lambda: ngram_join.drop_near_copies(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights keep, whole."""
-    return source_mixing.chosen(docs, percent=MIX_PERCENT, max_epochs=1)
+    return _only(docs, lambda: source_mixing.chosen(docs, percent=MIX_PERCENT, max_epochs=1))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the kept documents."""
-    return bpe_rounds.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return _only(docs, lambda: bpe_rounds.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), table_words=TABLE_WORDS))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact_copies), ("near_dedup", near_copies),

@@ -92,11 +92,23 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def scratch_folders() -> list[str]:
+    """The scratch folders that this driver process has made and not removed."""
+    return [base for _, base in _folders]
+
+
+def remove_scratch(bases: list[str]) -> None:
+    """Remove scratch folders that nothing reads any more."""
+    for spark, base in [f for f in _folders if f[1] in bases]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _folders.remove((spark, base))
+
+
 @atexit.register
 def _remove_folders() -> None:
-    for spark, base in _folders:
+    for _, base in list(_folders):
         try:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove_scratch([base])
         except Exception:  # the session has ended already; whoever owns the shared folder cleans it
             return
