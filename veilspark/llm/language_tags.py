@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sources.tables import table
 from .chain_crf import ChainCRF, chains, hashed, letters
 from .registry import query
-from .words import Texts, WordTable, gather, per_worker, slices
+from .words import TABLE_WORDS, Texts, WordTable, gather, per_worker, slices
 
 UNKNOWN = "und"
 #: Documents of each language that the fit sees, about.
@@ -92,7 +92,7 @@ class LanguageModel:
         self.crf = ChainCRF(len(self.languages), FEATURES)
         self.crf.fit(flat, sizes, labels, first, size)
 
-    def word_table(self) -> WordTable:
+    def word_table(self, limit: int = TABLE_WORDS) -> WordTable:
         def build(words: list[bytes]) -> list:
             own = [letters(w) for w in words]
             feats = [hashed(word_features(w, self.lexicon), FEATURES) for w in own]
@@ -102,7 +102,7 @@ class LanguageModel:
             scores = np.stack([np.bincount(word, weights=self.crf.weights[flat, j], minlength=len(words))
                                for j in range(len(self.languages))], axis=1)
             return [scores, np.array([bool(w) for w in own])]
-        return WordTable(build)
+        return WordTable(build, limit)
 
     def predict(self, texts: Texts, known: WordTable) -> tuple[list[str], np.ndarray]:
         starts, ends, rows = texts.words()
@@ -159,13 +159,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known, whatever its score (a mixed text's is low); all columns stay."""
+def accepted(docs: DataFrame, table_words: int = TABLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` whose language is known, whatever its score (a mixed text's is low); all columns stay.
+
+    A worker's table holds ``table_words`` words before it starts afresh.
+    """
     model = fit(docs)
 
     @F.arrow_udf("boolean")
     def named(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = per_worker("language", model.ident, model.word_table) if model.languages else None
+        known = per_worker("language", f"{model.ident} {table_words}", lambda: model.word_table(table_words)) if model.languages else None
         for column in columns:
             names: list[str] = []
             for piece in slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
