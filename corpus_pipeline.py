@@ -23,8 +23,8 @@ from veilspark.sources.tables import table
 
 #: Tokens that the mix may keep, as a share of those it is given; no document is used twice.
 MIX_PERCENT = 80
-#: Words that a worker's table holds in the last stage, when the executors' heaps are at their largest.
-TABLE_WORDS = 300_000
+#: Words that a worker's table holds: workers stay beside the executors' heaps, which grow from stage to stage.
+TABLE_WORDS = 200_000
 
 _left: list[str] = []
 
@@ -41,7 +41,7 @@ def _only(docs: DataFrame, stage: Callable[[], DataFrame]) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language (null, or no letter) go; mixed and unsure ones stay."""
-    return _only(docs, lambda: language_tags.accepted(docs))
+    return _only(docs, lambda: language_tags.accepted(docs, table_words=TABLE_WORDS))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
