@@ -24,7 +24,7 @@ from veilspark.sources.tables import table
 #: Tokens that the mix may keep, as a share of those it is given; no document is used twice.
 MIX_PERCENT = 80
 #: Words that a worker's table holds: workers stay beside the executors' heaps, which grow from stage to stage.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 400_000
 
 _left: list[str] = []
 
