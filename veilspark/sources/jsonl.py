@@ -141,9 +141,12 @@ def read_results(spark: SparkSession, paths: list[str], glob: str = "{*.jsonl,pa
     # the part files of one written folder are one source
     source = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
     lines = merge(*[p.select(py_strip("value").alias("line"), source.alias("_source")) for p in parts]).where(F.col("line") != "")
-    open_fields = F.from_json("line", "map<string,variant>")
-    embedded = F.from_json("line", "struct<measurements:array<map<string,variant>>>")["measurements"]
-    parsed = lines.select("line", "_source", F.from_json("line", RESULT_SCHEMA).alias("r"), F.try_parse_json("line").isNull().alias("malformed"),
+    lines = lines.withColumn("v", F.try_parse_json("line"))
+    open_fields = F.try_variant_get("v", "$", "map<string,variant>")
+    # a line without the key (which may be spelled with escapes) embeds nothing
+    embedded = F.when(F.col("line").contains("measurements") | F.col("line").contains("\\u"),
+                      F.from_json("line", "struct<measurements:array<map<string,variant>>>")["measurements"])
+    parsed = lines.select("line", "_source", F.from_json("line", RESULT_SCHEMA).alias("r"), F.col("v").isNull().alias("malformed"),
                           numbers(open_fields).alias("metrics"), F.transform(embedded, numbers).alias("listed"))
     rejects = parsed.where("malformed").select(F.col("_source").alias("file"), "line", F.lit("malformed JSON").alias("reason"))
     return parsed.where(~F.col("malformed")).select("r.*", "metrics", "listed", "_source"), rejects
