@@ -27,17 +27,17 @@ def _runs(spark, sf_dir):
     return run_metadata(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation"))
 
 
-def _written_results(spark: SparkSession, sf_dir: str) -> str:
+def _written_results(spark: SparkSession, sf_dir: str, numbered: DataFrame | None = None) -> str:
     """SNK-1/2: write the run's result rows as JSON lines (fresh folder per run)."""
-    rows = RS.result_rows(attempts(spark, sf_dir), _runs(spark, sf_dir), costs=models_table(spark))
+    rows = RS.result_rows(attempts(spark, sf_dir) if numbered is None else numbered, _runs(spark, sf_dir), costs=models_table(spark))
     path = J.scratch_path(spark, "results")
     J.write_jsonl(rows, path, mode="overwrite")
     return path
 
 
-def results(spark, sf_dir) -> DataFrame:
+def results(spark, sf_dir, numbered: DataFrame | None = None) -> DataFrame:
     """The written lines, parsed once and stored by kind."""
-    return _by_kind(spark, J.read_results(spark, [_written_results(spark, sf_dir)])[0])
+    return _by_kind(spark, J.read_results(spark, [_written_results(spark, sf_dir, numbered)])[0])
 
 
 def _by_kind(spark, rows: DataFrame) -> DataFrame:
@@ -199,7 +199,8 @@ def _report(spark, sf_dir, name):
 @register("snk_4_report_sections")
 def snk_4_report_sections(spark, sf_dir):
     """The nine sections: rows and the sum of one value of each."""
-    tabs = RS.report_tables(J.merge(results(spark, sf_dir), _quality_results(spark, sf_dir)))
+    numbered = attempts(spark, sf_dir)
+    tabs = RS.report_tables(J.merge(results(spark, sf_dir, numbered), _quality_results(spark, sf_dir, numbered)))
     values = {"runs": F.col("power_watts"), "warmup": F.col("latency_s_p50"), "speed": F.col("input_tps_mean"),
               "stage_breakdown": F.col("other_s"), "scaling": F.col("per_token_ms"), "batch_compare": F.col("speedup_vs_serial"),
               "quality": F.col("pii_total"), "quality_details": F.size("missed_pii") + F.size("changed_anchors"), "errors": F.length("error")}
@@ -273,11 +274,18 @@ def rpt_6_batch_compare(spark, sf_dir):
     return b.select("model", "serial_count", r6(F.col("speedup_vs_serial")).alias("speedup_vs_serial"))
 
 
-def _quality_results(spark, sf_dir) -> DataFrame:
+def _stored_scores(spark, sf_dir) -> DataFrame:
+    """The scored samples, stored: totals and sample rows both read them."""
+    path = J.scratch_path(spark, "scores")
+    scored(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _quality_results(spark, sf_dir, numbered: DataFrame | None = None) -> DataFrame:
     """Result rows with the quality job's rows, written and read back."""
-    scores = scored(spark, sf_dir)
+    scores = _stored_scores(spark, sf_dir)
     q = quality_totals(scores).withColumn("model_type", F.lit("regex")).withColumnRenamed("errors", "error_count").drop("over_redactions")
-    rows = RS.result_rows(attempts(spark, sf_dir), _runs(spark, sf_dir), quality=q, scores=scores)
+    rows = RS.result_rows(attempts(spark, sf_dir) if numbered is None else numbered, _runs(spark, sf_dir), quality=q, scores=scores)
     path = J.scratch_path(spark, "results-q")
     J.write_jsonl(rows.where(F.col("kind").isin("quality", "sample_score")), path, mode="overwrite")
     return _by_kind(spark, J.read_results(spark, [path])[0])
