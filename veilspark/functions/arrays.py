@@ -34,8 +34,22 @@ def running(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
     return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(F.aggregate(_rounds(F.size(v)), v, round_)))
 
 
+#: Elements of a block whose running sum is built by appending.
+SUM_BLOCK = 32
+
+
 def running_sum(values: Column) -> Column:
-    return running(values, lambda a, b: a + b)
+    """Inclusive running sum: appended element by element in short blocks, which the totals of the blocks before are added to."""
+    def block(v: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(v, b * SUM_BLOCK + 1, SUM_BLOCK), F.slice(v, 1, 0), lambda acc, x: F.array_append(
+            acc, F.when(F.size(acc) == 0, x).otherwise(F.element_at(acc, -1) + x)))
+
+    def whole(blocks: Column) -> Column:
+        totals = running(F.transform(blocks, lambda b: F.element_at(b, -1)), lambda a, b: a + b)
+        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: x + F.get(t, i - 1))))))
+
+    return let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(let(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SUM_BLOCK).cast("int")), lambda b: block(v, b)), whole)))
 
 
 def running_back(values: Column, combine: Callable[[Column, Column], Column]) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import chain, first_after, let, running_sum
 from ..functions.rules import PII_CATEGORIES, RULES
-from ..functions.text import blocks, cut
+from ..functions.text import blocks, cut, py_strip
 from .detect import all_rule_spans
 from .redact import SPAN_T
 from .tokens import overlaps, token_spans
@@ -218,13 +218,19 @@ def row_spans(toks: Column, allowed: list[str] | None = None) -> Column:
     init = state(F.lit(None), F.lit(None), F.lit(None), F.array().cast(SPAN_T), F.lit(0))
 
     def fold(ts: Column) -> Column:
-        closing = F.transform(ts, lambda t: F.when((t["label"] == "O") & (t["tok_start"] < t["tok_end"]), F.lit(1).cast("long")).otherwise(0))
-        def items(closers: Column) -> Column:
-            def one(t: Column, i: Column) -> Column:
-                return let(split_bioes(t["label"]), lambda sb: F.struct(
-                    t["tok_start"].alias("tok_start"), t["tok_end"].alias("tok_end"), sb["tag"].alias("tag"), sb["entity"].alias("entity"), F.get(closers, i).alias("closers")))
-            return F.filter(F.transform(ts, one), lambda x: x["entity"].isNotNull())
-        return let(running_sum(closing), lambda closers: F.aggregate(items(closers), init, step, lambda acc: flush(acc)))
+        # closing tokens before a labelled one: all tokens before it but the labelled ones and those that close nothing
+        labelled = F.filter(F.transform(ts, lambda t, i: F.struct(i.alias("i"), t["tok_start"].alias("tok_start"), t["tok_end"].alias("tok_end"),
+                                                                  t["label"].alias("label"))), lambda x: x["label"] != "O")
+        idle = F.filter(F.transform(ts, lambda t, i: F.when(t["label"].isNull() | ((t["label"] == "O") & ~F.coalesce(t["tok_start"] < t["tok_end"], F.lit(False))), i)),
+                        lambda i: i.isNotNull())
+
+        def items(b: Column) -> Column:
+            def one(x: Column, j: Column) -> Column:
+                closers = x["i"] - j - F.when(F.size(b["idle"]) > 0, first_after(b["idle"], x["i"], True)).otherwise(0)
+                return let(split_bioes(x["label"]), lambda sb: F.struct(
+                    x["tok_start"].alias("tok_start"), x["tok_end"].alias("tok_end"), sb["tag"].alias("tag"), sb["entity"].alias("entity"), closers.cast("long").alias("closers")))
+            return F.transform(b["labelled"], one)
+        return let(F.struct(labelled.alias("labelled"), idle.alias("idle")), lambda b: F.aggregate(items(b), init, step, lambda acc: flush(acc)))
     return let(toks, fold)
 
 
@@ -343,16 +349,33 @@ def _values(batch, name: str, classes: int):
     return flat, np.diff(column.offsets.to_numpy()) // classes
 
 
+#: Numbers of one slice of a batch: what numpy works on at once, whatever the size of Spark's Arrow batches.
+SLICE = 1 << 20
+
+
+def slices(batches, column: str, most: int):
+    """The batches in slices of rows whose lists in ``column`` hold about ``most`` elements together (a row at least)."""
+    import numpy as np
+
+    for batch in batches:
+        ends = np.cumsum(np.diff(batch.column(column).offsets.to_numpy()))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def log_softmax_blocks(blocks: DataFrame, classes: int, scores: str = "logits") -> DataFrame:
     """``logprob`` of each block: a window's scores, ``classes`` numbers per token from token ``first`` on.
 
-    A block is one array, worked on by numpy per Arrow batch; nothing is shuffled.
+    A block is one array, worked on by numpy for a slice of an Arrow batch at once; nothing is shuffled.
     """
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, scores, SLICE):
             flat, n = _values(batch, scores, classes)
             top = flat.max(axis=1, keepdims=True, initial=-np.inf) if len(flat) else flat[:, :1]
             top = np.where(np.isfinite(top), top, 0.0)
@@ -365,20 +388,51 @@ def log_softmax_blocks(blocks: DataFrame, classes: int, scores: str = "logits")
     return blocks.select("doc_id", "window_id", F.col("first").cast("int").alias("first"), scores).mapInArrow(run, BLOCK_T)
 
 
+def _joined(owner, spot, flat, counts):
+    """(owner, spot, sum, count) of each token: the log of the summed probabilities of its rows, and their windows."""
+    import numpy as np
+
+    order = np.lexsort((spot, owner))
+    owner, spot, flat, counts = owner[order], spot[order], flat[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (spot[1:] != spot[:-1])]))
+    return owner[new], spot[new], np.logaddexp.reduceat(flat, new, axis=0), np.add.reduceat(counts, new)
+
+
 def merge_blocks(blocks: DataFrame, classes: int, segment: int = 64) -> DataFrame:
     """``(doc_id, tok_idx, score)``: log-mean-exp of each class over the windows that scored a token.
 
-    Blocks are cut where ``segment`` divides the token's position; the pieces of
-    a (document, segment) meet in one exchange, a block of numbers each, and
-    are merged by numpy over many segments at once. A long document is many
-    segments, and a segment has as many pieces as windows cover it.
+    Blocks that arrive together are merged before the exchange, so a token that
+    several of them scored crosses it once: a document's windows lie one after
+    the other. The result is cut where ``segment`` divides the token's position;
+    the pieces of a (document, segment) meet in one exchange, a block of sums
+    and the windows behind each token, and are merged by numpy over many
+    segments at once. A long document is many segments.
     """
-    piece = F.transform(F.sequence(F.floor(F.col("first") / segment), F.floor((F.col("first") + F.col("n") - 1) / segment)), lambda s: F.struct(
-        s.alias("segment"), F.greatest(s * segment, F.col("first")).cast("int").alias("first"),
-        F.slice("logprob", (F.greatest(s * segment - F.col("first"), F.lit(0)) * classes + 1).cast("int"),
-                (F.least((s + 1) * segment - F.col("first"), F.col("n")) - F.greatest(s * segment - F.col("first"), F.lit(0))).cast("int") * classes).alias("logprob")))
-    rows = blocks.withColumn("n", (F.size("logprob") / classes).cast("int")).where("n > 0 AND first >= 0")
-    pieces = rows.select("doc_id", F.explode(piece).alias("p")).select("doc_id", "p.segment", "p.first", "p.logprob")
+    def spots(first, n):
+        import numpy as np
+
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first.astype(np.int64), n)
+
+    def combine(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in slices(batches, "logprob", SLICE):
+            flat, n = _values(batch, "logprob", classes)
+            doc, first = (batch.column(c).to_numpy() for c in ("doc_id", "first"))
+            if not n.sum():
+                continue
+            owner, spot, total, counts = _joined(np.repeat(doc, n), spots(first, n), flat, np.ones(len(flat), dtype=np.int64))
+            # a piece is a stretch of neighbouring tokens of one document and segment
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (spot[1:] != spot[:-1] + 1) | (spot[1:] % segment == 0)]))
+            ends = np.append(new, len(owner)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(owner[new]), pa.array(spot[new] // segment), pa.array(spot[new].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends * np.int32(classes)), pa.array(total.reshape(-1))),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.int32)))], names=["doc_id", "segment", "first", "logprob", "counts"])
+
+    rows = blocks.where("size(logprob) > 0 AND first >= 0").select("doc_id", "first", "logprob")
+    pieces = rows.mapInArrow(combine, "doc_id long, segment long, first int, logprob array<double>, counts array<int>")
     dealt = pieces.repartition("doc_id", "segment").sortWithinPartitions("doc_id", "segment")
 
     def run(batches):
@@ -386,33 +440,27 @@ def merge_blocks(blocks: DataFrame, classes: int, segment: int = 64) -> DataFram
         import pyarrow as pa
 
         def merged(parts):
-            doc, segs, first, n, flat = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            owner = np.repeat(doc, n)
-            order = np.lexsort((spot, owner))
-            owner, spot, flat = owner[order], spot[order], flat[order]
-            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (spot[1:] != spot[:-1])]))
-            counts = np.diff(np.append(new, len(owner)))
-            score = np.logaddexp.reduceat(flat, new, axis=0) - np.log(counts)[:, None]
-            bounds = np.arange(len(new) + 1, dtype=np.int32) * classes
-            return pa.RecordBatch.from_arrays([pa.array(owner[new]), pa.array(spot[new].astype(np.int32)),
+            doc, segs, first, n, flat, windows = (np.concatenate([p[i] for p in parts]) for i in range(6))
+            owner, spot, total, counts = _joined(np.repeat(doc, n), spots(first, n), flat, windows)
+            score = total - np.log(counts)[:, None]
+            bounds = np.arange(len(owner) + 1, dtype=np.int32) * classes
+            return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(spot.astype(np.int32)),
                                                pa.ListArray.from_arrays(pa.array(bounds), pa.array(score.reshape(-1)))], names=["doc_id", "tok_idx", "score"])
 
         held = []
-        for batch in batches:
+        for batch in slices(batches, "logprob", SLICE):
             flat, n = _values(batch, "logprob", classes)
+            windows = batch.column("counts").flatten().to_numpy()
             doc, segs, first = (batch.column(c).to_numpy() for c in ("doc_id", "segment", "first"))
-            if not len(doc):
-                continue
-            # the last segment may go on in the next batch
+            # the last segment may go on in the next slice
             go = np.flatnonzero((doc != doc[-1]) | (segs != segs[-1]))
             cut_at = int(go[-1]) + 1 if len(go) else 0
             at = int(n[:cut_at].sum())
             if cut_at or (held and (held[-1][0][-1], held[-1][1][-1]) != (doc[-1], segs[-1])):
-                done = held + ([(doc[:cut_at], segs[:cut_at], first[:cut_at], n[:cut_at], flat[:at])] if cut_at else [])
+                done = held + ([(doc[:cut_at], segs[:cut_at], first[:cut_at], n[:cut_at], flat[:at], windows[:at])] if cut_at else [])
                 held = []
                 yield merged(done)
-            held.append((doc[cut_at:], segs[cut_at:], first[cut_at:], n[cut_at:], flat[at:]))
+            held.append((doc[cut_at:], segs[cut_at:], first[cut_at:], n[cut_at:], flat[at:], windows[at:]))
         if held:
             yield merged(held)
 
@@ -486,10 +534,10 @@ def best_paths(scores, starts, lengths, moves):
 
 
 def viterbi(merged: DataFrame) -> DataFrame:
-    """Best legal BIOES path per document.
+    """Best legal BIOES path per document: each token's label, its ``score`` and the largest one (``top``).
 
     Scores are dealt out by document in token order, and numpy works on all
-    documents of some Arrow batches at once; a document is never split over
+    documents of some slices at once; a document is never split over
     tasks, and takes 33 bytes of back pointers a token.
     """
     moves = legal_moves(class_names())
@@ -504,13 +552,12 @@ def viterbi(merged: DataFrame) -> DataFrame:
             doc, tok, flat = (np.concatenate([p[i] for p in parts]) for i in range(3))
             first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             path = best_paths(flat, first, np.diff(np.append(first, len(doc))), moves)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tok.astype(np.int32)), pa.array(path.astype(np.int32))],
-                                              names=["doc_id", "tok_idx", "label_idx"])
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tok.astype(np.int32)), pa.array(path.astype(np.int32)),
+                                               pa.array(flat[np.arange(len(doc)), path]), pa.array(flat.max(axis=1))],
+                                              names=["doc_id", "tok_idx", "label_idx", "score", "top"])
 
         held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "score", SLICE):
             flat, _ = _values(batch, "score", classes)
             doc, tok = (batch.column(c).to_numpy() for c in ("doc_id", "tok_idx"))
             go = np.flatnonzero(doc != doc[-1])
@@ -520,11 +567,11 @@ def viterbi(merged: DataFrame) -> DataFrame:
                 held = []
             elif at:
                 yield solved([(doc[:at], tok[:at], flat[:at])])
-            held.append((doc[at:], tok[at:], flat[at:]))  # the last document may go on in the next batch
+            held.append((doc[at:], tok[at:], flat[at:]))  # the last document may go on in the next slice
         if held:
             yield solved(held)
 
-    return dealt.mapInArrow(run, "doc_id long, tok_idx int, label_idx int")
+    return dealt.mapInArrow(run, "doc_id long, tok_idx int, label_idx int, score double, top double")
 
 
 def labels_from_index(pred: DataFrame) -> DataFrame:
@@ -568,6 +615,46 @@ def fallback_spans(labels: DataFrame, texts: DataFrame, allowed: list[str] | Non
     return j.select(key, F.aggregate("gs", init, step, lambda a: a["out"]).alias("spans"))
 
 
+def row_fallback_spans(toks: Column, text: Column, allowed: list[str] | None = None) -> Column:
+    """The same spans for one row's labelled tokens (``array<struct<piece,label>>``, in order) and text; ``[]`` if there are none."""
+    def entity(t: Column) -> Column:
+        ent = split_bioes(t["label"])["entity"]
+        return ent if allowed is None else F.when(ent.isin(*allowed), ent)
+
+    def grouped(items: Column) -> Column:
+        """One (entity, string) for each run of neighbouring tokens of one entity."""
+        def goes_on(x: Column, k: Column) -> Column:
+            before = F.get(items, k - 1)
+            return (k > 0) & (before["i"] == x["i"] - 1) & (before["ent"] == x["ent"])
+        starts = F.filter(F.transform(items, lambda x, k: F.when(~goes_on(x, k), k)), lambda k: k.isNotNull())
+
+        def group(b: Column, k: Column, j: Column) -> Column:
+            own = F.slice(items, k + 1, F.coalesce(F.get(b, j + 1), F.size(items)) - k)
+            return F.struct(F.get(items, k)["ent"].alias("ent"), py_strip(F.array_join(F.transform(own, lambda x: x["piece"]), "")).alias("s"))
+        return let(starts, lambda b: F.filter(F.transform(b, lambda k, j: group(b, k, j)), lambda g: g["s"] != ""))
+
+    def step(acc: Column, g: Column) -> Column:
+        at = F.call_function("locate", g["s"], text, acc["from"] + 1)
+        found = F.when(at > 0, at).otherwise(F.call_function("locate", g["s"], text, F.lit(1)))
+
+        def placed(start: Column) -> Column:
+            end = (start + F.length(g["s"])).cast("int")
+            return F.struct(end.alias("from"), F.concat(acc["out"], F.array(F.struct(
+                g["ent"].alias("label"), start.cast("int").alias("start"), end.alias("end")))).alias("out"))
+        return let(found, lambda x: F.when(x > 0, placed(x - 1)).otherwise(acc))
+
+    items = F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("i"), F.when(t["label"] != "O", entity(t)).alias("ent"), t["piece"].alias("piece"))),
+                     lambda x: x["ent"].isNotNull())
+    init = F.struct(F.lit(0).alias("from"), F.array().cast(SPAN_T).alias("out"))
+    return let(items, lambda b: F.when(F.size(b) == 0, F.array().cast(SPAN_T)).otherwise(F.aggregate(grouped(b), init, step, lambda a: a["out"])))
+
+
+def by_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose key comes once, rows whose key comes again): what is keyed by document can be worked out in the row for the first."""
+    n = docs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return n.where("_n = 1").drop("_n"), n.where("_n > 1").drop("_n")
+
+
 # ------------------------------------------------------------------ span post-processing
 
 def valid_spans(spans, text) -> Column:

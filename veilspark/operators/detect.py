@@ -45,9 +45,6 @@ def rule_spans(text, rule: Rule, risk: Column | None = None) -> Column:
         return _with_risk(text, lambda t2, r2: rule_spans(t2, rule, r2))
     t = F.col(text) if isinstance(text, str) else text
     values = _extract(t, rule, risk)
-    guard = GUARDS.get(rule.index)
-    pieces = split_rule(t, rule, risk) if guard is None else \
-        F.when(guard(t), split_rule(t, rule, risk)).otherwise(F.array(t))
 
     def build(b: Column) -> Column:
         steps = F.zip_with(F.slice(b["g"], 1, F.size(b["v"])), b["v"], lambda g, v: F.length(g) + F.length(v))
@@ -55,9 +52,9 @@ def rule_spans(text, rule: Rule, risk: Column | None = None) -> Column:
             F.lit(rule.index).alias("rule"), F.lit(rule.label).alias("label"), (F.get(ends, i) - F.length(v)).alias("start"),
             F.get(ends, i).alias("end"), v.alias("value"))))
 
-    # each regex runs once per row
-    return let(F.struct(pieces.alias("g"), values.alias("v")),
-               lambda b: F.when(F.size(b["v"]) > 0, build(b)).otherwise(F.array().cast(_SPAN)))
+    # a text is cut between its matches only if it has any
+    return let(values, lambda v: F.when(F.size(v) > 0, let(F.struct(split_rule(t, rule, risk).alias("g"), v.alias("v")), build))
+               .otherwise(F.array().cast(_SPAN)))
 
 
 def _with_risk(text, fn) -> Column:
