@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from veilspark.llm import bwt_merge as B
 from veilspark.llm.words import Texts
+from veilspark.session import scratch_folders
 
 
 def brute(rows, length=50):
@@ -80,3 +81,28 @@ def test_equal_to_brute_force(spark):
 
 def test_empty(spark):
     assert B.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_move_once(spark):
+    rows = corpus(4) + [(None, "copied passage that many rows without a number hold, more than fifty bytes of it")] * 30
+    before = list(scratch_folders())
+    out = B.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted([tuple(r) for r in out.collect()], key=repr) == brute(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1  # the second join reads the texts that the first one moved
+    assert scratch_folders() == before  # and nothing is written besides
+
+
+def test_dealt_stretches_are_small():
+    rnd = np.random.default_rng(5)
+    for ids in (np.repeat(np.arange(700, 1100), 3), np.repeat(rnd.integers(-2**63, 2**63 - 1, 400), 3), np.array([5, 5, -2**63, B.LAST, 5])):
+        n = len(ids)
+        anchor, own = (rnd.integers(0, 2**64, n, dtype=np.uint64) for _ in range(2))
+        at = np.cumsum(rnd.integers(1, 100, n))
+        blob = B._dealt_blob(ids, anchor, own, at)
+        got = B._from_dealt_blob(blob)
+        want = (ids, anchor & np.uint64(2**32 - 1), own & np.uint64(2**48 - 1), at)
+        assert all(g.tolist() == w.tolist() for g, w in zip(got, want, strict=True))
+        assert n < 10 or len(blob) <= 4 + 18 * n  # 22 bytes each before
+    number, mark = B._from_marks_blob(B._marks_blob(at, np.ones(n, dtype=np.uint8)))
+    assert number.tolist() == at.tolist() and mark.tolist() == [1] * n

@@ -40,7 +40,6 @@ from pyspark.taskcontext import TaskContext
 
 from ..sources.tables import table
 from .registry import query
-from .store import written
 from .words import Texts, slices
 
 LENGTH, GRAM = 50, 20
@@ -225,13 +224,50 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
 
-def _gaps(numbers: np.ndarray) -> np.ndarray:
-    """Ascending numbers as differences, low bytes first, then the (mostly zero) higher ones: they compress well."""
-    return np.diff(numbers, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+def _gaps(numbers: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    """Numbers as differences, low bytes first, then the (mostly zero) higher ones: ascending ones compress well."""
+    width = np.dtype(kind).itemsize
+    return np.diff(numbers, prepend=numbers.dtype.type(0)).astype(kind).view(np.uint8).reshape(-1, width).T.copy()
 
 
-def _from_gaps(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(planes.reshape(4, -1).T.copy().view("<u4").ravel()).astype("<u4")
+def _from_gaps(planes: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    return np.cumsum(planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel(), dtype=kind)
+
+
+def _marks_blob(numbers: np.ndarray, marks: np.ndarray) -> bytes:
+    """Ascending numbers of stretches (u32), then their marks (u8)."""
+    return _pack(_gaps(numbers), marks)
+
+
+def _from_marks_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 5
+    return _from_gaps(np.frombuffer(blob, np.uint8, 4 * n)), np.frombuffer(blob, np.uint8, n, 4 * n)
+
+
+def _dealt_blob(ids: np.ndarray, anchor: np.ndarray, own: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Stretches as they are dealt out: neighbours share a document, so each run of equal ids is written once."""
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    runs = np.diff(np.append(first, len(ids))).astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+    return _pack(np.array([len(ids)], dtype="<u4"), anchor.astype("<u4"), own.astype("<u4"), (own >> np.uint64(32)).astype("<u2"),
+                 _gaps(numbers), runs, _gaps(ids[first], "<i8"))
+
+
+def _from_dealt_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, anchor, stretch hash, numbers)."""
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    low, high = np.frombuffer(blob, "<u4", n, 4 + 4 * n), np.frombuffer(blob, "<u2", n, 4 + 8 * n)
+    numbers = _from_gaps(np.frombuffer(blob, np.uint8, 4 * n, 4 + 10 * n))
+    rest = np.frombuffer(blob, np.uint8, -1, 4 + 14 * n)
+    r = len(rest) // 12
+    runs = rest[:4 * r].reshape(4, -1).T.copy().view("<u4").ravel()
+    ids = np.repeat(_from_gaps(rest[4 * r:], "<i8"), runs)
+    return ids, np.frombuffer(blob, "<u4", n, 4), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), numbers
+
+
+def _runs(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """First and last of each run of overlapping ranges of one owner (all ascending)."""
+    first = np.flatnonzero(np.append(True, (starts[1:] > ends[:-1]) | (owner[1:] != owner[:-1]))[:len(starts)])
+    return np.stack([first, np.append(first[1:], len(starts))[:len(first)] - 1])
 
 
 _RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -239,7 +275,7 @@ _RESULT_SQL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row_key, id, marks) of the rows with marked stretches; marks: their numbers (u32), then their marks (u8)."""
+    """(row_key, id, marks) of the rows with marked stretches; marks: see ``_marks_blob``."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("meta", pa.bool_()), ("blob", pa.binary())])
 
@@ -259,8 +295,7 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 for b in range(buckets):
                     at = order[bounds[b]:bounds[b + 1]]
                     if len(at):
-                        rows.append((b, number, False, _pack(ids[row[at]], h[at].astype("<u4"), own[at].astype("<u4"),
-                                                             _gaps(at), (own[at] >> np.uint64(32)).astype("<u2"))))
+                        rows.append((b, number, False, _dealt_blob(ids[row[at]], h[at], own[at], at)))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
 
@@ -268,15 +303,15 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
         now, held = None, []
 
         def settle() -> pa.RecordBatch:
-            sizes = [len(blob) // 22 for _, blob in held]
-            part = lambda low, kind: np.concatenate([np.frombuffer(blob, kind, n, low * n) for (_, blob), n in zip(held, sizes, strict=True)])
-            stretch = part(12, "<u4").astype(np.uint64) | part(20, "<u2").astype(np.uint64) << np.uint64(32)
-            marks = _marks(part(8, "<u4"), stretch, part(0, "<i8"))
-            numbers = np.concatenate([_from_gaps(np.frombuffer(blob, np.uint8, 4 * n, 16 * n)) for (_, blob), n in zip(held, sizes, strict=True)])
+            parts = [_from_dealt_blob(blob) for _, blob in held]
+            sizes = [len(p[0]) for p in parts]
+            ids, anchor, stretch, numbers = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            parts.clear()
+            marks = _marks(anchor, stretch, ids)
             blobs, at = [], 0
             for n in sizes:
                 some = np.flatnonzero(marks[at:at + n]) + at
-                blobs.append(_pack(numbers[some], marks[some]))
+                blobs.append(_marks_blob(numbers[some], marks[some]))
                 at += n
             return pa.RecordBatch.from_arrays([pa.array([0] * len(held), pa.int32()), pa.array([s for s, _ in held], pa.int64()),
                                                pa.array([False] * len(held)), pa.array(blobs, pa.binary())], schema=out)
@@ -306,13 +341,12 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
         def settle() -> pa.RecordBatch:
             n = len(meta) // 24
             counts, keys, ids = (np.frombuffer(meta, "<i8", n, 8 * k * n) for k in range(3))
-            number = np.concatenate([np.frombuffer(b, "<u4", len(b) // 5) for b in held])
-            mark = np.concatenate([np.frombuffer(b, np.uint8, len(b) // 5, len(b) // 5 * 4) for b in held])
+            number, mark = (np.concatenate(x) for x in zip(*(_from_marks_blob(b) for b in held), strict=True))
             order = np.argsort(number)
             number, mark = number[order].astype(np.int64), mark[order]
             ends = np.cumsum(counts)
             bounds = np.searchsorted(number, np.append(0, ends))
-            rows = [(int(keys[r]), int(ids[r]), _pack((number[a:b] - (ends[r] - counts[r])).astype("<u4"), mark[a:b]))
+            rows = [(int(keys[r]), int(ids[r]), _marks_blob(number[a:b] - (ends[r] - counts[r]), mark[a:b]))
                     for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(found)], schema=found)
 
@@ -337,68 +371,54 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Texts move once: the join with the marks and the one with the removed ranges read the same exchange, and nothing
+    but pieces of stretches and byte ranges goes from one to the other.
+    """
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("row_key", F.xxhash64("id", "text"))
+    same_row = (F.col("row_key") == F.col("_k")) & (F.col("id") == F.col("_i"))
     marks = _marked(docs.select("row_key", "id", "text"), length, gram)
     marks = marks.select(F.col("row_key").alias("_k"), F.col("id").alias("_i"), "marks").dropDuplicates(["_k", "_i"])
-    joined = docs.join(marks, (F.col("row_key") == F.col("_k")) & (F.col("id") == F.col("_i")), "left").select("doc_id", "id", "row_key", "text", "marks")
-    piece_type = pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int64()), ("need", pa.bool_()), ("string", pa.binary())]))
-    open_schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("row_key", pa.int64()), *_RESULT, ("text", pa.string()),
-                             ("gone", pa.binary()), ("pieces", piece_type)])
+    # both joins are left joins over the same columns: filters or fewer columns on one side would move the texts again
+    marked = docs.join(marks, same_row, "left").select("doc_id", "id", "row_key", "text", "marks")
+    # a piece (a stretch to compare), or with a negative start the byte ranges that go without comparing
+    piece = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("need", pa.bool_()), ("string", pa.binary())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                marked = [m for m in piece.column("marks").to_pylist()]
-                some = [r for r, m in enumerate(marked) if m is not None]
-                texts = Texts(piece.column("text"))
-                sub = Texts(piece.column("text").take(pa.array(some, pa.int64())))
-                row, start, end, h = stretches(sub, length, gram)
-                first = np.searchsorted(row, np.arange(len(some) + 1))
-                out: list[list] = [[] for _ in range(7)]
-                at = {r: k for k, r in enumerate(some)}
-                for r in range(texts.count):
-                    raw = texts.data[texts.offsets[r]:texts.offsets[r + 1]]
-                    diff = np.zeros(len(raw) + 1, dtype=np.int32)
-                    pieces, need = [], False
-                    if r in at:
-                        k = at[r]
-                        m = marked[r]
-                        number = np.frombuffer(m, "<u4", len(m) // 5).astype(np.int64) + first[k]
-                        mark = np.frombuffer(m, np.uint8, len(m) // 5, len(m) // 5 * 4)
-                        base = sub.offsets[k]
-                        whole = number[mark == 1]
-                        np.add.at(diff, start[whole] - base, 1)
-                        np.add.at(diff, end[whole] - base, -1)
-                        for i, c in zip(number[mark > 1].tolist(), mark[mark > 1].tolist(), strict=True):
-                            pieces.append({"h": int(h[i].view(np.int64)), "start": int(start[i] - base), "need": c == 2,
-                                           "string": sub.data[start[i]:end[i]].tobytes()})
-                            need = need or c == 2
-                    gone = _removed(diff, 0, len(raw))
-                    if need:
-                        values = (None, None, None, None)
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                        out[4].append(texts.text(r))
-                        out[5].append(edges.astype("<i8").tobytes())
-                    else:
-                        values = _result(raw, gone)
-                        out[4].append(None)
-                        out[5].append(None)
-                    for k, v in enumerate(values):
-                        out[k].append(v)
-                    out[6].append(pieces)
-                yield pa.RecordBatch.from_arrays([piece.column(c) for c in ("doc_id", "id", "row_key")] + [
-                    pa.array(x, f.type) for x, f in zip(out, list(open_schema)[3:], strict=True)], schema=open_schema)
-
-    half = written(joined.mapInArrow(apply, f"doc_id long, id long, row_key long, {_RESULT_SQL}, text string, gone binary,"
-                                     " pieces array<struct<h:long,start:long,need:boolean,string:binary>>"), "half-done")
-    hit = pa.schema([("row_key", pa.int64()), ("id", pa.int64()), ("windows", pa.binary())])
+            batch = batch.filter(batch.column("marks").is_valid())
+            for part in slices(batch, "text") if batch.num_rows else ():
+                texts = Texts(part.column("text"))
+                row, start, end, h = stretches(texts, length, gram)
+                first = np.searchsorted(row, np.arange(texts.count))
+                found = [_from_marks_blob(m) for m in part.column("marks").to_pylist()]
+                number = np.concatenate([n.astype(np.int64) + f for (n, _), f in zip(found, first, strict=True)])
+                mark = np.concatenate([m for _, m in found])
+                keys, ids = part.column("row_key").to_numpy(), part.column("id").to_numpy()
+                whole, some = number[mark == 1], number[mark > 1]
+                a, b = _runs(start[whole], end[whole], row[whole])
+                owner = row[whole][a]
+                ranges = np.column_stack([start[whole][a], end[whole][b]]) - texts.offsets[owner][:, None]
+                rows, at = np.unique(owner, return_index=True)
+                at = np.append(at, len(owner))
+                columns = [np.concatenate([keys[rows], h[some].view(np.int64)]), np.concatenate([ids[rows], ids[row[some]]]),
+                           np.concatenate([keys[rows], keys[row[some]]]), np.concatenate([np.full(len(rows), -1), start[some] - texts.offsets[row[some]]]),
+                           np.concatenate([np.zeros(len(rows), dtype=bool), mark[mark > 1] == 2])]
+                strings = [ranges[x:y].astype("<i8").tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                strings += [texts.data[x:y].tobytes() for x, y in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, strings], piece, strict=True)], schema=piece)
+
+    hit = pa.schema([("row_key", pa.int64()), ("id", pa.int64()), ("ranges", pa.binary())])
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         symbols = 0
 
+        def records(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(hit)], schema=hit)
+
         def settle() -> pa.RecordBatch:
             index: dict[tuple[int, bytes], int] = {}
             own = [index.setdefault((r[0], r[4]), len(index)) for r in rows]
@@ -412,48 +432,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             for k, (_, doc, key, start, _, need) in zip(own, rows, strict=True):
                 if need:
                     a, b = first[k], first[k + 1]
-                    found = offset[a:b][least[a:b] < doc]
+                    found = offset[a:b][least[a:b] < doc] + start
                     if len(found):
-                        out.append((key, doc, (found + start).astype("<i8").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(hit)], schema=hit)
+                        x, y = _runs(found, found + length, np.zeros_like(found))
+                        out.append((key, doc, np.column_stack([found[x], found[y] + length]).astype("<i8").tobytes()))
+            return records(out)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("h", "id", "row_key", "start", "string", "need")]
+            settled: list[tuple] = []
             for row in zip(*columns, strict=True):
+                if row[3] < 0:
+                    settled.append((row[2], row[1], row[4]))
+                    continue
                 if symbols > MERGE_SYMBOLS and row[0] != rows[-1][0]:
                     yield settle()
                     rows.clear()
                     symbols = 0
                 rows.append(row)
                 symbols += len(row[4]) + 1
+            if settled:
+                yield records(settled)
         if rows:
             yield settle()
 
-    pieces = half.select("id", "row_key", F.explode("pieces").alias("p")).select("id", "row_key", "p.*").repartition("h").sortWithinPartitions("h")
-    hits = pieces.mapInArrow(refine, "row_key long, id long, windows binary")
-    hits = hits.groupBy(F.col("row_key").alias("_k"), F.col("id").alias("_i")).agg(F.collect_list("windows").alias("windows"))
-    waiting = half.where("text IS NOT NULL").join(hits, (F.col("row_key") == F.col("_k")) & (F.col("id") == F.col("_i")), "left").select(
-        "doc_id", "text", "gone", "windows")
+    pieces = marked.mapInArrow(apply, "h long, id long, row_key long, start long, need boolean, string binary")
+    hits = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(refine, "row_key long, id long, ranges binary")
+    # copies of a row bring the same ranges
+    hits = hits.groupBy(F.col("row_key").alias("_k"), F.col("id").alias("_i")).agg(F.collect_set("ranges").alias("ranges"))
+    ranged = docs.join(hits, same_row, "left").select("doc_id", "text", "ranges")
     done_schema = pa.schema([("doc_id", pa.int64()), *_RESULT])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, gone, windows in zip(*(batch.column(c) for c in ("text", "gone", "windows")), strict=True):
-                raw = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
+            texts = Texts(batch.column("text"))
+            for r, ranges in enumerate(batch.column("ranges")):
+                raw = texts.data[texts.offsets[r]:texts.offsets[r + 1]]
                 diff = np.zeros(len(raw) + 1, dtype=np.int32)
-                edges = np.frombuffer(gone.as_py(), "<i8")
-                diff[edges[::2]] += 1
-                diff[edges[1::2]] -= 1
-                for w in windows.as_py() or ():
-                    at = np.frombuffer(w, "<i8")
-                    np.add.at(diff, at, 1)
-                    np.add.at(diff, at + length, -1)
+                edges = np.frombuffer(b"".join(ranges.as_py() or ()), "<i8")
+                np.add.at(diff, edges[::2], 1)
+                np.add.at(diff, edges[1::2], -1)
                 out.append(_result(raw, _removed(diff, 0, len(raw))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array([o[k] for o in out], t) for k, (_, t) in enumerate(_RESULT)], schema=done_schema)
 
-    late = waiting.mapInArrow(finish, f"doc_id long, {_RESULT_SQL}")
-    return half.where("text IS NULL").select("doc_id", *[n for n, _ in _RESULT]).unionByName(late)
+    return ranged.mapInArrow(finish, f"doc_id long, {_RESULT_SQL}")
 
 
 @query("op8_bwt_merge")
