@@ -344,8 +344,9 @@ def _values(batch, name: str, classes: int):
     """The scores of a batch's blocks, a row per token, and each block's number of tokens."""
     import numpy as np
 
-    column = batch.column(name).fill_null([])
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, classes)
+    column = batch.column(name)
+    column = column.fill_null([]) if column.null_count else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, classes)
     return flat, np.diff(column.offsets.to_numpy()) // classes
 
 
@@ -366,7 +367,31 @@ def slices(batches, column: str, most: int):
             at = stop
 
 
-def log_softmax_blocks(blocks: DataFrame, classes: int, scores: str = "logits") -> DataFrame:
+class Dealt:
+    """Rows of which those of a document lie in one partition, ordered by ``doc_id`` and ``first``, and steps over their
+    Arrow batches. The steps run one after the other in one Python worker: what is between two of them, scores for
+    the most part, is neither handed back to Spark nor shuffled, and is a slice at a time.
+    """
+
+    def __init__(self, rows: DataFrame, steps: tuple = ()):
+        self.rows, self.steps = rows, steps
+
+    def then(self, step) -> Dealt:
+        return Dealt(self.rows, (*self.steps, step))
+
+    def frame(self, schema: str) -> DataFrame:
+        """What the last step yields."""
+        steps = self.steps
+
+        def run(batches):
+            for step in steps:
+                batches = step(batches)
+            return batches
+
+        return self.rows.mapInArrow(run, schema)
+
+
+def log_softmax_blocks(blocks: DataFrame | Dealt, classes: int, scores: str = "logits") -> DataFrame | Dealt:
     """``logprob`` of each block: a window's scores, ``classes`` numbers per token from token ``first`` on.
 
     A block is one array, worked on by numpy for a slice of an Arrow batch at once; nothing is shuffled.
@@ -385,6 +410,8 @@ def log_softmax_blocks(blocks: DataFrame, classes: int, scores: str = "logits")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "window_id", "first")),
                                               pa.ListArray.from_arrays(pa.array(bounds), pa.array(out.reshape(-1)))], names=["doc_id", "window_id", "first", "logprob"])
 
+    if isinstance(blocks, Dealt):
+        return blocks.then(run)
     return blocks.select("doc_id", "window_id", F.col("first").cast("int").alias("first"), scores).mapInArrow(run, BLOCK_T)
 
 
@@ -398,7 +425,7 @@ def _joined(owner, spot, flat, counts):
     return owner[new], spot[new], np.logaddexp.reduceat(flat, new, axis=0), np.add.reduceat(counts, new)
 
 
-def merge_blocks(blocks: DataFrame, classes: int, segment: int = 64) -> DataFrame:
+def merge_blocks(blocks: DataFrame | Dealt, classes: int, segment: int = 64) -> DataFrame | Dealt:
     """``(doc_id, tok_idx, score)``: log-mean-exp of each class over the windows that scored a token.
 
     Blocks that arrive together are merged before the exchange, so a token that
@@ -407,12 +434,47 @@ def merge_blocks(blocks: DataFrame, classes: int, segment: int = 64) -> DataFram
     the pieces of a (document, segment) meet in one exchange, a block of sums
     and the windows behind each token, and are merged by numpy over many
     segments at once. A long document is many segments.
+
+    Blocks that are :class:`Dealt` need no exchange: a token is done once a block of its document begins behind it.
     """
     def spots(first, n):
         import numpy as np
 
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first.astype(np.int64), n)
 
+    def scored(owner, spot, total, counts):
+        import numpy as np
+        import pyarrow as pa
+
+        score = total - np.log(counts)[:, None]
+        bounds = np.arange(len(owner) + 1, dtype=np.int32) * classes
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(spot.astype(np.int32)),
+                                           pa.ListArray.from_arrays(pa.array(bounds), pa.array(score.reshape(-1)))], names=["doc_id", "tok_idx", "score"])
+
+    def in_order(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        held = None  # tokens of the last document that a later block may score as well
+        for batch in slices((b.filter(pc.greater_equal(b.column("first"), 0)) for b in batches), "logprob", SLICE):
+            flat, n = _values(batch, "logprob", classes)
+            doc, first = (batch.column(c).to_numpy() for c in ("doc_id", "first"))
+            tokens = (np.repeat(doc, n), spots(first, n), flat, np.ones(len(flat), dtype=np.int64))
+            if held is not None:
+                tokens = tuple(np.concatenate(x) for x in zip(held, tokens))
+            if not len(tokens[0]):
+                continue
+            tokens = _joined(*tokens)
+            still = (tokens[0] == doc[-1]) & (tokens[1] >= first[-1])
+            if not still.all():
+                yield scored(*(x[~still] for x in tokens))
+            held = tuple(x[still] for x in tokens)
+        if held is not None and len(held[0]):
+            yield scored(*held)
+
+    if isinstance(blocks, Dealt):
+        return blocks.then(in_order)
+
     def combine(batches):
         import numpy as np
         import pyarrow as pa
@@ -437,15 +499,10 @@ def merge_blocks(blocks: DataFrame, classes: int, segment: int = 64) -> DataFram
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         def merged(parts):
             doc, segs, first, n, flat, windows = (np.concatenate([p[i] for p in parts]) for i in range(6))
-            owner, spot, total, counts = _joined(np.repeat(doc, n), spots(first, n), flat, windows)
-            score = total - np.log(counts)[:, None]
-            bounds = np.arange(len(owner) + 1, dtype=np.int32) * classes
-            return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(spot.astype(np.int32)),
-                                               pa.ListArray.from_arrays(pa.array(bounds), pa.array(score.reshape(-1)))], names=["doc_id", "tok_idx", "score"])
+            return scored(*_joined(np.repeat(doc, n), spots(first, n), flat, windows))
 
         held = []
         for batch in slices(batches, "logprob", SLICE):
@@ -513,13 +570,15 @@ def best_paths(scores, starts, lengths, moves):
     now = scores[first[:alive[0]]] + start
     last = np.empty((len(size), scores.shape[1]))
     last[:alive[0]] = now
+    kinds, kind = np.unique(move, axis=1, return_inverse=True)  # many labels may follow the same ones
+    kinds, kind = np.ascontiguousarray(kinds.T), kind.reshape(-1)
     for t in range(1, len(alive)):
         n = alive[t]
-        reach = now[:n, :, None] + move[None]
-        came = reach.argmax(axis=1)
+        reach = now[:n, None, :] + kinds[None]
+        came = reach.argmax(axis=2)
         at = first[:n] + t
-        back[at] = came
-        now = np.take_along_axis(reach, came[:, None, :], axis=1)[:, 0] + scores[at]
+        back[at] = came[:, kind]
+        now = np.take_along_axis(reach, came[:, :, None], axis=2)[:, kind, 0] + scores[at]
         last[:n] = now
     last[size > 0] += end
     state = last.argmax(axis=1)
@@ -533,16 +592,16 @@ def best_paths(scores, starts, lengths, moves):
     return path
 
 
-def viterbi(merged: DataFrame) -> DataFrame:
+def viterbi(merged: DataFrame | Dealt) -> DataFrame:
     """Best legal BIOES path per document: each token's label, its ``score`` and the largest one (``top``).
 
-    Scores are dealt out by document in token order, and numpy works on all
-    documents of some slices at once; a document is never split over
-    tasks, and takes 33 bytes of back pointers a token.
+    Scores are dealt out by document in token order (unless they are
+    :class:`Dealt` already), and numpy works on all documents of some slices
+    at once; a document is never split over tasks, and takes 33 bytes of back
+    pointers a token.
     """
     moves = legal_moves(class_names())
     classes = len(class_names())
-    dealt = merged.select("doc_id", "tok_idx", "score").repartition("doc_id").sortWithinPartitions("doc_id", "tok_idx")
 
     def run(batches):
         import numpy as np
@@ -571,7 +630,11 @@ def viterbi(merged: DataFrame) -> DataFrame:
         if held:
             yield solved(held)
 
-    return dealt.mapInArrow(run, "doc_id long, tok_idx int, label_idx int, score double, top double")
+    paths = "doc_id long, tok_idx int, label_idx int, score double, top double"
+    if isinstance(merged, Dealt):
+        return merged.then(run).frame(paths)
+    dealt = merged.select("doc_id", "tok_idx", "score").repartition("doc_id").sortWithinPartitions("doc_id", "tok_idx")
+    return dealt.mapInArrow(run, paths)
 
 
 def labels_from_index(pred: DataFrame) -> DataFrame:

@@ -36,6 +36,12 @@ def spread(df: DataFrame, min_partitions: int | None = None, key: str | tuple |
     return df.repartition(target * FILES_PER_CORE, *keys)
 
 
+def together(df: DataFrame, key: str) -> DataFrame:
+    """Deal out the rows so that those of one key lie in one partition; small tables get an even share per core, too."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism * FILES_PER_CORE, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every free-text column of the test tables as one long ``(src, doc_id, text)`` table.
 
